@@ -47,9 +47,21 @@ def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
+#: Whole texts are long: so many rows make an Arrow batch of a few MB instead of some dozens.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the memory that a batch of texts takes in the JVM and in Python."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, BATCH_ROWS)
+
+
 def arrow_once(fn, returns: str):
     """An Arrow UDF that runs once a row: it is marked so that the optimizer
     doesn't repeat it in a filter and in a projection above."""
+    small_batches(SparkSession.active())
     return F.arrow_udf(fn, returns).asNondeterministic()
 
 

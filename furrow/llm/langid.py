@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.common import arrow_once, text_blocks
+from furrow.llm.common import arrow_once, small_batches, text_blocks
 
 BUCKETS = 1 << 15
 SIZES = (1, 2, 3)
@@ -100,6 +100,7 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
             at = np.flatnonzero(counts)
             yield pa.record_batch({"lang": pa.array([lang] * (len(at) + 1), pa.string()), "bucket": pa.array(np.append(at, -1), pa.int32()), "n": pa.array(np.append(counts[at], n[lang]), pa.int64())})
 
+    small_batches(docs.sparkSession)
     counted = docs.where("lang IS NOT NULL").select("lang", "text").mapInArrow(count, "lang string, bucket int, n bigint")
     # at most BUCKETS + 1 rows a language, whatever the number of documents
     total = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()

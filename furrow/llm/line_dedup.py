@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from furrow.llm.common import save, sized
 
-THRESHOLD = 1
+THRESHOLD = 2
 MIN_CHARS = 16
 MIN_EDIT_CHARS = 24
 HOT_BUCKET = 64
@@ -189,15 +189,17 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def report_sql(threshold: int = THRESHOLD) -> str:
-    """The same rows in DuckDB: all pairs of lines of nearly one length, without an index."""
+    """The same rows in DuckDB: all pairs of lines of nearly one length that share a part, without an index."""
+    middle = [f"contains(b.folded, substr(a.folded, {k} * a.size + 1, a.size))" for k in range(1, threshold)]
+    kept_part = " OR ".join(["left(a.folded, a.size) = left(b.folded, a.size)", *middle, f"right(a.folded, a.chars - {threshold} * a.size) = right(b.folded, a.chars - {threshold} * a.size)"])
     return f"""
 WITH raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents WHERE text IS NOT NULL),
 each AS (SELECT doc_id, line, l, trim(regexp_replace(lower(l), '\\s+', ' ', 'g')) AS folded FROM raw WHERE length(l) >= {MIN_CHARS}),
 ok AS (SELECT * FROM each WHERE length(folded) >= {MIN_CHARS}),
 c AS (SELECT folded, min(doc_id * {_LINES}::HUGEINT + line) AS place, count(*) AS places, length(folded) AS chars FROM ok GROUP BY folded),
-near AS (SELECT b.folded FROM c a JOIN c b ON b.chars BETWEEN a.chars - {threshold} AND a.chars + {threshold} AND a.place < b.place
-    AND (left(a.folded, cast(floor(a.chars / 2) AS INT) - {threshold}) = left(b.folded, cast(floor(a.chars / 2) AS INT) - {threshold}) OR right(a.folded, cast(floor(a.chars / 2) AS INT) - {threshold}) = right(b.folded, cast(floor(a.chars / 2) AS INT) - {threshold}))
-    WHERE a.chars >= {MIN_EDIT_CHARS} AND b.chars >= {MIN_EDIT_CHARS} AND levenshtein(a.folded, b.folded) <= {threshold} GROUP BY b.folded),
+part AS (SELECT *, cast(floor(chars / {threshold + 1}) AS INT) AS size FROM c WHERE chars >= {MIN_EDIT_CHARS}),
+near AS (SELECT b.folded FROM part a JOIN part b ON b.chars BETWEEN a.chars - {threshold} AND a.chars + {threshold} AND a.place < b.place
+    AND ({kept_part}) WHERE levenshtein(a.folded, b.folded) <= {threshold} GROUP BY b.folded),
 lost AS (SELECT ok.doc_id, ok.line, (ok.doc_id * {_LINES}::HUGEINT + ok.line = c.place) AS first FROM ok JOIN c USING (folded) LEFT JOIN near USING (folded)
     WHERE near.folded IS NOT NULL OR ok.doc_id * {_LINES}::HUGEINT + ok.line > c.place),
 kept AS (SELECT raw.doc_id, count(*) AS n_lines, count(lost.line) AS n_dropped, count(CASE WHEN lost.first THEN 1 END) AS n_near,

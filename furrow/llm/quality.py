@@ -32,7 +32,7 @@ from furrow.llm.common import arrow_once, save, text_blocks
 
 FIT_ROWS = 20_000
 #: A document is rejected below this posterior probability of good quality.
-REJECT_BELOW = 0.2
+REJECT_BELOW = 0.5
 SITE_ROWS = 200_000
 #: Prior strength where the rates don't spread more than chance would have them, and the least.
 STRONG, WEAK = 1000.0, 2.0
