@@ -14,7 +14,7 @@ SALES = "sales AS (SELECT CAST(s_nationkey AS INT) AS adm_id, l_partkey, l_quant
 
 
 def _labels(crop: str, year: str, name: str) -> str:
-    return f"""{name} AS (SELECT *, round(production / area, 6) AS yield FROM (SELECT adm_id, {crop} AS crop, CAST({year} AS INT) AS year, sum(l_quantity) AS area, round(sum(l_extendedprice), 2) AS production
+    return f"""{name} AS (SELECT *, production / area AS yield FROM (SELECT adm_id, {crop} AS crop, CAST({year} AS INT) AS year, sum(l_quantity) AS area, round(sum(l_extendedprice), 2) AS production
     FROM sales JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3))"""
 
 

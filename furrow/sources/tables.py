@@ -29,7 +29,7 @@ def labels(spark: SparkSession, sf_dir: str, crop: str = "p_type", by: str = "ye
     part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col(crop).alias("crop"))
     year = F.year("day") if by == "year" else F.year("day") * 12 + F.month("day")
     sums = _sales(spark, sf_dir).join(part, "l_partkey").groupBy("adm_id", "crop", year.cast("int").alias("year")).agg(F.sum("l_quantity").alias("area"), F.round(F.sum("l_extendedprice"), 2).alias("production"))
-    return sums.withColumn("yield", F.round(F.col("production") / F.col("area"), 6))
+    return sums.withColumn("yield", F.col("production") / F.col("area"))
 
 
 def indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
