@@ -16,11 +16,11 @@ linked at 0.8 or more; a class is a connected set of linked documents.
    on contents, so copies never meet each other in a join.
 3. Bands. ROWS components make a band, BANDS bands a signature: at similarity 0.8 a
    link is missed with probability (1 - 0.8**6)**32 = 6e-5, at 0.85 2e-7.
-4. Links. In every bucket each content is first compared with the bucket's leader
-   (one pair a content and bucket, never all pairs of a group), and verified
-   contents join their leader's class. Then a second round with other leaders.
-   Contents that share a bucket but are still in different classes are finally
-   compared pair by pair, so no candidate pair whose link could matter is left out.
+4. Links. In every bucket each content is first compared with the bucket's leader (one
+   pair a content and bucket, never all pairs of a group), and verified contents join
+   their leader's class. Contents that share a bucket but are then still in different
+   classes are compared too; in large buckets an exact filter on their differences
+   from one of them (see `_rest`) first takes out the pairs that can't be similar.
    Verification counts the exact multiset overlap of both whole texts.
 
 Defined cases: null and empty texts, and texts without words, have no shingles and
@@ -43,6 +43,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 6
 M = BANDS * ROWS
+#: Buckets of so many contents are paired as they are.
+SMALL_BUCKET = 8
+_T = (1 - SIMILARITY) / (1 + SIMILARITY)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -100,7 +103,7 @@ def bag_minhash(rows: int, row: np.ndarray, shingle: np.ndarray, count: np.ndarr
 
 def _sketch(column: pa.Array) -> pa.Array:
     d1, d2, n, keys = [], [], [], []
-    for _, offsets, data in text_blocks(column, 1 << 22):
+    for _, offsets, data in text_blocks(column, 1 << 21):
         rows = len(offsets) - 1
         row, g, count = shingles(offsets, data)
         sig = bag_minhash(rows, row, g, count)
@@ -136,10 +139,10 @@ def sketches(docs: DataFrame) -> DataFrame:
 def overlap(a: pa.Array, b: pa.Array) -> np.ndarray:
     """Weighted Jaccard similarity of the texts in each row."""
     out = []
-    for start, offsets, data in text_blocks(a, 1 << 21):
+    for start, offsets, data in text_blocks(a, 1 << 20):
         rows = len(offsets) - 1
         ra, ga, ca = shingles(offsets, data)
-        both = [shingles(o, d) + (s,) for s, o, d in text_blocks(b.slice(start, rows), 1 << 21)]
+        both = [shingles(o, d) + (s,) for s, o, d in text_blocks(b.slice(start, rows), 1 << 20)]
         rb, gb, cb = np.concatenate([r + s for r, _, _, s in both]), np.concatenate([g for _, g, _, _ in both]), np.concatenate([c for _, _, c, _ in both])
         row, g, c = np.concatenate([ra, rb]), np.concatenate([ga, gb]), np.concatenate([ca, cb])
         order = np.lexsort((g, row))
@@ -178,10 +181,99 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("cid", "comp")
 
 
-def _led(bands: DataFrame, leader) -> DataFrame:
+def _heads(bands: DataFrame) -> DataFrame:
+    """key, leader, its class, and size of every bucket whose contents are in several classes. The leader is
+    the member with the most company: what many copies were made from shares more bands with them than
+    they do with each other."""
+    first = F.max_by(F.struct("cid", "comp"), F.struct("company", "cid"))
+    return bands.groupBy("key").agg(first.alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", F.col("l.cid").alias("leader"), F.col("l.comp").alias("leader_comp"), "size")
+
+
+def _led(bands: DataFrame) -> DataFrame:
     """(a, b): every content with the leader of each of its buckets."""
-    heads = bands.groupBy("key").agg(leader.alias("b"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "b")
-    return bands.join(heads, "key").where("cid <> b").select(F.col("cid").alias("a"), "b").distinct()
+    return bands.join(_heads(bands), "key").where("comp <> leader_comp").select(F.col("cid").alias("a"), F.col("leader").alias("b"))
+
+
+def _rest(bands: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): contents that share a bucket but are still in different classes, without those that can't be similar.
+
+    Small buckets are paired as they are. In a large one let c be the most connected content of the
+    leader's class; x is c without its removed shingles R(x) and with its added ones A(x), as multisets.
+    x and y are linked if they differ by at most t (|x| + |y|), t = (1 - s) / (1 + s) for similarity s. Take
+    y that is not linked to c (one that is turns out a link itself), so |A(y)| + |R(y)| > t (|y| + |c|).
+    Either x and y share an added shingle; those are found by a join on added shingles, of which unrelated
+    edits have none in common. Or they share none, and then they differ by at least
+    |A(x)| + |A(y)| + ||R(x)| - |R(y)||, which excludes all but shortened texts, and have at least
+    (1 - t) (|A(x)| + |R(x)|) / 2 removed shingles in common, so that one of the first
+    |R(x)| - that many + 1, in any fixed order, is removed from y too. No pair that could be linked is left out."""
+    m = save(bands.join(_heads(bands), "key").select("key", "cid", "comp", "leader_comp", "size"), "mixed")
+    small = m.where(F.col("size") <= SMALL_BUCKET)
+    other = small.select("key", F.col("cid").alias("b"), F.col("comp").alias("cb"))
+    pairs = small.join(other, "key").where("comp < cb").select(F.col("cid").alias("a"), "b")
+
+    def of(whole: pa.Array, own: pa.Array) -> pa.Array:
+        return differences(whole, own)
+
+    center = bands.groupBy(F.col("comp").alias("leader_comp")).agg(F.max_by("cid", F.struct("company", "cid")).alias("c"))
+    large = m.where(F.col("size") > SMALL_BUCKET).select("leader_comp", "cid", "comp").distinct().join(center, "leader_comp").where("cid <> c")
+    if not large.limit(1).count():
+        return pairs
+    t = texts.toDF("cid", "text")
+    d = large.join(t, "cid").join(t.toDF("c", "whole"), "c").withColumn("d", arrow_once(of, "struct<n: bigint, added: array<bigint>, removed: array<bigint>>")("whole", "text"))
+    d = d.select("c", "cid", "comp", "leader_comp", "d.*", F.size("d.added").alias("na"), F.size("d.removed").alias("nr"))
+    d = save(d.withColumn("far", F.col("na") + F.col("nr") > _T * (2 * F.col("n") - F.col("na") + F.col("nr"))), "differences")
+    linked = d.where("not far and comp <> leader_comp").select(F.col("cid").alias("a"), F.col("c").alias("b"))
+    mine = d.select("c", "cid", "comp", "n", "na", "nr", "added", "removed")
+    far = d.where("far").select("c", F.col("cid").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("na").alias("nab"), F.col("nr").alias("nrb"), F.col("added").alias("added_b"), F.col("removed").alias("removed_b"))
+
+    def on(y: str, first, fits) -> DataFrame:
+        left = mine.select("c", "cid", "comp", "n", "na", "nr", F.explode(first).alias("token"))
+        right = far.select("c", "b", "cb", "nb", "nab", "nrb", F.explode(y).alias("token"))
+        return left.join(right, ["c", "token"]).where((F.col("comp") != F.col("cb")) & fits).select(F.col("cid").alias("a"), "b")
+
+    most = _T * (F.col("n") + F.col("nb")) + 1e-9
+    sizes = F.abs(F.col("n") - F.col("nb")) <= most
+    few = F.col("na") + F.col("nab") + F.abs(F.col("nr") - F.col("nrb")) <= most
+    need = F.ceil((1 - _T) * (F.col("na") + F.col("nr")) / 2 - 1e-9).cast("int") - 1
+    head = F.slice("removed", 1, F.greatest(F.col("nr") - need, F.lit(0)))
+    return pairs.union(linked).union(on("added_b", F.col("added"), sizes)).union(on("removed_b", head, few))
+
+
+def differences(whole: pa.Array, own: pa.Array) -> pa.Array:
+    """Per row the size of `own`, and what it has over `whole` and lacks of it, as hashes of (shingle, level)."""
+    n, diffs = [], {True: [], False: []}
+    for start, offsets, data in text_blocks(own, 1 << 20):
+        rows = len(offsets) - 1
+        ro, go, co = shingles(offsets, data)
+        parts = [shingles(o, d) + (s,) for s, o, d in text_blocks(whole.slice(start, rows), 1 << 20)]
+        rw, gw, cw = np.concatenate([r + s for r, _, _, s in parts]), np.concatenate([g for _, g, _, _ in parts]), np.concatenate([c for _, _, c, _ in parts])
+        row, g = np.concatenate([ro, rw]), np.concatenate([go, gw])
+        count = np.concatenate([co, -cw])
+        order = np.lexsort((g, row))
+        row, g, count = row[order], g[order], count[order]
+        twice = np.flatnonzero((row[1:] == row[:-1]) & (g[1:] == g[:-1]))
+        size = np.abs(count)
+        low = np.zeros(len(g), np.int64)
+        low[twice] = np.minimum(size[twice], size[twice + 1])  # levels that both have
+        top = size.copy()
+        top[twice] = np.maximum(size[twice], size[twice + 1])
+        added = count > 0
+        added[twice] = np.where(size[twice] >= size[twice + 1], added[twice], added[twice + 1])
+        keep = np.ones(len(g), bool)
+        keep[twice + 1] = False
+        row, g, low, top, added = row[keep], g[keep], low[keep], top[keep], added[keep]
+        spread = np.repeat(np.arange(len(g)), top - low)
+        level = np.arange(len(spread)) - np.repeat(np.cumsum(top - low) - (top - low), top - low) + low[spread] + 1
+        token = mix(g[spread] + level.astype(np.uint64) * _GOLD)
+        n.append(np.bincount(ro, weights=co, minlength=rows).astype(np.int64))
+        for side, out in diffs.items():
+            mine = added[spread] == side
+            order = np.lexsort((token[mine], row[spread][mine]))
+            cut = np.searchsorted(row[spread][mine][order], np.arange(rows + 1))
+            own_tokens = token[mine][order].view(np.int64)
+            out += [own_tokens[cut[k] : cut[k + 1]] for k in range(rows)]
+    lists = [pa.array(out, pa.list_(pa.int64())) for out in diffs.values()]
+    return pa.StructArray.from_arrays([pa.array(np.concatenate(n) if n else np.zeros(0, np.int64)), *lists], ["n", "added", "removed"])
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -195,32 +287,23 @@ def classes(docs: DataFrame) -> DataFrame:
     own = s.where("n > 0").select(F.col("d1").alias("cid"), F.col("doc_id").alias("id"), F.col("text_hash").alias("th"), "bands")
     own = own.join(contents, "cid").where(F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("th") == F.col("text_hash")))
     keyed = own.select("cid", F.explode("bands").alias("key")).distinct()
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    bands = save(keyed.join(buckets, "key").select("key", "cid"), "bands")
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    met = save(keyed.join(buckets, "key").select("key", "cid", "size"), "met")
+    company = met.groupBy("cid").agg(F.sum("size").alias("company"))
+    bands = save(met.join(company, "cid").select("key", "cid", "company"), "bands")
 
     wanted = bands.select("cid").distinct().join(contents, "cid").select("cid", "doc_id", "text_hash")
     wanted = sized(save(wanted, "wanted").select("cid", F.col("doc_id").alias("id"), F.col("text_hash").alias("th")))
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("th")))
     texts = save(texts.groupBy("cid").agg(F.min("text").alias("text")), "texts")
 
-    labels = bands.select("cid", F.col("cid").alias("comp")).distinct()
-    edges = None
-    rounds = (lambda b: _led(b, F.min("cid")), lambda b: _led(b, F.max("cid")), _across)
-    tested = None
-    for k, candidates in enumerate(rounds):
-        grouped = bands.withColumn("comp", F.col("cid")) if not k else bands.join(labels, "cid").select("key", "cid", "comp")
-        pairs = candidates(grouped).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tested is not None:
-            both = labels.withColumnRenamed("cid", "a").withColumnRenamed("comp", "ca"), labels.withColumnRenamed("cid", "b").withColumnRenamed("comp", "cb")
-            pairs = pairs.join(both[0], "a").join(both[1], "b").where("ca <> cb").select("a", "b").join(tested, ["a", "b"], "left_anti")
-        pairs = save(pairs, "pairs")
-        if k and not pairs.limit(1).count():
-            continue
-        found = save(_verified(pairs, texts), "links")
-        tested = pairs if tested is None else tested.union(pairs)
-        edges = found if edges is None else edges.union(found)
-        of = components(edges).withColumnRenamed("comp", "new")
-        labels = save(bands.select("cid").distinct().join(of, "cid", "left").select("cid", F.coalesce("new", "cid").alias("comp")), "labels")
+    led = save(_pairs(_led(bands.withColumn("comp", F.col("cid")))), "led")
+    edges = save(_verified(led, texts), "links")
+    labels = _labels(bands, edges)
+    rest = save(_pairs(_rest(bands.join(labels, "cid"), texts)).join(led, ["a", "b"], "left_anti"), "rest")
+    if rest.limit(1).count():
+        edges = edges.union(save(_verified(rest, texts), "links"))
+        labels = _labels(bands, edges)
 
     comp = labels.withColumnRenamed("cid", "d1")
     rows = s.select("doc_id", "text_hash", "d1", "n").join(comp, "d1", "left").withColumn("comp", F.coalesce("comp", "d1"))
@@ -236,13 +319,14 @@ def classes(docs: DataFrame) -> DataFrame:
     )
 
 
-def _across(bands: DataFrame) -> DataFrame:
-    """(a, b): contents that share a bucket but are in different classes. Buckets whose
-    contents are all in one class, nearly all of them by now, drop out first."""
-    mixed = bands.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    left = bands.join(mixed, "key")
-    right = left.select("key", F.col("cid").alias("b"), F.col("comp").alias("cb"))
-    return left.join(right, "key").where("comp < cb").select(F.col("cid").alias("a"), "b")
+def _pairs(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _labels(bands: DataFrame, edges: DataFrame) -> DataFrame:
+    """(cid, comp) of every content that shares a bucket."""
+    of = components(edges).withColumnRenamed("comp", "new")
+    return save(bands.select("cid").distinct().join(of, "cid", "left").select("cid", F.coalesce("new", "cid").alias("comp")), "labels")
 
 
 def report(docs: DataFrame) -> DataFrame:
