@@ -163,7 +163,8 @@ def cut_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFra
         out = []
         for t, s in zip(texts.to_pylist(), scans.to_pylist(), strict=True):
             if s["spans"]:
-                at = [m.span() for m in re.finditer(pattern, t)]
+                low = t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")  # bytes: A-Z only
+                at = [m.span() for m in re.finditer(pattern, low)]
                 for x in reversed(s["spans"]):
                     t = t[: at[x["start"]][0]] + t[at[x["end"] - 1][1] :]
             out.append(t)
@@ -191,12 +192,12 @@ def report_sql(n: int = WINDOW) -> str:
 WITH pattern AS (SELECT '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+' AS p),
 d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), p) AS w FROM documents, pattern),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), p) AS w FROM benchmark, pattern),
-bs AS (SELECT item, w, least(len(w), {n}) AS size, unnest(range(1, len(w) - least(len(w), {n}) + 2)) AS at FROM b WHERE len(w) > 0),
-bw AS (SELECT DISTINCT item, size, array_to_string(w[at : at + size - 1], ' ') AS g FROM bs),
+bs AS (SELECT item, w, least(len(w), {n}) AS size, unnest(range(1, len(w) - least(len(w), {n}) + 2)) AS pos FROM b WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item, size, array_to_string(w[pos : pos + size - 1], ' ') AS g FROM bs),
 sizes AS (SELECT DISTINCT size FROM bw),
-ds AS (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS at FROM d, sizes WHERE len(w) >= size),
-hit AS (SELECT doc_id, at, bw.size, item FROM (SELECT doc_id, at, size, array_to_string(w[at : at + size - 1], ' ') AS g FROM ds) x JOIN bw ON x.g = bw.g AND x.size = bw.size),
-spread AS (SELECT DISTINCT doc_id, unnest(range(at, at + size)) AS at FROM hit),
+ds AS (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS pos FROM d, sizes WHERE len(w) >= size),
+hit AS (SELECT doc_id, pos, bw.size, item FROM (SELECT doc_id, pos, size, array_to_string(w[pos : pos + size - 1], ' ') AS g FROM ds) x JOIN bw ON x.g = bw.g AND x.size = bw.size),
+spread AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + size)) AS pos FROM hit),
 n AS (SELECT doc_id, count(*) AS n_hit FROM spread GROUP BY doc_id),
 i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
