@@ -226,17 +226,26 @@ def _rest(bands: DataFrame, texts: DataFrame) -> DataFrame:
     mine = d.select("c", "cid", "comp", "n", "na", "nr", "added", "removed")
     far = d.where("far").select("c", F.col("cid").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("na").alias("nab"), F.col("nr").alias("nrb"), F.col("added").alias("added_b"), F.col("removed").alias("removed_b"))
 
-    def on(y: str, first, fits) -> DataFrame:
+    # Added shingles that the same contents share bring the same pairs; one of each such set is enough, and
+    # shingles of a single content bring none. A change of one word adds five shingles.
+    held = d.select("c", "cid", F.explode("added").alias("token")).groupBy("c", "token")
+    held = held.agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.sum(F.pmod(F.xxhash64("cid", F.lit(1)), F.lit(2**31))).alias("s")).where("k > 1")
+    telling = sized(save(held.groupBy("c", "k", "x", "s").agg(F.min("token").alias("token")).select("c", "token"), "telling"))
+
+    def on(y: str, first, fits, only: DataFrame | None = None) -> DataFrame:
         left = mine.select("c", "cid", "comp", "n", "na", "nr", F.explode(first).alias("token"))
         right = far.select("c", "b", "cb", "nb", "nab", "nrb", F.explode(y).alias("token"))
+        if only is not None:
+            left, right = left.join(only, ["c", "token"], "left_semi"), right.join(only, ["c", "token"], "left_semi")
         return left.join(right, ["c", "token"]).where((F.col("comp") != F.col("cb")) & fits).select(F.col("cid").alias("a"), "b")
 
     most = _T * (F.col("n") + F.col("nb")) + 1e-9
-    sizes = F.abs(F.col("n") - F.col("nb")) <= most
+    # what two must have in common can't be more than the smaller of their added and of their removed parts
+    sizes = F.col("na") + F.col("nr") + F.col("nab") + F.col("nrb") - most <= 2 * (F.least("na", "nab") + F.least("nr", "nrb"))
     few = F.col("na") + F.col("nab") + F.abs(F.col("nr") - F.col("nrb")) <= most
     need = F.ceil((1 - _T) * (F.col("na") + F.col("nr")) / 2 - 1e-9).cast("int") - 1
     head = F.slice("removed", 1, F.greatest(F.col("nr") - need, F.lit(0)))
-    return pairs.union(linked).union(on("added_b", F.col("added"), sizes)).union(on("removed_b", head, few))
+    return pairs.union(linked).union(on("added_b", F.col("added"), sizes, telling)).union(on("removed_b", head, few))
 
 
 def differences(whole: pa.Array, own: pa.Array) -> pa.Array:
