@@ -18,7 +18,8 @@ MIN_EDIT_CHARS take part in the edit join; equality concerns all.
 4. Hot buckets. A bucket of more than HOT_BUCKET lines (variants of one line) is not
    joined as it is. Its lines get the parities of their character pairs, folded to
    126 bits; an edit flips at most 4 of them, so of BLOCKS = 4 x THRESHOLD + 1 blocks
-   one is equal, and the bucket is joined block by block, which is exact.
+   one is equal, and the bucket is joined block by block, which is exact. Of the pairs
+   that meet, those with more flips than the edits allow drop out in the join.
 5. Candidates are verified with Spark's levenshtein with a threshold, a banded
    computation inside the JVM.
 
@@ -38,12 +39,13 @@ from furrow.llm.common import save, sized
 THRESHOLD = 2
 MIN_CHARS = 16
 MIN_EDIT_CHARS = 24
-HOT_BUCKET = 64
+HOT_BUCKET = 16
 _LINES = 2**31
 
 
 def folded(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"\s+", " "))
+    # only what is no single blank is rewritten: most white space is left as it is
+    return F.trim(F.regexp_replace(F.lower(line), r"\s{2,}|[\t\x0b\f\r]", " "))
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -107,10 +109,9 @@ def blocks(threshold: int) -> int:
     return 4 * threshold + 1
 
 
-def _block_keys(line: Column, key: Column, threshold: int) -> Column:
-    """The bucket's key with each block of the line's parities."""
+def _block_keys(a: Column, b: Column, key: Column, threshold: int) -> Column:
+    """The bucket's key with each block of a line's parities."""
     n = blocks(threshold)
-    a, b = parities(line)
     width = 126 // n
 
     def part(k: int) -> Column:
@@ -135,8 +136,13 @@ def candidates(c: DataFrame, threshold: int) -> DataFrame:
     cold = lambda x: x.join(few, "key", "left_anti")
     pairs = cold(probe).join(cold(index).withColumnRenamed("id", "near"), "key").where("id <> near").select("id", "near")
     if hot.limit(1).count():
-        spread = lambda x: x.join(few, "key", "left_semi").join(c.select("id", "folded"), "id").select("id", F.explode(_block_keys(F.col("folded"), F.col("key"), threshold)).alias("key"))
-        pairs = pairs.union(spread(probe).join(spread(index).withColumnRenamed("id", "near"), "key").where("id <> near").select("id", "near"))
+        bits = [p.alias(k) for k, p in zip(("p0", "p1"), parities(F.col("folded")), strict=True)]
+        hot_ids = sized(save(index.join(few, "key", "left_semi").union(probe.join(few, "key", "left_semi")).select("id").distinct(), "hot_ids"))
+        marks = save(c.join(hot_ids, "id", "left_semi").select("id", *bits), "parities")
+        spread = lambda x: x.join(few, "key", "left_semi").join(marks, "id").select("id", "p0", "p1", F.explode(_block_keys(F.col("p0"), F.col("p1"), F.col("key"), threshold)).alias("key"))
+        other = spread(index).toDF("near", "q0", "q1", "key")
+        flips = F.bit_count(F.col("p0").bitwiseXOR(F.col("q0"))) + F.bit_count(F.col("p1").bitwiseXOR(F.col("q1")))
+        pairs = pairs.union(spread(probe).join(other, "key").where((F.col("id") != F.col("near")) & (flips <= 4 * threshold)).select("id", "near"))
     return pairs.select(F.least("id", "near").alias("a"), F.greatest("id", "near").alias("b")).distinct()
 
 
