@@ -36,7 +36,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Stands for a literal U+2581 of the text; no UTF-8 text can hold it.
 LITERAL = "\udfff"
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 _CELLS = 2_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -215,7 +215,7 @@ class Encoder:
         for i, text in enumerate(column):
             block.append((i, text.as_py()))
             chars += len(block[-1][1] or "")
-            if chars > 1 << 21 or i == len(column) - 1:
+            if chars > 1 << 20 or i == len(column) - 1:
                 self._block(block, values, sizes)
                 block, chars = [], 0
         offsets = np.concatenate([[0], np.cumsum(sizes)])
