@@ -140,3 +140,22 @@ def crop_correlation(labels: DataFrame, crops: list[str]) -> DataFrame:
     col = lambda c: F.col(f"`{c}`")
     one = wide.agg(F.array(*(F.struct(F.lit(a).alias("crop_a"), F.lit(b).alias("crop_b"), stats.pearson(col(a), col(b)).alias("r"), F.count(stats.both(col(a), col(b), F.lit(1))).alias("n")) for a, b in pairs)).alias("p"))
     return one.select(F.inline("p"))
+
+
+def with_features(labels: DataFrame, features: DataFrame, until: int) -> DataFrame:
+    """Labels and features side by side, rows of either alone included, up to a year. Null keys match null keys."""
+    f = features.withColumnsRenamed({"adm_id": "__a", "year": "__y"})
+    j = labels.join(f, F.col("adm_id").eqNullSafe(F.col("__a")) & F.col("year").eqNullSafe(F.col("__y")), "full_outer")
+    j = j.withColumns({"adm_id": F.coalesce("adm_id", "__a"), "year": F.coalesce("year", "__y")})
+    return j.drop("__a", "__y").where(F.col("year") <= until)
+
+
+def latest_set(rows: DataFrame, name: str, order: list[str]) -> DataFrame:
+    """Rows of the boundary set that the latest row belongs to; the latest is one value, joined by broadcast."""
+    last = rows.agg(F.max_by(name, F.struct(*order)).alias("__last"))
+    return rows.join(F.broadcast(last), F.col(name) == F.col("__last")).drop("__last")
+
+
+def subset_by(labels: DataFrame, attributes: DataFrame, keep: str) -> DataFrame:
+    """Rows of units whose attributes meet a condition."""
+    return labels.join(F.broadcast(attributes.where(keep).select("adm_id").distinct()), "adm_id", "left_semi")
