@@ -44,8 +44,12 @@ _LINES = 2**31
 
 
 def folded(line: Column) -> Column:
-    # only what is no single blank is rewritten: most white space is left as it is
-    return F.trim(F.regexp_replace(F.lower(line), r"\s{2,}|[\t\x0b\f\r]", " "))
+    low = F.lower(line)
+    # most lines have single blanks only, and need no pattern
+    odd = F.contains(low, F.lit("  "))
+    for c in ("\t", "\x0b", "\f", "\r"):
+        odd = odd | F.contains(low, F.lit(c))
+    return F.trim(F.when(odd, F.regexp_replace(low, r"\s+", " ")).otherwise(low))
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -137,12 +141,12 @@ def candidates(c: DataFrame, threshold: int) -> DataFrame:
     pairs = cold(probe).join(cold(index).withColumnRenamed("id", "near"), "key").where("id <> near").select("id", "near")
     if hot.limit(1).count():
         bits = [p.alias(k) for k, p in zip(("p0", "p1"), parities(F.col("folded")), strict=True)]
-        hot_ids = sized(save(index.join(few, "key", "left_semi").union(probe.join(few, "key", "left_semi")).select("id").distinct(), "hot_ids"))
-        marks = save(c.join(hot_ids, "id", "left_semi").select("id", *bits), "parities")
-        spread = lambda x: x.join(few, "key", "left_semi").join(marks, "id").select("id", "p0", "p1", F.explode(_block_keys(F.col("p0"), F.col("p1"), F.col("key"), threshold)).alias("key"))
-        other = spread(index).toDF("near", "q0", "q1", "key")
+        asked, listed = (save(x.join(few, "key", "left_semi"), "hot") for x in (probe, index))
+        marks = save(c.join(sized(save(asked.union(listed).select("id").distinct(), "hot_ids")), "id", "left_semi").select("id", *bits), "parities")
+        spread = lambda x: x.join(marks, "id").select("id", "p0", "p1", F.explode(_block_keys(F.col("p0"), F.col("p1"), F.col("key"), threshold)).alias("key"))
+        other = spread(listed).toDF("near", "q0", "q1", "key")
         flips = F.bit_count(F.col("p0").bitwiseXOR(F.col("q0"))) + F.bit_count(F.col("p1").bitwiseXOR(F.col("q1")))
-        pairs = pairs.union(spread(probe).join(other, "key").where((F.col("id") != F.col("near")) & (flips <= 4 * threshold)).select("id", "near"))
+        pairs = pairs.union(spread(asked).join(other, "key").where((F.col("id") != F.col("near")) & (flips <= 4 * threshold)).select("id", "near"))
     return pairs.select(F.least("id", "near").alias("a"), F.greatest("id", "near").alias("b")).distinct()
 
 
