@@ -41,6 +41,8 @@ MIN_CHARS = 16
 MIN_EDIT_CHARS = 24
 HOT_BUCKET = 16
 _LINES = 2**31
+#: Dropped lines of a document are looked up block by block, so that very long texts don't take a square of their lines.
+BLOCK_LINES = 256
 
 
 def folded(line: Column) -> Column:
@@ -76,7 +78,9 @@ def segment(chars: Column, k: int, threshold: int) -> tuple[Column, Column]:
     return F.lit(1) + size * k + extra, size + F.when(F.lit(k) >= threshold + 1 - longer, 1).otherwise(0)
 
 
-def _key(chars: Column, k: int, part: Column) -> Column:
+def _key(chars: Column, k: int, start: Column, size: Column) -> Column:
+    """The bucket of a segment of the folded line. Where each character is a byte, cutting bytes finds the start at once."""
+    part = F.when(F.octet_length("folded") == F.col("chars"), F.substring(F.col("folded").cast("binary"), start, size)).otherwise(F.substring("folded", start, size).cast("binary"))
     return F.xxhash64(chars, F.lit(k), part)
 
 
@@ -84,7 +88,7 @@ def index_keys(c: DataFrame, threshold: int) -> DataFrame:
     keys = []
     for k in range(threshold + 1):
         start, size = segment(F.col("chars"), k, threshold)
-        keys.append(_key(F.col("chars"), k, F.substring("folded", start, size)))
+        keys.append(_key(F.col("chars"), k, start, size))
     return c.select("id", F.explode(F.array(*keys)).alias("key"))
 
 
@@ -97,7 +101,7 @@ def probe_keys(c: DataFrame, threshold: int) -> DataFrame:
             start, size = segment(chars, k, threshold)
             # by how much the segment may have moved: what came before it, and what comes after
             low, high = max(-k, less - (threshold - k)), min(k, less + (threshold - k))
-            keys += [_key(chars, k, F.substring("folded", start + shift, size)) for shift in range(low, high + 1)]
+            keys += [_key(chars, k, start + shift, size) for shift in range(low, high + 1)]
     return c.select("id", F.explode(F.array(*keys)).alias("key"))
 
 
@@ -162,7 +166,8 @@ def verified(pairs: DataFrame, c: DataFrame, threshold: int) -> DataFrame:
 
 
 def dropped(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, gone: the numbers of the lines to drop, and n_near: how many of them have only a near earlier line.
+    """doc_id, gone: the numbers of the lines to drop by blocks of BLOCK_LINES, n_gone: how many, and n_near: how many
+    of them have only a near earlier line.
     Only documents that lose lines have a row."""
     docs = docs.select("doc_id", "text")
     each = lines(docs)
@@ -174,22 +179,23 @@ def dropped(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     where = each.select("doc_id", "line", F.xxhash64("folded").alias("id"), place(F.col("doc_id"), F.col("line")).alias("at"))
     lost = where.join(marked, "id").where(F.col("near") | (F.col("at") > F.col("place")))
     first = (F.col("at") == F.col("place")).cast("bigint")
-    return lost.groupBy("doc_id").agg(F.collect_set("line").alias("gone"), F.sum(first).alias("n_near"))
+    by_block = lost.groupBy("doc_id", F.floor(F.col("line") / BLOCK_LINES).cast("int").alias("block")).agg(F.collect_set("line").alias("lines"), F.sum(first).alias("n_near"))
+    return by_block.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("block", "lines"))).alias("gone"), F.sum(F.size("lines")).alias("n_gone"), F.sum("n_near").alias("n_near"))
 
 
 def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """docs with the dropped lines cut out of text, and columns __lines, __gone, __near counting lines."""
     gone = save(dropped(docs, threshold), "gone").withColumnRenamed("doc_id", "__id")
     rows = docs.join(F.broadcast(gone) if gone.count() <= 20_000 else gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.coalesce(F.array_contains(F.try_element_at("gone", F.floor(i / BLOCK_LINES).cast("int")), i), F.lit(False))), "\n")
     return rows.withColumns(
         {
             "__lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("bigint"),
             "text": F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept),
-            "__gone": F.coalesce(F.size("gone"), F.lit(0)).cast("bigint"),
+            "__gone": F.coalesce("n_gone", F.lit(0)),
             "__near": F.coalesce("n_near", F.lit(0)),
         }
-    ).drop("__id", "gone", "n_near")
+    ).drop("__id", "gone", "n_gone", "n_near")
 
 
 def report(docs: DataFrame) -> DataFrame:
