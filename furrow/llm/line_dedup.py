@@ -19,7 +19,8 @@ MIN_EDIT_CHARS take part in the edit join; equality concerns all.
    joined as it is. Its lines get the parities of their character pairs, folded to
    126 bits; an edit flips at most 4 of them, so of BLOCKS = 4 x THRESHOLD + 1 blocks
    one is equal, and the bucket is joined block by block, which is exact. Of the pairs
-   that meet, those with more flips than the edits allow drop out in the join.
+   that meet, those with more flips than the edits allow drop out in the join, and
+   each is made in the first block that is equal.
 5. Candidates are verified with Spark's levenshtein with a threshold, a banded
    computation inside the JVM.
 
@@ -31,6 +32,8 @@ gets an empty text; an empty table gives an empty result; other columns pass thr
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,12 +49,11 @@ BLOCK_LINES = 256
 
 
 def folded(line: Column) -> Column:
-    low = F.lower(line)
     # most lines have single blanks only, and need no pattern
-    odd = F.contains(low, F.lit("  "))
+    odd = F.contains(line, F.lit("  "))
     for c in ("\t", "\x0b", "\f", "\r"):
-        odd = odd | F.contains(low, F.lit(c))
-    return F.trim(F.when(odd, F.regexp_replace(low, r"\s+", " ")).otherwise(low))
+        odd = odd | F.contains(line, F.lit(c))
+    return F.trim(F.lower(F.when(odd, F.regexp_replace(line, r"\s+", " ")).otherwise(line)))
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -93,16 +95,19 @@ def index_keys(c: DataFrame, threshold: int) -> DataFrame:
 
 
 def probe_keys(c: DataFrame, threshold: int) -> DataFrame:
-    """Keys of indexed lines of n - threshold to n characters that this line may be near to."""
-    keys = []
+    """Keys of indexed lines of n - threshold to n characters that this line may be near to. Each length
+    is a scan of its own: the code that Spark makes for all keys at once is too long for the JVM to compile."""
+    asked = []
     for less in range(threshold + 1):
+        keys = []
         chars = F.col("chars") - less
         for k in range(threshold + 1):
             start, size = segment(chars, k, threshold)
             # by how much the segment may have moved: what came before it, and what comes after
             low, high = max(-k, less - (threshold - k)), min(k, less + (threshold - k))
             keys += [_key(chars, k, start + shift, size) for shift in range(low, high + 1)]
-    return c.select("id", F.explode(F.array(*keys)).alias("key"))
+        asked.append(c.select("id", F.explode(F.array(*keys)).alias("key")))
+    return reduce(DataFrame.union, asked)
 
 
 def parities(line: Column) -> tuple[Column, Column]:
@@ -117,21 +122,26 @@ def blocks(threshold: int) -> int:
     return 4 * threshold + 1
 
 
+def _block(a: Column, b: Column, k: int, threshold: int) -> list[Column]:
+    """Block k of a line's parities, as one or two numbers."""
+    width = 126 // blocks(threshold)
+    at = k * width
+    cut = lambda x, lo, size: F.shiftright(x, lo).bitwiseAND(F.lit((1 << size) - 1))
+    if at + width <= 63:
+        return [cut(a, at, width)]
+    if at >= 63:
+        return [cut(b, at - 63, width)]
+    return [cut(a, at, 63 - at), cut(b, 0, at + width - 63)]
+
+
 def _block_keys(a: Column, b: Column, key: Column, threshold: int) -> Column:
     """The bucket's key with each block of a line's parities."""
-    n = blocks(threshold)
-    width = 126 // n
+    return F.array(*(F.xxhash64(key, F.lit(k), *_block(a, b, k, threshold)) for k in range(blocks(threshold))))
 
-    def part(k: int) -> Column:
-        at = k * width
-        cut = lambda x, lo, size: F.shiftright(x, lo).bitwiseAND(F.lit((1 << size) - 1))
-        if at + width <= 63:
-            return cut(a, at, width)
-        if at >= 63:
-            return cut(b, at - 63, width)
-        return F.hash(cut(a, at, 63 - at), cut(b, 0, at + width - 63))
 
-    return F.array(*(F.xxhash64(key, F.lit(k), part(k)) for k in range(n)))
+def _first_block(x: Column, y: Column, threshold: int) -> Column:
+    """The first block in which two lines are equal, of the exclusive or of their parities."""
+    return F.coalesce(*(F.when(reduce(Column.__and__, [part == 0 for part in _block(x, y, k, threshold)]), F.lit(k)) for k in range(blocks(threshold))))
 
 
 def candidates(c: DataFrame, threshold: int) -> DataFrame:
@@ -146,11 +156,13 @@ def candidates(c: DataFrame, threshold: int) -> DataFrame:
     if hot.limit(1).count():
         bits = [p.alias(k) for k, p in zip(("p0", "p1"), parities(F.col("folded")), strict=True)]
         asked, listed = (save(x.join(few, "key", "left_semi"), "hot") for x in (probe, index))
-        marks = save(c.join(sized(save(asked.union(listed).select("id").distinct(), "hot_ids")), "id", "left_semi").select("id", *bits), "parities")
-        spread = lambda x: x.join(marks, "id").select("id", "p0", "p1", F.explode(_block_keys(F.col("p0"), F.col("p1"), F.col("key"), threshold)).alias("key"))
-        other = spread(listed).toDF("near", "q0", "q1", "key")
-        flips = F.bit_count(F.col("p0").bitwiseXOR(F.col("q0"))) + F.bit_count(F.col("p1").bitwiseXOR(F.col("q1")))
-        pairs = pairs.union(spread(asked).join(other, "key").where((F.col("id") != F.col("near")) & (flips <= 4 * threshold)).select("id", "near"))
+        marks = save(c.join(sized(save(asked.union(listed).select("id").distinct(), "hot_ids")), "id", "left_semi").select("id", "chars", *bits), "parities")
+        spread = lambda x: x.join(marks, "id").select("id", "chars", "p0", "p1", F.posexplode(_block_keys(F.col("p0"), F.col("p1"), F.col("key"), threshold)).alias("block", "key"))
+        other = spread(listed).drop("block").toDF("near", "chars_near", "q0", "q1", "key")
+        x, y = F.col("p0").bitwiseXOR(F.col("q0")), F.col("p1").bitwiseXOR(F.col("q1"))
+        # a pair comes from its first equal block, and lines of one length from one side only
+        once = (F.col("block") == _first_block(x, y, threshold)) & ((F.col("chars") != F.col("chars_near")) | (F.col("id") < F.col("near")))
+        pairs = pairs.union(spread(asked).join(other, "key").where((F.bit_count(x) + F.bit_count(y) <= 4 * threshold) & once).select("id", "near"))
     return pairs.select(F.least("id", "near").alias("a"), F.greatest("id", "near").alias("b")).distinct()
 
 
