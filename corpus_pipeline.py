@@ -1,15 +1,16 @@
 """The corpus pipeline: STAGES over `documents`, each written as Parquet and read again.
 
 quality      rejects documents of low quality (hierarchical empirical Bayes)
-line_dedup   cuts lines that stand earlier in the corpus, also with an edit or two
+line_dedup   cuts lines that stand earlier in the corpus, also with an edit or two,
+             and drops documents of which it leaves no word
 near_dedup   keeps one document of each near-duplicate class
 decontaminate  drops documents that hold a benchmark window
 tokenize     encodes what is left; each row carries its ids
 
 Every stage takes (spark, docs, sf_dir) and keeps all rows and columns of documents
 that it doesn't decide against; the last returns doc_id, n_chars, n_tokens, ids and
-round_trip. A document whose lines all stand earlier stays with an empty text: stage
-decisions on rows are left to the stages that reject rows.
+round_trip. Documents that had no text or no word to begin with lose their row to
+line_dedup only if nothing but white space is left of what they had.
 """
 
 from __future__ import annotations
@@ -20,13 +21,19 @@ from pyspark.sql import functions as F
 from furrow.llm import decontaminate, line_dedup, near_dedup, quality, sentencepiece_codec
 from furrow.llm.common import save
 
+#: A character of a word, as in common.WORD_BYTE.
+WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
+
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def stage_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(docs)
+    out = line_dedup.dedup_lines(docs.withColumn("__word", F.col("text").rlike(WORD)))
+    # without this, a copy whose lines all stand earlier would go on as a row of its own with an empty text
+    nothing = ~F.col("text").rlike(WORD) & (F.col("__word") | ~F.col("text").rlike(r"\S"))
+    out = out.where(~F.coalesce((F.col("__gone") > 0) & nothing, F.lit(False)))
     return out.withColumn("n_chars", F.when(F.col("__gone") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 

@@ -381,3 +381,29 @@ def test_pipeline(spark, sf):
         d = out
     assert counts[0] < table.count() and counts == sorted(counts, reverse=True) and d.where("NOT round_trip").count() == 0
     assert corpus_pipeline.run(spark, sf).count() == counts[-1]
+
+
+def test_pipeline_keeps_no_copies(spark, tmp_path):
+    """run() with planted exact copies against line dedup and near dedup by hand."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    line = lambda: " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(4, 9))) for _ in range(9))
+    whole = ["\n".join(line() for _ in range(rng.randrange(2, 6))) for _ in range(12)]
+    texts = [*whole, *whole[:4], *[whole[5]] * 40, whole[1] + "\n" + whole[2], whole[3].upper() + "\n\n ", None, "", "\n", "!!! ???", "-- ** --"]
+    sf_dir = str(tmp_path)
+    docs(spark, texts).write.parquet(f"{sf_dir}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(len(texts))], "doc_id bigint, quality int, toxic int").write.parquet(f"{sf_dir}/labels.parquet")
+    spark.createDataFrame([(0, "zq " * 30)], "item_id bigint, text string").write.parquet(f"{sf_dir}/benchmark.parquet")
+
+    good = {r.doc_id for r in corpus_pipeline.stage_quality(spark, docs(spark, texts), sf_dir).select("doc_id").collect()}
+    assert {0, 1, 2, 3, 5, 12, 16, 50, 56, 57} <= good
+    seen, left = set(), {}
+    for i in sorted(good):
+        keep = [s for s in (texts[i] or "").split("\n") if not s.strip() or not (s.lower().strip() in seen or seen.add(s.lower().strip()))]
+        if not (texts[i] or "").strip() or "".join(keep).strip():
+            left[i] = "\n".join(keep)
+    label = brute_classes(list(left.values()))
+    want = {i for k, i in enumerate(left) if label[k] == k}
+    rows = {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, sf_dir).collect()}
+    assert set(rows) == want and {i for i in want if not rows[i]} <= {58, 59, 60}
