@@ -1,11 +1,11 @@
 """Line deduplication with a segment-partition edit join, in DataFrame functions only.
 
 A line is what stands between line feeds; compared are lines folded to lower case
-with runs of white space as one blank and none at the ends. Folded lines of fewer
-than MIN_CHARS characters are always kept. A line is dropped if an equal folded line
-stands earlier, in the order of (doc_id, line number), or if its first occurrence
-has an earlier line within edit distance THRESHOLD. Only lines of at least
-MIN_EDIT_CHARS take part in the edit join; equality concerns all.
+with runs of white space as one blank and none at the ends. Empty folded lines are
+always kept. A line is dropped if an equal folded line stands earlier, in the order
+of (doc_id, line number), or if its first occurrence has an earlier line within edit
+distance THRESHOLD. The edit join takes all lines that can be cut into THRESHOLD + 1
+segments that aren't empty (MIN_EDIT_CHARS); equality concerns all.
 
 1. Equal lines are one content: grouping by the folded line counts a hot line
    map-side, and carries its first place only. Contents are saved to the shared folder.
@@ -22,7 +22,9 @@ MIN_EDIT_CHARS take part in the edit join; equality concerns all.
    that meet, those with more flips than the edits allow drop out in the join, and
    each is made in the first block that is equal.
 5. Candidates are verified with Spark's levenshtein with a threshold, a banded
-   computation inside the JVM.
+   computation inside the JVM. Edits are counted in characters. The report counts them
+   in UTF-8 bytes, as `levenshtein` in its SQL does; this is never less than the count in
+   characters, so that the candidates are the same.
 
 Defined cases: a null text has no lines and stays null; an empty one stays empty; a
 null doc_id counts as larger than any other; rows with one doc_id share their places,
@@ -40,8 +42,8 @@ from pyspark.sql import functions as F
 from furrow.llm.common import save, sized
 
 THRESHOLD = 2
-MIN_CHARS = 16
-MIN_EDIT_CHARS = 24
+MIN_CHARS = 1
+MIN_EDIT_CHARS = THRESHOLD + 1
 HOT_BUCKET = 16
 _LINES = 2**31
 #: Dropped lines of a document are looked up block by block, so that very long texts don't take a square of their lines.
@@ -166,25 +168,26 @@ def candidates(c: DataFrame, threshold: int) -> DataFrame:
     return pairs.select(F.least("id", "near").alias("a"), F.greatest("id", "near").alias("b")).distinct()
 
 
-def verified(pairs: DataFrame, c: DataFrame, threshold: int) -> DataFrame:
+def verified(pairs: DataFrame, c: DataFrame, threshold: int, in_bytes: bool = False) -> DataFrame:
     """(id, first): contents with the first place of an earlier content within the threshold."""
+    units = lambda x: F.decode(F.col(x).cast("binary"), "ISO-8859-1") if in_bytes else F.col(x)
     pairs = save(pairs, "pairs")
     ends = sized(save(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ends"))
     texts = save(c.join(ends, "id", "left_semi").select("id", "folded", "place"), "texts")
     both = pairs.join(texts.toDF("a", "text_a", "place_a"), "a").join(texts.toDF("b", "text_b", "place_b"), "b")
-    near = both.where(F.levenshtein("text_a", "text_b", threshold) >= 0)
+    near = both.where(F.levenshtein(units("text_a"), units("text_b"), threshold) >= 0)
     later = F.when(F.col("place_a") < F.col("place_b"), F.col("b")).otherwise(F.col("a"))
     return near.groupBy(later.alias("id")).agg(F.min(F.least("place_a", "place_b")).alias("first"))
 
 
-def dropped(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def dropped(docs: DataFrame, threshold: int = THRESHOLD, in_bytes: bool = False) -> DataFrame:
     """doc_id, gone: the numbers of the lines to drop by blocks of BLOCK_LINES, n_gone: how many, and n_near: how many
     of them have only a near earlier line.
     Only documents that lose lines have a row."""
     docs = docs.select("doc_id", "text")
     each = lines(docs)
     c = contents(each)
-    near = save(verified(candidates(c, threshold), c, threshold), "near")
+    near = save(verified(candidates(c, threshold), c, threshold, in_bytes), "near")
     # Contents that lose a line: those with more than one place, and those with an earlier near content.
     marked = c.select("id", "place", "places").join(near, "id", "left").where("places > 1 OR first IS NOT NULL")
     marked = sized(save(marked.select("id", "place", F.col("first").isNotNull().alias("near")), "marked"))
@@ -195,9 +198,9 @@ def dropped(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return by_block.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("block", "lines"))).alias("gone"), F.sum(F.size("lines")).alias("n_gone"), F.sum("n_near").alias("n_near"))
 
 
-def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, in_bytes: bool = False) -> DataFrame:
     """docs with the dropped lines cut out of text, and columns __lines, __gone, __near counting lines."""
-    gone = save(dropped(docs, threshold), "gone").withColumnRenamed("doc_id", "__id")
+    gone = save(dropped(docs, threshold, in_bytes), "gone").withColumnRenamed("doc_id", "__id")
     rows = docs.join(F.broadcast(gone) if gone.count() <= 20_000 else gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.coalesce(F.array_contains(F.try_element_at("gone", F.floor(i / BLOCK_LINES).cast("int")), i), F.lit(False))), "\n")
     return rows.withColumns(
@@ -212,7 +215,7 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_lines, n_dropped, n_near (first places of lines with an earlier near line), text_sha256 of what is kept."""
-    d = dedup_lines(docs.select("doc_id", "text"))
+    d = dedup_lines(docs.select("doc_id", "text"), in_bytes=True)
     return d.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__gone").alias("n_dropped"), F.col("__near").alias("n_near"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 

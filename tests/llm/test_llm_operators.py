@@ -238,6 +238,28 @@ def test_line_dedup_runs_no_python(spark):
     assert line_dedup.report(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("hot", [64, 2])
+def test_line_dedup_short_lines(spark, monkeypatch, hot):
+    """Lines of every length that isn't 0, by a brute force that knows no limit but that of three segments."""
+    monkeypatch.setattr(line_dedup, "HOT_BUCKET", hot)
+    rng = random.Random(9)
+    lines = ["les.", "of, edti oner.", "are is anwh reenen.", "are. is anwh reenen.", "x" * 12 + "y" * 11, "x" * 12 + "y" * 13, "", " ", "ok", "a", "b", "öen.", "äöen."]
+    lines += ["".join(rng.choices("abcdö", k=rng.randrange(1, 12))) for _ in range(60)]
+    texts = ["\n".join(rng.choices(lines, k=6)) for _ in range(30)]
+    first = {}
+    for d, t in enumerate(texts):
+        for k, s in enumerate(t.split("\n")):
+            if s.strip():
+                first.setdefault(s, (d, k))
+    near = {s: any(first[o] < first[s] and min(len(s), len(o)) >= 3 and levenshtein(s, o) <= 2 for o in first) for s in first}
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(spark, texts)).collect()}
+    for d, t in enumerate(texts):
+        assert got[d] == "\n".join(s for k, s in enumerate(t.split("\n")) if not s.strip() or (first[s] == (d, k) and not near[s])), d
+    raw = [s.encode().decode("latin-1") for s in first]
+    in_bytes = {s: any(first[o] < first[s] and min(len(s), len(o)) >= 3 and levenshtein(r, q) <= 2 for o, q in zip(first, raw, strict=True)) for s, r in zip(first, raw, strict=True)}
+    assert sum(r.n_near for r in line_dedup.report(docs(spark, texts)).collect()) == sum(in_bytes.values()) < sum(near.values())
+
+
 # --- SentencePiece
 
 
