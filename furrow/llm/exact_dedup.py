@@ -1,4 +1,4 @@
-"""Exact deduplication with counting quotient filters.
+"""Exact deduplication with sorted counted runs, in place of counting quotient filters.
 
 Texts are equal when identical after deleting every character of [\\x20\\x09-\\x0D];
 null counts as empty. Of equal texts the row with the most code points in the
@@ -6,13 +6,13 @@ original text, then with the smallest doc_id, stays.
 
 1. Every document gets a 64-bit fingerprint of its normalised text and, for the
    report, its SHA-256; these few bytes a document are written to the shared folder.
-2. Every partition builds a counting quotient filter of its fingerprints: the high
-   bits (quotient) choose a slice, the rest (remainders) stand sorted in the slice
-   with a counter each. Copies within a partition become one counter, so a
+2. Every partition sorts and counts its fingerprints: the high bits choose a slice,
+   in which whole fingerprints stand sorted with a counter each. There are no
+   quotient slots, run marks or shortened remainders as a quotient filter has. Copies within a partition become one counter, so a
    fingerprint that a third of all rows share is no hot key.
-3. Slices of one quotient range from all partitions meet in one task, which merges
-   the sorted remainders and adds the counters. Nothing is lost: remainders are
-   kept in full, so the filter has no false positives on fingerprints.
+3. Slices of one range from all partitions meet in one task, which merges the sorted
+   fingerprints and adds the counters. Fingerprints are kept in full, so that there
+   are no false positives on them.
 4. Fingerprints with a count above one route to byte verification: only documents
    with such a fingerprint have their normalised texts grouped byte by byte.
 
