@@ -6,7 +6,7 @@ value. Consecutive entries of one value become validity intervals, and every cap
 is held against the intervals that contain its fetch time: an as-of join.
 
 Each capture spreads to the keys it can match (its host, every parent domain, every
-path prefix down to MAX_DEPTH) and is equi-joined with the intervals on (key, month):
+path prefix down to the depth of the deepest listed path) and is equi-joined with the intervals on (key, month):
 intervals are cut at months, so that a key with a long history of entries is not
 scanned whole for each of its captures. Intervals are broadcast up to a checked
 size; beyond it the join shuffles and adaptive execution splits a hot host.
@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 
 from furrow.llm.common import save, sized
 
-MAX_DEPTH = 8
 ENTRY = "list string, kind string, value string, action string, effective date"
 
 #: The default list: name, kind, value, action, effective date.
@@ -77,12 +76,12 @@ def intervals(listed: DataFrame, last: Column | None = None) -> DataFrame:
     return cut.where("action <> 'lift'").select(F.concat_ws(":", "kind", "value").alias("key"), "list", "kind", "value", "action", "valid_from", "valid_to")
 
 
-def keys_of(host: Column, path: Column) -> Column:
-    """All keys that a capture can match."""
+def keys_of(host: Column, path: Column, deepest: int) -> Column:
+    """All keys that a capture can match, where no listed path has more than `deepest` segments."""
     labels = F.split(host, r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.lit("domain:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
     parts = F.filter(F.split(path, "/"), lambda p: p != "")
-    depth = F.least(F.size(parts), F.lit(MAX_DEPTH))
+    depth = F.least(F.size(parts), F.lit(deepest))
     prefixes = F.transform(F.sequence(F.lit(1), depth), lambda i: F.concat(F.lit("path:"), host, F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")))
     none = F.array().cast("array<string>")
     return F.when(host == "", none).otherwise(F.concat(F.array(F.concat(F.lit("host:"), host)), domains, F.when(depth > 0, prefixes).otherwise(none)))
@@ -96,9 +95,10 @@ def evaluate(captures: DataFrame, listed: DataFrame) -> DataFrame:
     last = captures.agg(F.max(F.col("fetched").cast("date")).alias("d")).first().d
     until = F.coalesce(F.date_sub("valid_to", 1), F.greatest(F.lit(last).cast("date"), F.col("valid_from")))
     months = save(spans.withColumn("month", F.explode(F.sequence(first, F.trunc(until, "month"), F.expr("interval 1 month")))), "intervals")
-    rows = captures.select("capture_id", "url", F.col("fetched").cast("date").alias("day"), "fetched")
+    deepest = months.where("kind = 'path'").agg(F.max(F.size(F.split("value", "/")) - 1).alias("n")).first().n or 0
+    rows = captures.select("capture_id", "url", F.col("fetched").cast("date").alias("day"), "fetched").distinct()
     host = F.coalesce(host_of(F.col("url")), F.lit(""))
-    spread = rows.withColumn("key", F.explode_outer(keys_of(host, F.coalesce(path_of(F.col("url")), F.lit(""))))).withColumn("month", F.trunc("day", "month"))
+    spread = rows.withColumn("key", F.explode_outer(keys_of(host, F.coalesce(path_of(F.col("url")), F.lit("")), deepest))).withColumn("month", F.trunc("day", "month"))
     hit = spread.join(sized(months), ["key", "month"], "left").withColumn("active", F.col("valid_from").isNotNull() & (F.col("valid_from") <= F.col("day")) & (F.col("valid_to").isNull() | (F.col("day") < F.col("valid_to"))))
     rank = F.when(F.col("kind") == "path", 0).when(F.col("kind") == "host", 1).otherwise(2)
     best = F.min(F.when(F.col("active"), F.struct(rank.alias("rank"), (-F.length("value")).alias("size"), F.col("list"), F.col("value"), F.col("action"))))

@@ -351,6 +351,14 @@ def test_url_filter_brute_force(spark):
     assert url_filter.evaluate(c.limit(0), url_filter.entries(spark)).count() == 0
 
 
+def test_url_filter_deep_paths_and_repeated_captures(spark):
+    deep = "a.org/" + "/".join("abcdefghijkl")
+    listed = url_filter.entries(spark, [("l", "path", deep, "block", "2024-01-01"), ("l", "host", "a.org", "allow", "2024-01-01")])
+    caps = [(0, f"http://{deep}/m", "2024-02-01"), (1, "http://a.org/a/b", "2024-02-01"), (1, "http://a.org/a/b", "2024-02-01")]
+    c = spark.createDataFrame(caps, "capture_id bigint, url string, day string").select("capture_id", "url", F.to_date("day").alias("fetched"))
+    assert {(r.capture_id, r.n_active, r.verdict) for r in url_filter.evaluate(c, listed).collect()} == {(0, 2, "block"), (1, 1, "allow")}
+
+
 def pages(spark, rows):
     return spark.createDataFrame(rows, "page_id bigint, url string, html string, captured string")
 
