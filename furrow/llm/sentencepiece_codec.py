@@ -1,28 +1,36 @@
 """SentencePiece encoding and decoding in batched numpy.
 
-The text gets a blank in front, blanks become U+2581, and it is cut before each run
-of U+2581 into words (no piece holds U+2581 after another character, so no piece
-crosses a cut). Words are encoded once a task and kept in a bounded cache. Words of
-one length advance together: substring hashes probe the sorted keys of the pieces,
-which gives the score and the id of every substring of every word; then
-
-* `viterbi` finds the segmentation of the largest sum of scores: vectorised maxima
-  over the words store a backpointer at every position;
+The text gets a blank in front (blanks are U+2581 in the pieces) and is cut into words wherever
+no piece holds the two characters around the cut in a row: before each run of blanks, around
+line feeds, and elsewhere. No piece crosses a cut, so that words can be encoded each for itself. A block of texts is cut at once: hashes of all words by prefix sums
+probe the sorted keys of the words that the worker already knows; only new words are
+encoded. Words of one length advance together: substring hashes probe the sorted keys of
+the pieces, which gives the score and the id of every substring of every word; then
+
+* `viterbi`, the default, finds the segmentation of the largest sum of scores: vectorised
+  maxima over the words store a backpointer at every position. Of equal sums the longest
+  last piece wins. It takes a word's positions in blocks, so that time and memory are linear
+  in its length;
 * `merges` joins, round by round, each word's adjacent pair whose piece scores best,
-  which is how models of type BPE segment.
+  which is how the library segments with models of type BPE.
 
 Characters that no piece covers become byte pieces. Decoding joins the pieces' bytes
 and drops the blank in front. Decoding what was encoded gives the text back exactly;
-a literal U+2581 is encoded as bytes for that.
+a literal U+2581 is encoded as bytes for that. `encode` decodes every block again and holds
+it against the texts: were two words' hashes ever equal, the texts concerned are encoded
+word by word instead.
 
-Defined cases: a null text has null ids and decodes to null; an empty text has no
-ids and decodes to an empty text; very long words take a pass over their positions
-per piece length (viterbi) or per merge; repeated rows are encoded each for itself.
+Memory: blocks of BLOCK_BYTES of text or one longer text; CACHE_BYTES of known words, and none
+longer than CACHE_WORD bytes.
+
+Defined cases: a null text has null ids, decodes to null and counts as a round trip; an empty
+text has no ids and decodes to an empty text; repeated rows are encoded each for itself; an
+empty table gives an empty result; a column that has the name of a result column is replaced by
+it, other columns pass through.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,16 +38,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.common import arrow_once, mix
+from furrow.llm.common import arrow_once, mix, powers, text_blocks
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Stands for a literal U+2581 of the text; no UTF-8 text can hold it.
 LITERAL = "\udfff"
-CACHE_WORDS = 250_000
-_CELLS = 2_000_000
+BLOCK_BYTES = 1 << 20
+CACHE_BYTES = 24 << 20
+CACHE_WORD = 64
+_CELLS = 1_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
-_WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
 def hash_codes(code: np.ndarray) -> np.ndarray:
@@ -89,14 +98,13 @@ class Pieces:
         at = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
         return cls(np.array(keys, np.uint64)[order], np.array(scores)[order], np.array(ids, np.int32)[order], max(len(p.piece) for p in model.pieces if p.type == 1), min(scores) - 10, byte_ids, np.frombuffer(b"".join(raw), np.uint8), at, model.trainer_spec.model_type == 2)
 
-    def substrings(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Scores and ids of code[:, s : s + k] at [:, s, k - 1]; -inf and -1 where that is no piece."""
+    def substrings(self, code: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and ids of code[:, s : s + k] at [:, s, k - 1] for k up to most; -inf and -1 where that is no piece."""
         n, size = code.shape
-        most = min(self.longest, size)
         score, ids = np.full((n, size, most), -np.inf), np.full((n, size, most), -1, np.int32)
         h = np.zeros((n, size), np.uint64)
         c = code.astype(np.uint64) + np.uint64(1)
-        for k in range(1, most + 1):
+        for k in range(1, min(most, size) + 1):
             h = h[:, : size - k + 1] * _P + c[:, k - 1 :]
             key = mix(h ^ np.uint64(k))
             maybe = np.nonzero(self.bits[(key & np.uint64(0xFFFFF)).astype(np.int64)])
@@ -108,6 +116,18 @@ class Pieces:
             ids[where[0], where[1], k - 1] = self.ids[at[ok]]
         return score, ids
 
+    @property
+    def cuts(self) -> np.ndarray:
+        """For each pair of bytes whether texts are cut between them: no piece holds the two in a row, and the second begins a character."""
+        if "_cuts" not in self.__dict__:
+            table = np.ones((256, 256), bool)
+            inside = np.ones(max(len(self.raw) - 1, 0), bool)
+            inside[self.raw_at[1:-1][(self.raw_at[1:-1] > 0) & (self.raw_at[1:-1] < len(self.raw))] - 1] = False
+            table[self.raw[:-1][inside], self.raw[1:][inside]] = False
+            table[:, 0x80:0xC0] = False
+            self.__dict__["_cuts"] = table.ravel()
+        return self.__dict__["_cuts"]
+
     @property
     def bits(self) -> np.ndarray:
         if "_bits" not in self.__dict__:
@@ -116,31 +136,39 @@ class Pieces:
             self.__dict__["_bits"] = table
         return self.__dict__["_bits"]
 
-    def viterbi(self, score: np.ndarray) -> np.ndarray:
-        """Piece lengths at their starts, 0 elsewhere: the segmentation of the largest sum of scores."""
-        n, size, most = score.shape
-        best, back = np.full((n, size + 1), -np.inf), np.zeros((n, size + 1), np.int32)
+    def viterbi(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths and ids (-1: none) of the pieces at their starts, lengths 0 elsewhere: the segmentation of the largest sum of scores."""
+        n, size = code.shape
+        most = min(self.longest, size)
+        best, back, piece = np.full((n, size + 1), -np.inf), np.zeros((n, size + 1), np.int32), np.full((n, size + 1), -1, np.int32)
         best[:, 0] = 0
-        rows = np.arange(n)
-        for end in range(1, size + 1):
-            lengths = np.arange(min(most, end), 0, -1)  # of equal sums, the longest last piece wins
-            step = score[:, end - lengths, lengths - 1]
-            step[:, -1] = np.where(np.isinf(step[:, -1]), self.unknown, step[:, -1])
-            total = best[:, end - lengths] + step
-            pick = total.argmax(axis=1)
-            best[:, end], back[:, end] = total[rows, pick], lengths[pick]
-        out = np.zeros((n, size), np.int32)
-        end = np.full(n, size)
+        lengths = np.arange(1, most + 1, dtype=np.int32)
+        block = max(most, _CELLS // (n * most))
+        for a in range(0, size, block):
+            score, ids = self.substrings(code[:, a : a + block + most - 1], most)
+            score[:, :, 0] = np.where(np.isinf(score[:, :, 0]), self.unknown, score[:, :, 0])
+            for at in range(a, min(a + block, size)):
+                m = min(most, size - at)
+                total = best[:, at : at + 1] + score[:, at - a, :m]
+                ends = slice(at + 1, at + 1 + m)
+                better = total > best[:, ends]  # the longest last piece comes first, and stays where sums are equal
+                np.copyto(best[:, ends], total, where=better)
+                np.copyto(back[:, ends], lengths[:m], where=better)
+                np.copyto(piece[:, ends], ids[:, at - a, :m], where=better)
+        out, found = np.zeros((n, size), np.int32), np.full((n, size), -1, np.int32)
+        rows, end = np.arange(n), np.full(n, size)
         while len(rows):
             length = back[rows, end]
-            end = end - length
-            out[rows, end] = length
-            rows, end = rows[end > 0], end[end > 0]
-        return out
+            start = end - length
+            out[rows, start], found[rows, start] = length, piece[rows, end]
+            rows, end = rows[start > 0], start[start > 0]
+        return out, found
 
-    def merges(self, score: np.ndarray) -> np.ndarray:
-        """Piece lengths at their starts, 0 elsewhere: best-scoring adjacent pairs joined until none is a piece."""
-        n, size, most = score.shape
+    def merges(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for best-scoring adjacent pairs joined until none is a piece. Takes the square of a word's length."""
+        n, size = code.shape
+        score, ids = self.substrings(code, min(self.longest, size))
+        most = score.shape[2]
         out = np.ones((n, size), np.int32)
         live, pos = np.arange(n), np.arange(size)
         while len(live):
@@ -157,95 +185,170 @@ class Pieces:
             out[live[r], after[r, pick]] = 0
             out[live[r], pick] = total[r, pick]
             live = live[go]
-        return out
+        return out, np.take_along_axis(ids, np.maximum(out - 1, 0)[:, :, None], axis=2)[:, :, 0]
+
+    def encode_codes(self, code: np.ndarray, algorithm: str) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows joined, how many each row has) of words of one length as code points, with U+2581 for blanks and LITERAL for U+2581."""
+        lengths, ids = self.viterbi(code) if algorithm == "viterbi" else self.merges(code)
+        row, start = np.nonzero(lengths)
+        found = ids[row, start]
+        missing = np.flatnonzero(found < 0)
+        if not len(missing):
+            return found, np.bincount(row, minlength=len(code))
+        # characters that no piece covers become one id a byte
+        chars, which = np.unique(code[row, start][missing], return_inverse=True)
+        raw = [(SPACE if c == ord(LITERAL) else chr(c)).encode("utf-8", "surrogateescape") for c in chars.tolist()]
+        size = np.ones(len(found), np.int64)
+        size[missing] = np.array([len(x) for x in raw])[which]
+        own, _ = gather(self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)], np.concatenate([[0], np.cumsum([len(x) for x in raw])]), which)
+        out = np.repeat(found, size)
+        out[out < 0] = own
+        return out, np.bincount(row, weights=size, minlength=len(code)).astype(np.int64)
 
     def encode_words(self, all_words: list[str], algorithm: str) -> tuple[list[int], np.ndarray, np.ndarray]:
-        """(order of the words, their ids joined, how many ids each has)."""
+        """(order of the words, their ids joined, how many ids each has). Words have U+2581 for blanks and LITERAL for U+2581."""
         by_size: dict[int, list[int]] = {}
         for i, w in enumerate(all_words):
             by_size.setdefault(len(w), []).append(i)
         order, flat, counts = [], [], []
         for size, members in by_size.items():
-            step = max(1, _CELLS // (size * min(size, self.longest)))
-            for a in range(0, len(members), step):
-                part = members[a : a + step]
+            for part in self._parts(members, size):
                 code = np.frombuffer("".join([all_words[i] for i in part]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), size)
-                score, ids = self.substrings(code)
-                lengths = self.viterbi(score) if algorithm == "viterbi" else self.merges(score)
-                row, start = np.nonzero(lengths)
-                found = ids[row, start, np.minimum(lengths[row, start], ids.shape[2]) - 1]
-                count = np.bincount(row, minlength=len(part))
-                bad = set(row[found < 0].tolist())
-                if bad:
-                    cut = np.searchsorted(row, np.arange(len(part) + 1))
-                    own = [found[cut[r] : cut[r + 1]] for r in range(len(part))]
-                    for r in bad:
-                        own[r] = self._with_bytes(all_words[part[r]], own[r], start[cut[r] : cut[r + 1]])
-                        count[r] = len(own[r])
-                    found = np.concatenate(own)
+                found, count = self.encode_codes(code, algorithm)
                 order += part
-                flat.append(found)
-                counts.append(count)
-        return order, np.concatenate(flat), np.concatenate(counts)
-
-    def _with_bytes(self, word: str, ids: np.ndarray, start: np.ndarray) -> np.ndarray:
-        parts = []
-        for i, at in zip(ids.tolist(), start.tolist(), strict=True):
-            raw = (SPACE if word[at] == LITERAL else word[at]).encode()
-            parts += [i] if i >= 0 else self.byte_ids[list(raw)].tolist()
-        return np.array(parts, np.int32)
+                flat.append(found), counts.append(count)
+        return order, np.concatenate(flat) if flat else np.zeros(0, np.int32), np.concatenate(counts) if counts else np.zeros(0, np.int64)
+
+    def _parts(self, members, size: int):
+        step = max(1, _CELLS // (size * min(size, self.longest)))
+        return (members[a : a + step] for a in range(0, len(members), step))
+
+    def encode_spans(self, text: np.ndarray, start: np.ndarray, end: np.ndarray, algorithm: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for spans of UTF-8 bytes with plain blanks."""
+        high = np.concatenate([[0], np.cumsum(text >= 0x80)])
+        plain = high[end] == high[start]
+        others = np.flatnonzero(~plain)
+        order, flat, counts = self.encode_words([as_word(text[start[i] : end[i]]) for i in others.tolist()], algorithm)
+        orders, flats, all_counts = [others[order] if len(order) else others], [flat], [counts]
+        size = np.where(plain, end - start, 0)
+        by_size = np.argsort(size, kind="stable")[len(others) :]
+        for members in np.split(by_size, np.flatnonzero(np.diff(size[by_size])) + 1) if len(by_size) else []:
+            for part in self._parts(members, int(size[members[0]])):
+                code = text[start[part][:, None] + np.arange(size[part[0]])].astype(np.uint32)
+                code[code == 0x20] = ord(SPACE)
+                found, count = self.encode_codes(code, algorithm)
+                orders.append(part), flats.append(found), all_counts.append(count)
+        return np.concatenate(orders), np.concatenate(flats), np.concatenate(all_counts)
+
+    def decoded(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids joined, and how many each has."""
+        return gather(self.raw, self.raw_at, ids.astype(np.int64))
 
 
 class Encoder:
-    """Encodes texts with a cache of words; one lives in each Python worker."""
+    """Encodes texts and remembers words; one lives in each Python worker."""
 
     def __init__(self, pieces: Pieces, algorithm: str):
         self.pieces, self.algorithm = pieces, algorithm
         self.clear()
 
     def clear(self) -> None:
-        self.of: dict[str, int] = {}
+        # sorted hashes of known words, the place of each in `at`; ids of word k are ids[at[k] : at[k + 1]]
+        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.ids, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
-    def __call__(self, column: pa.Array) -> pa.Array:
-        if len(self.of) > CACHE_WORDS:
+    def __call__(self, column: pa.Array) -> pa.StructArray:
+        values, sizes, ok = [], [], []
+        for _, offsets, data in text_blocks(column, BLOCK_BYTES):
+            ids, n, same = self._block(offsets, data)
+            values.append(ids), sizes.append(n), ok.append(same)
+        join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
+        offsets = np.concatenate([[0], np.cumsum(join(sizes, np.int64))]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(join(values, np.int32)), mask=column.is_null() if column.null_count else None)
+        return pa.StructArray.from_arrays([lists, pa.array(join(ok, bool))], ["ids", "ok"])
+
+    def _block(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts joined, how many each text has, and whether they decode to the text."""
+        some = np.diff(offsets) > 0
+        text = np.insert(data, offsets[:-1][some], 0x20)
+        begin = offsets + np.concatenate([[0], np.cumsum(some)])
+        starts = np.zeros(len(text), bool)
+        starts[1:] = self.pieces.cuts[text[:-1].astype(np.int32) * 256 + text[1:]]
+        starts[begin[:-1][some]] = True
+        start = np.flatnonzero(starts)
+        end = np.append(start[1:], len(text))
+        parts, counts, same = [], [], True
+        for a, b in self._chunks(start, end):
+            piece = text[start[a] : end[b - 1]]
+            ids, n = self._words(piece, start[a:b] - start[a], end[a:b] - start[a])
+            raw, _ = self.pieces.decoded(ids)
+            if not np.array_equal(raw, piece):  # two words of one hash
+                order, flat, found = self.pieces.encode_spans(text, start[a:b], end[a:b], self.algorithm)
+                ids, n = gather(flat, np.concatenate([[0], np.cumsum(found)]), np.argsort(order))
+                same = same and np.array_equal(self.pieces.decoded(ids)[0], piece)
+            parts.append(ids), counts.append(n)
+        ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        upto = np.concatenate([[0], np.cumsum(np.concatenate(counts))]) if counts else np.zeros(1, np.int64)
+        cut = upto[np.searchsorted(start, begin)]
+        ok = np.ones(len(some), bool)
+        if not same:
+            own = [ids[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]
+            ok = np.array([np.array_equal(self.pieces.decoded(x)[0], text[begin[k] : begin[k + 1]]) for k, x in enumerate(own)], bool)
+        return ids, np.diff(cut), ok
+
+    def _chunks(self, start: np.ndarray, end: np.ndarray):
+        a = 0
+        while a < len(start):
+            b = max(int(np.searchsorted(end, start[a] + BLOCK_BYTES, "right")), a + 1)
+            yield a, b
+            a = b
+
+    def _words(self, text: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        p, inv = powers(len(text) + 1)
+        sums = np.zeros(len(text) + 1, np.uint64)
+        np.cumsum((text.astype(np.uint64) + np.uint64(1)) * p[: len(text)], out=sums[1:])
+        key = mix((sums[end] - sums[start]) * inv[start])
+        if self.ids.nbytes + 40 * len(self.keys) > CACHE_BYTES:
             self.clear()
-        values, sizes = [], np.zeros(len(column), np.int64)
-        block, chars = [], 0
-        for i, text in enumerate(column):
-            block.append((i, text.as_py()))
-            chars += len(block[-1][1] or "")
-            if chars > 1 << 20 or i == len(column) - 1:
-                self._block(block, values, sizes)
-                block, chars = [], 0
-        offsets = np.concatenate([[0], np.cumsum(sizes)])
-        out = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else np.zeros(0, np.int32)), mask=column.is_null() if column.null_count else None)
-        return out.cast(pa.list_(pa.int32()))
-
-    def _block(self, block: list[tuple[int, str | None]], values: list[np.ndarray], sizes: np.ndarray) -> None:
-        cut, n = [], []
-        for _, text in block:
-            w = []
-            if text:
-                t = text.replace(SPACE, LITERAL) if SPACE in text else text
-                w = _WORD.findall(SPACE + t.replace(" ", SPACE))
-            cut += w
-            n.append(len(w))
-        new = list({w for w in cut if w not in self.of})
-        if new:
-            self.add(new)
-        index = np.fromiter(map(self.of.__getitem__, cut), np.int64, len(cut))
-        ids, lengths = gather(self.ids, self.at, index)
-        total = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(n)])]
-        for k, (i, _) in enumerate(block):
-            sizes[i] = total[k + 1] - total[k]
-        values.append(ids)
-
-    def add(self, new: list[str]) -> None:
-        order, flat, counts = self.pieces.encode_words(new, self.algorithm)
-        self.of.update(zip([new[i] for i in order], range(len(self.of), len(self.of) + len(new)), strict=True))
-        self.ids = np.concatenate([self.ids, flat])
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(counts)])
+        at, known = self._find(key)
+        if known.all():
+            return gather(self.ids, self.at, at)
+        unknown = np.flatnonzero(~known)
+        new, first = np.unique(key[unknown], return_index=True)
+        first = unknown[first]
+        keep = end[first] - start[first] <= CACHE_WORD
+        n, n_ids = self._add(new[keep], first[keep], text, start, end)
+        kept = self.keys, self.slot
+        if not keep.all():
+            self._add(new[~keep], first[~keep], text, start, end)
+        slots, _ = self._find(key[unknown])
+        at[unknown] = slots
+        out = gather(self.ids, self.at, at)
+        if not keep.all():
+            self.keys, self.slot = kept
+            self.ids, self.at = self.ids[:n_ids].copy(), self.at[: n + 1].copy()
+        return out
+
+    def _find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.keys):
+            return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return self.slot[at], self.keys[at] == key
+
+    def _add(self, key: np.ndarray, first: np.ndarray, text: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[int, int]:
+        if len(key):
+            order, flat, counts = self.pieces.encode_spans(text, start[first], end[first], self.algorithm)
+            slot = np.empty(len(key), np.int64)
+            slot[order] = np.arange(len(key)) + len(self.keys)
+            where = np.searchsorted(self.keys, key)
+            self.keys, self.slot = np.insert(self.keys, where, key), np.insert(self.slot, where, slot)
+            self.ids = np.concatenate([self.ids, flat])
+            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(counts)])
+        return len(self.at) - 1, len(self.ids)
+
+
+def as_word(raw: np.ndarray) -> str:
+    return raw.tobytes().decode("utf-8", "surrogateescape").replace(SPACE, LITERAL).replace(" ", SPACE)
 
 
 def gather(values: np.ndarray, at: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -261,7 +364,7 @@ def decode_column(column: pa.Array, pieces: Pieces) -> pa.Array:
     null = np.array([x is None for x in lists], bool)
     sizes = np.array([0 if x is None else len(x) for x in lists], np.int64)
     ids = np.concatenate([x for x in lists if x is not None]) if (~null).any() else np.zeros(0, np.int64)
-    raw, length = gather(pieces.raw, pieces.raw_at, ids.astype(np.int64))
+    raw, length = pieces.decoded(ids)
     bounds = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(sizes)])]
     out = []
     for k in range(len(lists)):
@@ -273,11 +376,10 @@ def decode_column(column: pa.Array, pieces: Pieces) -> pa.Array:
 _encoders: dict[tuple, Encoder] = {}
 
 
-def encode(docs: DataFrame, model: str = MODEL, algorithm: str | None = None, text: str = "text", into: str = "ids") -> DataFrame:
-    """docs with the token ids of text. algorithm: viterbi or merges; by default what the model's type asks for."""
-    pieces = Pieces.load(model)
-    algorithm = algorithm or ("merges" if pieces.bpe else "viterbi")
-    known = docs.sparkSession.sparkContext.broadcast(pieces)
+def encode(docs: DataFrame, model: str = MODEL, algorithm: str = "viterbi", text: str = "text", into: str = "ids", check: str | None = None) -> DataFrame:
+    """docs with the token ids of text; algorithm: viterbi or merges. check: a column that says whether
+    decoding the ids gives the text, byte for byte; it is found in the same pass."""
+    known = docs.sparkSession.sparkContext.broadcast(Pieces.load(model))
 
     def of(column: pa.Array) -> pa.Array:
         key = (model, algorithm)
@@ -285,7 +387,8 @@ def encode(docs: DataFrame, model: str = MODEL, algorithm: str | None = None, te
             _encoders[key] = Encoder(known.value, algorithm)
         return _encoders[key](column)
 
-    return docs.withColumn(into, arrow_once(of, "array<int>")(F.col(text)))
+    rows = docs.withColumn("__encoded", arrow_once(of, "struct<ids: array<int>, ok: boolean>")(F.col(text))).withColumn(into, F.col("__encoded.ids"))
+    return (rows.withColumn(check, F.col("__encoded.ok")) if check else rows).drop("__encoded")
 
 
 def decode(rows: DataFrame, model: str = MODEL, ids: str = "ids", into: str = "decoded") -> DataFrame:
