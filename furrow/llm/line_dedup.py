@@ -2,17 +2,17 @@
 
 A line is what stands between line feeds; compared are lines folded to lower case
 with runs of white space as one blank and none at the ends. Empty folded lines are
-always kept. A line is dropped if an equal folded line stands earlier, in the order
-of (doc_id, line number), or if its first occurrence has an earlier line within edit
-distance THRESHOLD. The edit join takes all lines that can be cut into THRESHOLD + 1
-segments that aren't empty (MIN_EDIT_CHARS); equality concerns all.
+always kept. Lines stand in the order of (doc_id, text, line number). A line is dropped if
+an equal folded line stands earlier, or if its first occurrence has an earlier line within
+the edit distance that the shorter of the two allows: one edit for every EDIT_CHARS
+characters, THRESHOLD at most, so that lines of a few characters have to be equal.
 
 1. Equal lines are one content: grouping by the folded line counts a hot line
    map-side, and carries its first place only. Contents are saved to the shared folder.
-2. Segment index: a line of n characters is cut into THRESHOLD + 1 even segments; by
-   the pigeonhole principle a line within the threshold holds one of them unchanged.
+2. Segment index: a line that allows t edits is cut into t + 1 even segments; by
+   the pigeonhole principle a line within t edits holds one of them unchanged.
    Each line is indexed under (its length, segment number, segment).
-3. Length-aware probes: for every length n - THRESHOLD .. n and every segment of that
+3. Length-aware probes: for every length n - t .. n and every segment of that
    length, only substrings at the starts that the length difference and the segment
    number allow are probed.
 4. Hot buckets. A bucket of more than HOT_BUCKET lines (variants of one line) is not
@@ -21,19 +21,26 @@ segments that aren't empty (MIN_EDIT_CHARS); equality concerns all.
    one is equal, and the bucket is joined block by block, which is exact. Of the pairs
    that meet, those with more flips than the edits allow drop out in the join, and
    each is made in the first block that is equal.
-5. Candidates are verified with Spark's levenshtein with a threshold, a banded
-   computation inside the JVM. Edits are counted in characters. The report counts them
-   in UTF-8 bytes, as `levenshtein` in its SQL does; this is never less than the count in
-   characters, so that the candidates are the same.
+5. Candidates are cut finer: of 4 x THRESHOLD even parts of one line all but as many as there
+   may be edits must stand in the other line too, near their own place (`enough_parts`). What is left
+   is verified by a banded bit-parallel edit distance: the band of 2 x THRESHOLD + 1 rows around the diagonal is one BIGINT for the rises and one for the
+   falls, and `aggregate` moves both along the other line (see `banded_distance`). Edits
+   are counted in characters. The report counts them in UTF-8 bytes, as `levenshtein` in its
+   SQL does; this is never less than the count in characters, so that the candidates are
+   the same.
+
+Contents are told apart by 128 bits of hash and length, rows by doc_id and 96 bits of their text.
 
 Defined cases: a null text has no lines and stays null; an empty one stays empty; a
-null doc_id counts as larger than any other; rows with one doc_id share their places,
-so that a repeated row keeps what its twin keeps; a document of which nothing is kept
-gets an empty text; an empty table gives an empty result; other columns pass through.
+null doc_id counts as larger than any other; rows with one doc_id and different texts are
+documents of their own, in the order of a hash of the text; a row that repeats both keeps
+what its twin keeps; a document of which nothing is kept gets an empty text; very long lines
+and texts are ordinary ones; an empty table gives an empty result; other columns pass through.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -42,12 +49,12 @@ from pyspark.sql import functions as F
 from furrow.llm.common import save, sized
 
 THRESHOLD = 2
-MIN_CHARS = 1
-MIN_EDIT_CHARS = THRESHOLD + 1
+#: Characters of a line for each edit that it allows.
+EDIT_CHARS = 8
 HOT_BUCKET = 16
-_LINES = 2**31
 #: Dropped lines of a document are looked up block by block, so that very long texts don't take a square of their lines.
 BLOCK_LINES = 256
+_LINES = 2**31
 
 
 def folded(line: Column) -> Column:
@@ -58,21 +65,38 @@ def folded(line: Column) -> Column:
     return F.trim(F.lower(F.when(odd, F.regexp_replace(line, r"\s+", " ")).otherwise(line)))
 
 
+def _hashes(text: Column) -> list[Column]:
+    """What tells rows with one doc_id apart."""
+    return [F.xxhash64(text).alias("text_hash"), F.hash(text).alias("text_hash2")]
+
+
+#: A row of documents.
+ROW = ["doc_id", "text_hash", "text_hash2"]
+
+
 def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line (number from 0), folded: all lines of at least MIN_CHARS folded characters."""
-    each = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw")).where(F.length("raw") >= MIN_CHARS)
-    return each.select("doc_id", "line", folded(F.col("raw")).alias("folded")).where(F.length("folded") >= MIN_CHARS)
+    """ROW, line (number from 0), folded (never empty), place: all lines in an order of their own."""
+    # doc_id, 31 bits of the hash and the line number as one number, so that the first place is a plain minimum
+    base = F.coalesce("doc_id", F.lit(2**63 - 1)).cast("decimal(20,0)") * F.lit(2**62).cast("decimal(19,0)")
+    rows = docs.select("doc_id", *_hashes(F.col("text")), base.alias("base"), "text")
+    each = rows.select(*ROW, "base", F.posexplode(F.split("text", "\n")).alias("line", "raw")).where(F.length("raw") > 0)
+    place = F.col("base") + (F.col("text_hash").bitwiseAND(_LINES - 1) * _LINES + F.col("line")).cast("decimal(19,0)")
+    return each.select(*ROW, "line", folded(F.col("raw")).alias("folded"), place.alias("place")).where(F.length("folded") > 0)
 
 
-def place(doc_id: Column, line: Column) -> Column:
-    """(doc_id, line) as one number, so that the first place is a plain minimum."""
-    return F.coalesce(doc_id, F.lit(2**63 - 1)).cast("decimal(20,0)") * F.lit(_LINES).cast("decimal(11,0)") + line.cast("decimal(11,0)")
+def _ids(folded: Column) -> list[Column]:
+    return [F.xxhash64(folded).alias("id"), (F.hash(folded).cast("bigint") * 2**31 + F.length(folded)).alias("id2")]
 
 
 def contents(each: DataFrame) -> DataFrame:
-    """id, folded, chars, place (the first), places (how many), saved."""
-    c = each.groupBy("folded").agg(F.min(place(F.col("doc_id"), F.col("line"))).alias("place"), F.count("*").alias("places"))
-    return save(c.select(F.xxhash64("folded").alias("id"), "folded", F.length("folded").alias("chars"), "place", "places"), "lines")
+    """id, id2, folded, chars, place (the first), places (how many), saved."""
+    c = each.groupBy("folded").agg(F.min("place").alias("place"), F.count("*").alias("places"))
+    return save(c.select(*_ids(F.col("folded")), "folded", F.length("folded").alias("chars"), "place", "places"), "lines")
+
+
+def edits(chars: Column, threshold: int) -> Column:
+    """How many edits a line of so many characters allows."""
+    return F.least(F.lit(threshold), F.floor(chars / EDIT_CHARS).cast("int"))
 
 
 def segment(chars: Column, k: int, threshold: int) -> tuple[Column, Column]:
@@ -89,26 +113,30 @@ def _key(chars: Column, k: int, start: Column, size: Column) -> Column:
 
 
 def index_keys(c: DataFrame, threshold: int) -> DataFrame:
-    keys = []
-    for k in range(threshold + 1):
-        start, size = segment(F.col("chars"), k, threshold)
-        keys.append(_key(F.col("chars"), k, start, size))
-    return c.select("id", F.explode(F.array(*keys)).alias("key"))
+    listed = []
+    for t in range(1, threshold + 1):
+        keys = []
+        for k in range(t + 1):
+            start, size = segment(F.col("chars"), k, t)
+            keys.append(_key(F.col("chars"), k, start, size))
+        listed.append(c.where(edits(F.col("chars"), threshold) == t).select("id", F.explode(F.array(*keys)).alias("key")))
+    return reduce(DataFrame.union, listed)
 
 
 def probe_keys(c: DataFrame, threshold: int) -> DataFrame:
-    """Keys of indexed lines of n - threshold to n characters that this line may be near to. Each length
-    is a scan of its own: the code that Spark makes for all keys at once is too long for the JVM to compile."""
+    """Keys of indexed lines, not longer than this one, that it may be near to. Each length is a scan of
+    its own: the code that Spark makes for all keys at once is too long for the JVM to compile."""
     asked = []
     for less in range(threshold + 1):
-        keys = []
         chars = F.col("chars") - less
-        for k in range(threshold + 1):
-            start, size = segment(chars, k, threshold)
-            # by how much the segment may have moved: what came before it, and what comes after
-            low, high = max(-k, less - (threshold - k)), min(k, less + (threshold - k))
-            keys += [_key(chars, k, start + shift, size) for shift in range(low, high + 1)]
-        asked.append(c.select("id", F.explode(F.array(*keys)).alias("key")))
+        for t in range(max(less, 1), threshold + 1):
+            keys = []
+            for k in range(t + 1):
+                start, size = segment(chars, k, t)
+                # by how much the segment may have moved: what came before it, and what comes after
+                low, high = max(-k, less - (t - k)), min(k, less + (t - k))
+                keys += [_key(chars, k, start + shift, size) for shift in range(low, high + 1)]
+            asked.append(c.where(edits(chars, threshold) == t).select("id", F.explode(F.array(*keys)).alias("key")))
     return reduce(DataFrame.union, asked)
 
 
@@ -148,7 +176,6 @@ def _first_block(x: Column, y: Column, threshold: int) -> Column:
 
 def candidates(c: DataFrame, threshold: int) -> DataFrame:
     """(a, b) ids of contents that may be within the threshold, each pair once."""
-    c = c.where(F.col("chars") >= MIN_EDIT_CHARS)
     index, probe = index_keys(c, threshold), probe_keys(c, threshold)
     index = save(index, "segments")
     hot = save(index.groupBy("key").count().where(F.col("count") > HOT_BUCKET).select("key"), "hot")
@@ -168,20 +195,84 @@ def candidates(c: DataFrame, threshold: int) -> DataFrame:
     return pairs.select(F.least("id", "near").alias("a"), F.greatest("id", "near").alias("b")).distinct()
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def banded_distance(a: Column, b: Column, threshold: int) -> Column:
+    """Edit distance of two arrays whose sizes differ by `threshold` at most, exact up to threshold, and more than threshold beyond it.
+
+    Column j of the table of distances is kept for the rows j - threshold .. j + threshold of `a`, as bits
+    of two numbers: where the distance rises by one from the row above, and where it falls. The bits that
+    match b[j] give the next column with one addition (Myers 1999, in the diagonal band of Hyyro 2003).
+    The distance itself is followed down the diagonal that ends in the last cell."""
+    t, width = threshold, 2 * threshold + 1
+    full, m, n = (1 << width) - 1, F.size(a), F.size(b)
+    number = lambda x: F.lit(x).cast("bigint")
+
+    def matches(c: Column, j: Column) -> Column:
+        return reduce(Column.__add__, [F.when(F.get(a, j + (k - t)) == c, number(1 << k)).otherwise(number(0)) for k in range(width)])
+
+    def step(acc: Column, c: Column) -> Column:
+        j, rise, fall = acc["j"], acc["rise"], acc["fall"]
+
+        def column(match: Column) -> Column:
+            same = (match.bitwiseAND(rise) + rise).bitwiseXOR(rise).bitwiseOR(match).bitwiseOR(fall).bitwiseAND(number(full))
+            return _let(same, move)
+
+        def move(same: Column) -> Column:
+            lower, right, left = F.shiftright(same, 1), fall.bitwiseOR(F.bitwise_not(same.bitwiseOR(rise))), same.bitwiseAND(rise)
+            return F.struct(
+                (j + 1).alias("j"),
+                left.bitwiseOR(F.bitwise_not(lower.bitwiseOR(right)).bitwiseAND(number(full))).alias("rise"),
+                lower.bitwiseAND(right).alias("fall"),
+                (acc["distance"] + 1 - F.call_function("shiftright", same, m - n + t).bitwiseAND(number(1))).alias("distance"),
+            )
+
+        # the distance never falls down a diagonal, so that it is settled once it is too large
+        return F.when(acc["distance"] > t, acc).otherwise(_let(matches(c, j), column))
+
+    start = F.struct(F.lit(0).alias("j"), number(full - (1 << t) + 1).alias("rise"), number(0).alias("fall"), F.greatest(m - n, F.lit(0)).cast("bigint").alias("distance"))
+    return F.aggregate(b, start, step, lambda acc: acc["distance"])
+
+
+def enough_parts(a: Column, b: Column, allowed: Column, threshold: int) -> Column:
+    """Whether two lines can be within the allowed edits: an edit touches one part of a at most, and the others are
+    as they were, moved by no more than the edits."""
+    parts = 4 * threshold
+    size = F.floor(F.length(a) / parts).cast("int")
+    kept = []
+    for k in range(parts):
+        part = F.substring(a, size * k + 1, size)
+        there = [F.substring(b, F.greatest(size * k + 1 + s, F.lit(1)), size) == part for s in sorted(range(-threshold, threshold + 1), key=abs)]
+        kept.append(reduce(Column.__or__, there).cast("int"))
+    return reduce(Column.__add__, kept) >= parts - allowed
+
+
 def verified(pairs: DataFrame, c: DataFrame, threshold: int, in_bytes: bool = False) -> DataFrame:
-    """(id, first): contents with the first place of an earlier content within the threshold."""
-    units = lambda x: F.decode(F.col(x).cast("binary"), "ISO-8859-1") if in_bytes else F.col(x)
+    """(id, id2, first): contents with the first place of an earlier near content."""
+    raw = lambda x: F.col(x).cast("binary") if in_bytes else F.col(x)
+    units = lambda x: F.split(F.decode(raw(x), "ISO-8859-1") if in_bytes else F.col(x), "")
     pairs = save(pairs, "pairs")
     ends = sized(save(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ends"))
-    texts = save(c.join(ends, "id", "left_semi").select("id", "folded", "place"), "texts")
-    both = pairs.join(texts.toDF("a", "text_a", "place_a"), "a").join(texts.toDF("b", "text_b", "place_b"), "b")
-    near = both.where(F.levenshtein(units("text_a"), units("text_b"), threshold) >= 0)
-    later = F.when(F.col("place_a") < F.col("place_b"), F.col("b")).otherwise(F.col("a"))
-    return near.groupBy(later.alias("id")).agg(F.min(F.least("place_a", "place_b")).alias("first"))
+    texts = save(c.join(ends, "id", "left_semi").select("id", "id2", "folded", "place", "chars"), "texts")
+    both = pairs
+    for end in "ab":
+        both = both.join(texts.toDF(end, f"{end}2", f"text_{end}", f"place_{end}", f"chars_{end}"), end)
+    allowed = edits(F.least("chars_a", "chars_b"), threshold)
+    if in_bytes:  # lines of nearly as many characters can differ by more bytes than the band is wide
+        both = both.where(F.abs(F.octet_length("text_a") - F.octet_length("text_b")) <= allowed)
+    both = both.where(enough_parts(raw("text_a"), raw("text_b"), allowed, threshold))
+    both = both.withColumns({"a_units": units("text_a"), "b_units": units("text_b")})
+    near = both.where(banded_distance(F.col("a_units"), F.col("b_units"), threshold) <= allowed)
+    later = F.when(F.col("place_a") < F.col("place_b"), F.struct(F.col("b").alias("id"), F.col("b2").alias("id2"))).otherwise(F.struct(F.col("a").alias("id"), F.col("a2").alias("id2")))
+    near = near.select(later.alias("later"), F.least("place_a", "place_b").alias("first"))
+    return near.groupBy("later.id", "later.id2").agg(F.min("first").alias("first"))
 
 
 def dropped(docs: DataFrame, threshold: int = THRESHOLD, in_bytes: bool = False) -> DataFrame:
-    """doc_id, gone: the numbers of the lines to drop by blocks of BLOCK_LINES, n_gone: how many, and n_near: how many
+    """ROW, gone: the numbers of the lines to drop by blocks of BLOCK_LINES, n_gone: how many, and n_near: how many
     of them have only a near earlier line.
     Only documents that lose lines have a row."""
     docs = docs.select("doc_id", "text")
@@ -189,28 +280,29 @@ def dropped(docs: DataFrame, threshold: int = THRESHOLD, in_bytes: bool = False)
     c = contents(each)
     near = save(verified(candidates(c, threshold), c, threshold, in_bytes), "near")
     # Contents that lose a line: those with more than one place, and those with an earlier near content.
-    marked = c.select("id", "place", "places").join(near, "id", "left").where("places > 1 OR first IS NOT NULL")
-    marked = sized(save(marked.select("id", "place", F.col("first").isNotNull().alias("near")), "marked"))
-    where = each.select("doc_id", "line", F.xxhash64("folded").alias("id"), place(F.col("doc_id"), F.col("line")).alias("at"))
-    lost = where.join(marked, "id").where(F.col("near") | (F.col("at") > F.col("place")))
-    first = (F.col("at") == F.col("place")).cast("bigint")
-    by_block = lost.groupBy("doc_id", F.floor(F.col("line") / BLOCK_LINES).cast("int").alias("block")).agg(F.collect_set("line").alias("lines"), F.sum(first).alias("n_near"))
-    return by_block.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("block", "lines"))).alias("gone"), F.sum(F.size("lines")).alias("n_gone"), F.sum("n_near").alias("n_near"))
+    marked = c.select("id", "id2", "place", "places").join(near, ["id", "id2"], "left").where("places > 1 OR first IS NOT NULL")
+    marked = sized(save(marked.select("id", "id2", F.col("place").alias("first"), F.col("first").isNotNull().alias("near")), "marked"))
+    lost = each.select(*ROW, "line", *_ids(F.col("folded")), "place").join(marked, ["id", "id2"]).where(F.col("near") | (F.col("place") > F.col("first")))
+    first = (F.col("place") == F.col("first")).cast("bigint")
+    by_block = lost.groupBy(*ROW, F.floor(F.col("line") / BLOCK_LINES).cast("int").alias("block")).agg(F.collect_set("line").alias("lines"), F.sum(first).alias("n_near"))
+    return by_block.groupBy(*ROW).agg(F.map_from_entries(F.collect_list(F.struct("block", "lines"))).alias("gone"), F.sum(F.size("lines")).alias("n_gone"), F.sum("n_near").alias("n_near"))
 
 
 def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, in_bytes: bool = False) -> DataFrame:
     """docs with the dropped lines cut out of text, and columns __lines, __gone, __near counting lines."""
-    gone = save(dropped(docs, threshold, in_bytes), "gone").withColumnRenamed("doc_id", "__id")
-    rows = docs.join(F.broadcast(gone) if gone.count() <= 20_000 else gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.coalesce(F.array_contains(F.try_element_at("gone", F.floor(i / BLOCK_LINES).cast("int")), i), F.lit(False))), "\n")
-    return rows.withColumns(
-        {
-            "__lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("bigint"),
-            "text": F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept),
-            "__gone": F.coalesce("n_gone", F.lit(0)),
-            "__near": F.coalesce("n_near", F.lit(0)),
-        }
-    ).drop("__id", "gone", "n_gone", "n_near")
+    gone = save(dropped(docs, threshold, in_bytes), "gone")
+    gone = gone.toDF(*[f"__{c}" for c in gone.columns])
+    mine = F.col("doc_id").eqNullSafe(F.col("__doc_id"))
+    for ours, theirs in zip(_hashes(F.col("text")), ROW[1:], strict=True):
+        mine &= ours == F.col(f"__{theirs}")
+    rows = docs.join(gone, mine, "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.coalesce(F.array_contains(F.try_element_at("__gone", F.floor(i / BLOCK_LINES).cast("int")), i), F.lit(False))), "\n")
+    return rows.select(
+        *[F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in docs.columns],
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("bigint").alias("__lines"),
+        F.coalesce("__n_gone", F.lit(0)).alias("__gone"),
+        F.coalesce("__n_near", F.lit(0)).alias("__near"),
+    )
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -221,16 +313,20 @@ def report(docs: DataFrame) -> DataFrame:
 
 def report_sql(threshold: int = THRESHOLD) -> str:
     """The same rows in DuckDB: all pairs of lines of nearly one length that share a part, without an index."""
-    middle = [f"contains(b.folded, substr(a.folded, {k} * a.size + 1, a.size))" for k in range(1, threshold)]
-    kept_part = " OR ".join(["left(a.folded, a.size) = left(b.folded, a.size)", *middle, f"right(a.folded, a.chars - {threshold} * a.size) = right(b.folded, a.chars - {threshold} * a.size)"])
+    parts = []
+    for t in range(1, threshold + 1):
+        size = f"cast(a.chars // {t + 1} AS INT)"
+        middle = [f"contains(b.folded, substr(a.folded, {k} * {size} + 1, {size}))" for k in range(1, t)]
+        shared = " OR ".join([f"left(a.folded, {size}) = left(b.folded, {size})", *middle, f"right(a.folded, a.chars - {t} * {size}) = right(b.folded, a.chars - {t} * {size})"])
+        parts.append(f"(least({threshold}, least(a.chars, b.chars) // {EDIT_CHARS}) = {t} AND abs(a.chars - b.chars) <= {t} AND ({shared}) AND levenshtein(a.folded, b.folded) <= {t})")
     return f"""
 WITH raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents WHERE text IS NOT NULL),
-each AS (SELECT doc_id, line, l, trim(regexp_replace(lower(l), '\\s+', ' ', 'g')) AS folded FROM raw WHERE length(l) >= {MIN_CHARS}),
-ok AS (SELECT * FROM each WHERE length(folded) >= {MIN_CHARS}),
+each AS (SELECT doc_id, line, l, trim(regexp_replace(lower(l), '\\s+', ' ', 'g')) AS folded FROM raw),
+ok AS (SELECT * FROM each WHERE length(folded) > 0),
 c AS (SELECT folded, min(doc_id * {_LINES}::HUGEINT + line) AS place, count(*) AS places, length(folded) AS chars FROM ok GROUP BY folded),
-part AS (SELECT *, cast(floor(chars / {threshold + 1}) AS INT) AS size FROM c WHERE chars >= {MIN_EDIT_CHARS}),
+part AS (SELECT * FROM c WHERE chars >= {EDIT_CHARS}),
 near AS (SELECT b.folded FROM part a JOIN part b ON b.chars BETWEEN a.chars - {threshold} AND a.chars + {threshold} AND a.place < b.place
-    AND ({kept_part}) WHERE levenshtein(a.folded, b.folded) <= {threshold} GROUP BY b.folded),
+    AND ({" OR ".join(parts)}) GROUP BY b.folded),
 lost AS (SELECT ok.doc_id, ok.line, (ok.doc_id * {_LINES}::HUGEINT + ok.line = c.place) AS first FROM ok JOIN c USING (folded) LEFT JOIN near USING (folded)
     WHERE near.folded IS NOT NULL OR ok.doc_id * {_LINES}::HUGEINT + ok.line > c.place),
 kept AS (SELECT raw.doc_id, count(*) AS n_lines, count(lost.line) AS n_dropped, count(CASE WHEN lost.first THEN 1 END) AS n_near,
