@@ -23,18 +23,23 @@ linked at 0.8 or more; a class is a connected set of linked documents.
    from one of them (see `_rest`) first takes out the pairs that can't be similar.
    Verification counts the exact multiset overlap of both whole texts.
 
+Contents are told apart by both halves of the digest; cid, a 64-bit number of each, is unique
+(see `_contents`).
+
 Defined cases: null and empty texts, and texts without words, have no shingles and
 are in a class of their own row; class_id is the smallest doc_id of the class (null
-only if all are null); rows with one doc_id count as rows of that document.
+only if all are null). Rows are told apart by doc_id and text: rows with one doc_id, or none,
+and different texts are documents of their own, of which one stays where they are near; rows
+that repeat both are all kept = true in the report, and `keep_one` leaves one of them. Very long
+texts are read whole, one at a time. An empty table gives an empty result. Columns of other
+names pass through `keep_one`, which needs only doc_id and text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.llm.common import arrow_once, mix, save, sized, text_blocks, windows, words
@@ -285,16 +290,23 @@ def differences(whole: pa.Array, own: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(np.concatenate(n) if n else np.zeros(0, np.int64)), *lists], ["n", "added", "removed"])
 
 
+def _contents(s: DataFrame) -> DataFrame:
+    """cid, d1, d2, doc_id and text_hash of a row of it (the first), copies: every different multiset, under a number of its own."""
+    first = F.min_by(F.struct("doc_id", "text_hash"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash"))
+    c = s.where("n > 0").groupBy("d1", "d2").agg(first.alias("rep"), F.count("*").alias("copies"))
+    # two multisets may share d1; the one with the larger d2 is numbered by both
+    again = F.row_number().over(Window.partitionBy("d1").orderBy("d2")) > 1
+    cid = F.when(again, F.xxhash64("d1", "d2")).otherwise(F.col("d1"))
+    return save(c.select(cid.alias("cid"), "d1", "d2", "rep.doc_id", "rep.text_hash", "copies"), "contents")
+
+
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, class_id (smallest doc_id of the class), class_size, kept (the row with class_id)."""
+    """doc_id, text_hash, class_id (smallest doc_id of the class), class_size, kept (the row with class_id; of several, the one with the smallest text_hash)."""
     s = save(sketches(docs), "sketches")
-    contents = save(
-        s.where("n > 0").groupBy(F.col("d1").alias("cid"), "d2").agg(F.min_by(F.struct("doc_id", "text_hash"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("rep")).select("cid", "rep.doc_id", "rep.text_hash"),
-        "contents",
-    )
+    contents = _contents(s)
     # bands of one row for each content; copies drop out before the rows spread
-    own = s.where("n > 0").select(F.col("d1").alias("cid"), F.col("doc_id").alias("id"), F.col("text_hash").alias("th"), "bands")
-    own = own.join(contents, "cid").where(F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("th") == F.col("text_hash")))
+    own = s.where("n > 0").select("d1", "d2", F.col("doc_id").alias("id"), F.col("text_hash").alias("th"), "bands")
+    own = own.join(contents, ["d1", "d2"]).where(F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("th") == F.col("text_hash")))
     keyed = own.select("cid", F.explode("bands").alias("key")).distinct()
     buckets = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     met = save(keyed.join(buckets, "key").select("key", "cid", "size"), "met")
@@ -314,17 +326,19 @@ def classes(docs: DataFrame) -> DataFrame:
         edges = edges.union(save(_verified(rest, texts), "links"))
         labels = _labels(bands, edges)
 
-    comp = labels.withColumnRenamed("cid", "d1")
-    rows = s.select("doc_id", "text_hash", "d1", "n").join(comp, "d1", "left").withColumn("comp", F.coalesce("comp", "d1"))
+    # what a class is follows from its contents; rows only look theirs up
+    member = contents.join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    first = F.min_by(F.struct("doc_id", "text_hash"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash"))
+    sizes = save(member.groupBy("comp").agg(first.alias("rep"), F.sum("copies").alias("class_size")), "sizes")
+    of = save(member.join(sizes, "comp").select("d1", "d2", F.col("rep.doc_id").alias("class_id"), F.col("rep.text_hash").alias("class_hash"), "class_size"), "classes")
     alone = F.col("n") == 0
-    sizes = rows.where(~alone).groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    out = rows.join(save(sizes, "sizes"), "comp", "left")
+    out = s.select("doc_id", "text_hash", "d1", "d2", "n").join(of, ["d1", "d2"], "left")
     return out.select(
         "doc_id",
         "text_hash",
         F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(alone, F.lit(1)).otherwise(F.col("class_size")).cast("bigint").alias("class_size"),
-        (alone | F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"),
+        (alone | (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_hash") == F.col("class_hash")))).alias("kept"),
     )
 
 
@@ -344,6 +358,15 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each class: the one with the smallest doc_id."""
-    gone = save(classes(docs.select("doc_id", "text")).where("not kept").select(F.col("doc_id").alias("__id")).distinct(), "gone")
-    return docs.join(sized(gone), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    """docs with one row of each class: the one of which `classes` says kept. Of rows that repeat both its
+    doc_id and its text one stays, the first in the order of their other columns."""
+    rows = save(classes(docs.select("doc_id", "text")), "kept").withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
+    same = F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__hash") == F.xxhash64("text"))
+    gone = save(rows.where("not kept").select("__id", "__hash").distinct(), "gone")
+    twice = save(rows.where("kept and class_size > 1").groupBy("__id", "__hash").count().where("count > 1").drop("count"), "twice")
+    out = docs.join(sized(gone), same, "left_anti")
+    if not twice.limit(1).count():
+        return out
+    many = out.join(sized(twice), same, "left_semi")
+    one = many.groupBy("doc_id", "text").agg(F.min(F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")], F.lit(0).alias("__"))).alias("__row"))
+    return out.join(sized(twice), same, "left_anti").unionByName(one.select(*[c if c in ("doc_id", "text") else F.col("__row")[c].alias(c) for c in docs.columns]))
