@@ -59,8 +59,27 @@ def test_filters_merge_losslessly(spark):
     fps = rng.integers(-(2**63), 2**63 - 1, 2000)
     fps = np.concatenate([fps, fps[:300], fps[:50], np.full(500, fps[0])])
     d = spark.createDataFrame([(int(x),) for x in fps], "fp bigint").repartition(7)
-    got = {r.fp: r.n for r in exact_dedup.merged_filter(exact_dedup.build_filters(d, 8), 8).collect()}
-    assert got == Counter(fps.tolist())
+    for slices in (1, 8):
+        filters = exact_dedup.build_filters(d, slices)
+        assert all(len(r.remainders) == -(-(64 - (slices - 1).bit_length() - r.q) // 8) * r.n < 8 * r.n for r in filters.collect() if r.q > 8)
+        got = {r.fp: r.n for r in exact_dedup.merged_filter(filters, slices).collect()}
+        assert got == Counter(fps.tolist())
+
+
+def test_filter_round_trip():
+    rng = np.random.default_rng(1)
+    for bits in (61, 64):
+        for n in (1, 2, 300):
+            low = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) >> np.uint64(64 - bits))
+            counts = rng.integers(1, 4, len(low))
+            for q in (None, 0, 3, 12):
+                got = exact_dedup.decode(bits, *exact_dedup.encode(low, counts, bits, q))
+                assert got[0].tolist() == low.tolist() and got[1].tolist() == counts.tolist()
+
+
+def test_exact_dedup_ties_keep_one(spark):
+    r = exact_dedup.report(docs(spark, ["a b"] * 3 + ["q"] * 2 + ["z"], ids=[5, 5, 5, None, None, 6])).collect()
+    assert sorted((x.doc_id or 0, x.group_size, x.kept) for x in r) == [(0, 2, False), (0, 2, True), (5, 3, False), (5, 3, False), (5, 3, True), (6, 1, True)]
 
 
 # --- decontamination and license scan
@@ -73,8 +92,9 @@ def test_decontamination_brute_force(spark):
     texts = [" ".join(rng.choices(vocabulary, k=60)) for _ in range(30)] + [f"pre {items[0]} post {items[1]}", items[2].upper(), items[3], *ODD]
     b = spark.createDataFrame(list(items.items()), "item_id bigint, text string")
     want = decontaminate.brute(dict(enumerate(texts)), items)
-    for block in (decontaminate.BLOCK_ITEMS, 3):
-        s = decontaminate.scan(docs(spark, texts).select("doc_id", "text"), b, block_items=block)
+    for block in (decontaminate.BLOCK_BYTES, 60):
+        s = decontaminate.scan(docs(spark, texts).select("doc_id", "text").withColumn("scan", F.lit("clash")), b, block_bytes=block)
+        assert s.columns == ["doc_id", "text", "scan"]
         got = {r.doc_id: (r.scan.n_words, sum(x.end - x.start for x in r.scan.spans), len(r.scan["items"])) for r in s.collect()}
         assert got == {k: v[:3] for k, v in want.items()}
     assert {r.doc_id: tuple(r)[1:] for r in decontaminate.report(docs(spark, texts), b).collect()} == want
@@ -100,6 +120,18 @@ def test_license_scan(spark):
     assert "apache-2.0" in rows[2].labels
 
 
+def test_license_gate_loses_nothing(spark, monkeypatch):
+    """The gated scan against all rules on every text, over the tables and the licence pages."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] + ["https://opensource.org/license/mit", "see https://opensource.org/licenses/isc and spdx.org/licenses/0bsd", "Creative Commons Attribution 4.0, X11 license"]
+    gated = license_scan._scan(pa.array(texts))
+    everything = {k for r in license_scan.compiled()[0] for k in r[2]}
+    for text, row in zip(texts, gated, strict=True):
+        found = license_scan.detect(text or "", everything)
+        assert [(x["label"], x["start"], x["end"]) for x in row["detections"]] == [(x[2], x[0], x[1]) for x in found]
+        assert set(row["labels"]) == {x[2] for x in found} | set(row["base_labels"])
+    assert gated[-3]["labels"] == ["mit"] and gated[-2]["labels"] == ["0bsd", "isc"]
+
+
 def test_suppression():
     found = [(0, 10, "a", 1), (2, 8, "b", 5), (3, 6, "c", 4), (0, 20, "d", 1), (30, 40, "e", 2), (30, 40, "f", 1)]
     assert {x[2] for x in license_scan.suppress(found)} == {"b", "d", "e"}
@@ -168,6 +200,28 @@ def test_near_dedup_brute_force(spark, monkeypatch):
     assert sorted(x.doc_id for x in kept.collect()) == sorted(set(want))
 
 
+def test_near_dedup_repeated_and_null_ids(spark):
+    base = " ".join(f"w{k}" for k in range(60))
+    near, unique = base + " tail", " ".join(f"u{k}" for k in range(30))
+    texts = [base, near, unique, unique.upper() + " more", base, None, None, "", "x y", "x y", "lonely words"]
+    ids = [5, 5, None, None, 5, 7, 7, None, 8, 8, None]
+    d = docs(spark, texts, ids=ids)
+    kept = near_dedup.keep_one(d)
+    rows = kept.collect()
+    assert kept.columns == d.columns and len(rows) == 7
+    assert sum((r.text or "").startswith("w0") for r in rows) == 1 and sum((r.text or "").lower().startswith("u0") for r in rows) == 1
+    assert [r.text for r in rows if r.doc_id == 8] == ["x y"] and [r.text for r in rows if r.doc_id == 7] == [None, None]
+    assert {r.text for r in rows if r.doc_id is None} >= {"", "lonely words"}
+    report = near_dedup.report(d).collect()
+    assert len(report) == len(texts) and {r.class_size for r in report if r.doc_id == 5} == {3}
+
+
+def test_contents_of_one_half_digest(spark):
+    s = spark.createDataFrame([(1, 9, 4, 1, 3), (2, 9, 5, 2, 3), (3, 9, 5, 3, 3), (4, 8, 1, 4, 3)], "doc_id bigint, d1 bigint, d2 bigint, text_hash bigint, n bigint")
+    c = near_dedup._contents(s).collect()
+    assert len({r.cid for r in c}) == 3 and {(r.d1, r.d2): (r.doc_id, r.copies) for r in c} == {(9, 4): (1, 1), (9, 5): (2, 2), (8, 1): (4, 1)}
+
+
 def test_bag_minhash_estimates_weighted_jaccard():
     rng = np.random.default_rng(2)
     n = 300
@@ -200,6 +254,10 @@ def levenshtein(a, b):
     return row[-1]
 
 
+def allowed(a, b):
+    return min(2, min(len(a), len(b)) // 8)
+
+
 @pytest.mark.parametrize("hot", [64, 2])
 def test_line_dedup_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(line_dedup, "HOT_BUCKET", hot)
@@ -220,15 +278,15 @@ def test_line_dedup_brute_force(spark, monkeypatch, hot):
     first = {}
     for d, t in enumerate(texts):
         for k, s in enumerate((t or "").split("\n")):
-            if len(s) >= line_dedup.MIN_CHARS and len(fold(s)) >= line_dedup.MIN_CHARS:
+            if fold(s):
                 first.setdefault(fold(s), (d, k))
-    near = {s: any(o[1] < first[s] and min(len(s), len(o[0])) >= line_dedup.MIN_EDIT_CHARS and levenshtein(s, o[0]) <= line_dedup.THRESHOLD for o in first.items()) for s in first}
+    near = {s: any(o[1] < first[s] and levenshtein(s, o[0]) <= allowed(s, o[0]) for o in first.items()) for s in first}
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(spark, texts)).collect()}
     for d, t in enumerate(texts):
         if t is None:
             assert got[d] is None
             continue
-        keep = [s for k, s in enumerate(t.split("\n")) if fold(s) not in first or len(s) < line_dedup.MIN_CHARS or (first[fold(s)] == (d, k) and not near[fold(s)])]
+        keep = [s for k, s in enumerate(t.split("\n")) if fold(s) not in first or (first[fold(s)] == (d, k) and not near[fold(s)])]
         assert got[d] == "\n".join(keep), d
 
 
@@ -240,26 +298,54 @@ def test_line_dedup_runs_no_python(spark):
 
 @pytest.mark.parametrize("hot", [64, 2])
 def test_line_dedup_short_lines(spark, monkeypatch, hot):
-    """Lines of every length that isn't 0, by a brute force that knows no limit but that of three segments."""
+    """Lines of every length that isn't 0: one edit for every eight characters, two at most."""
     monkeypatch.setattr(line_dedup, "HOT_BUCKET", hot)
     rng = random.Random(9)
-    lines = ["les.", "of, edti oner.", "are is anwh reenen.", "are. is anwh reenen.", "x" * 12 + "y" * 11, "x" * 12 + "y" * 13, "", " ", "ok", "a", "b", "öen.", "äöen."]
+    lines = ["les.", "of, edti oner.", "are is anwh reenen.", "are. is anwh reenen.", "x" * 12 + "y" * 11, "x" * 12 + "y" * 13, "", " ", "ok", "a", "b", "öen.", "äöen.", "zwölfeck", "zwolfeck", "a zwölfeck of them", "a zwolfecc of them"]
     lines += ["".join(rng.choices("abcdö", k=rng.randrange(1, 12))) for _ in range(60)]
-    texts = ["\n".join(rng.choices(lines, k=6)) for _ in range(30)]
+    lines += ["".join(rng.choices("abö", k=rng.choice((7, 8, 9, 15, 16, 17)))) for _ in range(80)]
+    texts = ["\n".join(rng.choices(lines, k=6)) for _ in range(60)]
     first = {}
     for d, t in enumerate(texts):
         for k, s in enumerate(t.split("\n")):
             if s.strip():
                 first.setdefault(s, (d, k))
-    near = {s: any(first[o] < first[s] and min(len(s), len(o)) >= 3 and levenshtein(s, o) <= 2 for o in first) for s in first}
+    near = {s: any(first[o] < first[s] and levenshtein(s, o) <= allowed(s, o) for o in first) for s in first}
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(spark, texts)).collect()}
     for d, t in enumerate(texts):
         assert got[d] == "\n".join(s for k, s in enumerate(t.split("\n")) if not s.strip() or (first[s] == (d, k) and not near[s])), d
     raw = [s.encode().decode("latin-1") for s in first]
-    in_bytes = {s: any(first[o] < first[s] and min(len(s), len(o)) >= 3 and levenshtein(r, q) <= 2 for o, q in zip(first, raw, strict=True)) for s, r in zip(first, raw, strict=True)}
+    in_bytes = {s: any(first[o] < first[s] and levenshtein(r, q) <= allowed(s, o) for o, q in zip(first, raw, strict=True)) for s, r in zip(first, raw, strict=True)}
     assert sum(r.n_near for r in line_dedup.report(docs(spark, texts)).collect()) == sum(in_bytes.values()) < sum(near.values())
 
 
+@pytest.mark.parametrize("threshold", [1, 2, 4])
+def test_banded_distance_is_levenshtein(spark, threshold):
+    rng = random.Random(6)
+    pairs = [("", ""), ("a", ""), ("ab", "ba"), ("kitten", "sitting")]
+    for _ in range(150):
+        a = "".join(rng.choices("abö", k=rng.randrange(0, 14)))
+        b = list(a)
+        for _ in range(rng.randrange(0, 6)):
+            b[(i := rng.randrange(len(b) + 1)) : i + rng.randrange(2)] = rng.choices("abc", k=rng.randrange(2))
+        pairs.append((a, "".join(b)))
+    pairs = [(a, b) for a, b in pairs if abs(len(a) - len(b)) <= threshold]
+    d = spark.createDataFrame([(list(a), list(b)) for a, b in pairs], "a array<string>, b array<string>")
+    got = d.select(line_dedup.banded_distance(F.col("a"), F.col("b"), threshold).alias("d")).collect()
+    for (a, b), r in zip(pairs, got, strict=True):
+        assert min(r.d, threshold + 1) == min(levenshtein(a, b), threshold + 1), (a, b, r.d)
+
+
+def test_line_dedup_repeated_and_null_ids(spark):
+    one, other, third = "the first line of them all", "an entirely different and unique sentence", "words that stand nowhere else at all"
+    texts = [one, one + "\n" + other, other + "\n" + third, one + "\n" + third, "x\n" + third, "x\n" + third]
+    ids = [5, 5, None, None, 9, 9]
+    rows = sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in line_dedup.dedup_lines(docs(spark, texts, ids=ids)).collect())
+    kept = [s for _, i, t in rows for s in t.split("\n") if s]
+    assert len(rows) == 6 and sorted(set(kept)) == sorted([one, other, third, "x"]) and [r for r in rows if r[1] == 9] == [(False, 9, "x\n" + third)] * 2
+    assert kept.count(one) == kept.count(other) == 1 and kept.count(third) == 2  # the two rows 9 are one document
+
+
 # --- SentencePiece
 
 
@@ -278,8 +364,8 @@ def test_codec_matches_the_library_and_round_trips(spark, model):
     texts = SAMPLE + [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40).collect()]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     for algorithm in ("merges", "viterbi"):
-        rows = sorted(sentencepiece_codec.decode(sentencepiece_codec.encode(d, algorithm=algorithm)).collect())
-        assert [r.decoded for r in rows] == texts
+        rows = sorted(sentencepiece_codec.decode(sentencepiece_codec.encode(d, algorithm=algorithm, check="ok")).collect())
+        assert [r.decoded for r in rows] == texts and all(r.ok for r in rows)
         if algorithm == "merges":
             for r in rows:
                 if r.text and "▁" not in r.text:
@@ -300,6 +386,60 @@ def test_viterbi_is_the_best_segmentation(model):
             assert sum(lib.get_score(int(i)) for i in flat) == pytest.approx(best[-1])
 
 
+def plain_viterbi(model, lib, text):
+    """The largest sum of scores over all ways to cut a text into pieces or single characters."""
+    score = {lib.id_to_piece(i): lib.get_score(i) for i in range(259, lib.get_piece_size())}
+    text = "▁" + text.replace(" ", "▁")
+    best = [0.0] + [-np.inf] * len(text)
+    for e in range(1, len(text) + 1):
+        best[e] = max(best[s] + score.get(text[s:e], model.unknown if e == s + 1 else -np.inf) for s in range(max(0, e - model.longest), e))
+    return best[-1]
+
+
+def test_viterbi_of_whole_texts(spark, model, monkeypatch):
+    """Cuts between words, blocks of positions and the cache lose nothing; the library's own unigram mode is never better."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
+    proto = sentencepiece_model_pb2.ModelProto()
+    with open(sentencepiece_codec.MODEL, "rb") as f:
+        proto.ParseFromString(f.read())
+    proto.trainer_spec.model_type = 1
+    unigram = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+    monkeypatch.setattr(sentencepiece_codec, "_CELLS", 400)
+    monkeypatch.setattr(sentencepiece_codec, "BLOCK_BYTES", 300)
+    monkeypatch.setattr(sentencepiece_codec, "CACHE_BYTES", 3000)
+    rng = random.Random(3)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) < 3000").limit(60).collect()]
+    texts += ["".join(rng.choices("abcdefgh", k=700)), "a1b2\n\nc  d,T.X", "x" * 200]
+    got = sentencepiece_codec.Encoder(model, "viterbi")(pa.array(texts))
+    assert all(got.field(1).to_pylist())
+    for text, ids in zip(texts, got.field(0).to_pylist(), strict=True):
+        if min(ids) >= 259:
+            total = sum(lib.get_score(i) for i in ids)
+            assert total == pytest.approx(plain_viterbi(model, lib, text))
+            theirs = unigram.encode(text)
+            assert min(theirs) < 259 or total >= sum(lib.get_score(i) for i in theirs) - 1e-3
+
+
+def test_equal_hashes_of_words_do_no_harm(model, monkeypatch):
+    monkeypatch.setattr(sentencepiece_codec.Encoder, "_find", lambda self, key: (np.zeros(len(key), np.int64), np.full(len(key), len(self.keys) > 0)))
+    texts = ["some words here", "", "other words there"]
+    got = sentencepiece_codec.Encoder(model, "viterbi")(pa.array(texts))
+    assert all(got.field(1).to_pylist()) and sentencepiece_codec.decode_column(got.field(0), model).to_pylist() == texts
+
+
+def test_codec_odd_rows(spark, model):
+    d = docs(spark, [*ODD, "a" * 200_000, "word " * 20_000, *ODD], ids=None).withColumn("ids", F.lit("clash"))
+    rows = sentencepiece_codec.decode(sentencepiece_codec.encode(d, check="score")).collect()
+    assert len(rows) == 2 * len(ODD) + 2 and all(r.decoded == r.text and r.score for r in rows)
+    assert all((r.ids is None) == (r.text is None) for r in rows) and {len(r.ids) for r in rows if r.text == ""} == {0}
+    assert sentencepiece_codec.encode(docs(spark, [])).count() == 0
+    raw = spark.sql("SELECT 1 AS doc_id, cast(X'61FF20C3' AS string) AS text")  # not UTF-8
+    assert sentencepiece_codec.encode(raw, check="ok").first().ok
+
+
 # --- quality
 
 
@@ -359,6 +499,15 @@ def test_url_filter_deep_paths_and_repeated_captures(spark):
     assert {(r.capture_id, r.n_active, r.verdict) for r in url_filter.evaluate(c, listed).collect()} == {(0, 2, "block"), (1, 1, "allow")}
 
 
+def test_url_filter_cleans_hosts(spark):
+    listed = url_filter.entries(spark, [("l", "host", "WWW.c.org", "block", "2024-01-01"), ("l", "host", "d.org.", "block", "2024-01-01"), ("l", "path", "www.e.org//p/", "block", "2024-01-01"), ("l", "domain", "www.org", "block", "2024-01-01")])
+    urls = {"http://user:pw@d.org/": True, "http://a@b@d.org.:8080/x": True, "https://c.org": True, "http://www.c.org/": True, "http://e.org/p": True, "http://e.org/q/p": False, "http://www.org/": True, "http://d.org.uk/": False, "http://x.d.org/": False, "http://user@e.org/p/" + "x/" * 3000: True}
+    c = spark.createDataFrame(list(enumerate(urls)), "capture_id bigint, url string").withColumn("fetched", F.lit("2024-03-01").cast("date")).withColumn("kind", F.lit("clash"))
+    got = {r.url: r.verdict for r in url_filter.evaluate(c, listed).collect()}
+    assert got == {u: "block" if b else "none" for u, b in urls.items()}
+    assert {r.verdict for r in url_filter.evaluate(c, listed.limit(0)).collect()} == {"none"}
+
+
 def pages(spark, rows):
     return spark.createDataFrame(rows, "page_id bigint, url string, html string, captured string")
 
@@ -379,13 +528,23 @@ def test_merged_index_is_in_order(spark):
     rng = random.Random(8)
     rows = [(i, f"http://h{rng.choice((1, 1, 1, 2, 3))}.org/{rng.randrange(4)}", f"{i}", "c") for i in range(600)]
     path = warc.new_path(spark, "test")
-    warc.write(pages(spark, rows).withColumn("captured", warc.captured(F.col("page_id"))).repartition(5), path)
+    warc.write(pages(spark, rows).withColumn("captured", warc.captured(F.col("page_id"))).repartition(5), path, compression="none")
     index = warc.save(warc.read(spark, path), "index")
     got = warc.merge_index(index, range_rows=50).orderBy("position").collect()
     keys = [(r.url_key, r.captured, r.page_id) for r in got]
     assert keys == sorted(keys) and sorted(r.page_id for r in got) == list(range(600)) and [r.position for r in got] == list(range(600))
 
 
+def test_archives_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RECORDS_PER_FILE", 16)
+    monkeypatch.setattr(warc, "SMALL_BYTES", 100)
+    rows = [(i, f"http://h.org/{i}", chr(97 + i % 26) * (50, 350, 5000)[i % 3], "c") for i in range(90)]
+    path = warc.new_path(spark, "test")
+    warc.write(pages(spark, rows).coalesce(1), path)
+    counts = warc.read(spark, path).groupBy("archive").agg(F.count("*").alias("n"), F.max("payload_bytes").alias("b")).collect()
+    assert sum(r.n for r in counts) == 90 and {(r.b, r.n) for r in counts} <= {(50, 16), (50, 14), (350, 4), (350, 2), (5000, 1)}
+
+
 def test_loser_tree():
     rng = random.Random(2)
     rows = [(str(rng.randrange(40)), "t", rng.randrange(9), "", "", 0, "", None, "a", i) for i in range(500)]
