@@ -21,7 +21,7 @@ characters, THRESHOLD at most, so that lines of a few characters have to be equa
    one is equal, and the bucket is joined block by block, which is exact. Of the pairs
    that meet, those with more flips than the edits allow drop out in the join, and
    each is made in the first block that is equal.
-5. Candidates are cut finer: of 4 x THRESHOLD even parts of one line all but as many as there
+5. Candidates are cut finer: of 2 x THRESHOLD + 1 even parts of one line all but as many as there
    may be edits must stand in the other line too, near their own place (`enough_parts`). What is left
    is verified by a banded bit-parallel edit distance: the band of 2 x THRESHOLD + 1 rows around the diagonal is one BIGINT for the rises and one for the
    falls, and `aggregate` moves both along the other line (see `banded_distance`). Edits
@@ -112,31 +112,35 @@ def _key(chars: Column, k: int, start: Column, size: Column) -> Column:
     return F.xxhash64(chars, F.lit(k), part)
 
 
-def index_keys(c: DataFrame, threshold: int) -> DataFrame:
-    listed = []
+def _keys(c: DataFrame, chars: Column, threshold: int, shifts: Callable[[int, int], list[int]]) -> DataFrame:
+    """(id, key) of the segments that a line of so many characters is cut into, each at the given shifts. One scan for
+    lines of all classes."""
+    of_class = F.array().cast("array<bigint>")
     for t in range(1, threshold + 1):
         keys = []
         for k in range(t + 1):
-            start, size = segment(F.col("chars"), k, t)
-            keys.append(_key(F.col("chars"), k, start, size))
-        listed.append(c.where(edits(F.col("chars"), threshold) == t).select("id", F.explode(F.array(*keys)).alias("key")))
-    return reduce(DataFrame.union, listed)
+            start, size = segment(chars, k, t)
+            keys += [_key(chars, k, start + shift, size) for shift in shifts(t, k)]
+        of_class = F.when(edits(chars, threshold) == t, F.array(*keys)).otherwise(of_class) if keys else of_class
+    return c.select("id", F.explode(of_class).alias("key"))
+
+
+def index_keys(c: DataFrame, threshold: int) -> DataFrame:
+    return _keys(c, F.col("chars"), threshold, lambda t, k: [0])
 
 
-def probe_keys(c: DataFrame, threshold: int) -> DataFrame:
-    """Keys of indexed lines, not longer than this one, that it may be near to. Each length is a scan of
-    its own: the code that Spark makes for all keys at once is too long for the JVM to compile."""
-    asked = []
+def probe_keys(c: DataFrame, index: DataFrame, threshold: int) -> DataFrame:
+    """Keys of indexed lines, not longer than this one, that it may be near to. Those of its own segments are read from the index.
+    Each length is a scan of its own: the code that Spark makes for all keys at once is too long for the JVM to compile."""
+    asked = [index]
     for less in range(threshold + 1):
-        chars = F.col("chars") - less
-        for t in range(max(less, 1), threshold + 1):
-            keys = []
-            for k in range(t + 1):
-                start, size = segment(chars, k, t)
-                # by how much the segment may have moved: what came before it, and what comes after
-                low, high = max(-k, less - (t - k)), min(k, less + (t - k))
-                keys += [_key(chars, k, start + shift, size) for shift in range(low, high + 1)]
-            asked.append(c.where(edits(chars, threshold) == t).select("id", F.explode(F.array(*keys)).alias("key")))
+
+        def shifts(t: int, k: int, less: int = less) -> list[int]:
+            # by how much the segment may have moved: what came before it, and what comes after
+            low, high = max(-k, less - (t - k)), min(k, less + (t - k))
+            return [s for s in range(low, high + 1) if t >= less and (less or s)]
+
+        asked.append(_keys(c, F.col("chars") - less, threshold, shifts))
     return reduce(DataFrame.union, asked)
 
 
@@ -176,8 +180,8 @@ def _first_block(x: Column, y: Column, threshold: int) -> Column:
 
 def candidates(c: DataFrame, threshold: int) -> DataFrame:
     """(a, b) ids of contents that may be within the threshold, each pair once."""
-    index, probe = index_keys(c, threshold), probe_keys(c, threshold)
-    index = save(index, "segments")
+    index = save(index_keys(c, threshold), "segments")
+    probe = probe_keys(c, index, threshold)
     hot = save(index.groupBy("key").count().where(F.col("count") > HOT_BUCKET).select("key"), "hot")
     few = sized(hot)
     cold = lambda x: x.join(few, "key", "left_anti")
@@ -207,8 +211,14 @@ def banded_distance(a: Column, b: Column, threshold: int) -> Column:
     of two numbers: where the distance rises by one from the row above, and where it falls. The bits that
     match b[j] give the next column with one addition (Myers 1999, in the diagonal band of Hyyro 2003).
     The distance itself is followed down the diagonal that ends in the last cell."""
+    # bound once: inside the lambdas below, an expression over columns would be computed at every step
+    ends = F.struct(a.alias("a"), b.alias("b"), (F.size(a) - F.size(b)).alias("more"))
+    return _let(ends, lambda x: _banded(x["a"], x["b"], x["more"], threshold))
+
+
+def _banded(a: Column, b: Column, more: Column, threshold: int) -> Column:
     t, width = threshold, 2 * threshold + 1
-    full, m, n = (1 << width) - 1, F.size(a), F.size(b)
+    full = (1 << width) - 1
     number = lambda x: F.lit(x).cast("bigint")
 
     def matches(c: Column, j: Column) -> Column:
@@ -227,20 +237,20 @@ def banded_distance(a: Column, b: Column, threshold: int) -> Column:
                 (j + 1).alias("j"),
                 left.bitwiseOR(F.bitwise_not(lower.bitwiseOR(right)).bitwiseAND(number(full))).alias("rise"),
                 lower.bitwiseAND(right).alias("fall"),
-                (acc["distance"] + 1 - F.call_function("shiftright", same, m - n + t).bitwiseAND(number(1))).alias("distance"),
+                (acc["distance"] + 1 - F.call_function("shiftright", same, more + t).bitwiseAND(number(1))).alias("distance"),
             )
 
         # the distance never falls down a diagonal, so that it is settled once it is too large
         return F.when(acc["distance"] > t, acc).otherwise(_let(matches(c, j), column))
 
-    start = F.struct(F.lit(0).alias("j"), number(full - (1 << t) + 1).alias("rise"), number(0).alias("fall"), F.greatest(m - n, F.lit(0)).cast("bigint").alias("distance"))
+    start = F.struct(F.lit(0).alias("j"), number(full - (1 << t) + 1).alias("rise"), number(0).alias("fall"), F.greatest(more, F.lit(0)).cast("bigint").alias("distance"))
     return F.aggregate(b, start, step, lambda acc: acc["distance"])
 
 
 def enough_parts(a: Column, b: Column, allowed: Column, threshold: int) -> Column:
     """Whether two lines can be within the allowed edits: an edit touches one part of a at most, and the others are
     as they were, moved by no more than the edits."""
-    parts = 4 * threshold
+    parts = 2 * threshold + 1
     size = F.floor(F.length(a) / parts).cast("int")
     kept = []
     for k in range(parts):
@@ -252,8 +262,7 @@ def enough_parts(a: Column, b: Column, allowed: Column, threshold: int) -> Colum
 
 def verified(pairs: DataFrame, c: DataFrame, threshold: int, in_bytes: bool = False) -> DataFrame:
     """(id, id2, first): contents with the first place of an earlier near content."""
-    raw = lambda x: F.col(x).cast("binary") if in_bytes else F.col(x)
-    units = lambda x: F.split(F.decode(raw(x), "ISO-8859-1") if in_bytes else F.col(x), "")
+    units = lambda x: F.split(F.decode(F.col(x).cast("binary"), "ISO-8859-1") if in_bytes else F.col(x), "")
     pairs = save(pairs, "pairs")
     ends = sized(save(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ends"))
     texts = save(c.join(ends, "id", "left_semi").select("id", "id2", "folded", "place", "chars"), "texts")
@@ -263,7 +272,9 @@ def verified(pairs: DataFrame, c: DataFrame, threshold: int, in_bytes: bool = Fa
     allowed = edits(F.least("chars_a", "chars_b"), threshold)
     if in_bytes:  # lines of nearly as many characters can differ by more bytes than the band is wide
         both = both.where(F.abs(F.octet_length("text_a") - F.octet_length("text_b")) <= allowed)
-    both = both.where(enough_parts(raw("text_a"), raw("text_b"), allowed, threshold))
+    as_bytes = enough_parts(F.col("text_a").cast("binary"), F.col("text_b").cast("binary"), allowed, threshold)
+    plain = (F.octet_length("text_a") == F.col("chars_a")) & (F.octet_length("text_b") == F.col("chars_b"))
+    both = both.where(as_bytes if in_bytes else F.when(plain, as_bytes).otherwise(enough_parts(F.col("text_a"), F.col("text_b"), allowed, threshold)))
     both = both.withColumns({"a_units": units("text_a"), "b_units": units("text_b")})
     near = both.where(banded_distance(F.col("a_units"), F.col("b_units"), threshold) <= allowed)
     later = F.when(F.col("place_a") < F.col("place_b"), F.struct(F.col("b").alias("id"), F.col("b2").alias("id2"))).otherwise(F.struct(F.col("a").alias("id"), F.col("a2").alias("id2")))

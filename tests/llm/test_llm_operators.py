@@ -156,6 +156,57 @@ def test_language_id(spark):
     assert {x.lang_pred for x in langid.report(docs(spark, texts, langs=[None] * 30)).collect()} == {"und"}
 
 
+def plain_grams(text):
+    """Buckets of the n-grams of one text, character by character."""
+    folded = ""
+    for c in text or "":
+        low = c.lower() if len(c.lower()) == 1 else c
+        if c.isalpha():
+            folded += low
+        elif not folded.endswith(" "):
+            folded += " "
+    out = []
+    for i in range(len(folded)):
+        h = 0
+        for n in range(1, 4):
+            if i + n > len(folded):
+                break
+            h = ((h ^ ord(folded[i + n - 1])) * 0x01000193 + n) & 0xFFFFFFFF
+            g = ((h ^ (h >> 15)) * 0x2C1B3C6D) & 0xFFFFFFFF
+            out.append(g >> 17)
+    return out
+
+
+@pytest.mark.parametrize("block", [None, 1, 2])
+def test_language_id_brute_force(spark, block):
+    texts = ["the house, and THE tree", "das Haus und der Baum", "la casa y el árbol", "le arbre; et la maison", "", None, "12 -- 3", "ǅungla İstanbul ß", "tree " * 4000, "der der the"] * 2
+    langs = ["en", "de", "es", "fr", "en", "de", None, "hr", "en", None] * 2
+    d = docs(spark, texts, langs=langs)
+    counts, documents = {}, Counter()
+    for t, lang in zip(texts, langs, strict=True):
+        if lang:
+            counts.setdefault(lang, Counter()).update(plain_grams(t))
+            documents[lang] += 1
+    table = {k: {b: np.log((n + 0.5) / (sum(c.values()) + 0.5 * langid.BUCKETS)) for b, n in c.items()} for k, c in counts.items()}
+    rest = {k: np.log(0.5 / (sum(c.values()) + 0.5 * langid.BUCKETS)) for k, c in counts.items()}
+    rows = langid.predict(d.select("doc_id", "text", F.lit(1).alias("language")), langid.train(d), block=block).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        t = texts[r.doc_id]
+        if not any(c.isalpha() for c in t or ""):
+            assert r.language == ("und", 0.0)
+            continue
+        total = {k: np.log(documents[k] / sum(documents.values())) + sum(table[k].get(b, rest[k]) for b in plain_grams(t)) for k in table}
+        best = max(sorted(total), key=lambda k: total[k])
+        assert r.language.lang_pred == best and r.language.score == pytest.approx(1 / sum(np.exp(v - total[best]) for v in total.values()), rel=1e-3)
+
+
+def test_language_id_odd_tables(spark):
+    assert langid.report(docs(spark, [])).count() == 0
+    r = langid.report(docs(spark, ["the tree"] * 3 + ["der Baum"] * 2, langs=["en"] * 3 + ["de"] * 2, ids=[None, 4, 4, 5, None])).collect()
+    assert len(r) == 5 and not any(x.held_out for x in r if x.doc_id is None)
+
+
 def test_language_id_held_out_accuracy(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     r = langid.report(d).join(d.select("doc_id", "lang"), "doc_id").where("held_out")
@@ -465,6 +516,27 @@ def test_quality_brute_force_sites(spark):
     assert quality.report(d, labels.limit(0)).count() == 42 and quality.report(docs(spark, []), labels).count() == 0
 
 
+def test_quality_of_documents_by_hand(spark):
+    """The document model and both parts together, with repeated rows, ties and very long texts."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices(["river", "stone", "walks", "Quiet."], k=rng.randrange(5, 90))) for _ in range(40)] + ["".join(rng.choices("#$%& x", k=200)) for _ in range(20)] + ["long words " * 20_000, None, ""]
+    texts += texts[:5]
+    ids = [*range(63), *range(5)]
+    d = docs(spark, texts, ids=ids, sources=[f"h{i % 3}" for i in range(len(texts))])
+    labels = spark.createDataFrame([(i, int(i < 40), 0) for i in range(60)], "doc_id bigint, quality int, toxic int")
+    r = quality.of_documents(d, labels).collect()
+    w, mean, scale = quality.fit(d, labels)
+    x = quality.features(pa.array(texts))
+    by_text = {t: float(np.clip((f - mean) / scale, -8, 8) @ w[:-1] + w[-1]) for t, f in zip(texts, x, strict=True)}
+    rate = (45 + 1) / (65 + 2)  # five rows stand twice
+    assert len(r) == len(texts)
+    for row in r:
+        assert row["__doc"] == pytest.approx(by_text[row.text])
+        odds = row["__doc"] - np.log(rate / (1 - rate)) + np.log(row["__site"] / (1 - row["__site"]))
+        assert row["__quality"] == pytest.approx(1 / (1 + np.exp(-odds)))
+    assert (x[62] == quality.features(pa.array([""]))[0]).all() and set(d.columns) < set(r[0].asDict())
+
+
 def test_quality_on_the_tables(spark):
     d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     r = quality.report(d, labels).withColumnRenamed("quality", "p").join(labels, "doc_id")
