@@ -2,27 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.operators.panel import SERIES
 from furrow.operators.trend import trend_feature
 
 
-def null_model(labels: DataFrame) -> DataFrame:
-    """Prediction: the mean of the unit's other years. A null label is predicted but not trained on."""
+def null_prediction() -> Column:
+    """The mean of the unit's other years. A null label is predicted but not trained on."""
     w = Window.partitionBy(*SERIES)
     own = F.coalesce(F.col("yield"), F.lit(0.0))
     n = F.count("yield").over(w) - F.col("yield").isNotNull().cast("int")
-    return labels.withColumn("predicted", (F.sum("yield").over(w) - own) / F.nullif(n, F.lit(0)))
-
-
-def trend_model(labels: DataFrame, first_year: int) -> DataFrame:
-    return trend_feature(labels, first_year).withColumnRenamed("trend", "predicted").drop("mean", "accepted")
+    return (F.sum("yield").over(w) - own) / F.nullif(n, F.lit(0))
 
 
-def peak_model(labels: DataFrame, x: str) -> DataFrame:
-    """Prediction: the unit's regression of yield on x over the other years, from totals less the row's own terms."""
+def peak_prediction(x: str) -> Column:
+    """The unit's regression of yield on x over the other years, from totals less the row's own terms."""
     w = Window.partitionBy(*SERIES)
     use = F.col("yield").isNotNull() & F.col(x).isNotNull()
     terms = {"n": F.lit(1.0), "x": F.col(x), "y": F.col("yield"), "xy": F.col(x) * F.col("yield"), "xx": F.col(x) * F.col(x)}
@@ -30,17 +26,35 @@ def peak_model(labels: DataFrame, x: str) -> DataFrame:
     det = total["n"] * total["xx"] - total["x"] * total["x"]
     slope = (total["n"] * total["xy"] - total["x"] * total["y"]) / F.nullif(F.when(F.abs(det) > 1e-9, det), F.lit(0.0))
     intercept = (total["y"] - slope * total["x"]) / F.nullif(total["n"], F.lit(0.0))
-    return labels.withColumn("predicted", slope * F.col(x) + intercept)
+    return slope * F.col(x) + intercept
 
 
-def not_negative(rows: DataFrame, column: str = "predicted") -> DataFrame:
+def null_model(labels: DataFrame) -> DataFrame:
+    return labels.withColumn("predicted", null_prediction())
+
+
+def trend_model(labels: DataFrame, first_year: int) -> DataFrame:
+    return trend_feature(labels, first_year).withColumnRenamed("trend", "predicted").drop("mean", "accepted")
+
+
+def peak_model(labels: DataFrame, x: str) -> DataFrame:
+    return labels.withColumn("predicted", peak_prediction(x))
+
+
+def at_least_zero(value: Column) -> Column:
     """Negative predictions become 0; nulls stay."""
-    return rows.withColumn(column, F.when(F.col(column).isNotNull(), F.greatest(F.col(column), F.lit(0.0))))
+    return F.when(value.isNotNull(), F.greatest(value, F.lit(0.0)))
+
+
+def not_negative(rows: DataFrame, column: str = "predicted") -> DataFrame:
+    return rows.withColumn(column, at_least_zero(F.col(column)))
 
 
 def runs(labels: DataFrame, peaks: DataFrame, first_year: int) -> DataFrame:
-    """run_id, model, adm_id, crop, year, y_true, y_pred, area of the three benchmarks. peaks: adm_id, year, peak."""
-    parts = []
-    for k, (name, df) in enumerate((("Null_model", null_model(labels)), ("Trend", trend_model(labels, first_year)), ("PeakModel", peak_model(labels.join(peaks, ["adm_id", "year"], "left"), "peak"))), 1):
-        parts.append(not_negative(df).select(F.lit(k).alias("run_id"), F.lit(name).alias("model"), *SERIES, "year", F.col("yield").alias("y_true"), F.round("predicted", 6).alias("y_pred"), "area"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """run_id, model, adm_id, crop, year, y_true, y_pred, area of the three benchmarks. peaks: adm_id, year, peak.
+    One panel: the three predictions are columns of one pass of windows over the series, and then become rows."""
+    panel = trend_feature(labels.join(peaks, ["adm_id", "year"], "left"), first_year).withColumns({"__null": null_prediction(), "__peak": peak_prediction("peak")})
+    models = [("Null_model", "__null"), ("Trend", "trend"), ("PeakModel", "__peak")]
+    rows = [F.struct(F.lit(k).alias("run_id"), F.lit(name).alias("model"), F.round(at_least_zero(F.col(c)), 6).alias("y_pred")) for k, (name, c) in enumerate(models, 1)]
+    each = panel.select(F.inline(F.array(*rows)), *SERIES, "year", F.col("yield").alias("y_true"), "area")
+    return each.select("run_id", "model", *SERIES, "year", "y_true", "y_pred", "area")

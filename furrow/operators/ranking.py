@@ -40,10 +40,13 @@ def ties_of_best(runs: DataFrame, by: list[str], metric: str) -> DataFrame:
 
 
 def hybrid(res: DataFrame, metric: str = "rmse") -> DataFrame:
-    """A pseudo-run per crop that takes each unit's best run: its predictions, under run_id -1."""
-    units = metrics.by_unit(res).withColumn(metric, F.round(metric, 6))
-    chosen = best(units, ["crop", "adm_id"], metric).select("crop", "adm_id", "run_id")
-    picked = res.join(chosen, ["crop", "adm_id", "run_id"], "left_semi")
+    """A pseudo-run per crop that takes each unit's best run: its predictions, under run_id -1. The runs' errors
+    and the choice are windows over the series that the rows are grouped by already, not a join with them."""
+    w, gap = Window.partitionBy("crop", "adm_id", "run_id"), F.col("y_true") - F.col("y_pred")
+    error = {"rmse": F.sqrt(F.avg(gap * gap).over(w)), "mae": F.avg(F.abs(gap)).over(w), "rrmse_prct": F.sqrt(F.avg(gap * gap).over(w)) / F.nullif(F.avg("y_true").over(w), F.lit(0.0)) * 100}[metric]
+    own = res.withColumn("__error", F.round(error, 6))
+    chosen = F.min(F.when(F.col("__error").isNotNull(), F.struct("__error", "run_id"))).over(Window.partitionBy("crop", "adm_id"))
+    picked = own.withColumn("__chosen", chosen["run_id"]).where(F.col("run_id") == F.col("__chosen")).drop("__error", "__chosen")
     return picked.withColumns({"run_id": F.lit(-1), "model": F.lit("BestByAdmin")})
 
 
@@ -69,7 +72,7 @@ def better_benchmarks(summary: DataFrame, model: str, metric: str = "rrmse_prct"
 def unit_errors(res: DataFrame, weights: DataFrame, names: DataFrame) -> DataFrame:
     """Per run and unit its errors, name, weight and share of the crop's weight."""
     w = Window.partitionBy("run_id", "crop")
-    j = metrics.by_unit(res).join(F.broadcast(names), "adm_id", "left").join(F.broadcast(weights), ["adm_id", "crop"], "left")
+    j = metrics.by_unit(res).join(names, "adm_id", "left").join(weights, ["adm_id", "crop"], "left")
     return j.withColumns({"weight_prct": F.col("weight") / F.sum("weight").over(w) * 100, "weighted_rrmse": F.col("rrmse_prct") * F.col("weight") / F.sum("weight").over(w)})
 
 
