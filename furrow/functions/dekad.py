@@ -119,3 +119,20 @@ def season_year(date: Column, sos: int, eos: int) -> Column:
 
 def issue_month(month: Column) -> Column:
     return _int(F.pmod(month, F.lit(12)) + 1)
+
+
+def parsed(text: Column, pattern: str) -> Column:
+    """A date, or null where the text is none."""
+    return F.try_to_timestamp(text, F.lit(pattern)).cast("date")
+
+
+def current() -> Column:
+    """The dekad of today."""
+    return from_date(F.current_date())
+
+
+def calendar(spark, sos: int, eos: int):
+    """The season's months: month_index from 1, month, and how much of the season is over at the month's end, in percent."""
+    n = season_length(sos, eos)
+    idx = spark.range(1, n + 1).select(F.col("id").cast("int").alias("month_index"))
+    return idx.select("month_index", (F.pmod(F.col("month_index") + sos - 2, F.lit(12)) + 1).cast("int").alias("month"), (F.col("month_index") * 100.0 / n).alias("progress"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -80,3 +82,31 @@ def percentile_position(grid: Column, value: Column) -> Column:
 
 def percentile_grid(value: Column) -> Column:
     return F.percentile(value, [i / 100 for i in range(101)])
+
+
+def pairs(x: Column, y: Column) -> Column:
+    return F.count(both(x, y, F.lit(1)))
+
+
+def pearson_finite(x: Column, y: Column) -> Column:
+    """Correlation over pairs that are both finite numbers; null for fewer than two of them."""
+    finite = lambda c: F.when(c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")), c)
+    x, y = finite(x), finite(y)
+    return F.when(pairs(x, y) >= 2, pearson(x, y))
+
+
+def taylor(p: Column, t: Column) -> dict[str, Column]:
+    """What a Taylor diagram shows, for one agg(): spreads, centred root mean square difference, correlation."""
+    a, b = both(p, t, p), both(p, t, t)
+    return {"n": pairs(p, t), "sd_true": F.stddev_pop(b), "sd_pred": F.stddev_pop(a), "centred_rmsd": F.sqrt(F.var_pop(a - b)), "r": pearson(p, t)}
+
+
+def t_two_sided(t: Column, df: Column) -> Column:
+    """Two-sided p-value of Student's t, by an Arrow function over what are few rows after an aggregate."""
+    def of(t: pa.Array, df: pa.Array) -> pa.Array:
+        from furrow.operators.learn import t_density_area
+
+        ts, dfs = np.array(t.to_pylist(), float), np.array(df.to_pylist(), float)
+        return pa.array([None if np.isnan(a) or not n >= 1 else max(1 - 2 * t_density_area(abs(a), n), 0.0) for a, n in zip(ts, dfs, strict=True)], pa.float64())
+
+    return F.arrow_udf(of, "double")(t, df.cast("double"))

@@ -54,6 +54,17 @@ def season_months(ind: DataFrame, sos: int, eos: int) -> DataFrame:
     return s.withColumn("dropped", (rank <= 2) & (F.col("months") < dekad.season_length(sos, eos)))
 
 
+def complete_seasons(ind: DataFrame, sos: int, eos: int) -> DataFrame:
+    """Seasonal rows without those of the first two seasons if they are incomplete."""
+    gone = season_months(ind, sos, eos).where("dropped").select("season_year")
+    return seasonal(ind, sos, eos).join(gone, "season_year", "left_anti")
+
+
+def issued_earlier(ind: DataFrame, prefix: str = "SF_") -> DataFrame:
+    """Seasonal forecasts dated a month earlier: the month in which they are known."""
+    return ind.withColumn("date", F.when(F.col("variable_name").contains(prefix), F.add_months("date", -1)).otherwise(F.col("date")))
+
+
 def season_features(ind: DataFrame, sos: int, eos: int) -> DataFrame:
     """Long features: adm_id, season_year, variable_name, month_index, feature, value."""
     s = seasonal(ind, sos, eos)

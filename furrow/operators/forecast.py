@@ -68,7 +68,7 @@ def exchange(rows: DataFrame, regions: DataFrame, recode: dict[str, str], unit:
     """The exchange format: region names joined, crops recoded, constants filled, columns in the template's order."""
     names = F.create_map(*(F.lit(x) for kv in recode.items() for x in kv)) if recode else None
     crop = F.coalesce(names[F.col("crop")], F.col("crop")) if recode else F.col("crop")
-    j = rows.join(F.broadcast(regions), "adm_id")
+    j = rows.join(regions, "adm_id")
     return j.select("region", "adm_name", "adm_id", crop.alias("crop_name"), F.lit("yield").alias("variable"), F.round("fyield", 3).alias("value"), F.lit(unit).alias("unit"), F.round("p10", 3).alias("low"), F.round("p90", 3).alias("high"), F.lit("forecast").alias("status"))
 
 

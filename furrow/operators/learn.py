@@ -1,5 +1,6 @@
-"""Model kernels under nested leave-one-year-out validation. Spark deals out one task per
-(crop, held-out year); inside a task numpy fits small matrices."""
+"""Kernel and network regressions under nested leave-one-year-out validation, trees of Spark ML, and paired tests.
+Spark deals out one task per (crop, held-out year); inside a task numpy fits small matrices. Linear models and
+components need no such tasks: see `tuning`."""
 
 from __future__ import annotations
 
@@ -14,27 +15,6 @@ from pyspark.sql import functions as F
 Fit = Callable[[np.ndarray, np.ndarray], Callable[[np.ndarray], np.ndarray]]
 
 
-def lasso(alpha: float, steps: int = 500) -> Fit:
-    """(1/2n) |y - Xw - b|^2 + alpha |w|_1 by coordinate descent."""
-
-    def fit(x, y):
-        mx, my = x.mean(axis=0), y.mean()
-        z, r = x - mx, y - my
-        w, norm = np.zeros(x.shape[1]), (z * z).mean(axis=0) + 1e-12
-        for _ in range(steps):
-            most = 0.0
-            for j in range(len(w)):
-                rho = (z[:, j] * r).mean() + norm[j] * w[j]
-                new = math.copysign(max(abs(rho) - alpha, 0.0), rho) / norm[j]
-                r += z[:, j] * (w[j] - new)
-                most, w[j] = max(most, abs(w[j] - new)), new
-            if most < 1e-9:
-                break
-        return lambda q: (q - mx) @ w + my
-
-    return fit
-
-
 def _rbf(a, b, gamma):
     return np.exp(-gamma * ((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
 
@@ -95,7 +75,6 @@ def mlp(hidden: int, l2: float, steps: int = 300, rate: float = 0.05) -> Fit:
 
 
 GRIDS: dict[str, dict[str, Fit]] = {
-    "lasso": {f"alpha={a}": lasso(a) for a in (0.01, 0.1, 1.0, 10.0)},
     "svr": {f"c={c},gamma={g}": svr(c, g) for c in (1.0, 10.0) for g in (0.1,)},
     "gpr": {f"gamma={g},noise={n}": gaussian_process(g, n) for g in (0.05, 0.5) for n in (0.1, 1.0)},
     "mlp": {f"hidden={h},l2={p}": mlp(h, p) for h in (4,) for p in (0.001, 0.1)},
@@ -140,33 +119,14 @@ def trees(table: DataFrame, features: list[str], kind: str, year: int) -> DataFr
     from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 
     t = table.dropna(subset=[*features, "yield"])
-    t = StringIndexer(inputCol="crop", outputCol="crop_index", stringOrderType="alphabetAsc").fit(t).transform(t)
-    t = VectorAssembler(inputCols=[*features, "crop_index", "adm_id"], outputCol="x").transform(t)
-    model = (RandomForestRegressor if kind == "forest" else GBTRegressor)(featuresCol="x", labelCol="yield", predictionCol="y_pred", maxDepth=5, seed=1)
+    t = StringIndexer(inputCol="crop", outputCol="__crop", stringOrderType="alphabetAsc").fit(t).transform(t)
+    t = VectorAssembler(inputCols=[*features, "__crop", "adm_id"], outputCol="__x").transform(t)
+    model = (RandomForestRegressor if kind == "forest" else GBTRegressor)(featuresCol="__x", labelCol="yield", predictionCol="y_pred", maxDepth=5, seed=1)
     if kind == "boosted":
         model = model.setMaxIter(10)
     return model.fit(t.where(F.col("year") != year)).transform(t.where(F.col("year") == year)).select("crop", "adm_id", "year", F.round("y_pred", 4).alias("y_pred"))
 
 
-def pca(table: DataFrame, by: list[str], features: list[str], keep: float) -> DataFrame:
-    """by, adm_id, year, pc (from 1), value: components up to the first that brings the explained variance above `keep`."""
-    schema = ", ".join(f"{c} {dict(table.dtypes)[c]}" for c in by)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=features).sort_values(["adm_id", "year"])
-        x = pdf[features].to_numpy()
-        z = (x - x.mean(axis=0)) / np.where(x.std(axis=0) > 0, x.std(axis=0), 1)
-        u, s, vt = np.linalg.svd(z, full_matrices=False)
-        share = np.cumsum(s * s) / max((s * s).sum(), 1e-12)
-        n = int(np.searchsorted(share, keep, "right")) + 1
-        n = min(n, len(s))
-        vt = vt * np.sign(vt[np.arange(len(vt)), np.abs(vt).argmax(axis=1)])[:, None]
-        scores = np.round(z @ vt[:n].T, 6)
-        return pd.concat([pdf[[*by, "adm_id", "year"]].assign(pc=k + 1, value=scores[:, k]) for k in range(n)])
-
-    return table.groupBy(*by).applyInPandas(run, f"{schema}, adm_id int, year int, pc int, value double")
-
-
 def normal_sf(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
@@ -186,25 +146,43 @@ def wilcoxon(d: np.ndarray) -> tuple[float, float]:
 
 
 def shapiro(x: np.ndarray) -> tuple[float, float]:
-    """(W, p) by Royston's approximation, for 12 to 5000 values; (nan, nan) otherwise or for constants."""
+    """(W, p) by Royston's approximation (1995), for 3 values and more; (nan, nan) for fewer and for constants.
+    The coefficients below are fixed values of the published approximation."""
     x = np.sort(x[~np.isnan(x)])
     n = len(x)
-    if not 12 <= n <= 5000 or x[0] == x[-1]:
+    if n < 3 or x[0] == x[-1]:
         return math.nan, math.nan
-    m = np.array([_normal_quantile((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
-    u, mm = 1 / math.sqrt(n), float(m @ m)
-    c = m / math.sqrt(mm)
-    a = c.copy()
-    a[-1] = c[-1] + np.polyval([-2.706056, 4.434685, -2.07119, -0.147981, 0.221157, 0], u)
-    a[-2] = c[-2] + np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, 0], u)
-    phi = (mm - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * a[-1] ** 2 - 2 * a[-2] ** 2)
-    a[2:-2] = m[2:-2] / math.sqrt(phi)
-    a[0], a[1] = -a[-1], -a[-2]
-    w = float((a @ x) ** 2 / ((x - x.mean()) ** 2).sum())
+    if n == 3:
+        a = np.array([-math.sqrt(0.5), 0.0, math.sqrt(0.5)])
+    else:
+        m = np.array([_normal_quantile((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+        u, mm = 1 / math.sqrt(n), float(m @ m)
+        a = m / math.sqrt(mm)
+        last = a[-1] + np.polyval([-2.706056, 4.434685, -2.07119, -0.147981, 0.221157, 0], u)
+        if n > 5:
+            second = a[-2] + np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, 0], u)
+            phi = (mm - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * second**2)
+            a = m / math.sqrt(phi)
+            a[-2], a[1] = second, -second
+        else:
+            a = m / math.sqrt((mm - 2 * m[-1] ** 2) / (1 - 2 * last**2))
+        a[-1], a[0] = last, -last
+    w = min(float((a @ x) ** 2 / ((x - x.mean()) ** 2).sum()), 1.0)
+    if n == 3:
+        return w, max(6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))), 0.0)
+    if w == 1.0:
+        return w, 1.0
     ln = math.log(n)
-    mu = np.polyval([0.0038915, -0.083751, -0.31082, -1.5861], ln)
-    sigma = math.exp(np.polyval([0.0030302, -0.082676, -0.4803], ln))
-    return w, normal_sf((math.log(1 - w) - mu) / sigma) if w < 1 else 1.0
+    if n <= 11:
+        gamma = 0.459 * n - 2.273
+        if math.log(1 - w) >= gamma:
+            return w, 0.0
+        y, mu = -math.log(gamma - math.log(1 - w)), np.polyval([-0.0006714, 0.025054, -0.39978, 0.544], n)
+        sigma = math.exp(np.polyval([-0.0020322, 0.062767, -0.77857, 1.3822], n))
+    else:
+        y, mu = math.log(1 - w), np.polyval([0.0038915, -0.083751, -0.31082, -1.5861], ln)
+        sigma = math.exp(np.polyval([0.0030302, -0.082676, -0.4803], ln))
+    return w, normal_sf((y - mu) / sigma)
 
 
 def _normal_quantile(p: float) -> float:
@@ -213,29 +191,34 @@ def _normal_quantile(p: float) -> float:
     return NormalDist().inv_cdf(p)
 
 
+def t_density_area(t: float, df: float) -> float:
+    """P(0 < T < t) of Student's t; the substitution t = sqrt(df) tan(a) bounds what is integrated."""
+    a = np.linspace(0, math.atan(t / math.sqrt(df)), 4001)
+    c = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(math.pi)
+    return float(np.trapezoid(c * np.cos(a) ** (df - 1), a))
+
+
 def t_test(d: np.ndarray) -> tuple[float, float]:
-    """(t, one-sided p of a mean above 0); the p-value integrates the t density."""
+    """(t, one-sided p of a mean above 0)."""
     n = len(d)
     if n < 2 or d.std(ddof=1) == 0:
         return math.nan, math.nan
-    t, df = float(d.mean() / (d.std(ddof=1) / math.sqrt(n))), n - 1
-    x = np.linspace(0, abs(t), 4001)
-    c = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi)
-    half = float(np.trapezoid(c * (1 + x * x / df) ** (-(df + 1) / 2), x))
+    t = float(d.mean() / (d.std(ddof=1) / math.sqrt(n)))
+    half = t_density_area(abs(t), n - 1)
     return t, 0.5 - half if t > 0 else 0.5 + half
 
 
 def paired_tests(pairs: DataFrame, by: list[str], x: str, y: str, alpha: float = 0.05) -> DataFrame:
     """Per group: normality of the differences x - y, both one-sided tests, and the one that applies: the
     signed-rank test where normality is not rejected and the t test where it is (as in the analysis this
-    reproduces), under `inverted`; `standard` chooses the other way round."""
+    reproduces), under `inverted_p`; `standard_p` chooses the other way round. Both are null where normality can't be tested."""
     schema = ", ".join(f"{c} {dict(pairs.dtypes)[c]}" for c in by)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         d = (pdf[x] - pdf[y]).dropna().to_numpy()
         (w, p_w), (t, p_t), (s, p_s) = wilcoxon(d), t_test(d), shapiro(d)
-        normal = not p_s <= alpha
-        row = {c: pdf[c].iloc[0] for c in by} | {"n": len(d), "shapiro_w": s, "shapiro_p": p_s, "w_plus": w, "wilcoxon_p": p_w, "t": t, "t_p": p_t, "inverted_p": p_w if normal else p_t, "standard_p": p_t if normal else p_w}
+        chosen = (math.nan, math.nan) if math.isnan(p_s) else (p_t, p_w) if p_s <= alpha else (p_w, p_t)
+        row = {c: pdf[c].iloc[0] for c in by} | {"n": len(d), "shapiro_w": s, "shapiro_p": p_s, "w_plus": w, "wilcoxon_p": p_w, "t": t, "t_p": p_t, "inverted_p": chosen[0], "standard_p": chosen[1]}
         return pd.DataFrame([row])
 
     names = ("shapiro_w", "shapiro_p", "w_plus", "wilcoxon_p", "t", "t_p", "inverted_p", "standard_p")

@@ -42,12 +42,12 @@ def lowest_quartile(res: DataFrame) -> DataFrame:
     """Errors of the national series in the years whose truth is in the lowest quartile."""
     c = country(res)
     q = c.groupBy(*RUN).agg(F.percentile("y_true", 0.25).alias("q1"))
-    return overall(c.join(F.broadcast(q), RUN).where(F.col("y_true") <= F.col("q1") + 1e-9)).select(*RUN, "n", "rmse", "rrmse_prct")
+    return overall(c.join(q, RUN).where(F.col("y_true") <= F.col("q1") + 1e-9)).select(*RUN, "n", "rmse", "rrmse_prct")
 
 
 def weighted(res: DataFrame, weights: DataFrame) -> DataFrame:
     """RMSE with a weight per unit and crop; the relative value divides by the unweighted mean truth."""
     p, t = _p()
-    j = res.join(F.broadcast(weights), ["adm_id", "crop"], "left")
+    j = res.join(weights, ["adm_id", "crop"], "left")
     r = stats.weighted_rmse(p, t, F.col("weight"))
     return j.groupBy(*RUN).agg(r.alias("wrmse"), stats.relative(r, t).alias("wrrmse_prct"))

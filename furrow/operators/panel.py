@@ -42,9 +42,9 @@ def fill(series: DataFrame, value: str) -> DataFrame:
     return series.withColumn(f"{value}_filled", F.coalesce(ahead, behind))
 
 
-def fill_with_first(series: DataFrame, value: str) -> DataFrame:
-    """Nulls take the group's first value by year."""
-    w = Window.partitionBy("adm_id").orderBy("year").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+def fill_with_first(series: DataFrame, value: str, order: list[str]) -> DataFrame:
+    """Nulls take the unit's first value in an order."""
+    w = Window.partitionBy("adm_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return series.withColumn(value, F.coalesce(F.col(value), F.first(value, ignorenulls=True).over(w)))
 
 
@@ -64,11 +64,14 @@ def flag_duplicates(labels: DataFrame) -> DataFrame:
     return labels.withColumn("duplicate", F.coalesce(F.col("yield") == before, F.lit(False)))
 
 
-def flag_outliers(labels: DataFrame, min_change: float = 75, z_limit: float = 3) -> DataFrame:
+def flag_outliers(labels: DataFrame, min_change: float = 75, z_limit: float = 3, first_year: int | None = None, last_year: int | None = None) -> DataFrame:
     """z (population) and percent difference from the series' mean over rows that are no duplicates; outlier is
-    Removed above, Flagged below, where both limits are passed."""
+    Removed above, Flagged below, where both limits are passed. Only rows from first_year to last_year are looked at."""
     w = Window.partitionBy(*SERIES)
-    v = F.when(~F.col("duplicate"), F.col("yield"))
+    looked_at = ~F.col("duplicate")
+    for year, ok in ((first_year, F.col("year") >= first_year), (last_year, F.col("year") <= last_year)):
+        looked_at = looked_at if year is None else looked_at & ok
+    v = F.when(looked_at, F.col("yield"))
     mean, sd = F.avg(v).over(w), F.stddev_pop(v).over(w)
     out = labels.withColumns({"z": (v - mean) / F.nullif(sd, F.lit(0.0)), "diff_prct": (v - mean) / F.nullif(mean, F.lit(0.0)) * 100})
     far = (F.abs("z") > z_limit) & (F.abs("diff_prct") >= min_change)
@@ -133,13 +136,11 @@ def crop_areas(labels: DataFrame) -> DataFrame:
     return c.crossJoin(F.broadcast(total)).withColumn("area_prct", F.col("area") / F.col("total") * 100).drop("total")
 
 
-def crop_correlation(labels: DataFrame, crops: list[str]) -> DataFrame:
-    """Correlation of the yields of each pair of crops over units and years: one pivot, one aggregate."""
-    wide = labels.groupBy("adm_id", "year").pivot("crop", crops).agg(F.first("yield"))
-    pairs = [(a, b) for i, a in enumerate(crops) for b in crops[i + 1 :]]
-    col = lambda c: F.col(f"`{c}`")
-    one = wide.agg(F.array(*(F.struct(F.lit(a).alias("crop_a"), F.lit(b).alias("crop_b"), stats.pearson(col(a), col(b)).alias("r"), F.count(stats.both(col(a), col(b), F.lit(1))).alias("n")) for a, b in pairs)).alias("p"))
-    return one.select(F.inline("p"))
+def crop_correlation(labels: DataFrame) -> DataFrame:
+    """Correlation of the yields of each pair of crops over units and years, from one row of all crops per unit and year."""
+    cell = labels.where("yield IS NOT NULL").groupBy("adm_id", "year").agg(F.array_sort(F.collect_list(F.struct("crop", "yield"))).alias("c"))
+    pairs = F.flatten(F.transform("c", lambda a: F.transform(F.filter("c", lambda b: b["crop"] > a["crop"]), lambda b: F.struct(a["crop"].alias("crop_a"), b["crop"].alias("crop_b"), a["yield"].alias("x"), b["yield"].alias("y")))))
+    return cell.select(F.inline(pairs)).groupBy("crop_a", "crop_b").agg(stats.pearson(F.col("x"), F.col("y")).alias("r"), F.count("*").alias("n"))
 
 
 def with_features(labels: DataFrame, features: DataFrame, until: int) -> DataFrame:
@@ -158,4 +159,4 @@ def latest_set(rows: DataFrame, name: str, order: list[str]) -> DataFrame:
 
 def subset_by(labels: DataFrame, attributes: DataFrame, keep: str) -> DataFrame:
     """Rows of units whose attributes meet a condition."""
-    return labels.join(F.broadcast(attributes.where(keep).select("adm_id").distinct()), "adm_id", "left_semi")
+    return labels.join(attributes.where(keep).select("adm_id").distinct(), "adm_id", "left_semi")

@@ -5,6 +5,8 @@ choice runs on the driver over a matrix whose size is the number of features squ
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,17 +32,31 @@ def relevance_classes(df: DataFrame, features: list[str], target: str) -> DataFr
     return a.select("feature", ((between / F.nullif(F.col("k") - 1, F.lit(0))) / F.nullif(F.col("within") / F.nullif(F.col("n") - F.col("k"), F.lit(0)), F.lit(0.0))).alias("f"))
 
 
+#: Ranges that a feature's values are cut into for running sums.
+RANGES = 64
+
+
 def relevance_ks(df: DataFrame, features: list[str], target: str) -> DataFrame:
-    """feature, ks: the Kolmogorov-Smirnov distance of each class from the rest, averaged over classes."""
+    """feature, ks: the Kolmogorov-Smirnov distance of each class from the rest, averaged over classes.
+
+    A running sum over all values of a feature would be one task. Values are dealt out over RANGES ranges that
+    their approximate quantiles bound; sums over whole ranges tell where each range begins, and running
+    sums are windows within a range. Where the bounds lie doesn't change the result."""
     long = df.where(F.col(target).isNotNull()).unpivot([target], features, "feature", "value").where("value IS NOT NULL")
+    cuts = long.groupBy("feature").agg(F.percentile_approx("value", [i / RANGES for i in range(1, RANGES)], 1000).alias("cuts"))
     values = long.groupBy("feature", "value", target).agg(F.count("*").alias("n"))
+    values = values.join(F.broadcast(cuts), "feature").withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
     classes = values.groupBy("feature", target).agg(F.sum("n").alias("n_class"))
     totals = values.groupBy("feature").agg(F.sum("n").alias("n_all"))
-    # each class against every distinct value of its feature, as running shares
-    at = values.groupBy("feature", "value").agg(F.sum("n").alias("n_value"))
-    grid = at.join(F.broadcast(classes), "feature").join(values, ["feature", "value", target], "left").join(F.broadcast(totals), "feature")
-    w = Window.partitionBy("feature", target).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    own, every = F.sum(F.coalesce("n", F.lit(0))).over(w), F.sum("n_value").over(w)
+    # each class against every distinct value of its feature, as running shares; a row per feature, class and range says what came before
+    at = values.groupBy("feature", "range", "value").agg(F.sum("n").alias("n_value"))
+    so_far = Window.partitionBy("feature", target).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    every_range = values.groupBy("feature", "range").agg(F.sum("n").alias("r_all")).join(classes, "feature")
+    own_range = values.groupBy("feature", "range", target).agg(F.sum("n").alias("r_own"))
+    begins = every_range.join(own_range, ["feature", "range", target], "left").select("feature", "range", target, "n_class", F.coalesce(F.sum("r_all").over(so_far), F.lit(0)).alias("all0"), F.coalesce(F.sum("r_own").over(so_far), F.lit(0)).alias("own0"))
+    grid = at.join(begins, ["feature", "range"]).join(values.drop("range"), ["feature", "value", target], "left").join(totals, "feature")
+    w = Window.partitionBy("feature", target, "range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    own, every = F.col("own0") + F.sum(F.coalesce("n", F.lit(0))).over(w), F.col("all0") + F.sum("n_value").over(w)
     gap = F.abs(own / F.col("n_class") - (every - own) / F.nullif(F.col("n_all") - F.col("n_class"), F.lit(0)))
     return grid.withColumn("gap", gap).groupBy("feature", target).agg(F.max("gap").alias("d")).groupBy("feature").agg(F.avg("d").alias("ks"))
 
@@ -61,29 +77,56 @@ def greedy(relevance: dict[str, float | None], r: dict[tuple[str, str], float |
     while left and len(chosen) < k:
         scores = []
         for f in left:
-            with_ = [c for c, _ in chosen if not same_domain or domain(c) == domain(f)]
-            red = [max(abs(r.get((f, c), r.get((c, f))) or 0.0), FLOOR) for c in with_]
-            d = (sum(red) / len(red) if mean else max(red)) if red else 1.0 if not chosen else FLOOR
+            # with same_domain, features of other domains count as unrelated
+            red = [max(abs(r.get((f, c), r.get((c, f))) or 0.0), FLOOR) if not same_domain or domain(c) == domain(f) else FLOOR for c, _ in chosen]
+            d = (sum(red) / len(red) if mean else max(red)) if red else 1.0
             scores.append(0.0 if chosen and d == 1.0 else relevance[f] / d)
         at = max(range(len(left)), key=lambda i: (scores[i], -i))
         chosen.append((left.pop(at), scores[at]))
     return chosen
 
 
-def mrmr(df: DataFrame, features: list[str], target: str, k: int, task: str = "regression", **options) -> DataFrame:
-    """rank, feature, score of the k chosen features."""
-    rel = (relevance_regression if task == "regression" else relevance_classes)(df, features, target).select("feature", "f").collect()
-    of = {x.feature: x.f for x in rel}
-    cors = {(x.a, x.b): x.r for x in correlations(df, features).collect()}
+def mrmr(df: DataFrame, features: list[str], target: str, k: int, task: str = "regression", relevance: Callable | None = None, redundancy: Callable | None = None, **options) -> DataFrame:
+    """rank, feature, score of the k chosen features. relevance(df, features, target) gives (feature, f), redundancy(df, features)
+    gives (a, b, r); by default they are the F statistic and Pearson's correlation. options are those of `greedy`."""
+    relevance = relevance or (relevance_regression if task == "regression" else relevance_classes)
+    of = {x.feature: x.f for x in relevance(df, features, target).select("feature", "f").collect()}
+    cors = {(x.a, x.b): x.r for x in (redundancy or correlations)(df, features).collect()}
     rows = [(i + 1, f, float(s)) for i, (f, s) in enumerate(greedy({f: of.get(f) for f in features}, cors, k, **options))]
     return df.sparkSession.createDataFrame(rows, "rank int, feature string, score double")
 
 
+def mrmr_regression(df: DataFrame, features: list[str], target: str, k: int, **options) -> DataFrame:
+    return mrmr(df, features, target, k, "regression", **options)
+
+
+def mrmr_classif(df: DataFrame, features: list[str], target: str, k: int, **options) -> DataFrame:
+    return mrmr(df, features, target, k, "classification", **options)
+
+
+def forest_importance(df: DataFrame, features: list[str], target: str, classes: bool = False, depth: int = 5, seed: int = 0) -> DataFrame:
+    """feature, f: importances of a random forest of Spark ML."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
+    from pyspark.ml.regression import RandomForestRegressor
+
+    t = df.dropna(subset=[*features, target])
+    if classes:
+        t = StringIndexer(inputCol=target, outputCol="__y", stringOrderType="alphabetAsc").fit(t).transform(t)
+    else:
+        t = t.withColumn("__y", F.col(target).cast("double"))
+    t = VectorAssembler(inputCols=features, outputCol="__x").transform(t)
+    model = (RandomForestClassifier if classes else RandomForestRegressor)(featuresCol="__x", labelCol="__y", maxDepth=depth, seed=seed).fit(t)
+    return df.sparkSession.createDataFrame(list(zip(features, map(float, model.featureImportances.toArray()), strict=True)), "feature string, f double")
+
+
 def percent_grid(n_features: int, percents: list[int]) -> list[tuple[int, int]]:
-    """(percent, number of features) without repeated numbers; of equal ones the largest percent stays."""
-    import math
+    """(percent, number of features), rounded half to even, without numbers below 1 and repeated ones; of equal numbers the largest percent stays."""
+    by_count = {round(n_features * p / 100): p for p in sorted(percents)}
+    return sorted((p, n) for n, p in by_count.items() if n >= 1)
+
 
-    by_count: dict[int, int] = {}
-    for p in sorted(percents):
-        by_count[max(1, math.ceil(n_features * p / 100))] = p
-    return sorted((p, n) for n, p in by_count.items())
+def best_count(scores: DataFrame) -> DataFrame:
+    """Of rows (crop, percent, n_features, score) the best score of each crop; of equal ones the larger number of features."""
+    w = Window.partitionBy("crop").orderBy(F.desc("score"), F.desc("n_features"))
+    return scores.withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k")

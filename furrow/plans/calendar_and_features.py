@@ -58,8 +58,7 @@ def season_index(spark, sf):
 r AS (SELECT wanted, month, round(progress, 6) AS progress, row_number() OVER (PARTITION BY wanted ORDER BY abs(progress - wanted), idx) AS k FROM w, c) SELECT CAST(wanted AS INT) AS wanted, month, progress, CAST(month % 12 + 1 AS INT) AS issue_month FROM r WHERE k = 1""",
 )
 def lead_time_month(spark, sf):
-    n = dekad.season_length(SOS, EOS)
-    cal = spark.range(1, n + 1).select(F.col("id").cast("int").alias("idx")).select("idx", (F.pmod(F.col("idx") + SOS - 2, F.lit(12)) + 1).cast("int").alias("month"), (F.col("idx") * 100.0 / n).alias("progress"))
+    cal = dekad.calendar(spark, SOS, EOS).withColumnRenamed("month_index", "idx")
     wanted = spark.createDataFrame([(25,), (50,), (75,), (100,)], "wanted int")
     near = wanted.crossJoin(F.broadcast(cal)).groupBy("wanted").agg(F.min_by(F.struct("month", "progress"), F.struct(F.abs(F.col("progress") - F.col("wanted")), "idx")).alias("m"))
     return near.select("wanted", "m.month", F.round("m.progress", 6).alias("progress"), dekad.issue_month(F.col("m.month")).alias("issue_month"))

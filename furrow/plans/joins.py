@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from furrow.operators import forecast, panel
-from furrow.plans.register import LABELS, query
+from furrow.plans.register import LABELS, SPARSE, query
 from furrow.sources import tables
 
 
-@query(
-    "operational_join",
-    f"WITH {LABELS}, l AS (SELECT adm_id, crop, year, yield FROM labels WHERE year <= 1999 AND crop = 'PROMO'), f AS (SELECT adm_id, CAST(year(day) AS INT) AS year, round(avg(l_tax), 6) AS x FROM sales WHERE year(day) >= 1997 AND adm_id < 20 GROUP BY 1, 2) SELECT coalesce(l.adm_id, f.adm_id) AS adm_id, crop, coalesce(l.year, f.year) AS year, yield, x FROM l FULL JOIN f ON l.adm_id = f.adm_id AND l.year = f.year WHERE coalesce(l.year, f.year) <= 2000",
-)
+_CUSTOMER_YEARS = "f AS (SELECT CAST(c_nationkey AS INT) AS adm_id, CAST(year(o_orderdate) AS INT) AS year, round(avg(o_totalprice), 4) AS x FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)"
+
+
+@query("operational_join", f"WITH {SPARSE}, {_CUSTOMER_YEARS} SELECT coalesce(l.adm_id, f.adm_id) AS adm_id, crop, coalesce(l.year, f.year) AS year, yield, x FROM labels l FULL JOIN f ON l.adm_id = f.adm_id AND l.year = f.year WHERE coalesce(l.year, f.year) <= 2000")
 def operational_join(spark, sf):
-    labels = tables.labels(spark, sf).where("year <= 1999 AND crop = 'PROMO'").select("adm_id", "crop", "year", "yield")
-    sales = tables._sales(spark, sf).where("adm_id < 20").withColumn("year", F.year("day")).where("year >= 1997")
-    return panel.with_features(labels, sales.groupBy("adm_id", "year").agg(F.round(F.avg("l_tax"), 6).alias("x")), 2000)
+    customer = tables.read(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("int").alias("adm_id"))
+    orders = tables.read(spark, sf, "orders").join(customer, "o_custkey").groupBy("adm_id", F.year("o_orderdate").alias("year")).agg(F.round(F.avg("o_totalprice"), 4).alias("x"))
+    return panel.with_features(tables.labels(spark, sf, crop="p_brand").select("adm_id", "crop", "year", "yield"), orders, 2000)
 
 
 _CUSTOMER_ORDERS = "r AS (SELECT CAST(c_nationkey AS INT) AS adm_id, c_mktsegment AS shape, CAST(year(o_orderdate) AS INT) AS year, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey)"

@@ -57,7 +57,7 @@ def ffill_bfill(spark, sf):
     return panel.fill(panel.complete_grid(_ps(spark, sf)), "yield").select("adm_id", "crop", "year", "yield_filled")
 
 
-_SYSTEMS = "sys AS (SELECT DISTINCT CAST(s_nationkey AS INT) AS adm_id, p_brand AS crop, CAST(year(l_shipdate) AS INT) AS year, l_returnflag AS system FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE l_quantity > 45)"
+_SYSTEMS = "sys AS (SELECT DISTINCT CAST(s_nationkey AS INT) AS adm_id, p_brand AS crop, CAST(year(l_shipdate) AS INT) AS year, l_returnflag AS system FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey)"
 
 
 @query(
@@ -68,7 +68,7 @@ SELECT sys.adm_id, sys.crop, year, system, n_systems FROM sys JOIN w USING (adm_
 def system_disambiguation(spark, sf):
     supplier = tables.read(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("int").alias("adm_id"))
     part = tables.read(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("crop"))
-    rows = tables.read(spark, sf, "lineitem").where("l_quantity > 45").join(supplier, "l_suppkey").join(part, "l_partkey").select("adm_id", "crop", F.year("l_shipdate").alias("year"), F.col("l_returnflag").alias("system")).distinct()
+    rows = tables.read(spark, sf, "lineitem").join(supplier, "l_suppkey").join(part, "l_partkey").select("adm_id", "crop", F.year("l_shipdate").alias("year"), F.col("l_returnflag").alias("system")).distinct()
     return panel.choose_system(rows, "system", "N")
 
 
@@ -165,8 +165,7 @@ _PAIR = "covar_pop({a}, {b}) / nullif(stddev_pop({a}) * stddev_pop({b}), 0)"
     f"""WITH {LABELS} SELECT a.crop AS crop_a, b.crop AS crop_b, round({_PAIR.format(a='a.yield', b='b.yield')}, 6) + 0.0 AS r, count(*) AS n FROM labels a JOIN labels b ON a.adm_id = b.adm_id AND a.year = b.year AND a.crop < b.crop GROUP BY 1, 2""",
 )
 def crop_yield_corr(spark, sf):
-    crops = sorted(r.crop for r in tables.read(spark, sf, "part").select(F.col("p_type").alias("crop")).distinct().collect())
-    return panel.crop_correlation(_p(spark, sf), crops).withColumn("r", F.round("r", 6) + F.lit(0.0))
+    return panel.crop_correlation(_p(spark, sf)).withColumn("r", F.round("r", 6) + F.lit(0.0))
 
 
 _THEIL = """pairs AS (SELECT a.adm_id, a.crop, (b.yield - a.yield) / (b.year - a.year) AS s FROM labels a JOIN labels b ON a.adm_id = b.adm_id AND a.crop = b.crop AND b.year > a.year),

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 CONF = {
@@ -16,4 +20,12 @@ def session(name: str, master: str | None = None, **conf: str) -> SparkSession:
         b = b.master(master)
     for k, v in (CONF | conf).items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, wherever they run."""
+    here = Path(__file__).resolve().parent
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/{here.name}", "zip", here.parent, here.name))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,9 +31,9 @@ def csv_saved_index(spark: SparkSession, path: str) -> DataFrame:
     return df.drop(df.columns[0])
 
 
-def json_specs(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One JSON document per task file."""
-    return spark.read.schema(schema).json(path, multiLine=True)
+def json_specs(spark: SparkSession, path: str, schema: str, one_per_file: bool = True) -> DataFrame:
+    """One JSON document per task file, or one a line."""
+    return spark.read.schema(schema).json(path, multiLine=one_per_file)
 
 
 def union_of(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
@@ -37,6 +41,14 @@ def union_of(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).options(header=True, mode="DROPMALFORMED").csv(pattern).withColumn("file", F.col("_metadata.file_name"))
 
 
+def union_with_rejects(spark: SparkSession, pattern: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, broken): the same union, and the lines that don't fit the schema with the file they stand in."""
+    both = spark.read.schema(f"{schema}, _broken string").options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_broken").csv(pattern).withColumn("file", F.col("_metadata.file_name"))
+    # Spark knows a line to be broken only if it has to parse all its columns
+    parsed = F.hash(*(c for c in both.columns if c not in ("_broken", "file"))) >= -(2**31)
+    return both.where("_broken IS NULL").where(parsed).drop("_broken"), both.where("_broken IS NOT NULL").where(parsed).select("file", F.col("_broken").alias("line"))
+
+
 def files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "modificationTime", "length")
 
@@ -49,11 +61,40 @@ def latest_version(spark: SparkSession, folder: str, pattern: str = "*") -> str
 
 def aligned(df: DataFrame, columns: list[str]) -> DataFrame:
     """df in the order of an existing table's columns; what it lacks is null."""
-    return df.select(*(F.col(c) if c in df.columns else F.lit(None).alias(c) for c in columns))
+    return df.select(*(F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns))
 
 
 def append_csv(df: DataFrame, folder: str, columns: list[str]) -> None:
-    aligned(df, columns).write.mode("append").option("header", True).csv(folder)
+    """More rows for an existing folder, in the order of its columns and without a header."""
+    aligned(df, columns).write.mode("append").csv(folder)
+
+
+def overwrite_csv(df: DataFrame, folder: str) -> str:
+    df.write.mode("overwrite").option("header", True).csv(folder)
+    return folder
+
+
+def overwrite_json(df: DataFrame, folder: str) -> str:
+    """One JSON object a line; a settings dump is a table of one row."""
+    df.write.mode("overwrite").json(folder)
+    return folder
+
+
+def config(spark: SparkSession, path: str, schema: str, operational: bool = False) -> dict:
+    """A run's settings from a JSON file, with those of its sibling ..._ope.json over them for an operational run."""
+    read = lambda p: spark.read.schema(schema).json(p, multiLine=True).first().asDict(recursive=True)
+    own = read(path)
+    return own | {k: v for k, v in read(path.removesuffix(".json") + "_ope.json").items() if v is not None} if operational else own
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors share: under spark.checkpoint.dir, or a temporary one in local mode."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="furrow-")
+    return f"{at.rstrip('/')}/furrow-files/{uuid.uuid4().hex}"
 
 
 def fixed(df: DataFrame, digits: int = 3) -> DataFrame:

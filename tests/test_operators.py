@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from furrow.functions import dekad, stats
-from furrow.operators import benchmarks, compare, features, forecast, learn, panel, scaling, selection, trend
+from furrow.operators import benchmarks, compare, features, forecast, learn, metrics, panel, ranking, records, scaling, selection, specs, trend, tuning
 from furrow.sources import files
 
 
@@ -119,7 +119,7 @@ def test_f_relevance_golden(spark):
 
 
 def test_percent_grid():
-    assert selection.percent_grid(3, [5, 25, 50, 75, 100]) == [(25, 1), (50, 2), (100, 3)]
+    assert selection.percent_grid(3, [5, 25, 50, 75, 100]) == [(25, 1), (75, 2), (100, 3)]  # 1.5 and 2.25 both round to 2; 0.15 is no feature
 
 
 def test_wilcoxon_signed_ranks(spark):
@@ -140,12 +140,155 @@ def test_constant_column_scales_to_zero(spark):
 
 def test_lasso_kkt():
     rng = np.random.default_rng(0)
-    x = rng.normal(size=(60, 5))
-    y = x @ np.array([2.0, 0, -1.0, 0, 0]) + 0.1 * rng.normal(size=60)
-    predict = learn.lasso(0.2)(x, y)
-    r, z = y - predict(x), x - x.mean(axis=0)
+    x = rng.normal(size=(60, 5)) * [1, 10, 0.1, 1, 1] + 3
+    y = x @ np.array([2.0, 0, -10.0, 0, 0]) + 0.1 * rng.normal(size=60)
+    sums = tuning.Sums(60, x.sum(axis=0), (x.T @ x).ravel(), y.sum(), x.T @ y, y @ y)
+    w, b = sums.fit(0.2, sums.scale())
+    z, r = (x - x.mean(axis=0)) / x.std(axis=0), y - x @ (w / x.std(axis=0)) - b
     g = z.T @ r / len(y)
-    assert np.all(np.abs(g) <= 0.2 + 1e-6)
+    assert np.all(np.abs(g) <= 0.2 + 1e-6) and np.allclose(np.abs(g[w != 0]), 0.2, atol=1e-6)
+    assert sums.rmse(w / x.std(axis=0), b) == pytest.approx(np.sqrt(np.mean(r * r)))
+    assert np.all(sums.fit(sums.path(sums.scale())[0] * 1.0001, sums.scale())[0] == 0)
+
+
+def panel_of(spark, crops=("a", "b"), years=6, units=7):
+    rng = np.random.default_rng(5)
+    rows = []
+    for c in crops:
+        for t in range(years):
+            for u in range(units):
+                x, z = rng.normal(), 5 * rng.normal()
+                rows.append((u, c, 2000 + t, 1.0, 1.0, float(3 * x - 0.2 * z + 10 + 0.3 * rng.normal()) if (t, u) != (2, 3) else None, float(x) if (t, u) != (1, 1) else None, float(z)))
+    return spark.createDataFrame(rows, "adm_id int, crop string, year int, area double, production double, yield double, x double, z double")
+
+
+def test_nested_lasso_from_sums_equals_refits(spark):
+    """Every fold and every inner fold fitted again on its rows, by coordinate descent over rows."""
+
+    def fit(x, y, alpha):
+        m, my = x.mean(axis=0), y.mean()
+        w = np.zeros(x.shape[1])
+        for _ in range(2000):
+            for j in range(len(w)):
+                r = y - my - (x - m) @ w + (x[:, j] - m[j]) * w[j]
+                rho = ((x[:, j] - m[j]) * r).mean()
+                w[j] = np.sign(rho) * max(abs(rho) - alpha, 0) / ((x[:, j] - m[j]) ** 2).mean()
+        return lambda q: (q - m) @ w + my
+
+    alphas = [0.01, 0.3, 2.0]
+    t = panel_of(spark)
+    fitted = tuning.lasso(t, ["x", "z"], alphas)
+    got = {(r.crop, r.year, r.adm_id): r for r in tuning.held_out_predictions(t, fitted, ["x", "z"]).collect()}
+    pdf = t.toPandas()
+    inputs = pdf[pdf[["x", "z"]].notna().all(axis=1)]
+    assert len(got) == len(inputs)
+    for crop in "ab":
+        for held in range(2000, 2006):
+            train = inputs[(inputs.crop == crop) & (inputs.year != held) & inputs["yield"].notna()]
+            s = train[["x", "z"]].std(ddof=0)
+            q, y, years = (train[["x", "z"]] / s).to_numpy(), train["yield"].to_numpy(), train.year.to_numpy()
+            score = {a: np.mean([np.sqrt(np.mean((fit(q[years != h], y[years != h], a)(q[years == h]) - y[years == h]) ** 2)) for h in np.unique(years)]) for a in alphas}
+            best = min(alphas, key=lambda a: score[a])
+            test = inputs[(inputs.crop == crop) & (inputs.year == held)]
+            for u, p in zip(test.adm_id, fit(q, y, best)((test[["x", "z"]] / s).to_numpy()), strict=True):
+                r = got[crop, held, u]
+                assert r.setting == f"alpha:{best}" and r.y_pred == pytest.approx(max(p, 0), abs=1e-5)
+    assert {r.crop: r.n_folds for r in tuning.pegged(fitted, "alpha", "alpha", F.col("first"), F.col("last")).collect()} == {"a": 6, "b": 6}
+    one = tuning.lasso(t, ["x", "z"], alphas, nested=False).collect()
+    assert len(one) == 2 and all(r.held is None and r.rmse_val < 1 for r in one)
+    assert tuning.lasso(t.where("year = 2000"), ["x", "z"], alphas).count() == 0 and tuning.lasso(t.limit(0), ["x", "z"], alphas).count() == 0
+
+
+def test_components_from_sums(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(40, 4)) @ rng.normal(size=(4, 4)) + 5
+    d = spark.createDataFrame([("a", i, 2000, *map(float, x[i])) for i in range(40)], "crop string, adm_id int, year int, m1 double, m2 double, m3 double, m4 double")
+    rows = tuning.component_scores(d, ["crop"], {"v": ["m1", "m2", "m3", "m4"]}, 0.9).collect()
+    z = x - x.mean(axis=0)
+    u, s, vt = np.linalg.svd(z, full_matrices=False)
+    n = min(int(np.flatnonzero(np.cumsum(s * s) / (s * s).sum() > 0.9)[0]) + 1, 3)
+    vt = vt * np.where(vt[np.arange(4), np.abs(vt).argmax(axis=1)] < 0, -1, 1)[:, None]
+    assert len(rows) == 40 * n
+    for r in rows:
+        assert r.value == pytest.approx(z[r.adm_id] @ vt[int(r.feature[5:]) - 1], abs=1e-5)
+    flat = d.select("crop", "adm_id", "year", "m1", F.col("m1").alias("m2"), F.col("m1").alias("m3"))
+    assert {r.feature for r in tuning.component_scores(flat, ["crop"], {"v": ["m1", "m2", "m3"]}, 1.0).collect()} == {"v_PCA1", "v_PCA2"}  # one fewer than columns
+
+
+@pytest.mark.parametrize("kind", ["svr", "gpr", "mlp"])
+def test_kernel_models_learn_a_line(spark, kind):
+    t = panel_of(spark, crops=("a",), years=5, units=6)
+    rows = learn.nested_cv(t, kind, ["x", "z"]).where("y_true IS NOT NULL").toPandas()
+    assert len(rows) == 28 and rows.setting.isin(list(learn.GRIDS[kind])).all()
+    assert np.corrcoef(rows.y_true, rows.y_pred)[0, 1] > 0.8
+
+
+@pytest.mark.parametrize("kind", ["forest", "boosted"])
+def test_trees_learn_steps(spark, kind):
+    rows = [(u, c, 2000 + y, 1.0, 1.0, (10.0 if x > 0 else 2.0) + (c == "b"), float(x)) for c in "ab" for y in range(6) for u, x in enumerate((-3, -2, -1, 1, 2, 3))]
+    t = spark.createDataFrame(rows, "adm_id int, crop string, year int, area double, production double, yield double, x double")
+    got = learn.trees(t, ["x"], kind, 2005).join(t, ["crop", "adm_id", "year"]).collect()
+    assert len(got) == 12 and all(abs(r.y_pred - r["yield"]) < 2 for r in got)
+
+
+def test_same_domain_redundancy_counts_all_chosen():
+    rel = {"a_1": 10.0, "a_2": 9.0, "b_1": 1.0}
+    r = {("a_1", "a_2"): 0.9, ("a_1", "b_1"): 0.1, ("a_2", "b_1"): 0.2}
+    chosen = selection.greedy(rel, r, 3, same_domain=True)
+    assert [f for f, _ in chosen] == ["a_1", "b_1", "a_2"]
+    assert chosen[1][1] == pytest.approx(1.0 / 0.001) and chosen[2][1] == pytest.approx(9.0 / ((0.9 + 0.001) / 2))
+
+
+def test_ks_of_ranges_equals_plain(spark):
+    rng = np.random.default_rng(2)
+    rows = [(float(np.round(rng.normal() + (k == "y"), 1)), k) for k in rng.choice(["x", "y", "z"], 400)]
+    d = spark.createDataFrame(rows, "v double, k string")
+    got = selection.relevance_ks(d, ["v"], "k").first().ks
+    v, k = np.array([a for a, _ in rows]), np.array([b for _, b in rows])
+    grid = np.unique(v)
+    share = lambda x: np.searchsorted(np.sort(x), grid, "right") / len(x)
+    assert got == pytest.approx(np.mean([np.abs(share(v[k == c]) - share(v[k != c])).max() for c in "xyz"]))
+
+
+def test_outliers_within_years(spark):
+    ys = [1.0] * 5 + [50.0] + [1.0 + i * 1e-9 for i in range(12)] + [10.0]
+    far = panel.flag_outliers(panel.flag_duplicates(series(spark, ys)), first_year=2007, last_year=2030)
+    assert [r.year for r in far.where("outlier IS NOT NULL").collect()] == [2019] and far.where("year < 2007 AND z IS NOT NULL").count() == 0
+
+
+def test_shapiro_of_few_values():
+    x = np.array([148.0, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236])
+    w, p = learn.shapiro(x)
+    assert w == pytest.approx(0.7888, abs=1e-3) and p == pytest.approx(0.0067, abs=3e-4)
+    assert 0 < learn.shapiro(np.array([1.0, 2.0, 4.0]))[1] <= 1 and math.isnan(learn.shapiro(np.array([1.0, 2.0]))[0])
+    assert learn.shapiro(np.random.default_rng(0).exponential(size=6000))[1] < 1e-6
+
+
+def test_paired_tests_have_no_size_switch(spark):
+    rng = np.random.default_rng(1)
+    rows = [(g, float(a), 0.0) for g, n in ((1, 2), (2, 8), (3, 60)) for a in rng.normal(size=n)]
+    r = {x.g: x for x in learn.paired_tests(spark.createDataFrame(rows, "g int, x double, y double"), ["g"], "x", "y").collect()}
+    assert r[1].inverted_p is None and all({r[g].inverted_p, r[g].standard_p} == {r[g].t_p, r[g].wilcoxon_p} for g in (2, 3))
+
+
+def test_t_p_values(spark):
+    d = spark.createDataFrame([(2.776445, 4), (1.959964, 100_000_000), (0.0, 7), (None, 3), (1.0, 0)], "t double, n int")
+    p = [r.p for r in d.select(stats.t_two_sided(F.col("t"), F.col("n")).alias("p")).collect()]
+    assert p[0] == pytest.approx(0.05, abs=1e-5) and p[1] == pytest.approx(0.05, abs=1e-4) and p[2] == pytest.approx(1.0) and p[3:] == [None, None]
+
+
+def test_finite_pairs(spark):
+    d = spark.createDataFrame([(1, 1.0, 2.0), (1, 2.0, 4.0), (1, float("nan"), 1.0), (1, float("inf"), 1.0), (2, 1.0, 1.0), (2, None, 3.0)], "g int, x double, y double")
+    assert {r.g: r.r for r in d.groupBy("g").agg(stats.pearson_finite(F.col("x"), F.col("y")).alias("r")).collect()} == {1: pytest.approx(1.0), 2: None}
+
+
+def test_hybrid_equals_the_join(spark):
+    rng = np.random.default_rng(4)
+    rows = [(r, f"m{r}", u, "a", 2000 + y, float(rng.normal()), float(rng.normal()) if (r, u) != (3, 1) else None, 1.0) for r in (1, 2, 3) for u in range(4) for y in range(5)]
+    res = spark.createDataFrame(rows, "run_id int, model string, adm_id int, crop string, year int, y_true double, y_pred double, area double")
+    best = ranking.best(metrics.by_unit(res).withColumn("rmse", F.round("rmse", 6)), ["crop", "adm_id"], "rmse")
+    want = {(r.adm_id, r.year): r.y_pred for r in res.join(best.select("crop", "adm_id", "run_id"), ["crop", "adm_id", "run_id"]).collect()}
+    assert {(r.adm_id, r.year): r.y_pred for r in ranking.hybrid(res).collect()} == want and len(want) == 20
 
 
 def test_gaussian_process_interpolates_without_noise():
@@ -177,6 +320,32 @@ def test_files(spark, tmp_path):
     assert files.numeric_columns(spark.sql("select cast(1 as smallint) a, 'x' b, cast(1 as decimal(9,2)) c")) == ["a", "c"]
 
 
+def test_more_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,2\nbad,3\n4,5\n")
+    (tmp_path / "b.csv").write_text("x,y\n6,7\n")
+    (tmp_path / "empty.csv").write_text("")
+    rows, broken = files.union_with_rejects(spark, str(tmp_path / "*.csv"), "x int, y int")
+    assert sorted(r.x for r in rows.collect()) == [1, 4, 6] and [(r.file, r.line) for r in broken.collect()] == [("a.csv", "bad,3")]
+    (tmp_path / "run.json").write_text('{"AOI": "ZA", "year_start": 2001}')
+    (tmp_path / "run_ope.json").write_text('{"year_start": 2024}')
+    schema = "AOI string, year_start int"
+    assert files.config(spark, str(tmp_path / "run.json"), schema) == {"AOI": "ZA", "year_start": 2001}
+    assert files.config(spark, str(tmp_path / "run.json"), schema, operational=True) == {"AOI": "ZA", "year_start": 2024}
+    d = spark.createDataFrame([(1, "a")], "n int, s string")
+    for _ in range(2):
+        files.append_csv(d, str(tmp_path / "more"), ["s", "t", "n"])
+    assert [tuple(r) for r in spark.read.csv(str(tmp_path / "more")).collect()] == [("a", None, "1")] * 2
+
+
+def test_specs_count(spark):
+    s = specs.all_specs(spark, ["Maize"], specs.AXES)
+    assert s.where("algorithm IN ('Null_model', 'PeakFPAR', 'Trend')").count() == 6
+    assert s.where("algorithm LIKE '%@%' AND feature_set NOT LIKE 'maxRS%'").count() == 0
+    assert s.agg(F.max("run_id")).first()[0] == s.count() and s.where("selection = 'MRMR'").agg(F.max("run_id")).first()[0] < s.where("selection = 'none' AND algorithm = 'Lasso'").agg(F.min("run_id")).first()[0]
+    r = records.task_batches(s).first()
+    assert r.batch == 1 and r.id == "000001" and r.file == "000001_maize_Null_model.json"
+
+
 def test_empty_panel(spark):
     e = labels(spark, [])
     assert panel.unit_statistics(e).count() == 0 and trend.theil_sen(e).count() == 0 and panel.complete_grid(e).count() == 0
