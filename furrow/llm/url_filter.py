@@ -14,11 +14,15 @@ size; beyond it the join shuffles and adaptive execution splits a hot host.
 The most specific active entry decides: path before host before domain, then the
 longer value, then the earlier list name.
 
+Hosts of captures and entries are cleaned alike: lower case, without user, port, trailing
+dots and a leading www label.
+
 Defined cases: a capture whose url is null or has no host, or whose fetch time is
 null, matches nothing; entries with a null kind, value, action or date are ignored;
 of several entries for one value on one date a block counts before an allow before a
 lift; repeated entries count once; an empty list leaves every capture `none`; repeated
-captures are evaluated alike; other columns of either table are ignored.
+captures count once and have one row, as have several fetches of one page at one time; very
+long URLs are ordinary ones; of entries that tie the earlier list, then the smaller value decides; other columns of either table are ignored.
 """
 
 from __future__ import annotations
@@ -57,19 +61,36 @@ def entries(spark, rows=ENTRIES) -> DataFrame:
     return spark.createDataFrame([(*r[:4], dt.date.fromisoformat(r[4])) for r in rows], ENTRY)
 
 
+def clean_host(authority: Column) -> Column:
+    """The host of an authority in lower case, without user, port, trailing dots and a leading www label."""
+    host = F.regexp_replace(F.lower(authority), r"^.*@", "")
+    host = F.regexp_replace(F.regexp_replace(host, r":[0-9]*$", ""), r"\.+$", "")
+    return F.regexp_replace(host, r"^www\d*\.([^.]+\..*)$", "$1")
+
+
 def host_of(url: Column) -> Column:
-    return F.regexp_replace(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://([^/?#:@]*)", 1), r"^www\d*\.", "")
+    return clean_host(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1))
 
 
 def path_of(url: Column) -> Column:
     return F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
 
 
+def segments(path: Column) -> Column:
+    return F.filter(F.split(path, "/"), lambda p: p != "")
+
+
+def clean_value(kind: Column, value: Column) -> Column:
+    """The value of a list entry as captures are matched: its host cleaned like theirs, its path without empty segments."""
+    host = clean_host(F.substring_index(value, "/", 1))
+    return F.when(kind == "path", F.array_join(F.concat(F.array(host), segments(F.lower(F.regexp_replace(value, r"^[^/]*", "")))), "/")).otherwise(host)
+
+
 def intervals(listed: DataFrame, last: Column | None = None) -> DataFrame:
     """key, list, kind, value, action, valid_from, valid_to (exclusive; null while in force): block and allow only."""
     from pyspark.sql import Window
 
-    ok = listed.select("list", "kind", F.lower("value").alias("value"), "action", F.col("effective").cast("date").alias("effective")).where("kind IS NOT NULL AND value IS NOT NULL AND action IN ('block', 'allow', 'lift') AND effective IS NOT NULL")
+    ok = listed.select("list", "kind", clean_value(F.col("kind"), F.col("value")).alias("value"), "action", F.col("effective").cast("date").alias("effective")).where("kind IS NOT NULL AND value IS NOT NULL AND action IN ('block', 'allow', 'lift') AND effective IS NOT NULL")
     one = ok.groupBy("list", "kind", "value", "effective").agg(F.min_by("action", F.expr("CASE action WHEN 'block' THEN 0 WHEN 'allow' THEN 1 ELSE 2 END")).alias("action"))
     w = Window.partitionBy("list", "kind", "value").orderBy("effective")
     cut = one.withColumns({"valid_from": F.col("effective"), "valid_to": F.lead("effective").over(w)})
@@ -80,7 +101,7 @@ def keys_of(host: Column, path: Column, deepest: int) -> Column:
     """All keys that a capture can match, where no listed path has more than `deepest` segments."""
     labels = F.split(host, r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.lit("domain:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
-    parts = F.filter(F.split(path, "/"), lambda p: p != "")
+    parts = segments(path)
     depth = F.least(F.size(parts), F.lit(deepest))
     prefixes = F.transform(F.sequence(F.lit(1), depth), lambda i: F.concat(F.lit("path:"), host, F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")))
     none = F.array().cast("array<string>")
@@ -128,14 +149,15 @@ def report_sql() -> str:
     return f"""
 WITH e(list, kind, value, action, effective) AS (VALUES {values}),
 i AS (SELECT *, CAST(effective AS DATE) AS valid_from, lead(CAST(effective AS DATE)) OVER (PARTITION BY list, kind, value ORDER BY effective) AS valid_to FROM e),
-p AS (SELECT DISTINCT page_id, url, DATE '2024-01-01' + CAST((page_id * 7919) % 366 AS INT) AS fetched,
-    regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#:@]*)', 1), '^www[0-9]*[.]', '') AS host,
-    string_split(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/') AS parts FROM pages),
-q AS (SELECT *, host || '/' || array_to_string(list_filter(parts, lambda x: x <> ''), '/') || '/' AS full_path FROM p),
-h AS (SELECT q.page_id, q.url, q.fetched, i.list, i.kind, i.value, i.action,
+p AS (SELECT DISTINCT page_id, url, DATE '2024-01-01' + CAST((page_id * 7919) % 366 AS INT) AS fetched, contains(url, '://') AS ok,
+    string_split(split_part(split_part(split_part(lower(url), '://', 2), '?', 1), '#', 1), '/') AS parts FROM pages),
+a AS (SELECT *, rtrim(split_part(list_last(string_split(parts[1], '@')), ':', 1), '.') AS name FROM p),
+q AS (SELECT *, CASE WHEN NOT ok THEN '' WHEN regexp_matches(name, '^www[0-9]*[.][^.]+[.]') THEN name[strpos(name, '.') + 1 :] ELSE name END AS host FROM a),
+f AS (SELECT *, host || '/' || array_to_string(list_filter(parts[2:], lambda x: x <> ''), '/') || '/' AS full_path FROM q),
+h AS (SELECT f.page_id, f.url, f.fetched, i.list, i.kind, i.value, i.action,
     CASE i.kind WHEN 'path' THEN 0 WHEN 'host' THEN 1 ELSE 2 END AS r
-    FROM q LEFT JOIN i ON i.action <> 'lift' AND i.valid_from <= q.fetched AND (i.valid_to IS NULL OR q.fetched < i.valid_to) AND q.host <> ''
-    AND ((i.kind = 'host' AND q.host = i.value) OR (i.kind = 'domain' AND (q.host = i.value OR ends_with(q.host, '.' || i.value))) OR (i.kind = 'path' AND starts_with(q.full_path, i.value || '/')))),
+    FROM f LEFT JOIN i ON i.action <> 'lift' AND i.valid_from <= f.fetched AND (i.valid_to IS NULL OR f.fetched < i.valid_to) AND f.host <> ''
+    AND ((i.kind = 'host' AND f.host = i.value) OR (i.kind = 'domain' AND (f.host = i.value OR ends_with(f.host, '.' || i.value))) OR (i.kind = 'path' AND starts_with(f.full_path, i.value || '/')))),
 n AS (SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY r, -length(value), list, value, action) AS k, count(list) OVER (PARTITION BY page_id, url) AS n_active FROM h)
 SELECT page_id, fetched, n_active, coalesce(action, 'none') AS verdict, list, value FROM n WHERE k = 1
 """
