@@ -5,12 +5,16 @@ of 1 to 3 characters is hashed to a bucket. Training counts buckets per language
 over all training documents, task by task; the counts of the tasks are added in one
 grouped aggregation, and the matrix of log-probabilities, buckets x languages, is
 broadcast. Scoring gathers the matrix rows of a batch and sums them per document.
+More than BLOCK languages are scored in blocks, each with a matrix of its own, and the
+blocks' best languages and sums of probabilities are put together.
 
 Training uses documents with a language whose crc32(doc_id as text) mod 4 is not 2.
 
 Defined cases: a text that is null or has no letters is `und` with score 0; without
 any training row every document is `und`; a null doc_id is not held out and not
-trained on; ties go to the language that sorts first; repeated rows count each.
+trained on; ties go to the language that sorts first; repeated rows count each; very
+long texts are read whole; an empty table gives an empty result; a column named like the
+result of `predict` is replaced by it, other columns are ignored or pass through.
 """
 
 from __future__ import annotations
@@ -23,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.common import arrow_once, small_batches, text_blocks
+from furrow.llm.common import arrow_once, save, small_batches, text_blocks
 
 BUCKETS = 1 << 15
 SIZES = (1, 2, 3)
 SMOOTHING = 0.5
-#: The matrix holds at most this many languages: 1000 x 32,768 x 4 bytes.
-MAX_LANGUAGES = 1000
+#: Languages of one matrix: 64 x 32,768 x 4 bytes.
+BLOCK = 64
 
 
 @cache
@@ -80,12 +84,19 @@ def grams(offsets: np.ndarray, data: np.ndarray) -> tuple[list[np.ndarray], np.n
     return buckets, at, letters
 
 
-def train(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(languages, log-probabilities [BUCKETS, languages], log-priors) from (lang, text) rows."""
+def train(docs: DataFrame) -> DataFrame:
+    """(lang, bucket, n) of all languages, saved: how often each bucket occurs, and under bucket -1 the number of documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
         n: dict[str, int] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, counts in seen.items():
+                at = np.flatnonzero(counts)
+                yield pa.record_batch({"lang": pa.array([lang] * (len(at) + 1), pa.string()), "bucket": pa.array(np.append(at, -1), pa.int32()), "n": pa.array(np.append(counts[at], n[lang]), pa.int64())})
+            seen.clear(), n.clear()
+
         for b in batches:
             langs = np.array(b.column("lang").to_pylist(), object)
             for start, offsets, data in text_blocks(b.column("text")):
@@ -96,33 +107,35 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
                     n[lang] = n.get(lang, 0) + int(mine.sum())
                     mask = np.repeat(mine, np.diff(at))
                     seen[lang] = seen.get(lang, 0) + sum(np.bincount(b[mask], minlength=BUCKETS + 1)[:BUCKETS] for b in buckets)
-        for lang, counts in seen.items():
-            at = np.flatnonzero(counts)
-            yield pa.record_batch({"lang": pa.array([lang] * (len(at) + 1), pa.string()), "bucket": pa.array(np.append(at, -1), pa.int32()), "n": pa.array(np.append(counts[at], n[lang]), pa.int64())})
+                if len(seen) > BLOCK:  # a task holds the counts of so many languages at a time
+                    yield from out()
+        yield from out()
 
     small_batches(docs.sparkSession)
     counted = docs.where("lang IS NOT NULL").select("lang", "text").mapInArrow(count, "lang string, bucket int, n bigint")
-    # at most BUCKETS + 1 rows a language, whatever the number of documents
-    total = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(total["lang"].unique())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; the matrix is bounded at {MAX_LANGUAGES}")
-    counts, prior = np.full((BUCKETS, len(languages)), SMOOTHING), np.zeros(len(languages))
-    col = total["lang"].map({k: i for i, k in enumerate(languages)}).to_numpy(dtype=np.int64)
-    bucket, n = total["bucket"].to_numpy(), total["n"].to_numpy()
-    counts[bucket[bucket >= 0], col[bucket >= 0]] += n[bucket >= 0]
-    prior[col[bucket < 0]] = n[bucket < 0]
-    return languages, np.log(counts / counts.sum(axis=0)).astype(np.float32), np.log(prior / max(1, prior.sum()))
-
-
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], into: str = "language") -> DataFrame:
-    """docs with a struct `into`: lang_pred and score, the posterior probability."""
-    known = docs.sparkSession.sparkContext.broadcast(model)
+    return save(counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "counts")
+
+
+def matrices(counts: DataFrame, block: int | None = None) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """(languages, log-probabilities [BUCKETS, languages], log-priors) of each block of languages; BUCKETS + 1 numbers a language at most."""
+    block = block or BLOCK
+    rows = sorted(tuple(r) for r in counts.where("bucket = -1").select("lang", "n").collect())  # a row per language
+    documents = sum(n for _, n in rows)
+    for a in range(0, max(len(rows), 1), block):
+        languages = [lang for lang, _ in rows[a : a + block]]
+        table = np.full((BUCKETS, len(languages)), SMOOTHING)
+        if languages:
+            part = counts.where(F.col("lang").isin(languages) & (F.col("bucket") >= 0)).toPandas()
+            col = part["lang"].map({k: i for i, k in enumerate(languages)}).to_numpy(dtype=np.int64)
+            table[part["bucket"].to_numpy(), col] += part["n"].to_numpy()
+        yield languages, np.log(table / table.sum(axis=0)).astype(np.float32), np.log(np.array([n for _, n in rows[a : a + block]], float) / max(1, documents))
 
+
+def _scorer(known):
     def of(column: pa.Array) -> pa.Array:
         languages, table, prior = known.value
         table = np.ascontiguousarray(np.vstack([table, np.zeros((1, len(languages)), np.float32)]).T, np.float64)
-        names, scores = [], []
+        names, tops, rest = [], [], []
         for _, offsets, data in text_blocks(column):
             buckets, at, letters = grams(offsets, data)
             n = len(offsets) - 1
@@ -132,22 +145,37 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], in
                 if len(full) and languages:
                     for k in range(len(languages)):
                         total[full, k] += np.add.reduceat(table[k].take(b), at[full])
-            if languages:
-                best = total.argmax(axis=1)
-                p = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+            best = total.argmax(axis=1) if languages else None
             for i in range(n):
-                ok = languages and letters[i]
-                names.append(languages[best[i]] if ok else "und")
-                scores.append(float(p[i]) if ok else 0.0)
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+                ok = bool(languages) and letters[i] > 0
+                names.append(languages[best[i]] if ok else None)
+                tops.append(float(total[i, best[i]]) if ok else None)
+                rest.append(float(np.exp(total[i] - total[i, best[i]]).sum()) if ok else None)
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(tops, pa.float64()), pa.array(rest, pa.float64())], ["lang", "top", "sum"])
+
+    return arrow_once(of, "struct<lang: string, top: double, sum: double>")
 
-    return docs.withColumn(into, arrow_once(of, "struct<lang_pred: string, score: double>")(F.col("text")))
+
+def predict(docs: DataFrame, counts: DataFrame, into: str = "language", block: int | None = None) -> DataFrame:
+    """docs with a struct `into`: lang_pred and score, the posterior probability."""
+    out, best = docs, None
+    for model in matrices(counts, block):
+        # sum is the block's probability in units of its best language's; the largest log-probability of all blocks sets the unit
+        out = out.withColumn("__block", _scorer(docs.sparkSession.sparkContext.broadcast(model))(F.col("text")))
+        if best is None:
+            out = out.withColumn("__best", F.col("__block")).drop("__block")
+        else:
+            a, b = F.col("__best"), F.col("__block")
+            total = lambda x, y: x["sum"] + y["sum"] * F.exp(y["top"] - x["top"])
+            merged = F.when(a["top"] >= b["top"], F.struct(a["lang"].alias("lang"), a["top"].alias("top"), total(a, b).alias("sum"))).otherwise(F.struct(b["lang"].alias("lang"), b["top"].alias("top"), total(b, a).alias("sum")))
+            out = out.withColumn("__best", merged).drop("__block")
+        best = True
+    return out.withColumn(into, F.struct(F.coalesce("__best.lang", F.lit("und")).alias("lang_pred"), F.coalesce(1 / F.col("__best.sum"), F.lit(0.0)).alias("score"))).drop("__best")
 
 
 def report(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score."""
     rows = docs.select("doc_id", "text", "lang")
     fold = F.crc32(F.col("doc_id").cast("string")) % 4
-    model = train(rows.where(fold != 2))
-    scored = predict(rows.select("doc_id", "text"), model)
+    scored = predict(rows.select("doc_id", "text"), train(rows.where(fold != 2)))
     return scored.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "language.lang_pred", "language.score")
