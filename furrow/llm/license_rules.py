@@ -61,6 +61,7 @@ def rules() -> list[tuple[str, int, tuple[str, ...], str]]:
     for i in SPDX:
         label, dashed = i.lower(), re.escape(i.lower())
         out.append((label, 1000, ("spdx",), BEG + rf"spdx{SEP}license{SEP}identifier:?\s*\(?{dashed}" + END))
-        out.append((label, 900, ("licenses", "opensource"), BEG + rf"opensource\.org/licenses?/{dashed}" + END))
+        for word in ("license", "licenses"):
+            out.append((label, 900, (word, "opensource"), BEG + rf"opensource\.org/{word}/{dashed}" + END))
         out.append((label, 900, ("licenses", "spdx"), BEG + rf"spdx\.org/licenses/{dashed}" + END))
     return out
