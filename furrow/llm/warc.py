@@ -10,35 +10,40 @@ Reading. A task takes whole archives, unpacks them as a stream and cuts records
 their Content-Length. Payload size and SHA-1 of a response are computed again from
 the payload; those of a revisit come from its header.
 
-Index. The records of an archive, sorted by (url key, time, page_id), are a run. Runs
-are cut at splitters drawn from a sample of the whole sort key, so that a URL with a
-third of all captures is split too; the cuts of one range meet in one task, which
-merges its k runs with a loser tree. Ranges in order are the global capture history.
+Index. The records of an archive, sorted by (url key, time, page_id), are a run. Spark's range
+exchange deals the runs out over ranges of the whole sort key, so that a URL with a
+third of all captures is split too; what one range gets of every run meets in one task, which
+merges its k runs (a new one begins wherever the order falls back) with a loser tree.
+Ranges in order are the global capture history.
 
 Defined cases: a null html is an empty payload; a null url is written empty, and line
 breaks in a URL are percent-encoded; a null page_id is written empty, reads back as
 null and never becomes a response that others refer to unless all are null; rows
-that repeat a page_id have a record each; an empty table makes an empty archive.
+that repeat a page_id have a record each, under one record id; equal keys stand in the order of
+archive and offset; very long payloads are whole, in archives of few records; an empty table
+makes an empty archive; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
-from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.llm.common import new_path, save, sized
 
 REVISIT_BYTES = 1000
-RECORDS_PER_FILE = 20_000
-#: Captures of one range of the merged index, and sampled keys for each splitter.
+#: An archive holds so many records of up to SMALL_BYTES, a quarter as many of up to four times that, and so on: at
+#: most 512 MB before compression, or one longer record.
+RECORDS_PER_FILE, SMALL_BYTES = 8192, 64 << 10
+#: Captures of one range of the merged index.
 RANGE_ROWS = 100_000
-SAMPLES = 50
 END = "\r\n\r\n"
 ID = "urn:capture:"
 INDEX = "url_key string, captured string, page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint, archive string, offset bigint"
@@ -46,7 +51,7 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def records(captures: DataFrame) -> DataFrame:
-    """record: the text of a WARC record for each (page_id, url, html, captured) row."""
+    """record: the text of a WARC record for each (page_id, url, html, captured) row; and its size_class."""
     html = F.coalesce("html", F.lit(""))
     c = captures.select("page_id", F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "\r", "%0D"), "\n", "%0A").alias("url"), html.alias("html"), "captured", F.octet_length(html).alias("bytes"), F.sha1(html.cast("binary")).alias("digest"))
     # A payload that recurs is one row per task after the map-side sum, however many captures have it.
@@ -66,11 +71,21 @@ def records(captures: DataFrame) -> DataFrame:
         F.lit("Content-Type: application/http;msgtype=response"),
         F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     ]
-    return c.select(F.concat(F.concat_ws("\r\n", *head), F.lit(END), block).alias("record"))
+    return c.select(F.concat(F.concat_ws("\r\n", *head), F.lit(END), block).alias("record"), size_class(F.col("html")).alias("size_class"))
 
 
-def write(captures: DataFrame, path: str) -> None:
-    records(captures).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+def size_class(html: Column) -> Column:
+    """How often the payload's size is to be quartered until it is small."""
+    return F.greatest(F.lit(0), F.ceil(F.log(4.0, F.greatest(F.octet_length(F.coalesce(html, F.lit(""))), F.lit(1)) / SMALL_BYTES))).cast("int")
+
+
+def write(captures: DataFrame, path: str, compression: str = "gzip") -> None:
+    """The captures as archives. Offsets in the index count unpacked bytes; with compression none they are places in the file."""
+    sizes = captures.groupBy(size_class(F.col("html")).alias("c")).agg(F.count("*").alias("n")).collect()  # 16 classes at most
+    made = records(captures)
+    for c in sorted(r.c for r in sizes) or [0]:
+        of_class = made.where(F.col("size_class") == c).select("record")
+        of_class.write.mode("append").option("lineSep", END).option("compression", compression).option("maxRecordsPerFile", max(1, RECORDS_PER_FILE >> 2 * c)).text(path)
 
 
 def parse(content: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -179,38 +194,24 @@ def loser_tree(runs: list[list[tuple]]) -> Iterator[tuple]:
 def merge_index(index: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """index with `position`, its place in the global order of (url key, time, page_id)."""
     spark = index.sparkSession
-    n = index.count()
-    ranges = max(1, -(-n // range_rows))
-    splitters: list[tuple] = []
-    if ranges > 1:  # a bounded sample: some SAMPLES keys a splitter, a few dozen bytes each
-        seen = index.select(*_ARROW.names).sample(min(1.0, SAMPLES * ranges / n), seed=7).select("url_key", "captured", "page_id", "archive", "offset").toLocalIterator()
-        keys = sorted(sort_key((r[0], r[1], r[2], None, None, None, None, None, r[3], r[4])) for r in seen)
-        splitters = [keys[len(keys) * i // ranges] for i in range(1, ranges)] if keys else []
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            pieces: dict[int, list[tuple]] = {}
-            rows = list(zip(*(c.to_pylist() for c in b.columns), strict=True))
-            blobs, last = [], None
-            for row in [*rows, None]:
-                if row is None or last is not None and sort_key(row) < last:  # where the order falls back, a new run begins
-                    blobs += [(r, pack(p)) for r, p in pieces.items()]
-                    pieces = {}
-                if row is not None:
-                    last = sort_key(row)
-                    pieces.setdefault(bisect_right(splitters, last), []).append(row)
-            yield pa.record_batch({"part": pa.array([r for r, _ in blobs], pa.int32()), "run": pa.array([x for _, x in blobs], pa.binary())})
+    ranges = max(1, -(-index.count() // range_rows))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_part: dict[int, list[list[tuple]]] = {}
+        runs: list[list[tuple]] = []
+        last = None
         for b in batches:
-            for part, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                by_part.setdefault(part, []).append(unpack(blob))
-        for part in sorted(by_part):
-            out = batch_of(list(loser_tree(by_part[part])))
-            yield pa.record_batch([*out.columns, pa.array([part] * len(out), pa.int32()), pa.array(range(len(out)), pa.int64())], names=[*_ARROW.names, "part", "local"])
-
-    merged = save(index.mapInArrow(cut, "part int, run binary").repartition(ranges, "part").mapInArrow(merge, f"{INDEX}, part int, local bigint"), "merged")
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if last is None or sort_key(row) < last:
+                    runs.append([])
+                runs[-1].append(row)
+                last = sort_key(row)
+        rows, part, done = loser_tree(runs), TaskContext.get().partitionId(), 0
+        while out := list(islice(rows, 10_000)):
+            yield pa.record_batch([*batch_of(out).columns, pa.array([part] * len(out), pa.int32()), pa.array(range(done, done + len(out)), pa.int64())], names=[*_ARROW.names, "part", "local"])
+            done += len(out)
+
+    order = [F.col("url_key"), F.col("captured"), F.col("page_id").asc_nulls_last(), F.col("archive"), F.col("offset")]
+    merged = save(index.select(*_ARROW.names).repartitionByRange(ranges, *order).mapInArrow(merge, f"{INDEX}, part int, local bigint"), "merged")
     # the sizes of the ranges, a row each, make the places where they begin
     sizes = sorted((r.part, r.n) for r in merged.groupBy("part").agg(F.count("*").alias("n")).collect())
     begins, total = [], 0
@@ -221,18 +222,6 @@ def merge_index(index: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     return merged.join(F.broadcast(at), "part").withColumn("position", F.col("begin") + F.col("local")).drop("part", "local", "begin")
 
 
-def pack(rows: list[tuple]) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, _ARROW) as out:
-        out.write_batch(batch_of(rows))
-    return sink.getvalue().to_pybytes()
-
-
-def unpack(blob: bytes) -> list[tuple]:
-    t = pa.ipc.open_stream(blob).read_all()
-    return list(zip(*(c.to_pylist() for c in t.columns), strict=True))
-
-
 def captured(page_id: Column) -> Column:
     """pages have no capture time: a second of 2024 that follows from the page_id."""
     return F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.pmod(F.coalesce(page_id, F.lit(0)) * 104729, F.lit(31622400))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
