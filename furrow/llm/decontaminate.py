@@ -8,8 +8,10 @@ is hit.
 Defined cases: a null or empty text, or one without words, has no words, no hits
 and is not contaminated; an item without words has no window; repeated items and
 items with one id count once; an item whose id is null counts under the name
-"null"; an empty benchmark hits nothing; repeated documents are scanned each for
-itself; other columns of either table are ignored, whatever their names.
+"null", as does an item that really has that name; an empty benchmark hits nothing; repeated
+documents are scanned each for itself; very long texts and items are ordinary ones; an empty table
+gives an empty result; other columns of either table are ignored, whatever their names, but that
+`scan` replaces a column named like its result.
 """
 
 from __future__ import annotations
@@ -17,17 +19,19 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.common import Words, arrow_once, text_blocks, windows, word_list, words
+from furrow.llm.common import Words, arrow_once, save, sized, text_blocks, windows, word_list, words
 
 WINDOW = 10
-#: Windows of one broadcast block: some 30 MB. A larger benchmark is scanned in blocks.
-BLOCK_ITEMS = 50_000
+#: Text of the items of one broadcast block, or one longer item; its windows take some 40 times as much. A larger benchmark is scanned in blocks.
+BLOCK_BYTES = 4 << 20
 
 SCAN = "struct<n_words: bigint, spans: array<struct<start: bigint, end: bigint>>, items: array<string>>"
 
@@ -89,20 +93,32 @@ def _scan(column: pa.Array, known: WindowSet) -> list[dict]:
     return out
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text: str = "text", into: str = "scan", block_items: int = BLOCK_ITEMS) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text: str = "text", into: str = "scan", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with a column `into`: n_words, the hit spans [start, end) in words, and
     the ids of items with occurring windows, sorted as strings.
 
-    The items are the stated query set. They go to the executors in blocks of
-    `block_items`; every block scans all documents, and later blocks merge into
-    what earlier ones found, so nothing is shuffled and no benchmark is too large."""
+    The items are the stated query set, and go to the executors in blocks of `block_bytes`. A benchmark of one
+    block is one pass over docs without a shuffle. Of a larger one, each block in turn scans all documents, writes down
+    what it found, and leaves memory before the next comes; then every document takes up all that was found in its text."""
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").alias("words"))
-    out = docs
-    for k, block in enumerate(_blocks(items, block_items)):
-        found = _scanner(spark.sparkContext.broadcast(WindowSet(block, n)))(F.col(text))
-        out = out.withColumn(into, found) if not k else out.withColumn("__more", found).withColumn(into, _merged(F.col(into), F.col("__more"))).drop("__more")
-    return out
+    blocks = _blocks(items, block_bytes)
+    block, later = next(blocks), next(blocks, None)
+    if later is None:
+        return docs.withColumn(into, _scanner(spark.sparkContext.broadcast(WindowSet(block, n)))(F.col(text)))
+    key = [F.xxhash64(text).alias("__h1"), F.hash(text).alias("__h2"), F.octet_length(text).alias("__size")]
+    found = []
+    for block in chain([block, later], blocks):
+        known = spark.sparkContext.broadcast(WindowSet(block, n))
+        hits = docs.where(F.col(text).isNotNull()).select(*key, _scanner(known)(F.col(text)).alias("s")).where(F.size("s.spans") > 0)
+        found.append(save(hits.dropDuplicates(["__h1", "__h2", "__size"]), "hits"))
+        known.destroy()
+    names = ["__h1", "__h2", "__size"]
+    all_hits = reduce(DataFrame.union, found).groupBy(*names).agg(F.flatten(F.collect_list("s.spans")).alias("__spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("s.items")))).alias("__items"))
+    counted = _scanner(spark.sparkContext.broadcast(WindowSet([], n)))(F.col(text))
+    out = docs.withColumns({c: k for c, k in zip(names, key, strict=True)} | {"__scan": counted}).join(sized(save(all_hits, "all_hits")), names, "left")
+    scanned = F.struct(F.col("__scan.n_words").alias("n_words"), F.coalesce(_union("__spans"), F.col("__scan.spans")).alias("spans"), F.coalesce("__items", "__scan.items").alias("items"))
+    return out.withColumn("__scan", scanned).select(*[F.col(c) for c in docs.columns if c != into], F.col("__scan").alias(into))
 
 
 def _scanner(known):
@@ -118,30 +134,29 @@ _ARROW = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("sta
 def _blocks(items: DataFrame, size: int) -> Iterator[list[tuple[str, str | None]]]:
     """Blocks of the items; one empty block if there are none. Only a block at a time is on the driver."""
     block: list[tuple[str, str | None]] = []
-    none = True
+    none, held = True, 0
     for row in items.toLocalIterator():
-        block.append((row["item"], row["words"]))
-        if len(block) >= size:
+        more = len((row["words"] or "").encode("utf-8", "surrogatepass"))
+        if block and held + more > size:
             yield block
-            block, none = [], False
+            block, none, held = [], False, 0
+        block.append((row["item"], row["words"]))
+        held += more
     if block or none:
         yield block
 
 
-def _merged(a, b):
-    """The union of two scans of one text; overlapping and touching spans become one."""
-    spans = F.array_sort(F.concat(a["spans"], b["spans"]))
-    start = F.lit(None).cast("array<struct<start: bigint, end: bigint>>")
-    empty = F.coalesce(start, F.array().cast("array<struct<start: bigint, end: bigint>>"))
-    union = F.aggregate(
-        spans,
+def _union(spans: str) -> F.Column:
+    """Spans sorted, with overlapping and touching ones as one."""
+    empty = F.array().cast("array<struct<start: bigint, end: bigint>>")
+    return F.aggregate(
+        F.array_sort(spans),
         empty,
         lambda acc, s: F.when(
             (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= s["start"]),
             F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end")))),
         ).otherwise(F.concat(acc, F.array(s))),
     )
-    return F.struct(a["n_words"].alias("n_words"), union.alias("spans"), F.array_sort(F.array_union(a["items"], b["items"])).alias("items"))
 
 
 def n_hit(scanned) -> F.Column:
