@@ -92,8 +92,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[n
         f = features(column)
         return pa.FixedSizeListArray.from_arrays(pa.array(f.ravel()), N_FEATURES).cast(pa.list_(pa.float64()))
 
-    # fit_rows bounds the broadcast side
-    rows = docs.select("doc_id", "text").join(F.broadcast(save(chosen, "chosen")), "doc_id").select("doc_id", "good", arrow_once(of, "array<double>")(F.col("text")).alias("x")).toPandas().sort_values("doc_id")
+    # fit_rows bounds the broadcast side, and what is collected: of rows with one doc_id the one with the smallest hash
+    rows = docs.select("doc_id", "text").join(F.broadcast(save(chosen, "chosen")), "doc_id").select("doc_id", "good", F.xxhash64("text").alias("hash"), arrow_once(of, "array<double>")(F.col("text")).alias("x"))
+    rows = rows.groupBy("doc_id", "good").agg(F.min_by("x", "hash").alias("x")).toPandas().sort_values("doc_id")
     if rows["good"].nunique() < 2:
         return None
     return fit_logistic(np.vstack(rows["x"]), rows["good"].to_numpy())
