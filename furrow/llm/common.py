@@ -3,7 +3,9 @@ against a side of checked size, and word tokenisation over Arrow buffers."""
 
 from __future__ import annotations
 
+import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,9 +22,12 @@ BROADCAST_ROWS = 500_000
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir,
-    or the checkpoint folder already set; a folder of our own where neither is."""
+    or the checkpoint folder already set; a folder of our own where neither is and
+    driver and executors are one process."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="furrow-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -32,14 +37,24 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/furrow/{tag}-{uuid.uuid4().hex}"
 
 
-def save(df: DataFrame, tag: str) -> DataFrame:
+def save(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage is cut
-    and a lost executor costs nothing that was already computed."""
+    and a lost executor costs nothing that was already computed. Filters on the
+    column `by` then read only the files that they need."""
     path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of plans that nothing refers to any more. It does so when the driver's collector
+    finds the plans gone, and a driver that allocates little may not collect before the next large shuffle. What a plan
+    was run by goes in a first collection, the plan itself in a second."""
+    for wait in (0.3, 0.0):
+        spark.sparkContext._jvm.java.lang.System.gc()
+        time.sleep(wait)
+
+
 def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if it has at most max_rows rows, else df as it is,
     for a shuffled join whose skewed keys adaptive execution splits. df should be
@@ -47,15 +62,19 @@ def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
-#: Whole texts are long: so many rows make an Arrow batch of a few MB instead of some dozens.
-BATCH_ROWS = 1000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Whole texts are long: an Arrow batch ends after so many rows or bytes (or one longer text).
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+_BATCH, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the memory that a batch of texts takes in the JVM and in Python."""
+    """Bound the memory that a batch of texts takes in the JVM and in Python. Plans are run after the
+    operator returns, so that the settings stay with the session; smaller ones are left as they are."""
     if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
         spark.conf.set(_BATCH, BATCH_ROWS)
+    number, unit = re.fullmatch(r"(-?\d+)([a-z]*)", spark.conf.get(_BYTES).lower()).groups()
+    if not 0 < int(number) << 10 * "bkmgtp".find((unit or "b")[0]) <= BATCH_BYTES:
+        spark.conf.set(_BYTES, BATCH_BYTES)
 
 
 def arrow_once(fn, returns: str):

@@ -21,10 +21,10 @@ characters, THRESHOLD at most, so that lines of a few characters have to be equa
    one is equal, and the bucket is joined block by block, which is exact. Of the pairs
    that meet, those with more flips than the edits allow drop out in the join, and
    each is made in the first block that is equal.
-5. Candidates are cut finer: of 2 x THRESHOLD + 1 even parts of one line all but as many as there
-   may be edits must stand in the other line too, near their own place (`enough_parts`). What is left
-   is verified by a banded bit-parallel edit distance: the band of 2 x THRESHOLD + 1 rows around the diagonal is one BIGINT for the rises and one for the
-   falls, and `aggregate` moves both along the other line (see `banded_distance`). Edits
+5. Candidates lose what they have in common at both ends, and are verified by a banded
+   bit-parallel edit distance: the band of 2 x THRESHOLD + 1 rows around the diagonal is one BIGINT
+   for the rises and one for the falls, and `aggregate` moves both along the other line (see
+   `banded_distance`). Edits
    are counted in characters. The report counts them in UTF-8 bytes, as `levenshtein` in its
    SQL does; this is never less than the count in characters, so that the candidates are
    the same.
@@ -46,7 +46,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.common import save, sized
+from furrow.llm.common import release, save, sized
 
 THRESHOLD = 2
 #: Characters of a line for each edit that it allows.
@@ -79,19 +79,23 @@ def lines(docs: DataFrame) -> DataFrame:
     # doc_id, 31 bits of the hash and the line number as one number, so that the first place is a plain minimum
     base = F.coalesce("doc_id", F.lit(2**63 - 1)).cast("decimal(20,0)") * F.lit(2**62).cast("decimal(19,0)")
     rows = docs.select("doc_id", *_hashes(F.col("text")), base.alias("base"), "text")
-    each = rows.select(*ROW, "base", F.posexplode(F.split("text", "\n")).alias("line", "raw")).where(F.length("raw") > 0)
+    each = rows.select(*ROW, "base", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
+    # whether a line is empty when folded is asked of the line as it is: a filter on the folded one would fold it twice
+    each = each.where(F.length(F.btrim("raw", F.lit(" \t\x0b\f\r"))) > 0)
     place = F.col("base") + (F.col("text_hash").bitwiseAND(_LINES - 1) * _LINES + F.col("line")).cast("decimal(19,0)")
-    return each.select(*ROW, "line", folded(F.col("raw")).alias("folded"), place.alias("place")).where(F.length("folded") > 0)
+    return each.select(*ROW, "line", folded(F.col("raw")).alias("folded"), place.alias("place"))
 
 
 def _ids(folded: Column) -> list[Column]:
     return [F.xxhash64(folded).alias("id"), (F.hash(folded).cast("bigint") * 2**31 + F.length(folded)).alias("id2")]
 
 
-def contents(each: DataFrame) -> DataFrame:
-    """id, id2, folded, chars, place (the first), places (how many), saved."""
+def contents(each: DataFrame, threshold: int) -> DataFrame:
+    """id, id2, folded, chars, place (the first), places (how many), short (whether there are lines close to its length
+    that allow fewer edits than threshold), saved."""
     c = each.groupBy("folded").agg(F.min("place").alias("place"), F.count("*").alias("places"))
-    return save(c.select(*_ids(F.col("folded")), "folded", F.length("folded").alias("chars"), "place", "places"), "lines")
+    chars = F.length("folded")
+    return save(c.select(*_ids(F.col("folded")), "folded", chars.alias("chars"), "place", "places", (chars < EDIT_CHARS * threshold + threshold).alias("short")), "lines", by="short")
 
 
 def edits(chars: Column, threshold: int) -> Column:
@@ -113,16 +117,21 @@ def _key(chars: Column, k: int, start: Column, size: Column) -> Column:
 
 
 def _keys(c: DataFrame, chars: Column, threshold: int, shifts: Callable[[int, int], list[int]]) -> DataFrame:
-    """(id, key) of the segments that a line of so many characters is cut into, each at the given shifts. One scan for
-    lines of all classes."""
-    of_class = F.array().cast("array<bigint>")
-    for t in range(1, threshold + 1):
+    """(id, key) of the segments that a line of so many characters is cut into, each at the given shifts."""
+
+    def of_class(t: int) -> Column:
         keys = []
         for k in range(t + 1):
             start, size = segment(chars, k, t)
             keys += [_key(chars, k, start + shift, size) for shift in shifts(t, k)]
-        of_class = F.when(edits(chars, threshold) == t, F.array(*keys)).otherwise(of_class) if keys else of_class
-    return c.select("id", F.explode(of_class).alias("key"))
+        return F.array(*keys) if keys else F.array().cast("array<bigint>")
+
+    any_class = F.array().cast("array<bigint>")
+    for t in range(1, threshold + 1):
+        any_class = F.when(edits(chars, threshold) == t, of_class(t)).otherwise(any_class)
+    # lines that aren't short allow as many edits as any, and need no cases, in which Spark would compute what keys share again and again
+    parts = [c.where("NOT short").select("id", F.explode(of_class(threshold)).alias("key")), c.where("short").select("id", F.explode(any_class).alias("key"))]
+    return reduce(DataFrame.union, parts)
 
 
 def index_keys(c: DataFrame, threshold: int) -> DataFrame:
@@ -247,23 +256,36 @@ def _banded(a: Column, b: Column, more: Column, threshold: int) -> Column:
     return F.aggregate(b, start, step, lambda acc: acc["distance"])
 
 
-def enough_parts(a: Column, b: Column, allowed: Column, threshold: int) -> Column:
-    """Whether two lines can be within the allowed edits: an edit touches one part of a at most, and the others are
-    as they were, moved by no more than the edits."""
-    parts = 2 * threshold + 1
-    size = F.floor(F.length(a) / parts).cast("int")
-    kept = []
-    for k in range(parts):
-        part = F.substring(a, size * k + 1, size)
-        there = [F.substring(b, F.greatest(size * k + 1 + s, F.lit(1)), size) == part for s in sorted(range(-threshold, threshold + 1), key=abs)]
-        kept.append(reduce(Column.__or__, there).cast("int"))
-    return reduce(Column.__add__, kept) >= parts - allowed
+def _trimmed(a: Column, b: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """body of two texts without the beginning and the end that they have in common, which cost no edits. Both are found
+    by doubling steps, up to 2**15 - 1 characters; what a longer line has in common beyond that just stays."""
+    steps = F.array(*(F.lit(1 << e) for e in range(14, -1, -1)))
+    na, nb = F.length(a), F.length(b)
+
+    def common(most: Column, x: Callable[[Column, Column], Column], y: Callable[[Column, Column], Column]) -> Column:
+        return F.aggregate(steps, F.lit(0), lambda k, s: F.when(k + s <= most, F.when(x(k, s) == y(k, s), k + s).otherwise(k)).otherwise(k))
+
+    def behind(head: Column) -> Column:
+        tail = common(F.least(na, nb) - head, lambda k, s: F.substring(a, na - k - s + 1, s), lambda k, s: F.substring(b, nb - k - s + 1, s))
+        return _let(tail, lambda tail: body(F.substring(a, head + 1, na - head - tail), F.substring(b, head + 1, nb - head - tail)))
+
+    return _let(common(F.least(na, nb), lambda k, s: F.substring(a, k + 1, s), lambda k, s: F.substring(b, k + 1, s)), behind)
+
+
+def distance(a: Column, b: Column, threshold: int, in_bytes: bool = False) -> Column:
+    """Edit distance of two texts whose lengths differ by `threshold` at most, as `banded_distance` counts it."""
+
+    def units(x: Column) -> Column:
+        return F.when(F.length(x) > 0, F.split(F.decode(x, "ISO-8859-1") if in_bytes else x, "")).otherwise(F.array().cast("array<string>"))
+
+    kind = "binary" if in_bytes else "string"
+    return _let(F.struct(a.cast(kind).alias("a"), b.cast(kind).alias("b")), lambda x: _trimmed(x["a"], x["b"], lambda a, b: banded_distance(units(a), units(b), threshold)))
 
 
 def verified(pairs: DataFrame, c: DataFrame, threshold: int, in_bytes: bool = False) -> DataFrame:
     """(id, id2, first): contents with the first place of an earlier near content."""
-    units = lambda x: F.split(F.decode(F.col(x).cast("binary"), "ISO-8859-1") if in_bytes else F.col(x), "")
     pairs = save(pairs, "pairs")
+    release(pairs.sparkSession)
     ends = sized(save(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ends"))
     texts = save(c.join(ends, "id", "left_semi").select("id", "id2", "folded", "place", "chars"), "texts")
     both = pairs
@@ -272,11 +294,7 @@ def verified(pairs: DataFrame, c: DataFrame, threshold: int, in_bytes: bool = Fa
     allowed = edits(F.least("chars_a", "chars_b"), threshold)
     if in_bytes:  # lines of nearly as many characters can differ by more bytes than the band is wide
         both = both.where(F.abs(F.octet_length("text_a") - F.octet_length("text_b")) <= allowed)
-    as_bytes = enough_parts(F.col("text_a").cast("binary"), F.col("text_b").cast("binary"), allowed, threshold)
-    plain = (F.octet_length("text_a") == F.col("chars_a")) & (F.octet_length("text_b") == F.col("chars_b"))
-    both = both.where(as_bytes if in_bytes else F.when(plain, as_bytes).otherwise(enough_parts(F.col("text_a"), F.col("text_b"), allowed, threshold)))
-    both = both.withColumns({"a_units": units("text_a"), "b_units": units("text_b")})
-    near = both.where(banded_distance(F.col("a_units"), F.col("b_units"), threshold) <= allowed)
+    near = both.where(distance(F.col("text_a"), F.col("text_b"), threshold, in_bytes) <= allowed)
     later = F.when(F.col("place_a") < F.col("place_b"), F.struct(F.col("b").alias("id"), F.col("b2").alias("id2"))).otherwise(F.struct(F.col("a").alias("id"), F.col("a2").alias("id2")))
     near = near.select(later.alias("later"), F.least("place_a", "place_b").alias("first"))
     return near.groupBy("later.id", "later.id2").agg(F.min("first").alias("first"))
@@ -288,7 +306,8 @@ def dropped(docs: DataFrame, threshold: int = THRESHOLD, in_bytes: bool = False)
     Only documents that lose lines have a row."""
     docs = docs.select("doc_id", "text")
     each = lines(docs)
-    c = contents(each)
+    c = contents(each, threshold)
+    release(docs.sparkSession)
     near = save(verified(candidates(c, threshold), c, threshold, in_bytes), "near")
     # Contents that lose a line: those with more than one place, and those with an earlier near content.
     marked = c.select("id", "id2", "place", "places").join(near, ["id", "id2"], "left").where("places > 1 OR first IS NOT NULL")
