@@ -101,6 +101,18 @@ def test_decontamination_brute_force(spark):
     assert decontaminate.report(docs(spark, texts), b.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_odd_items(spark):
+    passage = " ".join(f"p{i}" for i in range(15))
+    items = [(1, passage), (1, passage), (None, "lone words"), (2, None), (3, "!!"), (4, passage)]
+    b = spark.createDataFrame(items, "item_id bigint, text string").withColumn("doc_id", F.lit("clash"))
+    d = docs(spark, [passage, "x " + passage + " y " + passage, "lone words", None, "z " * 50_000 + passage], ids=[7, 7, None, None, 9])
+    for block in (decontaminate.BLOCK_BYTES, 40):
+        rows = decontaminate.scan(d.select("doc_id", "text"), b, block_bytes=block).collect()
+        got = sorted((r.doc_id or 0, r.scan.n_words, [(x.start, x.end) for x in r.scan.spans], r.scan["items"]) for r in rows)
+        assert got == [(0, 0, [], []), (0, 2, [(0, 2)], ["null"]), (7, 15, [(0, 15)], ["1", "4"]), (7, 32, [(1, 16), (17, 32)], ["1", "4"]), (9, 50_015, [(50_000, 50_015)], ["1", "4"])]
+    assert decontaminate.report(d.limit(0), b).count() == 0
+
+
 def test_decontamination_cuts_or_drops(spark):
     passage = " ".join(f"p{i}" for i in range(12))
     b = spark.createDataFrame([(1, passage)], "item_id bigint, text string")
@@ -120,6 +132,13 @@ def test_license_scan(spark):
     assert "apache-2.0" in rows[2].labels
 
 
+def test_license_scan_odd_tables(spark):
+    assert license_scan.report(docs(spark, [])).count() == 0
+    texts = ["word " * 100_000 + "MIT license", "mit license mit license", "mit license mit license", None]
+    r = license_scan.report(docs(spark, texts, ids=[3, 4, 4, None]).withColumn("scan", F.lit(1))).collect()
+    assert sorted((x.doc_id or 0, x.n_words, x.n_base, x.first_word, x.last_word) for x in r) == [(0, 0, 0, None, None), (3, 100_002, 1, 100_000, 100_000), (4, 4, 2, 0, 2), (4, 4, 2, 0, 2)]
+
+
 def test_license_gate_loses_nothing(spark, monkeypatch):
     """The gated scan against all rules on every text, over the tables and the licence pages."""
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] + ["https://opensource.org/license/mit", "see https://opensource.org/licenses/isc and spdx.org/licenses/0bsd", "Creative Commons Attribution 4.0, X11 license"]
@@ -251,6 +270,27 @@ def test_near_dedup_brute_force(spark, monkeypatch):
     assert sorted(x.doc_id for x in kept.collect()) == sorted(set(want))
 
 
+def test_near_dedup_of_a_whole_table(spark):
+    """All pairs that share a shingle, by an inverted index, over every document of sf0.01."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    bags, holders = {}, {}
+    for r in d.select("doc_id", "text").collect():
+        w = word_list(r.text)
+        bags[r.doc_id] = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
+        for g in bags[r.doc_id]:
+            holders.setdefault(g, []).append(r.doc_id)
+    label = {i: i for i in bags}
+    links = 0
+    for a, b in {(a, b) for ids in holders.values() for a in ids for b in ids if a < b}:
+        union = sum((bags[a] | bags[b]).values())
+        if sum((bags[a] & bags[b]).values()) / union >= 0.8:
+            links += 1
+            x, y = sorted((label[a], label[b]))
+            label = {i: x if k == y else k for i, k in label.items()} if x != y else label
+    got = {r.doc_id: r.class_id for r in near_dedup.report(d).collect()}
+    assert got == label and links > 50
+
+
 def test_near_dedup_repeated_and_null_ids(spark):
     base = " ".join(f"w{k}" for k in range(60))
     near, unique = base + " tail", " ".join(f"u{k}" for k in range(30))
@@ -385,6 +425,12 @@ def test_banded_distance_is_levenshtein(spark, threshold):
     got = d.select(line_dedup.banded_distance(F.col("a"), F.col("b"), threshold).alias("d")).collect()
     for (a, b), r in zip(pairs, got, strict=True):
         assert min(r.d, threshold + 1) == min(levenshtein(a, b), threshold + 1), (a, b, r.d)
+    texts = spark.createDataFrame([("xyö" * 9 + a + "tail" * k, "xyö" * 9 + b + "tail" * k) for k, (a, b) in enumerate(pairs[:60])], "a string, b string")
+    got = texts.select("a", "b", line_dedup.distance(F.col("a"), F.col("b"), threshold).alias("d")).collect()
+    assert all(min(r.d, threshold + 1) == min(levenshtein(r.a, r.b), threshold + 1) for r in got)
+    near = texts.where(F.abs(F.octet_length("a") - F.octet_length("b")) <= threshold)
+    for r in near.select("a", "b", line_dedup.distance(F.col("a"), F.col("b"), threshold, in_bytes=True).alias("d")).collect():
+        assert min(r.d, threshold + 1) == min(levenshtein(r.a.encode(), r.b.encode()), threshold + 1)
 
 
 def test_line_dedup_repeated_and_null_ids(spark):
@@ -668,3 +714,27 @@ def test_pipeline_keeps_no_copies(spark, tmp_path):
     want = {i for k, i in enumerate(left) if label[k] == k}
     rows = {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, sf_dir).collect()}
     assert set(rows) == want and {i for i in want if not rows[i]} <= {58, 59, 60}
+
+
+def test_pipeline_odd_rows(spark, tmp_path):
+    """run() with repeated and null ids, null, empty and very long texts: no text is lost that stands nowhere else; and with empty tables."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    line = lambda: " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(4, 9))) for _ in range(9))
+    whole = [line() + "\n" + line() for _ in range(6)] + ["\n".join(line() for _ in range(3000))]
+    texts = [*whole, whole[0], whole[1], whole[1], None, "", None]
+    ids = [5, 5, None, None, 5, 6, 7, 5, None, 8, None, None, 5]
+    sf_dir = str(tmp_path / "some")
+    docs(spark, texts, ids=ids).write.parquet(f"{sf_dir}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(9)], "doc_id bigint, quality int, toxic int").write.parquet(f"{sf_dir}/labels.parquet")
+    spark.createDataFrame([(0, "zq " * 30)], "item_id bigint, text string").write.parquet(f"{sf_dir}/benchmark.parquet")
+    rows = sentencepiece_codec.decode(corpus_pipeline.run(spark, sf_dir)).collect()
+    assert sorted(r.decoded for r in rows if r.decoded) == sorted(whole) and all(r.round_trip for r in rows)
+    assert len(rows) == len(whole) + 3  # the null and empty texts stay
+
+    sf_dir = str(tmp_path / "none")
+    docs(spark, []).write.parquet(f"{sf_dir}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{sf_dir}/labels.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{sf_dir}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, sf_dir).count() == 0
