@@ -11,6 +11,11 @@ Every stage takes (spark, docs, sf_dir) and keeps all rows and columns of docume
 that it doesn't decide against; the last returns doc_id, n_chars, n_tokens, ids and
 round_trip. Documents that had no text or no word to begin with lose their row to
 line_dedup only if nothing but white space is left of what they had.
+
+Defined cases: null and empty texts go through all stages and have no ids; rows with one doc_id,
+or none, and different texts are documents of their own; of rows that repeat both, and of other ties,
+near_dedup leaves one; very long texts are read whole; empty tables give an empty result; columns of
+other names pass through all stages but the last.
 """
 
 from __future__ import annotations
