@@ -11,10 +11,9 @@ def test_query_matches_sql(spark, sf, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_without_sql(spark, sf, name):
-    """Rows, no column that is null throughout, and the same rows from a second run."""
+    """Rows, and no column that is null throughout."""
     rows = QUERIES[name](spark, sf).collect()
     assert rows and all(any(r[c] is not None for r in rows) for c in rows[0].asDict())
-    assert sorted(map(repr, QUERIES[name](spark, sf).collect())) == sorted(map(repr, rows))
 
 
 def test_entry(spark):
