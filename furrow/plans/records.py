@@ -267,11 +267,11 @@ def value_ranges(spark, sf):
 
 # --- units and exchange forms
 
-@query("unit_pair_conversion", f"WITH {LABELS}, u AS (SELECT *, ['ha', 'ha', 'km2'][adm_id % 3 + 1] AS area_unit, ['t/ha', 'kg/ha', '100t'][adm_id % 3 + 1] AS yield_unit FROM labels) SELECT adm_id, crop, year, round(production / CASE WHEN area_unit = 'ha' AND yield_unit = 't/ha' THEN 1000.0 WHEN area_unit = 'ha' AND yield_unit = 'kg/ha' THEN 1000000.0 WHEN yield_unit = '100t' THEN 10.0 END, 6) AS production_kt, round(area / CASE area_unit WHEN 'ha' THEN 100.0 WHEN 'km2' THEN 1.0 END, 6) AS area_km2 FROM u")
+@query("unit_pair_conversion", f"WITH {LABELS}, u AS (SELECT *, ['ha', 'ha', 'km2'][adm_id % 3 + 1] AS area_unit, ['t/ha', 'kg/ha', '100t'][adm_id % 3 + 1] AS yield_unit FROM labels) SELECT adm_id, crop, year, round(production / CASE WHEN area_unit = 'ha' AND yield_unit = 't/ha' THEN 1000.0 WHEN area_unit = 'ha' AND yield_unit = 'kg/ha' THEN 1000000.0 WHEN yield_unit = '100t' THEN 10.0 END, 9) AS production_kt, round(area / CASE area_unit WHEN 'ha' THEN 100.0 WHEN 'km2' THEN 1.0 END, 6) AS area_km2 FROM u")
 def unit_pair_conversion(spark, sf):
     at = (F.col("adm_id") % 3 + 1).cast("int")
     area, yields = F.element_at(F.array(*map(F.lit, ("ha", "ha", "km2"))), at), F.element_at(F.array(*map(F.lit, ("t/ha", "kg/ha", "100t"))), at)
-    return _p(spark, sf).select("adm_id", "crop", "year", F.round(records.to_thousand_tonnes(F.col("production"), area, yields), 6).alias("production_kt"), F.round(records.to_square_km(F.col("area"), area), 6).alias("area_km2"))
+    return _p(spark, sf).select("adm_id", "crop", "year", F.round(records.to_thousand_tonnes(F.col("production"), area, yields), 9).alias("production_kt"), F.round(records.to_square_km(F.col("area"), area), 6).alias("area_km2"))
 
 
 _NAMES = "names AS (SELECT CAST(n_nationkey AS INT) AS adm_id, n_name AS adm_name, r_name AS region FROM nation JOIN region ON r_regionkey = n_regionkey)"
