@@ -37,9 +37,11 @@ names pass through `keep_one`, which needs only doc_id and text.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.llm.common import arrow_once, mix, save, sized, text_blocks, windows, words
@@ -50,6 +52,8 @@ BANDS, ROWS = 32, 6
 M = BANDS * ROWS
 #: Buckets of so many contents are paired as they are.
 SMALL_BUCKET = 8
+#: Bits of parities of what a content differs by from its center.
+SIGNATURE = 512
 _T = (1 - SIMILARITY) / (1 + SIMILARITY)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -210,7 +214,9 @@ def _rest(bands: DataFrame, texts: DataFrame) -> DataFrame:
     edits have none in common. Or they share none, and then they differ by at least
     |A(x)| + |A(y)| + ||R(x)| - |R(y)||, which excludes all but shortened texts, and have at least
     (1 - t) (|A(x)| + |R(x)|) / 2 removed shingles in common, so that one of the first
-    |R(x)| - that many + 1, in any fixed order, is removed from y too. No pair that could be linked is left out."""
+    |R(x)| - that many + 1, in any fixed order, is removed from y too. What they differ by is what A(x) with R(x) and A(y)
+    with R(y) differ by, and each such token flips one bit of SIGNATURE parities: pairs whose parities differ
+    in more bits than the limit drop out in either join. No pair that could be linked is left out."""
     m = save(bands.join(_heads(bands), "key").select("key", "cid", "comp", "leader_comp", "size"), "mixed")
     small = m.where(F.col("size") <= SMALL_BUCKET)
     other = small.select("key", F.col("cid").alias("b"), F.col("comp").alias("cb"))
@@ -224,12 +230,12 @@ def _rest(bands: DataFrame, texts: DataFrame) -> DataFrame:
     if not large.limit(1).count():
         return pairs
     t = texts.toDF("cid", "text")
-    d = large.join(t, "cid").join(t.toDF("c", "whole"), "c").withColumn("d", arrow_once(of, "struct<n: bigint, added: array<bigint>, removed: array<bigint>>")("whole", "text"))
+    d = large.join(t, "cid").join(t.toDF("c", "whole"), "c").withColumn("d", arrow_once(of, "struct<n: bigint, added: array<bigint>, removed: array<bigint>, parities: array<bigint>>")("whole", "text"))
     d = d.select("c", "cid", "comp", "leader_comp", "d.*", F.size("d.added").alias("na"), F.size("d.removed").alias("nr"))
     d = save(d.withColumn("far", F.col("na") + F.col("nr") > _T * (2 * F.col("n") - F.col("na") + F.col("nr"))), "differences")
     linked = d.where("not far and comp <> leader_comp").select(F.col("cid").alias("a"), F.col("c").alias("b"))
-    mine = d.select("c", "cid", "comp", "n", "na", "nr", "added", "removed")
-    far = d.where("far").select("c", F.col("cid").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("na").alias("nab"), F.col("nr").alias("nrb"), F.col("added").alias("added_b"), F.col("removed").alias("removed_b"))
+    mine = d.select("c", "cid", "comp", "n", "na", "nr", "added", "removed", "parities")
+    far = d.where("far").select("c", F.col("cid").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("na").alias("nab"), F.col("nr").alias("nrb"), F.col("added").alias("added_b"), F.col("removed").alias("removed_b"), F.col("parities").alias("parities_b"))
 
     # Added shingles that the same contents share bring the same pairs; one of each such set is enough, and
     # shingles of a single content bring none. A change of one word adds five shingles.
@@ -238,13 +244,15 @@ def _rest(bands: DataFrame, texts: DataFrame) -> DataFrame:
     telling = sized(save(held.groupBy("c", "k", "x", "s").agg(F.min("token").alias("token")).select("c", "token"), "telling"))
 
     def on(y: str, first, fits, only: DataFrame | None = None) -> DataFrame:
-        left = mine.select("c", "cid", "comp", "n", "na", "nr", F.explode(first).alias("token"))
-        right = far.select("c", "b", "cb", "nb", "nab", "nrb", F.explode(y).alias("token"))
+        left = mine.select("c", "cid", "comp", "n", "na", "nr", "parities", F.explode(first).alias("token"))
+        right = far.select("c", "b", "cb", "nb", "nab", "nrb", "parities_b", F.explode(y).alias("token"))
         if only is not None:
             left, right = left.join(only, ["c", "token"], "left_semi"), right.join(only, ["c", "token"], "left_semi")
-        return left.join(right, ["c", "token"]).where((F.col("comp") != F.col("cb")) & fits).select(F.col("cid").alias("a"), "b")
+        return left.join(right, ["c", "token"]).where((F.col("comp") != F.col("cb")) & fits & close).select(F.col("cid").alias("a"), "b")
 
     most = _T * (F.col("n") + F.col("nb")) + 1e-9
+    flipped = [F.bit_count(F.col("parities")[i].bitwiseXOR(F.col("parities_b")[i])) for i in range(SIGNATURE // 64)]
+    close = reduce(Column.__add__, flipped) <= most
     # what two must have in common can't be more than the smaller of their added and of their removed parts
     sizes = F.col("na") + F.col("nr") + F.col("nab") + F.col("nrb") - most <= 2 * (F.least("na", "nab") + F.least("nr", "nrb"))
     few = F.col("na") + F.col("nab") + F.abs(F.col("nr") - F.col("nrb")) <= most
@@ -254,8 +262,8 @@ def _rest(bands: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def differences(whole: pa.Array, own: pa.Array) -> pa.Array:
-    """Per row the size of `own`, and what it has over `whole` and lacks of it, as hashes of (shingle, level)."""
-    n, diffs = [], {True: [], False: []}
+    """Per row the size of `own`, what it has over `whole` and lacks of it, as hashes of (shingle, level), and parities of both."""
+    n, diffs, parities = [], {True: [], False: []}, []
     for start, offsets, data in text_blocks(own, 1 << 20):
         rows = len(offsets) - 1
         ro, go, co = shingles(offsets, data)
@@ -280,14 +288,17 @@ def differences(whole: pa.Array, own: pa.Array) -> pa.Array:
         level = np.arange(len(spread)) - np.repeat(np.cumsum(top - low) - (top - low), top - low) + low[spread] + 1
         token = mix(g[spread] + level.astype(np.uint64) * _GOLD)
         n.append(np.bincount(ro, weights=co, minlength=rows).astype(np.int64))
+        bit, words = token % np.uint64(SIGNATURE), np.zeros(rows * (SIGNATURE // 64), np.uint64)
+        np.bitwise_xor.at(words, row[spread] * (SIGNATURE // 64) + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+        parities += list(words.view(np.int64).reshape(rows, -1))
         for side, out in diffs.items():
             mine = added[spread] == side
             order = np.lexsort((token[mine], row[spread][mine]))
             cut = np.searchsorted(row[spread][mine][order], np.arange(rows + 1))
             own_tokens = token[mine][order].view(np.int64)
             out += [own_tokens[cut[k] : cut[k + 1]] for k in range(rows)]
-    lists = [pa.array(out, pa.list_(pa.int64())) for out in diffs.values()]
-    return pa.StructArray.from_arrays([pa.array(np.concatenate(n) if n else np.zeros(0, np.int64)), *lists], ["n", "added", "removed"])
+    lists = [pa.array(out, pa.list_(pa.int64())) for out in (*diffs.values(), parities)]
+    return pa.StructArray.from_arrays([pa.array(np.concatenate(n) if n else np.zeros(0, np.int64)), *lists], ["n", "added", "removed", "parities"])
 
 
 def _contents(s: DataFrame) -> DataFrame:

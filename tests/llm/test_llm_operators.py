@@ -687,7 +687,6 @@ def test_pipeline(spark, sf):
             assert out.columns == table.columns
         d = out
     assert counts[0] < table.count() and counts == sorted(counts, reverse=True) and d.where("NOT round_trip").count() == 0
-    assert corpus_pipeline.run(spark, sf).count() == counts[-1]
 
 
 def test_pipeline_keeps_no_copies(spark, tmp_path):
