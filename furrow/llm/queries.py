@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import decontaminate, exact_dedup, filter_audit, langid, lexical_search, license_scan, line_dedup, near_dedup, quality, sentencepiece_codec, url_filter, warc
+from furrow.llm import decontaminate, exact_dedup, filter_audit, langid, lexical_search, license_scan, line_dedup, lm_scoring, near_dedup, quality, sentencepiece_codec, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,9 +63,13 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_filter, op2_quality_classifier, op3_exact_dedup, op4_line_dedup, op5_sentencepiece, op6_language_id, op7_license_scan, op8_warc, op9_decontamination, op10_near_dedup, op11_filter_audit, op12_lexical_search)
+    for f in (op1_url_filter, op2_quality_classifier, op3_exact_dedup, op4_line_dedup, op5_sentencepiece, op6_language_id, op7_license_scan, op8_warc, op9_decontamination, op10_near_dedup, op11_filter_audit, op12_lexical_search, op13_lm_scoring)
 }
 
 ORACLE_SQL = {"op1_url_filter": url_filter.report_sql(), "op3_exact_dedup": exact_dedup.REPORT_SQL, "op4_line_dedup": line_dedup.report_sql(), "op8_warc": warc.REPORT_SQL, "op9_decontamination": decontaminate.report_sql(), "op11_filter_audit": filter_audit.REPORT_SQL, "op12_lexical_search": lexical_search.report_sql()}
