@@ -7,7 +7,7 @@ is held against the intervals that contain its fetch time: an as-of join.
 
 Each capture spreads to the keys it can match (its host, every parent domain, every
 path prefix down to the depth of the deepest listed path) and is equi-joined with the intervals on (key, month):
-intervals are cut at months, so that a key with a long history of entries is not
+intervals are cut at the months that have captures, so that a key with a long history of entries is not
 scanned whole for each of its captures. Intervals are broadcast up to a checked
 size; beyond it the join shuffles and adaptive execution splits a hot host.
 
@@ -107,17 +107,20 @@ def keys_of(host: Column, path: Column, deepest: int) -> Column:
     none = F.array().cast("array<string>")
     return F.when(host == "", none).otherwise(F.concat(F.array(F.concat(F.lit("host:"), host)), domains, F.when(depth > 0, prefixes).otherwise(none)))
 
+def by_month(spans: DataFrame, days: DataFrame) -> DataFrame:
+    """The intervals, one row for each month that has captures, of which the calendar has 120,000 at most."""
+    there = save(days.select(F.trunc("day", "month").alias("month")).where("month IS NOT NULL").distinct(), "months")
+    within = (F.col("month") >= F.trunc("valid_from", "month")) & (F.col("valid_to").isNull() | (F.col("month") < F.col("valid_to")))
+    return spans.join(F.broadcast(there), within)
+
 
 def evaluate(captures: DataFrame, listed: DataFrame) -> DataFrame:
     """capture_id, url, fetched of captures with n_active, verdict (block, allow, none), list and value of the deciding entry."""
     spans = intervals(listed)
-    first = F.trunc("valid_from", "month")
-    # An open interval is cut up to the month of the last capture.
-    last = captures.agg(F.max(F.col("fetched").cast("date")).alias("d")).first().d
-    until = F.coalesce(F.date_sub("valid_to", 1), F.greatest(F.lit(last).cast("date"), F.col("valid_from")))
-    months = save(spans.withColumn("month", F.explode(F.sequence(first, F.trunc(until, "month"), F.expr("interval 1 month")))), "intervals")
+    day = F.col("fetched").cast("date")
+    months = save(by_month(spans, captures.select(day.alias("day"))), "intervals")
     deepest = months.where("kind = 'path'").agg(F.max(F.size(F.split("value", "/")) - 1).alias("n")).first().n or 0
-    rows = captures.select("capture_id", "url", F.col("fetched").cast("date").alias("day"), "fetched").distinct()
+    rows = captures.select("capture_id", "url", day.alias("day"), "fetched").distinct()
     host = F.coalesce(host_of(F.col("url")), F.lit(""))
     spread = rows.withColumn("key", F.explode_outer(keys_of(host, F.coalesce(path_of(F.col("url")), F.lit("")), deepest))).withColumn("month", F.trunc("day", "month"))
     hit = spread.join(sized(months), ["key", "month"], "left").withColumn("active", F.col("valid_from").isNotNull() & (F.col("valid_from") <= F.col("day")) & (F.col("valid_to").isNull() | (F.col("day") < F.col("valid_to"))))

@@ -609,6 +609,14 @@ def test_url_filter_brute_force(spark):
     assert url_filter.evaluate(c.limit(0), url_filter.entries(spark)).count() == 0
 
 
+def test_url_filter_far_dates(spark):
+    """A corrupt fetch date costs a month, not all months up to it."""
+    listed = url_filter.entries(spark, [("l", "host", "a.org", "block", "2024-01-01"), ("l", "host", "b.org", "allow", "2024-02-01"), ("l", "host", "b.org", "lift", "2024-02-15")])
+    c = spark.createDataFrame([(0, "http://a.org", "9999-12-31"), (1, "http://a.org", "0001-01-01"), (2, "http://b.org", "2024-02-10"), (3, "http://b.org", None)], "capture_id int, url string, day string").select("capture_id", "url", F.to_date("day").alias("fetched"))
+    assert url_filter.by_month(url_filter.intervals(listed), c.select(F.col("fetched").alias("day"))).count() == 3
+    assert {r.capture_id: r.verdict for r in url_filter.evaluate(c, listed).collect()} == {0: "block", 1: "none", 2: "allow", 3: "none"}
+
+
 def test_url_filter_deep_paths_and_repeated_captures(spark):
     deep = "a.org/" + "/".join("abcdefghijkl")
     listed = url_filter.entries(spark, [("l", "path", deep, "block", "2024-01-01"), ("l", "host", "a.org", "allow", "2024-01-01")])
