@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import re
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,22 +36,31 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/furrow/{tag}-{uuid.uuid4().hex}"
 
 
-def save(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def save(df: DataFrame, tag: str, by: str | None = None, compression: str = "snappy") -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage is cut
-    and a lost executor costs nothing that was already computed. Filters on the
-    column `by` then read only the files that they need."""
-    path = new_path(df.sparkSession, tag)
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of plans that nothing refers to any more. It does so when the driver's collector
-    finds the plans gone, and a driver that allocates little may not collect before the next large shuffle. What a plan
-    was run by goes in a first collection, the plan itself in a second."""
-    for wait in (0.3, 0.0):
-        spark.sparkContext._jvm.java.lang.System.gc()
-        time.sleep(wait)
+    and a lost executor costs nothing that was already computed. The shuffle files of the write go when it is done.
+    Filters on the column `by` then read only the files that they need. `discard` deletes the table."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, tag)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        (df.write.partitionBy(by) if by else df.write).option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def discard(*tables: DataFrame, part: str = "") -> None:
+    """Delete saved tables that no plan still to be run reads, or a part of them (`column=value` of a table saved by that column)."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{t.saved_at}/{part}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
