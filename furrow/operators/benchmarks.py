@@ -17,9 +17,9 @@ def null_prediction() -> Column:
     return (F.sum("yield").over(w) - own) / F.nullif(n, F.lit(0))
 
 
-def peak_prediction(x: str) -> Column:
-    """The unit's regression of yield on x over the other years, from totals less the row's own terms."""
-    w = Window.partitionBy(*SERIES)
+def peak_prediction(x: str, by: list[str] = SERIES) -> Column:
+    """The regression of yield on x over the other years of each `by`, from totals less the row's own terms."""
+    w = Window.partitionBy(*by)
     use = F.col("yield").isNotNull() & F.col(x).isNotNull()
     terms = {"n": F.lit(1.0), "x": F.col(x), "y": F.col("yield"), "xy": F.col(x) * F.col("yield"), "xx": F.col(x) * F.col(x)}
     total = {k: F.sum(F.when(use, v)).over(w) - F.when(use, v).otherwise(0.0) for k, v in terms.items()}

@@ -145,9 +145,15 @@ def wilcoxon(d: np.ndarray) -> tuple[float, float]:
     return w, normal_sf((w - n * (n + 1) / 4) / math.sqrt(var)) if var > 0 else 1.0
 
 
+def royston_ends(n: int, last: float, second: float) -> tuple[float, float]:
+    """The weights of the largest and the second largest of n values in Shapiro and Wilk's W, from their normalised expected scores.
+    The coefficients here and in `shapiro_p` are fixed values of the published approximation (Royston 1995)."""
+    u = 1 / math.sqrt(n)
+    return last + float(np.polyval([-2.706056, 4.434685, -2.07119, -0.147981, 0.221157, 0], u)), second + float(np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, 0], u))
+
+
 def shapiro(x: np.ndarray) -> tuple[float, float]:
-    """(W, p) by Royston's approximation (1995), for 3 values and more; (nan, nan) for fewer and for constants.
-    The coefficients below are fixed values of the published approximation."""
+    """(W, p) of one small sample by Royston's approximation, for 3 values and more; (nan, nan) for fewer and for constants."""
     x = np.sort(x[~np.isnan(x)])
     n = len(x)
     if n < 3 or x[0] == x[-1]:
@@ -156,33 +162,34 @@ def shapiro(x: np.ndarray) -> tuple[float, float]:
         a = np.array([-math.sqrt(0.5), 0.0, math.sqrt(0.5)])
     else:
         m = np.array([_normal_quantile((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
-        u, mm = 1 / math.sqrt(n), float(m @ m)
-        a = m / math.sqrt(mm)
-        last = a[-1] + np.polyval([-2.706056, 4.434685, -2.07119, -0.147981, 0.221157, 0], u)
+        mm = float(m @ m)
+        last, second = royston_ends(n, m[-1] / math.sqrt(mm), m[-2] / math.sqrt(mm))
         if n > 5:
-            second = a[-2] + np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, 0], u)
-            phi = (mm - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * second**2)
-            a = m / math.sqrt(phi)
+            a = m / math.sqrt((mm - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * second**2))
             a[-2], a[1] = second, -second
         else:
             a = m / math.sqrt((mm - 2 * m[-1] ** 2) / (1 - 2 * last**2))
         a[-1], a[0] = last, -last
     w = min(float((a @ x) ** 2 / ((x - x.mean()) ** 2).sum()), 1.0)
+    return w, shapiro_p(n, w)
+
+
+def shapiro_p(n: int, w: float) -> float:
     if n == 3:
-        return w, max(6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))), 0.0)
+        return max(6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))), 0.0)
     if w == 1.0:
-        return w, 1.0
+        return 1.0
     ln = math.log(n)
     if n <= 11:
         gamma = 0.459 * n - 2.273
         if math.log(1 - w) >= gamma:
-            return w, 0.0
+            return 0.0
         y, mu = -math.log(gamma - math.log(1 - w)), np.polyval([-0.0006714, 0.025054, -0.39978, 0.544], n)
         sigma = math.exp(np.polyval([-0.0020322, 0.062767, -0.77857, 1.3822], n))
     else:
         y, mu = math.log(1 - w), np.polyval([0.0038915, -0.083751, -0.31082, -1.5861], ln)
         sigma = math.exp(np.polyval([0.0030302, -0.082676, -0.4803], ln))
-    return w, normal_sf((y - mu) / sigma)
+    return normal_sf((y - mu) / sigma)
 
 
 def _normal_quantile(p: float) -> float:
@@ -206,20 +213,3 @@ def t_test(d: np.ndarray) -> tuple[float, float]:
     t = float(d.mean() / (d.std(ddof=1) / math.sqrt(n)))
     half = t_density_area(abs(t), n - 1)
     return t, 0.5 - half if t > 0 else 0.5 + half
-
-
-def paired_tests(pairs: DataFrame, by: list[str], x: str, y: str, alpha: float = 0.05) -> DataFrame:
-    """Per group: normality of the differences x - y, both one-sided tests, and the one that applies: the
-    signed-rank test where normality is not rejected and the t test where it is (as in the analysis this
-    reproduces), under `inverted_p`; `standard_p` chooses the other way round. Both are null where normality can't be tested."""
-    schema = ", ".join(f"{c} {dict(pairs.dtypes)[c]}" for c in by)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = (pdf[x] - pdf[y]).dropna().to_numpy()
-        (w, p_w), (t, p_t), (s, p_s) = wilcoxon(d), t_test(d), shapiro(d)
-        chosen = (math.nan, math.nan) if math.isnan(p_s) else (p_t, p_w) if p_s <= alpha else (p_w, p_t)
-        row = {c: pdf[c].iloc[0] for c in by} | {"n": len(d), "shapiro_w": s, "shapiro_p": p_s, "w_plus": w, "wilcoxon_p": p_w, "t": t, "t_p": p_t, "inverted_p": chosen[0], "standard_p": chosen[1]}
-        return pd.DataFrame([row])
-
-    names = ("shapiro_w", "shapiro_p", "w_plus", "wilcoxon_p", "t", "t_p", "inverted_p", "standard_p")
-    return pairs.groupBy(*by).applyInPandas(run, f"{schema}, n bigint, " + ", ".join(f"{c} double" for c in names))

@@ -78,25 +78,6 @@ def settings_text(settings: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(F.map_entries(settings)), lambda e: F.concat(e["key"], F.lit(":"), F.array_join(e["value"], ","))), "; ")
 
 
-def three_runs(res: DataFrame, base: str, others: list[str], by: list[str]) -> DataFrame:
-    """Squared errors of other runs against a base run, paired over (unit, year) where all of a pair predict, for each group of `by` (crop and lead
-    time): means, how often the other is better, the paired t statistic of base less other, and both signed-rank sums."""
-    e = F.pow(F.col("y_true") - F.col("y_pred"), 2)
-    mine = lambda r: res.where(F.col("run").isin(r) if isinstance(r, list) else F.col("run") == r)
-    left = mine(base).select(*by, "adm_id", "year", e.alias("a")).where("a IS NOT NULL")
-    right = mine(others).select(*by, "adm_id", "year", F.col("run").alias("other"), e.alias("b")).where("b IS NOT NULL")
-    d = left.join(right, [*by, "adm_id", "year"]).withColumn("d", F.round(F.col("a") - F.col("b"), 6))
-    w = Window.partitionBy(*by, "other").orderBy(F.abs("d"))
-    # zero differences have no rank; they come first in the order
-    nil = F.count(F.when(F.col("d") == 0, 1)).over(Window.partitionBy(*by, "other"))
-    ranked = d.withColumn("rank", F.rank().over(w) + (F.count("*").over(Window.partitionBy(*by, "other", F.abs("d"))) - 1) / 2 - nil)
-    side = lambda c: F.coalesce(F.sum(F.when(c, F.col("rank"))), F.lit(0.0))
-    return ranked.groupBy(*by, "other").agg(
-        F.count("*").alias("n"), F.avg("a").alias("mse_base"), F.avg("b").alias("mse_other"), F.avg((F.col("b") < F.col("a")).cast("double")).alias("better"),
-        (F.avg("d") / F.nullif(F.stddev_samp("d") / F.sqrt(F.count("*")), F.lit(0.0))).alias("t"), side(F.col("d") > 0).alias("w_plus"), side(F.col("d") < 0).alias("w_minus"),
-    )
-
-
 def from_downloads(parts: list[DataFrame]) -> DataFrame:
     """Downloads of one variable each as one long table: names and constants of the indicator series, dates from yyyyMMdd."""
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.functions import stats
+from furrow.operators import running
 
 FLOOR = 0.001
 
@@ -33,32 +34,29 @@ def relevance_classes(df: DataFrame, features: list[str], target: str) -> DataFr
 
 
 #: Ranges that a feature's values are cut into for running sums.
-RANGES = 64
-
-
 def relevance_ks(df: DataFrame, features: list[str], target: str) -> DataFrame:
     """feature, ks: the Kolmogorov-Smirnov distance of each class from the rest, averaged over classes.
 
-    A running sum over all values of a feature would be one task. Values are dealt out over RANGES ranges that
-    their approximate quantiles bound; sums over whole ranges tell where each range begins, and running
-    sums are windows within a range. Where the bounds lie doesn't change the result."""
+    Counts per (feature, value, class) are dealt out over ranges of (feature, value) and written down, so that df is read once and no
+    feature is one task. Between two values of a class its own share stands still while that of the rest rises, so that
+    the largest distance is at one of its values or just before it: no class meets the values of others."""
     long = df.where(F.col(target).isNotNull()).unpivot([target], features, "feature", "value").where("value IS NOT NULL")
-    cuts = long.groupBy("feature").agg(F.percentile_approx("value", [i / RANGES for i in range(1, RANGES)], 1000).alias("cuts"))
-    values = long.groupBy("feature", "value", target).agg(F.count("*").alias("n"))
-    values = values.join(F.broadcast(cuts), "feature").withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
-    classes = values.groupBy("feature", target).agg(F.sum("n").alias("n_class"))
-    totals = values.groupBy("feature").agg(F.sum("n").alias("n_all"))
-    # each class against every distinct value of its feature, as running shares; a row per feature, class and range says what came before
-    at = values.groupBy("feature", "range", "value").agg(F.sum("n").alias("n_value"))
-    so_far = Window.partitionBy("feature", target).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    every_range = values.groupBy("feature", "range").agg(F.sum("n").alias("r_all")).join(classes, "feature")
-    own_range = values.groupBy("feature", "range", target).agg(F.sum("n").alias("r_own"))
-    begins = every_range.join(own_range, ["feature", "range", target], "left").select("feature", "range", target, "n_class", F.coalesce(F.sum("r_all").over(so_far), F.lit(0)).alias("all0"), F.coalesce(F.sum("r_own").over(so_far), F.lit(0)).alias("own0"))
-    grid = at.join(begins, ["feature", "range"]).join(values.drop("range"), ["feature", "value", target], "left").join(totals, "feature")
-    w = Window.partitionBy("feature", target, "range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    own, every = F.col("own0") + F.sum(F.coalesce("n", F.lit(0))).over(w), F.col("all0") + F.sum("n_value").over(w)
-    gap = F.abs(own / F.col("n_class") - (every - own) / F.nullif(F.col("n_all") - F.col("n_class"), F.lit(0)))
-    return grid.withColumn("gap", gap).groupBy("feature", target).agg(F.max("gap").alias("d")).groupBy("feature").agg(F.avg("d").alias("ks"))
+    counts = long.groupBy("feature", "value", F.col(target).alias("class")).agg(F.count("*").alias("n"))
+    rows = running.dealt(counts, [F.col("feature"), F.col("value")])
+    own0, all0 = running.before(rows, ["feature", "class"], {"own0": F.col("n")}), running.before(rows, ["feature"], {"all0": F.col("n")})
+    sizes = rows.groupBy("feature", "class").agg(F.sum("n").alias("n_class"))
+    sizes = sizes.withColumn("n_all", F.sum("n_class").over(Window.partitionBy("feature")))
+    upto = Window.partitionBy(running.RANGE, "feature").orderBy("value").rangeBetween(Window.unboundedPreceding, 0)
+    own = Window.partitionBy(running.RANGE, "feature", "class").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    at = rows.withColumns({"every": F.sum("n").over(upto), "here": F.sum("n").over(Window.partitionBy(running.RANGE, "feature", "value")), "own": F.sum("n").over(own)})
+    at = at.join(own0, [running.RANGE, "feature", "class"]).join(all0, [running.RANGE, "feature"]).join(sizes, ["feature", "class"])
+    own, every = F.col("own0") + F.col("own"), F.col("all0") + F.col("every")
+
+    def gap(own, every):
+        return F.abs(own / F.col("n_class") - (every - own) / F.nullif(F.col("n_all") - F.col("n_class"), F.lit(0)))
+
+    far = F.greatest(gap(own, every), gap(own - F.col("n"), every - F.col("here")))
+    return at.groupBy("feature", "class").agg(F.max(far).alias("d")).groupBy("feature").agg(F.avg("d").alias("ks"))
 
 
 def correlations(df: DataFrame, features: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from furrow.operators import compare, learn, ranking, scaling, selection, specs
+from furrow.operators import compare, learn, paired, ranking, scaling, selection, specs
 from furrow.plans.register import LABELS, SPARSE, query
 from furrow.sources import tables
 
@@ -165,4 +165,5 @@ def paired_test_pvalue(spark, sf):
 
     r = _runs(spark, sf)
     e = lambda m, c: r.where(F.col("model") == m).select("crop", "adm_id", "year", F.pow(F.col("y_true") - F.col("y_pred"), 2).alias(c))
-    return learn.paired_tests(e("Null_model", "x").join(e("Trend", "y"), ["crop", "adm_id", "year"]), ["crop"], "x", "y")
+    t = paired.paired_tests(e("Null_model", "x").join(e("Trend", "y"), ["crop", "adm_id", "year"]), ["crop"], "x", "y", ["adm_id", "year"])
+    return t.select("crop", "n", "shapiro_w", "shapiro_p", "w_plus", "wilcoxon_p", "t", "t_p", "inverted_p", "standard_p")

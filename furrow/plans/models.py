@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from furrow.operators import benchmarks, compare, features, forecast, metrics, panel, ranking
+from furrow.operators import benchmarks, compare, features, forecast, metrics, paired, panel, ranking, seasonal
 from furrow.plans.panels import _TREND, FIRST_YEAR
 from furrow.plans.register import LABELS, MONTHS, query
 from furrow.sources import tables
@@ -221,7 +221,54 @@ SELECT crop, count(*) AS n, round(sum(CASE WHEN d > 0 THEN k ELSE 0 END), 1) AS
 def wilcoxon_statistic(spark, sf):
     r = _runs(spark, sf)
     e = lambda m, c: r.where(F.col("model") == m).select("crop", "adm_id", "year", F.abs(F.col("y_true") - F.col("y_pred")).alias(c))
-    return compare.signed_ranks(e("Null_model", "x").join(e("Trend", "y"), ["crop", "adm_id", "year"]), ["crop"], "x", "y").withColumns({c: F.round(c, 1) for c in ("w_plus", "w_minus")})
+    return paired.signed_ranks(e("Null_model", "x").join(e("Trend", "y"), ["crop", "adm_id", "year"]), ["crop"], "x", "y").drop("tied").withColumns({c: F.round(c, 1) for c in ("w_plus", "w_minus")})
+
+
+_MONTHS_OF = """mv AS (SELECT adm_id, CAST(year(month) AS INT) AS year, CAST(month(month) AS INT) AS month, round(mean, 6) AS value FROM months WHERE variable_name = 'FPAR'),
+mu AS (SELECT *, avg(value) OVER (PARTITION BY adm_id, month ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS usual FROM mv),
+pr AS (""" + " UNION ALL ".join(f"""SELECT adm_id, year, '{run}' AS run, {seasonal.SEASON - n} AS lead_time, round({x}, 8) AS x FROM mu GROUP BY 1, 2""" for n in seasonal.OBSERVED for run, x in (
+    ("noSF", f"avg(CASE WHEN month <= {n} THEN value END)"), ("ObsAsSF", f"avg(CASE WHEN month <= {n + seasonal.AHEAD} THEN value END)"),
+    ("SF", f"CASE WHEN count(CASE WHEN month BETWEEN {n + 1} AND {n + seasonal.AHEAD} THEN usual END) = {seasonal.AHEAD} THEN avg(CASE WHEN month <= {n} THEN value WHEN month <= {n + seasonal.AHEAD} THEN usual END) END"),
+)) + ")"
+_SEASONAL = f"""WITH {MONTHS},
+{_LABELS_ONLY},
+{_MONTHS_OF},
+sx AS (SELECT l.*, run, lead_time, x AS peak FROM labels l JOIN pr USING (adm_id, year)),
+{_PEAK[_PEAK.index("tot AS"):].replace("FROM px", "FROM sx").replace("PARTITION BY adm_id, crop", "PARTITION BY run, lead_time, adm_id, crop")},
+seas AS (SELECT run, lead_time, adm_id, crop, year, yield AS y_true, {_BOUND("predicted")} AS y_pred FROM peakm)"""
+
+
+def _seasonal(spark, sf):
+    m = features.monthly(tables.indicators(spark, sf).where("variable_name = 'FPAR'"))
+    months = m.select("adm_id", F.year("month").alias("year"), F.month("month").alias("month"), F.round("mean", 6).alias("value"))
+    return seasonal.runs(tables.labels(spark, sf), months)
+
+
+@query("seasonal_runs", f"{_SEASONAL} SELECT run, CAST(lead_time AS INT) AS lead_time, adm_id, crop, year, round(y_true, 4) AS y_true, round(y_pred, 3) AS y_pred FROM seas")
+def seasonal_runs(spark, sf):
+    return _seasonal(spark, sf).withColumns({"y_true": F.round("y_true", 4), "y_pred": F.round("y_pred", 3)})
+
+
+_SEASONAL_TESTS = f"""{_SEASONAL},
+d AS (SELECT a.crop, a.lead_time, b.run AS other, (a.y_true - a.y_pred) ^ 2 AS a, (b.y_true - b.y_pred) ^ 2 AS b, round((a.y_true - a.y_pred) ^ 2 - (b.y_true - b.y_pred) ^ 2, 6) AS d FROM seas a JOIN seas b USING (crop, lead_time, adm_id, year) WHERE a.run = 'noSF' AND b.run <> 'noSF' AND a.y_pred IS NOT NULL AND b.y_pred IS NOT NULL),
+k AS (SELECT *, CASE WHEN d <> 0 THEN rank() OVER (PARTITION BY crop, lead_time, other, d <> 0 ORDER BY abs(d)) + (count(*) OVER (PARTITION BY crop, lead_time, other, abs(d)) - 1) / 2.0 END AS k FROM d)
+SELECT crop, CAST(lead_time AS INT) AS lead_time, other, count(*) AS n, round(avg(a)) AS mse_base, round(avg(b)) AS mse_other, round(avg(CASE WHEN b < a THEN 1.0 ELSE 0.0 END), 6) AS better, round(avg(d) / nullif(stddev_samp(d) / sqrt(count(*)), 0), 4) + 0.0 AS t,
+    round(sum(CASE WHEN d > 0 THEN k ELSE 0 END), 1) AS w_plus, round(sum(CASE WHEN d < 0 THEN k ELSE 0 END), 1) AS w_minus FROM k GROUP BY 1, 2, 3"""
+
+
+@query("seasonal_run_comparison", _SEASONAL_TESTS)
+def seasonal_run_comparison(spark, sf):
+    """Three runs by lead time: errors of the other two against the one without seasonal forecasts, and what the paired tests are made of."""
+    t = paired.against_base(_seasonal(spark, sf), "noSF", ["ObsAsSF", "SF"], ["crop", "lead_time"])
+    digits = {"mse_base": 0, "mse_other": 0, "better": 6, "t": 4, "w_plus": 1, "w_minus": 1}
+    return t.select("crop", "lead_time", "other", "n", *((F.round(c, k) + F.lit(0.0)).alias(c) for c, k in digits.items()))
+
+
+@query("seasonal_run_pvalues")
+def seasonal_run_pvalues(spark, sf):
+    """The p-values of these tests, and the one that applies."""
+    t = paired.against_base(_seasonal(spark, sf), "noSF", ["ObsAsSF", "SF"], ["crop", "lead_time"])
+    return t.select("crop", "lead_time", "other", "n", *(F.round(c, 6).alias(c) for c in ("shapiro_w", "shapiro_p", "t_p", "wilcoxon_p", "inverted_p", "standard_p")))
 
 
 # --- forecasts: the labels up to 2000 are history, each unit's forecast for 2001 is its 1999-2000 mean times a factor

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from furrow.functions import dekad
-from furrow.operators import compare, features, metrics, panel, ranking, records, specs
+from furrow.operators import compare, features, metrics, paired, panel, ranking, records, specs
 from furrow.plans.calendar_and_features import EOS, SOS, _PERFECT, _SEASON
 from furrow.plans.models import _ALL, _UNITS, RES, _runs, _summ
 from furrow.plans.panels import _GRID
@@ -175,7 +175,7 @@ SELECT crop, CAST(lead_time AS INT) AS lead_time, other, count(*) AS n, round(av
 )
 def three_run_comparison(spark, sf):
     r = _runs(spark, sf).withColumns({"run": F.col("model"), "lead_time": F.when(F.col("year") % 2 == 0, 1).otherwise(4)})
-    t = records.three_runs(r, "Null_model", ["Trend", "PeakModel"], ["crop", "lead_time"])
+    t = paired.against_base(r, "Null_model", ["Trend", "PeakModel"], ["crop", "lead_time"])
     digits = {"mse_base": 2, "mse_other": 2, "better": 6, "t": 4, "w_plus": 1, "w_minus": 1}
     return t.select("crop", "lead_time", "other", "n", *((F.round(c, k) + F.lit(0.0)).alias(c) for c, k in digits.items()))
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from furrow.functions import dekad, stats
-from furrow.operators import benchmarks, compare, features, forecast, learn, metrics, panel, ranking, records, scaling, selection, specs, trend, tuning
+from furrow.operators import benchmarks, compare, features, forecast, learn, metrics, paired, panel, ranking, records, running, scaling, seasonal, selection, specs, trend, tuning
 from furrow.sources import files
 
 
@@ -124,7 +124,7 @@ def test_percent_grid():
 
 def test_wilcoxon_signed_ranks(spark):
     d = spark.createDataFrame([(1, 2.0, 1.0), (1, 1.0, 2.0), (1, 5.0, 2.0), (1, 3.0, 3.0)], "g int, x double, y double")
-    r = compare.signed_ranks(d, ["g"], "x", "y").first()
+    r = paired.signed_ranks(d, ["g"], "x", "y").first()
     assert (r.n, r.w_plus, r.w_minus) == (3, 4.5, 1.5)
     assert learn.wilcoxon(np.array([1.0, -1.0, 3.0, 0.0]))[0] == 4.5
 
@@ -267,10 +267,76 @@ def test_shapiro_of_few_values():
 def test_paired_tests_have_no_size_switch(spark):
     rng = np.random.default_rng(1)
     rows = [(g, float(a), 0.0) for g, n in ((1, 2), (2, 8), (3, 60)) for a in rng.normal(size=n)]
-    r = {x.g: x for x in learn.paired_tests(spark.createDataFrame(rows, "g int, x double, y double"), ["g"], "x", "y").collect()}
+    r = {x.g: x for x in paired.paired_tests(spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "g int, x double, y double, i int"), ["g"], "x", "y", ["i"]).collect()}
     assert r[1].inverted_p is None and all({r[g].inverted_p, r[g].standard_p} == {r[g].t_p, r[g].wilcoxon_p} for g in (2, 3))
 
 
+def test_signed_rank_p_is_exact_for_few(spark):
+    """Against all signs of the ranks."""
+    from itertools import product
+
+    for n in range(1, 13):
+        sums = [sum(r for r, up in enumerate(signs, 1) if up) for signs in product((0, 1), repeat=n)]
+        for w in range(n * (n + 1) // 2 + 2):
+            assert paired.signed_rank_p(n, w, 0, 0) == pytest.approx(sum(s >= w for s in sums) / len(sums))
+    assert math.isnan(paired.signed_rank_p(0, 0, 0, 0))
+    big = paired.signed_rank_p(60, 60 * 61 / 4 + 200, 0, 0)  # normal beyond EXACT, and close to the exact one before it
+    assert 0 < big < 0.1 and paired.signed_rank_p(50, 800, 0, 0) == pytest.approx(paired.signed_rank_p(50, 800, 0, 1), abs=0.003)
+
+
+def test_paired_tests_match_plain_functions(spark):
+    rng = np.random.default_rng(5)
+    rows = [(g, float(round(a, 3)), float(round(b, 3)), i) for g, n in (("a", 3), ("b", 9), ("c", 40), (None, 300)) for i, (a, b) in enumerate(rng.exponential(size=(n, 2)) * [1.3, 1.0])]
+    rows += [("a", None, 1.0, 90), ("c", 1.0, None, 91), ("d", 1.0, 1.0, 0), ("d", 2.0, 2.0, 1), ("e", 3.0, 1.0, 0)]
+    got = {r.g: r for r in paired.paired_tests(spark.createDataFrame(rows, "g string, x double, y double, i int").repartition(5), ["g"], "x", "y", ["i"]).collect()}
+    assert len(got) == 6
+    for g, r in got.items():
+        d = np.array([round(x - y, 6) for h, x, y, _ in rows if h == g and x is not None and y is not None])
+        n, m = len(d), d[d != 0]
+        (s, p_s), (t, p_t), (w, _) = learn.shapiro(d), learn.t_test(d), learn.wilcoxon(d)
+        near = lambda a, b: a is None if math.isnan(b) else a == pytest.approx(b, abs=1e-6)
+        assert r.n == n and near(r.shapiro_w, s) and near(r.shapiro_p, p_s) and near(r.t_p, p_t) and r.w_plus == pytest.approx(w)
+        assert r.w_plus + r.w_minus == pytest.approx(len(m) * (len(m) + 1) / 2) and r.better == pytest.approx(np.mean(d > 0))
+        ties = np.unique(np.abs(m), return_counts=True)[1]
+        assert near(r.wilcoxon_p, paired.signed_rank_p(len(m), w, float((ties**3 - ties).sum()), n - len(m)) if len(m) else math.nan)
+
+
+def test_running_positions(spark):
+    rng = np.random.default_rng(6)
+    rows = [(["a", "b", None][i % 3] if i % 2 else "a", float(rng.integers(50)), i) for i in range(500)]
+    d = running.dealt(spark.createDataFrame(rows, "g string, x double, i int").repartition(7), [F.col("g"), F.col("x"), F.col("i")])
+    got = {r.i: r.place for r in running.position(d, ["g"], [F.col("x"), F.col("i")], "place").collect()}
+    for g in ("a", "b", None):
+        assert [got[i] for _, i in sorted((x, i) for h, x, i in rows if h == g)] == list(range(1, sum(h == g for h, *_ in rows) + 1))
+
+
+def test_ks_relevance_against_all_thresholds(spark):
+    rng = np.random.default_rng(7)
+    rows = [(float(rng.integers(0, 12)), float(rng.normal() + (c == "x")), c) for c in rng.choice(["x", "y", "z"], 300)] + [(None, 1.0, "x"), (1.0, 2.0, None)]
+    got = {r.feature: r.ks for r in selection.relevance_ks(spark.createDataFrame(rows, "f double, g double, c string"), ["f", "g"], "c").collect()}
+    for k, name in enumerate("fg"):
+        have = [(r[k], r[2]) for r in rows if r[k] is not None and r[2] is not None]
+        share = lambda v, ok: np.mean([x <= v for x, c in have if ok(c)])
+        far = [max(abs(share(v, lambda c: c == cls) - share(v, lambda c: c != cls)) for v, _ in have) for cls in "xyz"]
+        assert got[name] == pytest.approx(np.mean(far))
+
+
+def test_seasonal_runs_leave_the_year_out(spark):
+    """A changed yield changes the predictions of other years only, and seasonal forecasts come from earlier years."""
+    rng = np.random.default_rng(8)
+    labels = [(u, "a", y, float(rng.normal(5))) for u in range(3) for y in range(2000, 2008)]
+    months = [(u, y, m, float(rng.normal())) for u in range(3) for y in range(2000, 2008) for m in range(1, 8)]
+    m = spark.createDataFrame(months, "adm_id int, year int, month int, value double")
+    run = lambda rows: {(r.run, r.lead_time, r.adm_id, r.year): r.y_pred for r in seasonal.runs(spark.createDataFrame(rows, "adm_id int, crop string, year int, yield double"), m).collect()}
+    a, b = run(labels), run([(u, c, y, v + 50 * ((u, y) == (1, 2004))) for u, c, y, v in labels])
+    assert len(a) == 3 * 3 * 24 and all((a[k] == b[k]) == (k[2] != 1 or k[3] == 2004 or a[k] is None) for k in a if a[k] is not None and b[k])
+    assert {k[3] for k, v in a.items() if v is None} == {2000} and {k[0] for k, v in a.items() if v is None} == {"SF"}
+    x = {(r.adm_id, r.year): r.x for r in seasonal.predictors(m).where("run = 'SF' AND lead_time = 4").collect()}
+    v = {(u, y, k): z for u, y, k, z in months}
+    usual = lambda y, k: np.mean([v[0, z, k] for z in range(2000, y)])
+    assert x[0, 2003] == pytest.approx(np.mean([v[0, 2003, 1], v[0, 2003, 2], usual(2003, 3), usual(2003, 4)]), abs=1e-7)
+
+
 def test_t_p_values(spark):
     d = spark.createDataFrame([(2.776445, 4), (1.959964, 100_000_000), (0.0, 7), (None, 3), (1.0, 0)], "t double, n int")
     p = [r.p for r in d.select(stats.t_two_sided(F.col("t"), F.col("n")).alias("p")).collect()]
