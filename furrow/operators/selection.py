@@ -7,8 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from furrow.functions import stats
 from furrow.operators import running
@@ -24,6 +25,20 @@ def relevance_regression(df: DataFrame, features: list[str], target: str) -> Dat
     return one.select(F.inline("a")).select("feature", "n", (r2 / F.nullif(1 - r2, F.lit(0.0)) * (F.col("n") - 2)).alias("f"))
 
 
+def relevance_by_name(spark: SparkSession, table: str, target: str, leave_out: list[str] = ()) -> DataFrame:
+    """relevance_regression of all numeric columns of a catalog table, by its name. The list of columns comes from the catalog, and the names
+    of table and columns are bound as identifiers, so that what stands in them is never read as SQL."""
+    scanned = spark.sql("SELECT * FROM IDENTIFIER(:table)", {"table": table})
+    names = [f.name for f in scanned.schema if isinstance(f.dataType, T.NumericType) and f.name not in (target, *leave_out)]
+    if target not in scanned.columns:
+        raise ValueError(f"{table} has no column {target}")
+    bound = {f"c{i}": f"`{c.replace('`', '``')}`" for i, c in enumerate([*names, target])}
+    columns = ", ".join(f"CAST(IDENTIFIER(:{k}) AS DOUBLE) AS {k}" for k in bound)
+    rows = spark.sql(f"SELECT {columns} FROM IDENTIFIER(:table)", bound | {"table": table})
+    shown = F.create_map(*(F.lit(x) for i, c in enumerate(names) for x in (f"c{i}", c)))
+    return relevance_regression(rows, [f"c{i}" for i in range(len(names))], f"c{len(names)}").withColumn("feature", shown[F.col("feature")])
+
+
 def relevance_classes(df: DataFrame, features: list[str], target: str) -> DataFrame:
     """feature, f: between over within variance of the target's groups, from group counts, means and variances."""
     long = df.where(F.col(target).isNotNull()).unpivot([target], features, "feature", "value").where("value IS NOT NULL")

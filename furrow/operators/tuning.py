@@ -156,8 +156,8 @@ def hyper_text(name: str, value: Column) -> Column:
 
 
 def coefficients(features: list[str]) -> Column:
-    """Weights as text: name:value, three decimals."""
-    return F.concat_ws(",", *(F.concat(F.lit(f"{f}:"), F.format_string("%.3f", F.col("weights")[k])) for k, f in enumerate(features)))
+    """The intercept, then the weights as text: name:value, three decimals."""
+    return F.concat_ws(",", F.concat(F.lit("Intercept: "), F.col("intercept").cast("string")), *(F.concat(F.lit(f"{f}:"), F.format_string("%.3f", F.col("weights")[k])) for k, f in enumerate(features)))
 
 
 def pegged(folds: DataFrame, name: str, value: str, first: Column, last: Column) -> DataFrame:

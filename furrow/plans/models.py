@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from furrow.operators import benchmarks, compare, features, forecast, metrics, paired, panel, ranking, seasonal
+from furrow.operators import benchmarks, compare, features, forecast, metrics, paired, panel, ranking, results, seasonal
 from furrow.plans.panels import _TREND, FIRST_YEAR
 from furrow.plans.register import LABELS, MONTHS, query
 from furrow.sources import tables
@@ -271,6 +271,33 @@ def seasonal_run_pvalues(spark, sf):
     return t.select("crop", "lead_time", "other", "n", *(F.round(c, 6).alias(c) for c in ("shapiro_w", "shapiro_p", "t_p", "wilcoxon_p", "inverted_p", "standard_p")))
 
 
+# --- result rows
+
+_ERR = lambda k, p="y_pred", t="y_true": _SUMMARY[k].replace("y_pred", p).replace("y_true", t)
+_ERRORS_SQL = f"""
+w AS (SELECT adm_id, crop, round(avg(area), 6) AS weight FROM labels GROUP BY 1, 2),
+rw AS (SELECT run_id, model, crop, adm_id, year, y_true, y_pred, weight FROM res JOIN w USING (adm_id, crop)),
+o AS (SELECT run_id, model, crop, avg(y_true) AS m, {", ".join(f"{_ERR(k)} AS {k}" for k in ("r2", "mae", "me", "rmse"))} FROM rw GROUP BY 1, 2, 3),
+ye AS (SELECT run_id, model, crop, year, {_ERR("r2")} AS r2, {_ERR("rmse")} AS rmse, sum(weight * y_true) / sum(weight) AS ct, sum(weight * y_pred) / sum(weight) AS cp FROM rw GROUP BY 1, 2, 3, 4),
+un AS (SELECT run_id, model, crop, adm_id, {_ERR("r2")} AS r2 FROM rw GROUP BY 1, 2, 3, 4),
+ys AS (SELECT run_id, model, crop, avg(r2) AS r2_spatial, avg(rmse) AS rmse_spatial, avg(ct) AS cm, quantile_cont(ct, 0.25) AS q, {", ".join(f"{_ERR(k, 'cp', 'ct')} AS country_{k}" for k in ("r2", "mae", "me", "rmse"))} FROM ye GROUP BY 1, 2, 3),
+us AS (SELECT run_id, model, crop, avg(r2) AS r2_temporal FROM un GROUP BY 1, 2, 3),
+fq AS (SELECT run_id, model, crop, sqrt(avg((ct - cp) ^ 2)) AS country_fq_rmse FROM ye JOIN ys USING (run_id, model, crop) WHERE ct <= q + 1e-9 GROUP BY 1, 2, 3),
+er AS (SELECT run_id, model, crop, r2 AS r2_overall, r2_spatial, r2_temporal, mae, mae / m * 100 AS rmae_prct, me, rmse, rmse / m * 100 AS rrmse_prct, rmse_spatial, rmse_spatial / m * 100 AS rrmse_spatial_prct,
+    country_r2, country_mae, country_me, country_rmse, country_rmse / cm * 100 AS country_rrmse_prct, country_fq_rmse, country_fq_rmse / cm * 100 AS country_fq_rrmse_prct
+    FROM o JOIN ys USING (run_id, model, crop) JOIN us USING (run_id, model, crop) LEFT JOIN fq USING (run_id, model, crop))"""
+
+
+def weighted_runs(spark, sf, res):
+    return res.join(_weights(spark, sf), ["adm_id", "crop"])
+
+
+@query("result_errors", f"{RES}, {_ERRORS_SQL} SELECT run_id, model, crop, {', '.join(f'round({c}, 4) + 0.0 AS {c}' for c in results.ERRORS)} FROM er")
+def result_errors(spark, sf):
+    """Every error column of the benchmarks' result rows, from one pass over their predictions."""
+    return results.errors(weighted_runs(spark, sf, _runs(spark, sf))).select(*results.RUN, *((F.round(c, 4) + F.lit(0.0)).alias(c) for c in results.ERRORS))
+
+
 # --- forecasts: the labels up to 2000 are history, each unit's forecast for 2001 is its 1999-2000 mean times a factor
 
 _FORECAST = f"""{LABELS},
