@@ -15,10 +15,12 @@ characters, THRESHOLD at most, so that lines of a few characters have to be equa
 3. Length-aware probes: for every length n - t .. n and every segment of that
    length, only substrings at the starts that the length difference and the segment
    number allow are probed.
-4. Hot buckets. A bucket of more than HOT_BUCKET lines (variants of one line) is not
-   joined as it is. Its lines get the parities of their character pairs, folded to
+4. Hot buckets. A line needs one earlier near line, not all of them. In a bucket of more than HOT_BUCKET lines
+   (variants of one line) LEADERS of the lines that have none yet lead, the earliest among them: each line behind them is held against
+   these few, and whoever is near to one is settled. After ROUNDS of this at most, what is still open meets every earlier line of its
+   buckets, settled ones too, which is exact. Lines carry the parities of their character pairs, folded to
    126 bits; an edit flips at most 4 of them, so of BLOCKS = 4 x THRESHOLD + 1 blocks
-   one is equal, and the bucket is joined block by block, which is exact. Of the pairs
+   one is equal, and a bucket is joined block by block. Of the pairs
    that meet, those with more flips than the edits allow drop out in the join, and
    each is made in the first block that is equal.
 5. Candidates lose what they have in common at both ends, and are verified by a banded
@@ -43,7 +45,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.llm.common import save, sized
@@ -187,24 +189,74 @@ def _first_block(x: Column, y: Column, threshold: int) -> Column:
     return F.coalesce(*(F.when(reduce(Column.__and__, [part == 0 for part in _block(x, y, k, threshold)]), F.lit(k)) for k in range(blocks(threshold))))
 
 
-def candidates(c: DataFrame, threshold: int) -> DataFrame:
-    """(a, b) ids of contents that may be within the threshold, each pair once."""
+#: Leaders of a hot bucket that its lines are held against in a round, and rounds.
+LEADERS, ROUNDS = 4, 20
+#: Another round follows if the last one settled one of so many open lines.
+WORTH = 20
+
+
+def near_lines(c: DataFrame, threshold: int, in_bytes: bool = False) -> DataFrame:
+    """(id, id2) of the contents that have an earlier near one."""
     index = save(index_keys(c, threshold), "segments")
     probe = probe_keys(c, index, threshold)
     hot = save(index.groupBy("key").count().where(F.col("count") > HOT_BUCKET).select("key"), "hot")
     few = sized(hot)
     cold = lambda x: x.join(few, "key", "left_anti")
     pairs = cold(probe).join(cold(index).withColumnRenamed("id", "near"), "key").where("id <> near").select("id", "near")
-    if hot.limit(1).count():
-        bits = [p.alias(k) for k, p in zip(("p0", "p1"), parities(F.col("folded")), strict=True)]
-        asked, listed = (save(x.join(few, "key", "left_semi"), "hot") for x in (probe, index))
-        marks = save(c.join(sized(save(asked.union(listed).select("id").distinct(), "hot_ids")), "id", "left_semi").select("id", "chars", *bits), "parities")
-        spread = lambda x: x.join(marks, "id").select("id", "chars", "p0", "p1", F.posexplode(_block_keys(F.col("p0"), F.col("p1"), F.col("key"), threshold)).alias("block", "key"))
-        other = spread(listed).drop("block").toDF("near", "chars_near", "q0", "q1", "key")
-        x, y = F.col("p0").bitwiseXOR(F.col("q0")), F.col("p1").bitwiseXOR(F.col("q1"))
-        # a pair comes from its first equal block, and lines of one length from one side only
-        once = (F.col("block") == _first_block(x, y, threshold)) & ((F.col("chars") != F.col("chars_near")) | (F.col("id") < F.col("near")))
-        pairs = pairs.union(spread(asked).join(other, "key").where((F.bit_count(x) + F.bit_count(y) <= 4 * threshold) & once).select("id", "near"))
+    near = save(verified(_each_once(pairs), c, threshold, in_bytes), "near")
+    if not hot.limit(1).count():
+        return near
+    bits = [p.alias(k) for k, p in zip(("p0", "p1"), parities(F.col("folded")), strict=True)]
+    asked, listed = (save(x.join(few, "key", "left_semi"), "hot") for x in (probe, index))
+    own = save(c.join(sized(save(asked.union(listed).select("id").distinct(), "hot_ids")), "id", "left_semi").select("id", "id2", "folded", "chars", "place", *bits), "parities")
+    marks = own.select("id", "chars", "place", "p0", "p1")
+
+    # rounds of leaders: whoever has a near leader is settled
+    used = None
+    for number in range(ROUNDS):
+        open_ = _unsettled(marks, near)
+        waiting = save(asked.join(open_.select("id", "place", "p0", "p1"), "id"), "waiting")
+        full = waiting.groupBy("key").count().where(F.col("count") > HOT_BUCKET).select("key")
+        choice = listed.join(open_.select("id", "place", "p0", "p1"), "id").join(sized(save(full, "full")), "key", "left_semi")
+        choice = choice if used is None else choice.join(used, ["key", "id"], "left_anti")
+        # the earliest, and others from anywhere: neighbours have the same lines near. Spark keeps so many rows a key and task before it shuffles
+        some = lambda order, n: choice.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy(order))).where(F.col("k") <= n).drop("k")
+        leaders = save(some(F.col("place"), 1).union(some(F.xxhash64("id", F.lit(number)), LEADERS - 1)).distinct(), "leaders")
+        if not leaders.limit(1).count():
+            break
+        led = waiting.join(leaders.toDF("key", "near", "first", "q0", "q1"), "key").where("first < place")
+        led = led.where(_flips(F.col("p0").bitwiseXOR(F.col("q0")), F.col("p1").bitwiseXOR(F.col("q1"))) <= 4 * threshold)
+        settled = save(verified(_each_once(led.select("id", "near")), own, threshold, in_bytes), "settled")
+        near = near.union(settled)
+        if settled.count() * WORTH < open_.count():
+            break
+        used = leaders.select("key", "id") if used is None else used.union(leaders.select("key", "id"))
+
+    # what is left meets every earlier line of its buckets, block by block
+    state = save(marks.join(near.select(F.col("id").alias("done")).distinct(), F.col("id") == F.col("done"), "left").select("id", "chars", "place", "p0", "p1", F.col("done").isNull().alias("open")), "state")
+    spread = lambda x: x.join(state, "id").select("id", "chars", "place", "open", "p0", "p1", F.posexplode(_block_keys(F.col("p0"), F.col("p1"), F.col("key"), threshold)).alias("block", "key"))
+    other = spread(listed).drop("block").toDF("near", "chars_near", "place_near", "open_near", "q0", "q1", "key")
+    x, y = F.col("p0").bitwiseXOR(F.col("q0")), F.col("p1").bitwiseXOR(F.col("q1"))
+    # a pair comes from its first equal block, and lines of one length from one side only
+    once = (F.col("block") == _first_block(x, y, threshold)) & ((F.col("chars") != F.col("chars_near")) | (F.col("id") < F.col("near")))
+    matters = F.when(F.col("place") > F.col("place_near"), F.col("open")).otherwise(F.col("open_near"))
+    sides = []
+    for mine, theirs in (("open", None), (None, "open_near")):  # at least one end is open; both joins are on it first, so that settled lines don't meet
+        left = spread(asked).where(mine) if mine else spread(asked).where("NOT open")
+        right = other if mine else other.where(theirs)
+        sides.append(left.join(right, "key").where(matters & (_flips(x, y) <= 4 * threshold) & once).select("id", "near"))
+    return near.union(verified(_each_once(sides[0].union(sides[1])), own, threshold, in_bytes))
+
+
+def _flips(x: Column, y: Column) -> Column:
+    return F.bit_count(x) + F.bit_count(y)
+
+
+def _unsettled(marks: DataFrame, near: DataFrame) -> DataFrame:
+    return marks.join(near.select("id"), "id", "left_anti")
+
+
+def _each_once(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("id", "near").alias("a"), F.greatest("id", "near").alias("b")).distinct()
 
 
@@ -283,7 +335,7 @@ def distance(a: Column, b: Column, threshold: int, in_bytes: bool = False) -> Co
 
 
 def verified(pairs: DataFrame, c: DataFrame, threshold: int, in_bytes: bool = False) -> DataFrame:
-    """(id, id2, first): contents with the first place of an earlier near content."""
+    """(id, id2): contents of the pairs that have an earlier near content among them."""
     pairs = save(pairs, "pairs")
     ends = sized(save(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ends"))
     texts = save(c.join(ends, "id", "left_semi").select("id", "id2", "folded", "place", "chars"), "texts")
@@ -295,8 +347,7 @@ def verified(pairs: DataFrame, c: DataFrame, threshold: int, in_bytes: bool = Fa
         both = both.where(F.abs(F.octet_length("text_a") - F.octet_length("text_b")) <= allowed)
     near = both.where(distance(F.col("text_a"), F.col("text_b"), threshold, in_bytes) <= allowed)
     later = F.when(F.col("place_a") < F.col("place_b"), F.struct(F.col("b").alias("id"), F.col("b2").alias("id2"))).otherwise(F.struct(F.col("a").alias("id"), F.col("a2").alias("id2")))
-    near = near.select(later.alias("later"), F.least("place_a", "place_b").alias("first"))
-    return near.groupBy("later.id", "later.id2").agg(F.min("first").alias("first"))
+    return near.select(later.alias("later")).select("later.*").distinct()
 
 
 def dropped(docs: DataFrame, threshold: int = THRESHOLD, in_bytes: bool = False) -> DataFrame:
@@ -306,10 +357,10 @@ def dropped(docs: DataFrame, threshold: int = THRESHOLD, in_bytes: bool = False)
     docs = docs.select("doc_id", "text")
     each = lines(docs)
     c = contents(each, threshold)
-    near = save(verified(candidates(c, threshold), c, threshold, in_bytes), "near")
+    near = near_lines(c, threshold, in_bytes).distinct().withColumn("near", F.lit(True))
     # Contents that lose a line: those with more than one place, and those with an earlier near content.
-    marked = c.select("id", "id2", "place", "places").join(near, ["id", "id2"], "left").where("places > 1 OR first IS NOT NULL")
-    marked = sized(save(marked.select("id", "id2", F.col("place").alias("first"), F.col("first").isNotNull().alias("near")), "marked"))
+    marked = c.select("id", "id2", "place", "places").join(near, ["id", "id2"], "left").where("places > 1 OR near")
+    marked = sized(save(marked.select("id", "id2", F.col("place").alias("first"), F.coalesce("near", F.lit(False)).alias("near")), "marked"))
     lost = each.select(*ROW, "line", *_ids(F.col("folded")), "place").join(marked, ["id", "id2"]).where(F.col("near") | (F.col("place") > F.col("first")))
     first = (F.col("place") == F.col("first")).cast("bigint")
     by_block = lost.groupBy(*ROW, F.floor(F.col("line") / BLOCK_LINES).cast("int").alias("block")).agg(F.collect_set("line").alias("lines"), F.sum(first).alias("n_near"))

@@ -609,6 +609,21 @@ def test_url_filter_brute_force(spark):
     assert url_filter.evaluate(c.limit(0), url_filter.entries(spark)).count() == 0
 
 
+def test_line_dedup_candidates_are_linear_in_the_variants_of_a_line(spark, monkeypatch):
+    """Lines that differ in a counter: all but the first have an earlier near line, and few pairs show it."""
+    made, real = [], line_dedup._each_once
+
+    def counted(pairs):
+        out = line_dedup.save(real(pairs), "counted")
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "_each_once", counted)
+    rows = [f"listing page number {i:05d} of the catalogue of the mill" for i in range(600)]
+    got = line_dedup.report(docs(spark, rows).repartition(4)).agg(F.sum("n_near"), F.count("*")).first()
+    assert tuple(got) == (599, 600) and sum(made) < 20 * len(rows)
+
+
 def test_url_filter_far_dates(spark):
     """A corrupt fetch date costs a month, not all months up to it."""
     listed = url_filter.entries(spark, [("l", "host", "a.org", "block", "2024-01-01"), ("l", "host", "b.org", "allow", "2024-02-01"), ("l", "host", "b.org", "lift", "2024-02-15")])
