@@ -2,12 +2,13 @@
 
 Writing. One record per capture; of captures with equal payloads of at least
 REVISIT_BYTES bytes the one with the largest page_id is the response and the others
-are revisits of it. A record is text with CRLF lines and ends with two CRLF, so
-Spark's text writer with that line separator makes WARC files, committed like any
-other output to whatever file system the folder is on.
+are revisits of it. A record is text with CRLF lines and ends with two CRLF. Each record is a gzip member of
+its own, so that a record can be read from its place in the archive alone. Spark's text writer makes the files, committed like any
+other output to whatever file system the folder is on: a member's last byte is the highest byte of its
+record's size, which is the same for all records of a file, and is written as the line separator.
 
-Reading. A task takes whole archives, unpacks them as a stream and cuts records by
-their Content-Length. Payload size and SHA-1 of a response are computed again from
+Reading. A task takes whole archives, unpacks them member by member and notes where each record's member begins and how long it is;
+archives without compression are cut by the records' Content-Length. Payload size and SHA-1 of a response are computed again from
 the payload; those of a revisit come from its header.
 
 Index. The records of an archive, sorted by (url key, time, page_id), are a run. Spark's range
@@ -36,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.common import new_path, save, sized
+from furrow.llm.common import arrow_once, new_path, save, sized
 
 REVISIT_BYTES = 1000
 #: An archive holds so many records of up to SMALL_BYTES, a quarter as many of up to four times that, and so on: at
@@ -46,14 +47,14 @@ RECORDS_PER_FILE, SMALL_BYTES = 8192, 64 << 10
 RANGE_ROWS = 100_000
 END = "\r\n\r\n"
 ID = "urn:capture:"
-INDEX = "url_key string, captured string, page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint, archive string, offset bigint"
+INDEX = "url_key string, captured string, page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint, archive string, offset bigint, length bigint"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def records(captures: DataFrame) -> DataFrame:
     """record: the text of a WARC record for each (page_id, url, html, captured) row; and its size_class."""
     html = F.coalesce("html", F.lit(""))
-    c = captures.select("page_id", F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "\r", "%0D"), "\n", "%0A").alias("url"), html.alias("html"), "captured", F.octet_length(html).alias("bytes"), F.sha1(html.cast("binary")).alias("digest"))
+    c = captures.select("page_id", F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "\r", "%0D"), "\n", "%0A").alias("url"), html.alias("html"), "captured", size_class().alias("size_class"), F.octet_length(html).alias("bytes"), F.sha1(html.cast("binary")).alias("digest"))
     # A payload that recurs is one row per task after the map-side sum, however many captures have it.
     repeats = c.where(F.col("bytes") >= REVISIT_BYTES).groupBy("digest", "bytes").agg(F.max("page_id").alias("of"), F.count("*").alias("n")).where("n > 1")
     repeats = sized(save(repeats.select("digest", F.col("bytes").alias("__bytes"), "of"), "repeats"))
@@ -71,51 +72,80 @@ def records(captures: DataFrame) -> DataFrame:
         F.lit("Content-Type: application/http;msgtype=response"),
         F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     ]
-    return c.select(F.concat(F.concat_ws("\r\n", *head), F.lit(END), block).alias("record"), size_class(F.col("html")).alias("size_class"))
+    return c.select(F.concat(F.concat_ws("\r\n", *head), F.lit(END), block).alias("record"), F.col("size_class"))
 
 
-def size_class(html: Column) -> Column:
-    """How often the payload's size is to be quartered until it is small."""
-    return F.greatest(F.lit(0), F.ceil(F.log(4.0, F.greatest(F.octet_length(F.coalesce(html, F.lit(""))), F.lit(1)) / SMALL_BYTES))).cast("int")
+def size_class() -> Column:
+    """How often the size of payload and URL is to be quartered until it is small."""
+    size = F.octet_length(F.coalesce("html", F.lit(""))) + F.octet_length(F.coalesce("url", F.lit("")))
+    return F.greatest(F.lit(0), F.ceil(F.log(4.0, F.greatest(size, F.lit(1)) / SMALL_BYTES))).cast("int")
+
+
+#: Records of smaller classes have less than 2**24 bytes, so that the last byte of their members is 0.
+LARGE_CLASS = 4
+
+
+def _member(record: pa.Array) -> pa.Array:
+    out = []
+    for r in record:
+        z = zlib.compressobj(6, zlib.DEFLATED, 31)
+        out.append((z.compress(r.as_buffer()) + z.flush())[:-1])
+    return pa.array(out, pa.binary())
 
 
 def write(captures: DataFrame, path: str, compression: str = "gzip") -> None:
-    """The captures as archives. Offsets in the index count unpacked bytes; with compression none they are places in the file."""
-    sizes = captures.groupBy(size_class(F.col("html")).alias("c")).agg(F.count("*").alias("n")).collect()  # 16 classes at most
+    """The captures as archives: a gzip member for each record, or with compression none as they are."""
+    sizes = captures.groupBy(size_class().alias("c")).agg(F.count("*").alias("n")).collect()  # 16 classes at most
     made = records(captures)
     for c in sorted(r.c for r in sizes) or [0]:
         of_class = made.where(F.col("size_class") == c).select("record")
-        of_class.write.mode("append").option("lineSep", END).option("compression", compression).option("maxRecordsPerFile", max(1, RECORDS_PER_FILE >> 2 * c)).text(path)
-
-
-def parse(content: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, headers, block) of the records of one archive, unpacked piece by piece."""
-    unzip = zlib.decompressobj(31) if content[:2] == b"\x1f\x8b" else None
-    view, fed, buffer, at, base = memoryview(content), 0, bytearray(), 0, 0
-
-    def more() -> bool:
-        nonlocal fed
+        files = lambda df, end: df.write.mode("append").option("lineSep", end).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", max(1, RECORDS_PER_FILE >> 2 * c)).text(path)  # noqa: B023, E731
+        if compression == "none":
+            files(of_class, END)
+            continue
+        whole = of_class.select(F.concat("record", F.lit(END)).cast("binary").alias("record")).withColumn("last", F.shiftright(F.octet_length("record"), 24).bitwiseAND(255))
+        for last in [0] if c < LARGE_CLASS else sorted(r.last for r in whole.select("last").distinct().collect()):  # 256 at most
+            files(whole.where(F.col("last") == last).select(arrow_once(_member, "binary")("record").cast("string").alias("value")), chr(last))
+
+
+def parse(content: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
+    """(offset, length, headers, block) of the records of one archive; offset and length are places in the file."""
+    view, at = memoryview(content), 0
+    packed = content[:2] == b"\x1f\x8b"
+    while at < len(view):
+        if packed:
+            length, record = member(view, at)
+            head, start = _head(record, 0)
+            block = record[start : start + int(head["Content-Length"])]
+        else:
+            head, start = _head(content, at)
+            length = start + int(head["Content-Length"]) + 4 - at
+            block = content[start : at + length - 4]
+        if len(block) < int(head["Content-Length"]):
+            raise ValueError("the archive ends within a record")
+        yield at, length, head, bytes(block)
+        at += length
+
+
+def member(view: memoryview, at: int) -> tuple[int, bytes]:
+    """(length, record) of the gzip member that begins at a place of an archive."""
+    unzip, out, fed = zlib.decompressobj(31), [], at
+    while not unzip.eof:
         if fed >= len(view):
-            return False
-        piece = view[fed : fed + (1 << 20)]
+            raise ValueError("the archive ends within a record")
+        piece = view[fed : fed + (1 << 16)]
         fed += len(piece)
-        buffer.extend(unzip.decompress(piece) if unzip else piece)
-        return True
-
-    while True:
-        while (end := buffer.find(b"\r\n\r\n", at)) < 0:
-            if not more():
-                return
-        head = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in buffer[at:end].decode().split("\r\n")[1:])
-        start, size = end + 4, int(head["Content-Length"])
-        while len(buffer) < start + size + 4:
-            if not more():
-                raise ValueError("the archive ends within a record")
-        yield base + at, head, bytes(buffer[start : start + size])
-        at = start + size + 4
-        if at > 1 << 22:
-            del buffer[:at]
-            base, at = base + at, 0
+        out.append(unzip.decompress(piece))
+    return fed - len(unzip.unused_data) - at, b"".join(out)
+
+
+def _head(raw: bytes, at: int) -> tuple[dict[str, str], int]:
+    """(headers, where the block begins) of the record at a place."""
+    end = raw.find(b"\r\n\r\n", at)
+    if end < 0:
+        raise ValueError("the archive ends within a record")
+    lines = bytes(raw[at:end]).decode().split("\r\n")[1:]
+    return dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines), end + 4
 
 
 def url_key(url: str) -> str:
@@ -137,13 +167,13 @@ def read(spark, path: str) -> DataFrame:
         for b in batches:
             for archive, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 run = []
-                for offset, head, block in parse(content.as_py()):
+                for offset, length, head, block in parse(content.as_py()):
                     http, _, payload = block.partition(b"\r\n\r\n")
                     if head["WARC-Type"] == "response":
                         size, digest = len(payload), hashlib.sha1(payload).hexdigest()
                     else:
                         size, digest = int(http.rpartition(b"Content-Length: ")[2]), head["WARC-Payload-Digest"].partition(":")[2]
-                    run.append((url_key(head["WARC-Target-URI"]), head["WARC-Date"], number(head["WARC-Record-ID"]), head["WARC-Target-URI"], head["WARC-Type"], size, digest, number(head.get("WARC-Refers-To", ""))) + (archive.rpartition("/")[2], offset))
+                    run.append((url_key(head["WARC-Target-URI"]), head["WARC-Date"], number(head["WARC-Record-ID"]), head["WARC-Target-URI"], head["WARC-Type"], size, digest, number(head.get("WARC-Refers-To", ""))) + (archive.rpartition("/")[2], offset, length))
                 run.sort(key=sort_key)
                 yield batch_of(run)
 

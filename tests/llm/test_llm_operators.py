@@ -676,6 +676,25 @@ def test_merged_index_is_in_order(spark):
     assert keys == sorted(keys) and sorted(r.page_id for r in got) == list(range(600)) and [r.position for r in got] == list(range(600))
 
 
+def test_records_can_be_read_from_their_place(spark):
+    """Each record is a gzip member: cut out of its archive by the index, it is that record and no more."""
+    import gzip
+
+    rows = [(i, f"http://a.org/{i}", "<p>" + "text ÄÖ \x00 \r\n\r\n " * (i % 7 * 40) + "</p>") for i in range(60)] + [(100, "http://b.org", None), (101, "http://long.org", "xy" * 9_000_000)]
+    captures = pages(spark, [(*r, "") for r in rows]).withColumn("captured", warc.captured(F.col("page_id"))).repartition(3)
+    path = warc.new_path(spark, "test")
+    warc.write(captures, path)
+    index = warc.read(spark, path).collect()
+    files = {r.path.rpartition("/")[2]: bytes(r.content) for r in spark.read.format("binaryFile").load(path).where("path NOT LIKE '%/\\_%'").collect()}
+    assert len(index) == len(rows) and sum(r.length for r in index) == sum(map(len, files.values()))
+    for r in index:
+        record = gzip.decompress(files[r.archive][r.offset : r.offset + r.length])
+        head, _, rest = record.partition(b"\r\n\r\n")
+        assert head.startswith(b"WARC/1.1\r\n") and f"urn:capture:{r.page_id}>".encode() in head and record.endswith(b"\r\n\r\n")
+        html = dict((k, v) for k, _, v in rows)[r.page_id] or ""
+        assert r.record_type == "revisit" or rest[:-4].partition(b"\r\n\r\n")[2] == html.encode()
+
+
 def test_archives_are_bounded_by_bytes(spark, monkeypatch):
     monkeypatch.setattr(warc, "RECORDS_PER_FILE", 16)
     monkeypatch.setattr(warc, "SMALL_BYTES", 100)
