@@ -5,7 +5,7 @@ of 1 to 3 characters is hashed to a bucket. Training counts buckets per language
 over all training documents, task by task; the counts of the tasks are added in one
 grouped aggregation, and the matrix of log-probabilities, buckets x languages, is
 broadcast. Scoring gathers the matrix rows of a batch and sums them per document.
-More than BLOCK languages are scored in blocks, each with a matrix of its own, and the
+More than BLOCK languages are scored in blocks, one matrix in memory at a time, and the
 blocks' best languages and sums of probabilities are put together.
 
 Training uses documents with a language whose crc32(doc_id as text) mod 4 is not 2.
@@ -19,15 +19,17 @@ result of `predict` is replaced by it, other columns are ignored or pass through
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.common import arrow_once, save, small_batches, text_blocks
+from furrow.llm.common import arrow_once, discard, save, small_batches, text_blocks
 
 BUCKETS = 1 << 15
 SIZES = (1, 2, 3)
@@ -131,10 +133,23 @@ def matrices(counts: DataFrame, block: int | None = None) -> Iterator[tuple[list
         yield languages, np.log(table / table.sum(axis=0)).astype(np.float32), np.log(np.array([n for _, n in rows[a : a + block]], float) / max(1, documents))
 
 
+_tables: dict[str, np.ndarray] = {}
+
+
+def _rows_of(number: str, table: np.ndarray) -> np.ndarray:
+    """A block's matrix by language, with a last bucket that counts nothing: made once in each worker, which keeps one at a time."""
+    if number not in _tables:
+        _tables.clear()
+        _tables[number] = np.ascontiguousarray(np.vstack([table, np.zeros((1, table.shape[1]), np.float32)]).T, np.float64)
+    return _tables[number]
+
+
 def _scorer(known):
+    number = uuid.uuid4().hex
+
     def of(column: pa.Array) -> pa.Array:
         languages, table, prior = known.value
-        table = np.ascontiguousarray(np.vstack([table, np.zeros((1, len(languages)), np.float32)]).T, np.float64)
+        table = _rows_of(number, table)
         names, tops, rest = [], [], []
         for _, offsets, data in text_blocks(column):
             buckets, at, letters = grams(offsets, data)
@@ -158,21 +173,32 @@ def _scorer(known):
 
 def predict(docs: DataFrame, counts: DataFrame, into: str = "language", block: int | None = None) -> DataFrame:
     """docs with a struct `into`: lang_pred and score, the posterior probability."""
-    out, best = docs, None
-    for model in matrices(counts, block):
-        # sum is the block's probability in units of its best language's; the largest log-probability of all blocks sets the unit
-        out = out.withColumn("__block", _scorer(docs.sparkSession.sparkContext.broadcast(model))(F.col("text")))
-        if best is None:
-            out = out.withColumn("__best", F.col("__block")).drop("__block")
-        else:
-            a, b = F.col("__best"), F.col("__block")
-            total = lambda x, y: x["sum"] + y["sum"] * F.exp(y["top"] - x["top"])
-            merged = F.when(a["top"] >= b["top"], F.struct(a["lang"].alias("lang"), a["top"].alias("top"), total(a, b).alias("sum"))).otherwise(F.struct(b["lang"].alias("lang"), b["top"].alias("top"), total(b, a).alias("sum")))
-            out = out.withColumn("__best", merged).drop("__block")
-        best = True
+    context, models = docs.sparkSession.sparkContext, matrices(counts, block)
+    model, later = next(models), next(models, None)
+    out = docs.withColumn("__best", _scorer(context.broadcast(model))(F.col("text")))
+    if later is not None:
+        # one matrix at a time: what a block found is written down before its matrix leaves memory and the next one comes
+        scored = None
+        for model in chain([model, later], models):
+            known = context.broadcast(model)
+            found = (docs if scored is None else scored).withColumn("__block", _scorer(known)(F.col("text")))
+            found = found.withColumnRenamed("__block", "__best") if scored is None else found.withColumn("__best", _better(F.col("__best"), F.col("__block"))).drop("__block")
+            done = save(found, "scored")
+            if scored is not None:
+                discard(scored)
+            known.destroy()
+            scored = done
+        out = scored
     return out.withColumn(into, F.struct(F.coalesce("__best.lang", F.lit("und")).alias("lang_pred"), F.coalesce(1 / F.col("__best.sum"), F.lit(0.0)).alias("score"))).drop("__best")
 
 
+def _better(a: Column, b: Column) -> Column:
+    """The best of two blocks. sum is a block's probability in units of its best language's; the larger log-probability sets the unit."""
+    total = lambda x, y: x["sum"] + y["sum"] * F.exp(y["top"] - x["top"])
+    of = lambda x, y: F.struct(x["lang"].alias("lang"), x["top"].alias("top"), total(x, y).alias("sum"))
+    return F.when(a["top"] >= b["top"], of(a, b)).otherwise(of(b, a))
+
+
 def report(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score."""
     rows = docs.select("doc_id", "text", "lang")
