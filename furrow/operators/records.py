@@ -7,14 +7,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from furrow.operators import running
+
 #: Tasks of one submission.
 BATCH = 7500
 
 
 def surrogate_ids(rows: DataFrame, name: str, into: str) -> DataFrame:
-    """rows with a number from 1 for each name, in the order of names. Only the distinct names are numbered in one place."""
-    ids = rows.select(name).where(F.col(name).isNotNull()).distinct().withColumn(into, F.row_number().over(Window.orderBy(name)))
-    return rows.join(ids, name, "left")
+    """rows with a number from 1 for each name, in the order of names. The distinct names are numbered range by range."""
+    names = running.dealt(rows.select(name).where(F.col(name).isNotNull()).distinct(), [F.col(name)])
+    return rows.join(running.position(names, [], [F.col(name)], into).drop(running.RANGE), name, "left")
 
 
 def duplicated(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -86,7 +88,7 @@ def from_downloads(parts: list[DataFrame]) -> DataFrame:
     variable = F.coalesce(F.create_map(*(F.lit(x) for kv in name.items() for x in kv))[F.col("variable_name")], F.col("variable_name"))
     return rows.select(
         F.col("region_name").alias("reg0_name"), F.col("region_id").alias("adm_id"), variable.alias("variable_name"), F.col("variable_id").alias("var_id"), F.lit("static masks").alias("classset_name"), F.lit(2).alias("classesset_id"),
-        F.lower("class_name").alias("class_name"), F.to_date(F.col("date").cast("string"), "yyyyMMdd").alias("date"), F.col("value").alias("mean"), F.lit(0).alias("stddev"),
+        F.lower("class_name").alias("class_name"), "class_id", F.to_date(F.col("date").cast("string"), "yyyyMMdd").alias("date"), F.col("value").alias("mean"), F.lit(0).alias("stddev"),
     )
 
 

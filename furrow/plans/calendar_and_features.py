@@ -39,10 +39,11 @@ def dekad_shift(spark, sf):
     return _days(spark, sf).select("date", dekad.shift(k, 5).alias("plus5"), dekad.shift(k, -40).alias("minus40"), dekad.add(F.col("date"), months=2, dekads=3).alias("months_then_dekads"))
 
 
-@query("pheno_fold", f"WITH p AS (SELECT CAST(unnest(range(0, 111)) AS INT) AS pheno), q AS (SELECT pheno, CASE WHEN pheno BETWEEN 1 AND 108 THEN CAST((pheno - 1) % 36 + 1 AS INT) END AS kk, CASE WHEN pheno BETWEEN 1 AND 108 THEN {from_raw('(2020 - 1900) * 36 + pheno - 36')} END AS dekad FROM p) SELECT *, CAST((dekad // 100 - 1900) * 36 + dekad % 100 - 120 * 36 + 36 AS INT) AS back FROM q")
+@query("pheno_fold", f"WITH {_D}, p AS (SELECT date, CAST({raw_of('date')} % 111 AS INT) AS pheno FROM d), q AS (SELECT date, pheno, CASE WHEN pheno BETWEEN 1 AND 108 THEN CAST((pheno - 1) % 36 + 1 AS INT) END AS kk, CASE WHEN pheno BETWEEN 1 AND 108 THEN {from_raw('(2020 - 1900) * 36 + pheno - 36')} END AS dekad FROM p) SELECT *, CAST((dekad // 100 - 1900) * 36 + dekad % 100 - 120 * 36 + 36 AS INT) AS back FROM q")
 def pheno_fold(spark, sf):
-    p = spark.range(0, 111).select(F.col("id").cast("int").alias("pheno"))
-    q = p.select("pheno", dekad.fold(F.col("pheno")).alias("kk"), dekad.from_pheno(F.col("pheno"), 2020).alias("dekad"))
+    """Season values of three years, made of the days' running dekads."""
+    p = _days(spark, sf).select("date", (dekad.to_raw(dekad.from_date(F.col("date"))) % 111).cast("int").alias("pheno"))
+    q = p.select("date", "pheno", dekad.fold(F.col("pheno")).alias("kk"), dekad.from_pheno(F.col("pheno"), 2020).alias("dekad"))
     return q.withColumn("back", dekad.to_pheno(F.col("dekad"), 2020))
 
 
@@ -54,12 +55,12 @@ def season_index(spark, sf):
 
 @query(
     "lead_time_month",
-    """WITH m AS (SELECT CAST(unnest(range(1, 8)) AS INT) AS idx), c AS (SELECT idx, CAST((idx + 9) % 12 + 1 AS INT) AS month, idx * 100.0 / 7 AS progress FROM m), w AS (SELECT unnest([25, 50, 75, 100]) AS wanted),
+    """WITH m AS (SELECT CAST(unnest(range(1, 8)) AS INT) AS idx), c AS (SELECT idx, CAST((idx + 9) % 12 + 1 AS INT) AS month, idx * 100.0 / 7 AS progress FROM m), w AS (SELECT DISTINCT p_size * 2 AS wanted FROM part),
 r AS (SELECT wanted, month, round(progress, 6) AS progress, row_number() OVER (PARTITION BY wanted ORDER BY abs(progress - wanted), idx) AS k FROM w, c) SELECT CAST(wanted AS INT) AS wanted, month, progress, CAST(month % 12 + 1 AS INT) AS issue_month FROM r WHERE k = 1""",
 )
 def lead_time_month(spark, sf):
     cal = dekad.calendar(spark, SOS, EOS).withColumnRenamed("month_index", "idx")
-    wanted = spark.createDataFrame([(25,), (50,), (75,), (100,)], "wanted int")
+    wanted = tables.read(spark, sf, "part").select((F.col("p_size") * 2).cast("int").alias("wanted")).distinct()
     near = wanted.crossJoin(F.broadcast(cal)).groupBy("wanted").agg(F.min_by(F.struct("month", "progress"), F.struct(F.abs(F.col("progress") - F.col("wanted")), "idx")).alias("m"))
     return near.select("wanted", "m.month", F.round("m.progress", 6).alias("progress"), dekad.issue_month(F.col("m.month")).alias("issue_month"))
 

@@ -76,42 +76,46 @@ def ks_relevance(spark, sf):
 
 # --- task tables
 
-_AXES = """a AS (SELECT unnest(['Lasso', 'SVR_linear', 'GPR']) AS algorithm), s AS (SELECT unnest(['rs', 'rs_reduced', 'met']) AS feature_set), r AS (SELECT unnest(['none', 'PCA']) AS reduction), k AS (SELECT unnest(['none', 'MRMR']) AS selection), o AS (SELECT unnest([true, false]) AS one_hot), t AS (SELECT unnest([1, 4]) AS lead_time),
-specs AS (SELECT algorithm, feature_set, reduction, selection, one_hot, CAST(lead_time AS INT) AS lead_time FROM a, s, r, k, o, t WHERE NOT (reduction = 'PCA' AND lead_time = 1) AND NOT (reduction = 'PCA' AND selection = 'MRMR')),
-num AS (SELECT CAST(row_number() OVER (ORDER BY lead_time, algorithm, feature_set, reduction, selection, one_hot) AS INT) AS run_id, * FROM specs)"""
+_AXES = """c AS (SELECT DISTINCT p_type AS crop FROM part), a AS (SELECT unnest(['Lasso', 'SVR_linear', 'GPR']) AS algorithm), s AS (SELECT unnest(['rs', 'rs_reduced', 'met']) AS feature_set), r AS (SELECT unnest(['none', 'PCA']) AS reduction), k AS (SELECT unnest(['none', 'MRMR']) AS selection), o AS (SELECT unnest([true, false]) AS one_hot), t AS (SELECT unnest([1, 4]) AS lead_time),
+specs AS (SELECT crop, algorithm, feature_set, reduction, selection, one_hot, CAST(lead_time AS INT) AS lead_time FROM c, a, s, r, k, o, t WHERE NOT (reduction = 'PCA' AND lead_time = 1) AND NOT (reduction = 'PCA' AND selection = 'MRMR')),
+num AS (SELECT CAST(row_number() OVER (ORDER BY lead_time, crop, algorithm, feature_set, reduction, selection, one_hot) AS INT) AS run_id, * FROM specs)"""
+
+
+def _axes(spark, sf):
+    return {"crop": tables.crops(spark, sf)} | specs.AXES
 
 
 @query("spec_grid", f"WITH {_AXES} SELECT * FROM num")
 def spec_grid(spark, sf):
-    return specs.grid(spark, specs.AXES)
+    return specs.grid(spark, _axes(spark, sf))
 
 
 @query("spec_grid_reduced", f"WITH {_AXES} SELECT algorithm, lead_time, count(*) AS n FROM specs WHERE algorithm = 'Lasso' AND feature_set IN ('rs') GROUP BY 1, 2")
 def spec_grid_reduced(spark, sf):
-    return specs.grid(spark, specs.narrow(specs.AXES, {"algorithm": ["Lasso"], "feature_set": ["rs"]})).groupBy("algorithm", "lead_time").agg(F.count("*").alias("n"))
+    return specs.grid(spark, specs.narrow(_axes(spark, sf), {"algorithm": ["Lasso"], "feature_set": ["rs"]})).groupBy("algorithm", "lead_time").agg(F.count("*").alias("n"))
 
 
 @query("model_description", f"WITH {_AXES} SELECT run_id, concat_ws(', ', algorithm, CASE WHEN one_hot THEN 'one-hot units' END, CASE WHEN lead_time > 1 THEN 'trend' END, feature_set, CASE WHEN reduction <> 'none' THEN reduction END, CASE WHEN selection <> 'none' THEN selection || ' 50%' END) AS description FROM num")
 def model_description(spark, sf):
-    g = specs.grid(spark, specs.AXES).withColumns({"trend": F.col("lead_time") > 1, "prct": F.lit(50)})
+    g = specs.grid(spark, _axes(spark, sf)).withColumns({"trend": F.col("lead_time") > 1, "prct": F.lit(50)})
     return ranking.describe(g).select("run_id", "description")
 
 
 @query("slow_first", f"WITH {_AXES} SELECT run_id, CAST(row_number() OVER (ORDER BY CASE WHEN selection <> 'none' THEN 0 ELSE 1 END, run_id) AS INT) AS run_order FROM num")
 def slow_first(spark, sf):
-    return ranking.slow_first(specs.grid(spark, specs.AXES)).select("run_id", "run_order")
+    return ranking.slow_first(specs.grid(spark, _axes(spark, sf))).select("run_id", "run_order")
 
 
 @query("missing_runs", f"WITH {_AXES} SELECT run_id, algorithm FROM num WHERE run_id % 5 = 0 OR run_id BETWEEN 20 AND 23")
 def missing_runs(spark, sf):
-    g = specs.grid(spark, specs.AXES)
+    g = specs.grid(spark, _axes(spark, sf))
     done = g.where("NOT (run_id % 5 = 0 OR run_id BETWEEN 20 AND 23)").select("run_id")
     return compare.missing(g, done, "run_id").select("run_id", "algorithm")
 
 
 @query("run_id_gaps", f"WITH {_AXES}, done AS (SELECT run_id FROM num WHERE NOT (run_id % 5 = 0 OR run_id BETWEEN 20 AND 23)) SELECT run_id FROM num WHERE run_id NOT IN (SELECT run_id FROM done) AND run_id BETWEEN (SELECT min(run_id) FROM done) AND (SELECT max(run_id) FROM done)")
 def run_id_gaps(spark, sf):
-    return compare.id_gaps(specs.grid(spark, specs.AXES).where("NOT (run_id % 5 = 0 OR run_id BETWEEN 20 AND 23)"), "run_id")
+    return compare.id_gaps(specs.grid(spark, _axes(spark, sf)).where("NOT (run_id % 5 = 0 OR run_id BETWEEN 20 AND 23)"), "run_id")
 
 
 @query("table_diff", f"WITH {SPARSE}, l AS (SELECT adm_id, crop, year, round(yield, 3) AS yield FROM labels), r AS (SELECT adm_id, crop, year, round(CASE WHEN adm_id = 3 AND year = 1998 THEN yield + 1 ELSE yield END, 3) AS yield FROM labels WHERE NOT (adm_id = 5 AND year = 1999)) SELECT *, 'left_only' AS side FROM (SELECT * FROM l EXCEPT ALL SELECT * FROM r) UNION ALL SELECT *, 'right_only' FROM (SELECT * FROM r EXCEPT ALL SELECT * FROM l)")

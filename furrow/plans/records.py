@@ -122,8 +122,7 @@ def season_bounds(spark, sf):
 
 _SPEC_AXES = {"algorithm": ["Lasso", "SVR_linear"], "feature_set": ["rs", "rs_met", "met"], "reduction": ["none", "PCA"], "selection": ["none", "MRMR"], "one_hot": [False, True], "lead_time": [1, 4]}
 _LIST = lambda v: "[" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x).lower() for x in v) + "]"
-_CROPS = ["Barley", "Maize"]
-_SPECS = f"""crops AS (SELECT unnest({_LIST(_CROPS)}) AS crop), lead AS (SELECT CAST(unnest({_LIST(_SPEC_AXES["lead_time"])}) AS INT) AS lead_time),
+_SPECS = f"""crops AS (SELECT DISTINCT p_type AS crop FROM part), lead AS (SELECT CAST(unnest({_LIST(_SPEC_AXES["lead_time"])}) AS INT) AS lead_time),
 bench AS (SELECT crop, unnest({_LIST(specs.BENCHMARKS)}) AS algorithm, 'none' AS feature_set, 'none' AS reduction, 'none' AS selection, false AS one_hot, lead_time FROM crops, lead),
 algos AS (SELECT unnest(['Lasso', 'SVR_linear', 'Lasso@PeakFPARAndLast3', 'SVR_linear@PeakFPARAndLast3']) AS algorithm),
 tuned0 AS (SELECT crop, algorithm, fs, reduction, selection, one_hot, lead_time FROM crops, lead, algos, (SELECT unnest(['rs', 'rs_met', 'met']) AS fs), (SELECT unnest(['none', 'PCA']) AS reduction), (SELECT unnest(['none', 'MRMR']) AS selection), (SELECT unnest([false, true]) AS one_hot)
@@ -134,26 +133,26 @@ num AS (SELECT CAST(row_number() OVER (ORDER BY k, crop, algorithm, lead_time, f
 
 @query("all_specs", f"WITH {_SPECS} SELECT * FROM num")
 def all_specs(spark, sf):
-    return specs.all_specs(spark, _CROPS, _SPEC_AXES)
+    return specs.all_specs(spark, tables.crops(spark, sf), _SPEC_AXES)
 
 
 @query("task_batches", f"WITH {_SPECS} SELECT run_id, CAST((run_id - 1) // 50 + 1 AS INT) AS batch, lpad(CAST(run_id AS VARCHAR), 6, '0') AS id, lpad(CAST(run_id AS VARCHAR), 6, '0') || '_' || lower(crop) || '_' || algorithm || '.json' AS file FROM num")
 def task_batches(spark, sf):
-    return records.task_batches(specs.all_specs(spark, _CROPS, _SPEC_AXES), 50).select("run_id", "batch", "id", "file")
+    return records.task_batches(specs.all_specs(spark, tables.crops(spark, sf), _SPEC_AXES), 50).select("run_id", "batch", "id", "file")
 
 
 @query("single_task", f"WITH {_SPECS} SELECT * FROM num WHERE run_id = 42")
 def single_task(spark, sf):
     """One task's settings, to run it alone."""
-    return specs.all_specs(spark, _CROPS, _SPEC_AXES).where("run_id = 42")
+    return specs.all_specs(spark, tables.crops(spark, sf), _SPEC_AXES).where("run_id = 42")
 
 
-@query("settings_text", "SELECT 'C:' || '1,10' || '; ' || 'gamma:' || '0.1' AS text, 'agro:b,c; maize:a' AS lists")
+@query("settings_text", "WITH s AS (SELECT p_brand, p_type, string_agg(DISTINCT CAST(p_size AS VARCHAR), ',' ORDER BY CAST(p_size AS VARCHAR)) AS sizes FROM part GROUP BY 1, 2) SELECT p_brand AS brand, string_agg(p_type || ':' || sizes, '; ' ORDER BY p_type) AS text FROM s GROUP BY 1")
 def settings_text(spark, sf):
-    one = spark.range(1)
-    grid = F.create_map(F.lit("gamma"), F.array(F.lit("0.1")), F.lit("C"), F.array(F.lit("1"), F.lit("10")))
-    lists = F.create_map(F.lit("maize"), F.array(F.lit("a")), F.lit("agro"), F.array(F.lit("b"), F.lit("c")))
-    return one.select(records.settings_text(grid).alias("text"), records.settings_text(lists).alias("lists"))
+    """The sizes that each brand's types come in, as text."""
+    sizes = tables.read(spark, sf, "part").groupBy("p_brand", "p_type").agg(F.array_sort(F.collect_set(F.col("p_size").cast("string"))).alias("sizes"))
+    of_brand = sizes.groupBy(F.col("p_brand").alias("brand")).agg(F.map_from_entries(F.collect_list(F.struct("p_type", "sizes"))).alias("m"))
+    return of_brand.select("brand", records.settings_text(F.col("m")).alias("text"))
 
 
 @query("run_names", f"{RES}, {_ALL} SELECT crop, list_sort(list(DISTINCT model)) AS models FROM summ GROUP BY 1")
@@ -212,9 +211,12 @@ def rows_with_values(spark, sf):
 
 # --- calendar, dates, texts, rounding
 
-@query("season_calendar", f"SELECT CAST(i AS INT) AS month_index, CAST((i + {SOS} - 2) % 12 + 1 AS INT) AS month, round(i * 100.0 / 7, 6) AS progress FROM (SELECT unnest(range(1, 8)) AS i)")
+@query("season_calendar", f"WITH d AS (SELECT month(CAST(l_shipdate AS DATE)) AS month, count(DISTINCT CAST(l_shipdate AS DATE)) AS n_days FROM lineitem GROUP BY 1) SELECT CAST(i AS INT) AS month_index, month, round(i * 100.0 / 7, 6) AS progress, n_days FROM (SELECT i, CAST((i + {SOS} - 2) % 12 + 1 AS INT) AS month FROM (SELECT unnest(range(1, 8)) AS i)) LEFT JOIN d USING (month)")
 def season_calendar(spark, sf):
-    return dekad.calendar(spark, SOS, EOS).withColumn("progress", F.round("progress", 6))
+    """The season's months, and on how many days of each there are sales."""
+    day = F.to_date("l_shipdate")
+    days = tables.read(spark, sf, "lineitem").groupBy(F.month(day).alias("month")).agg(F.count_distinct(day).alias("n_days"))
+    return dekad.calendar(spark, SOS, EOS).withColumn("progress", F.round("progress", 6)).join(days, "month", "left").select("month_index", "month", "progress", "n_days")
 
 
 @query("forecast_dates", f"WITH {_PERFECT} SELECT adm_id, variable_name, CASE WHEN contains(variable_name, 'SF_') THEN CAST(date - INTERVAL 1 MONTH AS DATE) ELSE date END AS date, round(mean, 6) AS mean FROM (SELECT adm_id, variable_name, date, mean FROM sf UNION ALL SELECT adm_id, variable_name, date, mean FROM ind)")
@@ -310,17 +312,15 @@ def exchange_history(spark, sf):
 @query(
     "download_union",
     """WITH d AS (SELECT o_orderkey, CAST(c_nationkey AS INT) AS region_id, n_name AS region_name, ['FPAR', 'Solar Radiation', 'Rainfall', 'Temperature'][o_orderkey % 4 + 1] AS v, o_totalprice AS value, CAST(o_orderdate AS DATE) AS date, o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey)
-SELECT region_name AS reg0_name, region_id AS adm_id, CASE v WHEN 'FPAR' THEN 'NDVI' WHEN 'Solar Radiation' THEN 'rad' WHEN 'Rainfall' THEN 'rainfall' ELSE 'temperature' END AS variable_name, CAST(o_orderkey % 4 AS INT) AS var_id, 'static masks' AS classset_name, CAST(2 AS INT) AS classesset_id, lower(o_orderpriority) AS class_name, date, value AS mean, CAST(0 AS INT) AS stddev FROM d""",
+SELECT region_name AS reg0_name, region_id AS adm_id, CASE v WHEN 'FPAR' THEN 'NDVI' WHEN 'Solar Radiation' THEN 'rad' WHEN 'Rainfall' THEN 'rainfall' ELSE 'temperature' END AS variable_name, CAST(o_orderkey % 4 AS INT) AS var_id, 'static masks' AS classset_name, CAST(2 AS INT) AS classesset_id, lower(o_orderpriority) AS class_name, CAST(o_orderpriority[1] AS INT) AS class_id, date, value AS mean, CAST(0 AS INT) AS stddev FROM d""",
 )
 def download_union(spark, sf):
     customer = tables.read(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("int").alias("region_id"))
     nation = tables.read(spark, sf, "nation").select(F.col("n_nationkey").cast("int").alias("region_id"), F.col("n_name").alias("region_name"))
     o = tables.read(spark, sf, "orders").join(customer, "o_custkey").join(nation, "region_id")
-    parts = []
-    for k, name in enumerate(("FPAR", "Solar Radiation", "Rainfall", "Temperature")):
-        mine = o.where(F.col("o_orderkey") % 4 == k).select("region_id", "region_name", F.lit(name).alias("variable_name"), F.lit(k).alias("variable_id"), F.date_format("o_orderdate", "yyyyMMdd").alias("date"), F.col("o_totalprice").alias("value"), F.col("o_orderpriority").alias("class_name"))
-        parts.append(mine)
-    return records.from_downloads(parts)
+    name = F.array(*map(F.lit, ("FPAR", "Solar Radiation", "Rainfall", "Temperature")))
+    kind = (F.col("o_orderkey") % 4).cast("int")
+    return records.from_downloads([o.select("region_id", "region_name", name[kind].alias("variable_name"), kind.alias("variable_id"), F.date_format("o_orderdate", "yyyyMMdd").alias("date"), F.col("o_totalprice").alias("value"), F.col("o_orderpriority").alias("class_name"), F.substring("o_orderpriority", 1, 1).cast("int").alias("class_id"))])
 
 
 # --- files that are written and read again
@@ -343,7 +343,7 @@ def csv_append_round_trip(spark, sf):
 
 @query("json_specs_round_trip", f"WITH {_SPECS} SELECT run_id, crop, algorithm, feature_set, reduction, selection, one_hot, lead_time FROM num")
 def json_specs_round_trip(spark, sf):
-    s = specs.all_specs(spark, _CROPS, _SPEC_AXES)
+    s = specs.all_specs(spark, tables.crops(spark, sf), _SPEC_AXES)
     return files.json_specs(spark, files.overwrite_json(s, f"{files.scratch(spark)}/specs"), s.schema.simpleString()[7:-1].replace(":", " "), one_per_file=False)
 
 

@@ -36,13 +36,8 @@ def json_specs(spark: SparkSession, path: str, schema: str, one_per_file: bool =
     return spark.read.schema(schema).json(path, multiLine=one_per_file)
 
 
-def union_of(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
-    """All files of a pattern as one table with the name of each row's file; empty and broken files add nothing."""
-    return spark.read.schema(schema).options(header=True, mode="DROPMALFORMED").csv(pattern).withColumn("file", F.col("_metadata.file_name"))
-
-
 def union_with_rejects(spark: SparkSession, pattern: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, broken): the same union, and the lines that don't fit the schema with the file they stand in."""
+    """(rows, broken): all files of a pattern as one table with the name of each row's file, and the lines that don't fit the schema with the file they stand in."""
     both = spark.read.schema(f"{schema}, _broken string").options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_broken").csv(pattern).withColumn("file", F.col("_metadata.file_name"))
     # Spark knows a line to be broken only if it has to parse all its columns
     parsed = F.hash(*(c for c in both.columns if c not in ("_broken", "file"))) >= -(2**31)

@@ -38,3 +38,8 @@ def indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum("l_quantity").alias("rainfall"), F.round(F.avg("l_discount") * 100, 6).alias("temperature"), F.round(F.avg("l_tax") * 100, 6).alias("FPAR")
     )
     return d.unpivot(["adm_id", "dekad"], list(VARIABLES), "variable_name", "mean").select("adm_id", "variable_name", dekad.start(F.col("dekad")).alias("date"), "mean")
+
+
+def crops(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The crops that there are, in order: an axis of the task tables."""
+    return sorted(r.p_type for r in read(spark, sf_dir, "part").where("p_type IS NOT NULL").select("p_type").distinct().collect())

@@ -381,7 +381,7 @@ def test_files(spark, tmp_path):
     assert files.latest_version(spark, str(tmp_path)).endswith("x_v3.csv")
     d = files.csv_thousands(spark, str(tmp_path / "x_v1.csv"), "a string, b string", ["a"])
     assert sorted((r.a or 0, r.b) for r in d.collect()) == [(0, "y"), (1234.0, "x")]
-    assert files.union_of(spark, f"{tmp_path}/x_v*.csv", "a string, b string").select("file").distinct().count() == 3
+    assert files.union_with_rejects(spark, f"{tmp_path}/x_v*.csv", "a string, b string")[0].select("file").distinct().count() == 3
     assert files.from_listing(spark, "1 run\n2  idle\n\n", ["id", "state"]).collect()[1].state == "idle"
     assert files.numeric_columns(spark.sql("select cast(1 as smallint) a, 'x' b, cast(1 as decimal(9,2)) c")) == ["a", "c"]
 
