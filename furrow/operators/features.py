@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,6 +108,19 @@ def peak_and_last(features: DataFrame, variable: str, month: int, last: int = 3)
     return known.groupBy("adm_id", "season_year").agg(peak.alias("peak"), tail.alias("tail_mean"), F.count(F.when((F.col("variable_name") != variable) & (F.col("month_index") > month - last), 1)).alias("n_tail"))
 
 
+def peak_and_last_wide(matrix: DataFrame, variable: str, month: int, last: int = 3) -> DataFrame:
+    """A season matrix as feature-engineered models take it: the monthly maxima of a variable up to a month become their largest, `peak`, and
+    of the other variables the columns of the last months are kept as they are. Columns are known by the pattern of their names."""
+    named = {c: re.fullmatch(r"(.+?)(Sum|min|max)?M([0-9]+)", c) for c in matrix.columns}
+    parts = {c: (m[1], m[2], int(m[3])) for c, m in named.items() if m}
+    peaks = [F.col(c) for c, (v, stat, k) in parts.items() if v == variable and stat == "max" and k <= month]
+    kept = [c for c, (v, _, k) in parts.items() if v != variable and month - last < k <= month]
+    if not peaks:
+        raise ValueError(f"no column holds a monthly maximum of {variable}")
+    peak = F.greatest(*peaks) if len(peaks) > 1 else peaks[0]
+    return matrix.select(*(c for c in matrix.columns if c not in parts), peak.alias("peak"), *kept)
+
+
 def perfect_forecast(ind: DataFrame, horizons: int = 7) -> DataFrame:
     """The observed monthly value as a forecast at every horizon, dated that many months earlier:
     sums for rainfall, day-weighted means otherwise, of complete months only."""

@@ -125,6 +125,16 @@ def season_matrix_wide(spark, sf):
     return m.select("adm_id", "season_year", *(F.round(c, 6).alias(c) for c in WIDE))
 
 
+_MATRIX = [f"FPARmaxM{k}" for k in range(1, 8)] + [f"rainfallSumM{k}" for k in range(1, 8)] + [f"temperatureM{k}" for k in range(1, 8)]
+
+
+@query("peak_last3_wide", f"WITH {_LONG} SELECT adm_id, season_year, round(max(CASE WHEN variable_name = 'FPAR' AND contains(feature, 'max') AND month_index <= 5 THEN value END), 6) AS peak, " + ", ".join(f"round(max(CASE WHEN feature = '{c}{k}' THEN value END), 6) AS {c}{k}" for c in ("rainfallSumM", "temperatureM") for k in (3, 4, 5)) + " FROM long GROUP BY 1, 2")
+def peak_last3_wide(spark, sf):
+    """Peak and last three months from a whole season matrix."""
+    m = features.peak_and_last_wide(features.season_matrix(tables.indicators(spark, sf), SOS, EOS, _MATRIX), "FPAR", 5)
+    return m.select("adm_id", "season_year", *(F.round(c, 6).alias(c) for c in m.columns if c not in ("adm_id", "season_year")))
+
+
 @query("lead_time_features", f"WITH {_LONG} SELECT adm_id, season_year, count(*) AS n, round(sum(value), 4) AS total FROM long WHERE month_index <= {LEAD} GROUP BY 1, 2")
 def lead_time_features(spark, sf):
     return features.up_to(_features(spark, sf), LEAD).groupBy("adm_id", "season_year").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))

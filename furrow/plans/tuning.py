@@ -110,6 +110,27 @@ def mrmr_select(spark, sf):
     return selection.mrmr_regression(_rows(spark, sf), FEATURES, "target", 3).withColumn("score", F.round("score", 3))
 
 
+_DOMAINS = {"rs_quantity": "l_quantity", "rs_price": "l_extendedprice", "met_discount": "l_discount", "met_tax": "l_tax"}
+_DOMAIN_REL = "rel AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, {i} AS ord, {_corr(c, 'target')} ^ 2 / nullif(1 - {_corr(c, 'target')} ^ 2, 0) * (count(*) - 2) AS f FROM x" for i, (f, c) in enumerate(_DOMAINS.items())) + ")"
+_DOMAIN_COR = "cor AS (" + " UNION ALL ".join(f"SELECT '{a}' AS feature, '{b}' AS other, greatest(abs({_corr(ca, cb)}), 0.001) AS r FROM x" if a.split("_")[0] == b.split("_")[0] else f"SELECT '{a}', '{b}', 0.001" for a, ca in _DOMAINS.items() for b, cb in _DOMAINS.items() if a != b) + ")"
+
+
+@query(
+    "mrmr_same_domain",
+    f"""{_ROWS}, {_DOMAIN_REL}, {_DOMAIN_COR},
+c1 AS (SELECT feature, f AS score FROM rel WHERE f > 0 ORDER BY f DESC, ord LIMIT 1),
+s2 AS (SELECT rel.feature, ord, f, r FROM rel JOIN cor ON cor.feature = rel.feature JOIN c1 ON c1.feature = cor.other WHERE f > 0),
+c2 AS (SELECT feature, CASE WHEN r = 1 THEN 0 ELSE f / r END AS score FROM s2 ORDER BY 2 DESC, ord LIMIT 1),
+s3 AS (SELECT rel.feature, ord, f, max(r) AS r FROM rel JOIN cor ON cor.feature = rel.feature WHERE f > 0 AND other IN (SELECT feature FROM c1 UNION ALL SELECT feature FROM c2) AND rel.feature NOT IN (SELECT feature FROM c1 UNION ALL SELECT feature FROM c2) GROUP BY 1, 2, 3),
+c3 AS (SELECT feature, CASE WHEN r = 1 THEN 0 ELSE f / r END AS score FROM s3 ORDER BY 2 DESC, ord LIMIT 1)
+SELECT CAST(rank AS INT) AS rank, feature, round(score, 3) AS score FROM (SELECT 1 AS rank, * FROM c1 UNION ALL SELECT 2, * FROM c2 UNION ALL SELECT 3, * FROM c3)""",
+)
+def mrmr_same_domain(spark, sf):
+    """Redundancy within a domain only (the name's first part), and the largest one as denominator."""
+    rows = _rows(spark, sf).select(*(F.col(c).alias(f) for f, c in _DOMAINS.items()), "target")
+    return selection.mrmr_regression(rows, list(_DOMAINS), "target", 3, mean=False, same_domain=True).withColumn("score", F.round("score", 3))
+
+
 @query("mrmr_classif")
 def mrmr_classif(spark, sf):
     return selection.mrmr_classif(_rows(spark, sf), FEATURES, "l_returnflag", 3, mean=False)
