@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.llm import decontaminate, line_dedup, near_dedup, quality, sentencepiece_codec
-from furrow.llm.common import save
+from furrow.llm.common import discard, save
 
 #: A character of a word, as in common.WORD_BYTE.
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
@@ -69,7 +69,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage. What a stage returned is deleted when the next one is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = save(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
