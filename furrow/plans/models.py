@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from furrow.operators import benchmarks, compare, features, forecast, metrics, paired, panel, ranking, results, seasonal
+from furrow.operators import benchmarks, compare, exchange, features, forecast, metrics, paired, panel, ranking, results, seasonal
 from furrow.plans.panels import _TREND, FIRST_YEAR
 from furrow.plans.register import LABELS, MONTHS, query
 from furrow.sources import tables
@@ -363,3 +363,35 @@ def exchange_forecast(spark, sf):
     nation, region = tables.read(spark, sf, "nation"), tables.read(spark, sf, "region")
     names = nation.join(region, nation.n_regionkey == region.r_regionkey).select(F.col("r_name").alias("region"), F.col("n_name").alias("adm_name"), F.col("n_nationkey").alias("adm_id"))
     return forecast.exchange(forecast.clamp(_forecast(spark, sf)[0]), names, {"PROMO": "Maize"})
+
+
+_FORM = exchange.Settings(country="Everywhere", source="STATS_v1", sos=11, eos=5, harvest_year=2001, group="furrow", issued="2001-03-01", run="2001-02-15", version="furrow", planting_delta=-1, recode={"PROMO": "Maize"})
+_FORM_SQL = {
+    "source_id": "adm_id", "source_name_version": "'STATS_v1'", "admin_0": "'Everywhere'", "admin_1": "r_name", "admin_2": "n_name", "admin_3": "''", "planted_year": "2000", "approx_planted_month": "11", "harvest_year": "2001", "approx_harvest_month": "5",
+    "crop": "CASE crop WHEN 'PROMO' THEN 'Maize' ELSE crop END", "crop_season": "'n.a.'", "season": "'n.a.'", "forecast_issue_date (yyyy-mm-dd)": "'2001-03-01'", "date_model_run (yyyy-mm-dd)": "'2001-02-15'", "input_croptype_product": "'n.a.'", "group": "'furrow'", "model_version": "'furrow_2001-02-15'",
+    "is_final": "'n.a.'", "notes": "''", "yield_fcst (tn_ha)": "round(fyield, 3)", "cross_validation": "0", "metric_years": "'" + ",".join(map(str, range(1995, 2002))) + "'",
+    **{c: f"round({_SUMMARY[e]}, 4) + 0.0" for c, e in {"yield_mae": "mae", "yield_rmse": "rmse", "yield_rrmse": "rrmse_prct", "yield_mape": "rmae_prct", "yield_r2_pearson": "r2_pearson", "yield_r2_true": "r2"}.items()},
+}
+
+
+def _form_sql(columns: list[str]) -> str:
+    cast = {"planted_year", "approx_planted_month", "harvest_year", "approx_harvest_month", "cross_validation"}
+    return ", ".join((f"CAST({_FORM_SQL[c]} AS INT)" if c in cast else _FORM_SQL[c]) + f' AS "{c}"' for c in columns)
+
+
+def _form_regions(spark, sf):
+    nation, region = tables.read(spark, sf, "nation"), tables.read(spark, sf, "region")
+    return nation.join(region, nation.n_regionkey == region.r_regionkey).select(F.col("n_nationkey").alias("adm_id"), F.col("r_name").alias("admin_1"), F.col("n_name").alias("admin_2"))
+
+
+@query("exchange_forecast_form", f"WITH {_FORECAST}, {_CLAMP} SELECT {_form_sql(exchange.FORECAST)} FROM cl JOIN nation ON n_nationkey = adm_id JOIN region ON r_regionkey = n_regionkey")
+def exchange_forecast_form(spark, sf):
+    """All columns of the template, for the clamped forecasts."""
+    return exchange.forecast_form(forecast.clamp(_forecast(spark, sf)[0]), _form_regions(spark, sf), _FORM, 3)
+
+
+@query("exchange_accuracy_form", f"{RES} SELECT {_form_sql(exchange.ACCURACY)} FROM res JOIN nation ON n_nationkey = adm_id JOIN region ON r_regionkey = n_regionkey WHERE model = 'Trend' GROUP BY adm_id, crop, r_name, n_name")
+def exchange_accuracy_form(spark, sf):
+    """All columns of the template, for the trend model's hindcasts by unit and crop."""
+    errors = metrics.by_unit(_runs(spark, sf).where("model = 'Trend'"))
+    return exchange.accuracy_form(errors, _form_regions(spark, sf), _FORM, list(range(1995, 2002)), 4)
