@@ -8,7 +8,9 @@ their detections those that lie inside one of higher priority (then longer, then
 earlier) are suppressed. Base labels are never suppressed.
 
 Defined cases: null and empty texts have no words and no labels, with score 0;
-repeated rows are scanned each for itself; other columns are ignored.
+repeated rows are scanned each for itself; very long texts are scanned whole; detections that
+tie in priority, length and place stand by their label; an empty table gives an empty result; a column named `scan` is replaced by the result of
+the scan, other columns are ignored.
 """
 
 from __future__ import annotations

@@ -28,7 +28,7 @@ Contents are told apart by both halves of the digest; cid, a 64-bit number of ea
 
 Defined cases: null and empty texts, and texts without words, have no shingles and
 are in a class of their own row; class_id is the smallest doc_id of the class (null
-only if all are null). Rows are told apart by doc_id and text: rows with one doc_id, or none,
+only if all are null). Rows are told apart by doc_id and 64 bits of their text: rows with one doc_id, or none,
 and different texts are documents of their own, of which one stays where they are near; rows
 that repeat both are all kept = true in the report, and `keep_one` leaves one of them. Very long
 texts are read whole, one at a time. An empty table gives an empty result. Columns of other

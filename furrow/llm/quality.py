@@ -18,7 +18,8 @@ Defined cases: null and empty texts have statistics of 0 and are scored like any
 other; null hosts and paths are sites of their own; labels of unknown documents, with
 null quality or a null doc_id, are ignored, and repeated labels of one document count
 once (the smaller value); without labels of both kinds the document evidence is 0;
-an empty table gives an empty result; other columns pass through.
+repeated documents are scored each for itself and count once in the fit; ids whose hashes tie in the order of the fit go by the
+id itself; very long texts are read whole; an empty table gives an empty result; other columns pass through.
 """
 
 from __future__ import annotations
