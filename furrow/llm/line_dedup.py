@@ -82,8 +82,9 @@ def lines(docs: DataFrame) -> DataFrame:
     base = F.coalesce("doc_id", F.lit(2**63 - 1)).cast("decimal(20,0)") * F.lit(2**62).cast("decimal(19,0)")
     rows = docs.select("doc_id", *_hashes(F.col("text")), base.alias("base"), "text")
     each = rows.select(*ROW, "base", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    # whether a line is empty when folded is asked of the line as it is: a filter on the folded one would fold it twice
-    each = each.where(F.length(F.btrim("raw", F.lit(" \t\x0b\f\r"))) > 0)
+    # whether a line is empty when folded is asked of the line as it is: a filter on the folded one would fold it twice.
+    # Most lines begin with a character that shows it, and need no trimming
+    each = each.where((F.ascii("raw") > 32) | (F.length(F.btrim("raw", F.lit(" \t\x0b\f\r"))) > 0))
     place = F.col("base") + (F.col("text_hash").bitwiseAND(_LINES - 1) * _LINES + F.col("line")).cast("decimal(19,0)")
     return each.select(*ROW, "line", folded(F.col("raw")).alias("folded"), place.alias("place"))
 
@@ -201,13 +202,19 @@ def near_lines(c: DataFrame, threshold: int, in_bytes: bool = False) -> DataFram
     probe = probe_keys(c, index, threshold)
     hot = save(index.groupBy("key").count().where(F.col("count") > HOT_BUCKET).select("key"), "hot")
     few = sized(hot)
-    cold = lambda x: x.join(few, "key", "left_anti")
-    pairs = cold(probe).join(cold(index).withColumnRenamed("id", "near"), "key").where("id <> near").select("id", "near")
-    near = save(verified(_each_once(pairs), c, threshold, in_bytes), "near")
+    # One pass over the probes for cold and for hot buckets: probes of hot buckets are marked and spread by their line's id, so
+    # that none of them meets anything or is one task. Cold buckets have few lines
+    spread_by = F.when(F.col("hot"), F.xxhash64("id").bitwiseOR(F.lit(1))).otherwise(F.lit(0).cast("bigint"))
+    marked = probe.join(few.withColumn("hot", F.lit(True)), "key", "left").select("id", "key", spread_by.alias("spread"))
+    listed = index.join(few, "key", "left_anti").select("key", F.lit(0).cast("bigint").alias("spread"), F.col("id").alias("near"))
+    is_hot = F.col("spread") != 0
+    met = marked.join(listed, ["key", "spread"], "left").where(is_hot | (F.col("near").isNotNull() & (F.col("id") != F.col("near"))))
+    met = save(met.select("id", F.when(is_hot, F.col("key")).alias("key"), "near", is_hot.alias("hot")), "met", by="hot")
+    near = save(verified(_each_once(met.where("NOT hot").select("id", "near")), c, threshold, in_bytes), "near")
     if not hot.limit(1).count():
         return near
     bits = [p.alias(k) for k, p in zip(("p0", "p1"), parities(F.col("folded")), strict=True)]
-    asked, listed = (save(x.join(few, "key", "left_semi"), "hot") for x in (probe, index))
+    asked, listed = met.where("hot").select("id", "key"), save(index.join(few, "key", "left_semi"), "hot")
     own = save(c.join(sized(save(asked.union(listed).select("id").distinct(), "hot_ids")), "id", "left_semi").select("id", "id2", "folded", "chars", "place", *bits), "parities")
     marks = own.select("id", "chars", "place", "p0", "p1")
 
