@@ -39,10 +39,10 @@ def new_path(spark: SparkSession, tag: str) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def save(df: DataFrame, tag: str, by: str | None = None, compression: str = "snappy") -> DataFrame:
+def save(df: DataFrame, tag: str, by: str | list[str] | None = None, compression: str = "snappy") -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage is cut
     and a lost executor costs nothing that was already computed. The shuffle files of the write go when it is done.
-    Filters on the column `by` then read only the files that they need. `discard` deletes the table."""
+    Filters on the columns `by` then read only the files that they need. `discard` deletes the table."""
     spark, path = df.sparkSession, new_path(df.sparkSession, tag)
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")

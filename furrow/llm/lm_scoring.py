@@ -39,13 +39,13 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.llm.common import discard, mix, powers, save, small_batches, text_blocks
 from furrow.llm.elias_fano import Level, mapped, pack, unpack
 
-ORDER = 2
+ORDER = 3
 #: Pseudo-counts of the shorter context.
 MASS = 2.0
 #: Steps of a log10 probability.
@@ -55,6 +55,9 @@ BLOCK_BYTES = 8 << 20
 #: Questions (distinct n-grams of a block) that one shard is meant to get.
 SHARD = 1 << 20
 HOT_CONTEXT = 1 << 20
+#: Blocks meet their answers in so many parts, and the shards of a level are asked in so many slices, one after the other: what is shuffled
+#: at a time is a part of the whole.
+PARTS, SLICES = 4, 2
 #: Answers of one Arrow batch.
 ANSWER_ROWS = 64
 _NODE = np.uint64(40)
@@ -158,6 +161,10 @@ ANSWERS = "level int, shard int, block bigint, at int, nodes binary, places bina
 LEVELS = "level int, shard int, grams bigint, total bigint, trie binary"
 
 
+def _part() -> Column:
+    return F.pmod(F.hash("block"), F.lit(PARTS))
+
+
 def code(p: np.ndarray) -> np.ndarray:
     """-log10 of a probability in steps of 1 / STEP."""
     return np.rint(-np.log10(p) * STEP).astype(np.int64)
@@ -191,10 +198,10 @@ class Corpus:
     begins: np.ndarray
 
 
-def _first(block: dict, answers: list[tuple], corpus: Corpus) -> Grams:
+def _first(block: dict, corpus: Corpus) -> Grams:
     n = block["n_words"]
     node, place, count = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.int64)
-    for shard, at, _, places, _, counts in answers:
+    for shard, at, _, places, _, counts in block["answers"]:
         place_here, count_here = unpack(places), unpack(counts)
         here = slice(at, at + len(place_here))
         seen = count_here > 0
@@ -204,57 +211,102 @@ def _first(block: dict, answers: list[tuple], corpus: Corpus) -> Grams:
     return Grams(unpack(block["words"]).astype(np.int64), node, place, code((count + 1) / max(1, corpus.tokens + corpus.words + 1)), count)
 
 
-def _longer(g: Grams, lengths: np.ndarray, n: int, shards: int) -> tuple[Grams, np.ndarray, np.ndarray]:
+def _rank(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, place of each in it)."""
+    order = np.argsort(x, kind="stable")
+    rank = np.empty(len(x), np.int64)
+    rank[order] = np.arange(len(x))
+    return order, rank
+
+
+def _longer(g: Grams, lengths: np.ndarray, n: int, shards: int, begin: int = 0, end: int | None = None) -> tuple[Grams, np.ndarray, np.ndarray, np.ndarray]:
     """The block's n-grams from its (n-1)-grams, as far as they follow from these: asked ones come first, by shard and context.
-    And of the asked ones the contexts (as places in g) and shards."""
-    size = len(g.node)
-    inside = np.arange(len(g.of_token)) - np.repeat(np.cumsum(lengths) - lengths, lengths) >= n - 1
-    at = np.flatnonzero(inside)
-    pairs, of_pair = np.unique(g.of_token[at - 1] * size + g.of_token[at], return_inverse=True) if len(at) else (np.zeros(0, np.int64),) * 2
-    context, word = pairs // max(size, 1), pairs % max(size, 1)
+    And of the asked ones the contexts and words (as places in g) and shards. With begin and end, the asked ones of these shards only."""
+    size = max(1, len(g.node))
+    at = np.flatnonzero(np.arange(len(g.of_token)) - np.repeat(np.cumsum(lengths) - lengths, lengths) >= n - 1)
+    shard_of = lambda x: ((mix(x) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+    of_context, fan = shard_of(g.node), g.count // HOT_CONTEXT + 1
+    if end is not None:
+        here = (g.node > 0) & ((of_context >= begin) & (of_context < end) | (fan > 1))
+        at = at[here[g.of_token[at - 1]] & (g.node > 0)[g.of_token[at]]]
+    # places in the order of node and place, so that the distinct pairs are in the order of context and word
+    by_node, node_rank = _rank(g.node)
+    by_place, place_rank = _rank(g.place)
+    pairs, of_pair = np.unique(node_rank[g.of_token[at - 1]] * size + place_rank[g.of_token[at]], return_inverse=True) if len(at) else (np.zeros(0, np.int64),) * 2
+    context, word = by_node[pairs // size], by_place[pairs % size]
     asked = (g.node[context] > 0) & (g.node[word] > 0)
-    fan = g.count[context] // HOT_CONTEXT + 1
-    part = (mix(g.place[word]) % fan.astype(np.uint64)).astype(np.uint64)
-    shard = (mix(g.node[context] + part * _P) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
-    order = np.lexsort((g.place[word], g.node[context], np.where(asked, shard, np.uint64(shards))))
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
+    shard = of_context[context]
+    hot = np.flatnonzero(fan[context] > 1)
+    part = mix(g.place[word[hot]]) % fan[context[hot]].astype(np.uint64)
+    shard[hot] = shard_of(g.node[context[hot]] + part * _P)
+    if end is not None:
+        asked &= (shard >= begin) & (shard < end)
+    shard[~asked] = shards
+    order, rank = _rank(shard.astype(np.uint16) if shards < 1 << 16 else shard)
     context, word = context[order], word[order]
     of_token = np.full(len(g.of_token), -1)
     of_token[at] = rank[of_pair]
-    unseen = g.code[word] + np.where(g.node[context] > 0, backoff(g.count[context]), 0)
+    unseen = g.code[word] + np.where(g.node > 0, backoff(g.count), 0)[context]
     none = np.zeros(len(order), np.uint64)
     n_asked = int(asked.sum())
-    return Grams(of_token, none, none.copy(), unseen, np.zeros(len(order), np.int64)), context[:n_asked], shard[order][:n_asked].astype(np.int64)
+    return Grams(of_token, none, none.copy(), unseen, np.zeros(len(order), np.int64)), context[:n_asked], word[:n_asked], shard[order][:n_asked]
 
 
-def _learn(g: Grams, answers: list[tuple]) -> None:
-    for _, at, nodes, places, codes, counts in answers:
-        value = unpack(codes)
+def _learn(g: Grams, to: np.ndarray, answers: list[tuple]) -> None:
+    for shard, _, nodes, places, codes, counts in answers:
+        value, at = unpack(codes), int(np.searchsorted(to, shard))
         here = slice(at, at + len(value))
         g.code[here] = value
         if nodes:  # of the longest n-grams nothing else is asked
             g.node[here], g.place[here], g.count[here] = unpack(nodes), unpack(places), unpack(counts)
 
 
-def _replay(block: dict, corpus: Corpus, shards: list[int]) -> Iterator[tuple[Grams, Grams, np.ndarray, np.ndarray]]:
-    """Level by level (shorter n-grams, n-grams, contexts and shards of those to be asked), as far as there are answers and one further."""
-    lengths = np.array(block["lengths"])
-    by_level = {}
-    for level, *rest in block["answers"] or []:
-        by_level.setdefault(level, []).append(tuple(rest))
-    g = _first(block, by_level.get(1, []), corpus)
-    yield g, g, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for n, count in enumerate(shards[1:], 2):
-        longer, contexts, to = _longer(g, lengths, n, count)
-        _learn(longer, by_level.get(n, []))
-        yield g, longer, contexts, to
-        g = longer
+# --- a block between two levels -----------------------------------------------
+
+#: What a block knows after a level: its documents with their sums over tokens that have their final code, and its n-grams of this length.
+STATES = "block bigint, doc_ids array<bigint>, held array<boolean>, trained array<boolean>, lengths array<int>, known array<bigint>, base array<double>, done array<bigint>, of_token binary, node binary, place binary, code binary, count binary"
+SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+
+
+def _grams(state: dict) -> Grams:
+    of_token, node, place, code_, count = (unpack(state[k]) for k in ("of_token", "node", "place", "code", "count"))
+    return Grams(of_token.astype(np.int64) - 1, node, place, code_.astype(np.int64), count.astype(np.int64))
+
 
+def _sums(x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(x, np.cumsum(lengths) - lengths)
 
-def _trained_counts(g: Grams, block: dict) -> np.ndarray:
-    has = (g.of_token >= 0) & np.repeat(np.array(block["trained"], bool), block["lengths"])
-    return np.bincount(g.of_token[has], minlength=len(g.node))
+
+def _settled(g: Grams, lengths: np.ndarray, n: int, last: bool) -> np.ndarray:
+    """By document, the codes of its tokens with n-1 tokens before them; if longer n-grams follow, only of the one with no more before it."""
+    nth = np.arange(len(g.of_token)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    has = nth >= n - 1 if last else nth == n - 1
+    return _sums(np.where(has, g.code[np.maximum(g.of_token, 0)] if len(g.code) else 0, 0), lengths)
+
+
+def _after(joined: DataFrame, corpus: Corpus, n: int, shards: int, last: bool) -> DataFrame:
+    """Of blocks with their answers to level n the states after it; after the last level the scores."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _dicts(batches):
+            lengths = np.array(block["lengths"])
+            if n == 1:
+                g = _first(block, corpus)
+                known = _sums((g.count > 0)[g.of_token].astype(np.int64), lengths)
+                base = _sums(np.log10((g.count + 1) / max(1, corpus.tokens + corpus.words + 1))[g.of_token], lengths)
+                done = np.zeros(len(lengths), np.int64)
+            else:
+                g, _, _, to = _longer(_grams(block), lengths, n, shards)
+                _learn(g, to, block["answers"])
+                known, base, done = (np.array(block[k]) for k in ("known", "base", "done"))
+            done = done + _settled(g, lengths, n, last)
+            if last:
+                columns = [block["doc_ids"], block["held"], lengths, known, [corpus.tokens] * len(lengths), base, -done / STEP]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, _types(SCORES), strict=True)], names=_names(SCORES))
+            else:
+                yield _batch([(block["block"], block["doc_ids"], block["held"], block["trained"], lengths, known, base, done, pack(g.of_token + 1), *(pack(x) for x in (g.node, g.place, g.code, g.count)))], STATES)
+
+    return joined.mapInArrow(of, SCORES if last else STATES)
 
 
 def _first_asks(table: DataFrame, shards: int) -> DataFrame:
@@ -273,43 +325,34 @@ def _vocabulary_shard(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h >> np.uint64(31)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-def _asks(joined: DataFrame, corpus: Corpus, shards: list[int]) -> DataFrame:
-    """The questions of the next level, the last of shards."""
-    level = len(shards)
+def _asks(states: DataFrame, level: int, shards: int, begin: int, end: int) -> DataFrame:
+    """The questions of a level to the shards from begin to before end."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _dicts(batches):
-            for g, longer, contexts, to in _replay(block, corpus, shards):
-                pass
+        for state in _dicts(batches):
+            g, lengths = _grams(state), np.array(state["lengths"])
+            longer, contexts, words, to = _longer(g, lengths, level, shards, begin, end)
             if not len(to):
                 continue
-            counts = _trained_counts(longer, block)
-            words = _words(g, longer, len(to))
+            has = (longer.of_token >= 0) & np.repeat(np.array(state["trained"], bool), lengths)
+            counts = np.bincount(longer.of_token[has], minlength=len(longer.node))
             cuts = np.flatnonzero(np.append(True, to[1:] != to[:-1])).tolist()
             rows = []
             for a, z in zip(cuts, [*cuts[1:], len(to)], strict=True):
                 runs = a + np.flatnonzero(np.append(True, contexts[a + 1 : z] != contexts[a : z - 1]))
                 of_run = contexts[runs]
                 w = words[a:z]
-                rows.append((level, int(to[a]), block["block"], a, pack(g.node[of_run] - np.uint64(1)), pack(np.diff(np.append(runs, z))), pack(g.count[of_run]), pack(g.place[w]), pack(g.code[w]), pack(counts[a:z])))
+                rows.append((level, int(to[a]), state["block"], 0, pack(g.node[of_run] - np.uint64(1)), pack(np.diff(np.append(runs, z))), pack(g.count[of_run]), pack(g.place[w]), pack(g.code[w]), pack(counts[a:z])))
             yield _batch(rows, ASKS)
 
-    return joined.mapInArrow(of, ASKS)
-
-
-def _words(g: Grams, longer: Grams, n: int) -> np.ndarray:
-    """The (n-1)-gram that ends each of the first n n-grams."""
-    has = longer.of_token >= 0
-    out = np.zeros(len(longer.node), np.int64)
-    out[longer.of_token[has]] = g.of_token[has]
-    return out[:n]
+    return states.select("block", "trained", "lengths", "of_token", "node", "place", "code", "count").mapInArrow(of, ASKS)
 
 
 def _dicts(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for b in batches:
         for i in range(b.num_rows):
             out = {name: c[i].as_py() for name, c in zip(b.schema.names, b.columns, strict=True)}
-            out["answers"] = [tuple(x.values()) for x in out["answers"] or []]
+            out["answers"] = [tuple(x.values()) for x in out.get("answers") or []]
             yield out
 
 
@@ -343,43 +386,48 @@ def _vocabulary(asks: list[tuple]) -> tuple[bytes, int, int, Iterator[tuple]]:
 
 
 def _level(asks: list[tuple], last: bool) -> tuple[bytes, int, int, Iterator[tuple]]:
-    """A level of a shard: (trie, n-grams, their sum, answers)."""
-    context = np.concatenate([np.repeat(unpack(a[4]), unpack(a[5]).astype(np.int64)) for a in asks])
-    total = np.concatenate([np.repeat(unpack(a[6]), unpack(a[5]).astype(np.int64)) for a in asks])
+    """A level of a shard: (trie, n-grams, their sum, answers). What several blocks ask is looked up once."""
+    runs, sizes, totals = (np.concatenate([unpack(a[i]) for a in asks]) for i in (4, 5, 6))
     word, lower, n = (np.concatenate([unpack(a[i]) for a in asks]) for i in (7, 8, 9))
-    order = np.lexsort((word, context))
-    context, word = context[order], word[order]
-    at = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (word[1:] != word[:-1])))
-    n = np.add.reduceat(n[order], at)
-    keep = n > 0
-    at, n = at[keep], n[keep].astype(np.int64)
-    context, word, total, lower = context[at], word[at], total[order[at]].astype(np.int64), lower[order[at]].astype(np.int64)
-    codes = code((n + MASS * probability(lower)) / (total + MASS))
-    trie = Level.encode(context, word, codes, backoff(n)[: 0 if last else None])
+    contexts, of_run = np.unique(runs, return_inverse=True)
+    total = np.zeros(len(contexts), np.int64)
+    total[of_run] = totals
+    ordered, width = word.astype(np.int64), int(word.max()) + 1
+    if len(contexts) * width >= 1 << 63:
+        known, ordered = np.unique(word, return_inverse=True)
+        width = len(known)
+    pairs, of_ask = np.unique(np.repeat(of_run, sizes.astype(np.int64)) * width + ordered, return_inverse=True)
+    example = np.empty(len(pairs), np.int64)
+    example[of_ask] = np.arange(len(of_ask))
+    of_context = pairs // width
+    word, lower, n = word[example], lower[example].astype(np.int64), np.rint(np.bincount(of_ask, n, len(pairs))).astype(np.int64)
+    seen = n > 0
+    codes = code((n[seen] + MASS * probability(lower[seen])) / (total[of_context[seen]] + MASS))
+    trie = Level.encode(contexts[of_context[seen]], word[seen], codes, backoff(n[seen])[: 0 if last else None])
+    n = n[seen]
     level = Level(mapped(trie))
+    at, place = level.find(contexts, np.bincount(of_context, minlength=len(contexts)), word)
+    found, at = at >= 0, np.maximum(at, 0)
+    value = np.where(found, level.code[at] if len(n) else 0, lower + backoff(total)[of_context])
+    shard = asks[0][1]
+    # a context that is dealt over shards has places in each of them
+    place = np.where(found, np.where(total[of_context] >= HOT_CONTEXT, place << 24 | shard, place), 0)
+    node = np.where(found, (shard << int(_NODE)) + at + 1, 0)
+    count = np.where(found, n[at] if len(n) else 0, 0)
 
     def answers() -> Iterator[tuple]:
-        for number, shard, block, first, contexts, sizes, totals, words, lowers, _ in asks:
-            sizes = unpack(sizes).astype(np.int64)
-            all_ = unpack(totals).astype(np.int64)
-            unseen, all_ = np.repeat(backoff(all_), sizes), np.repeat(all_, sizes)
-            at, place = level.find(unpack(contexts), sizes, unpack(words))
-            found = at >= 0
-            at = np.maximum(at, 0)
-            value = np.where(found, level.code[at] if len(n) else 0, unpack(lowers).astype(np.int64) + unseen)
-            if last:
-                yield number, shard, block, first, b"", b"", pack(value), b""
-                continue
-            # a context that is dealt over shards has places in each of them
-            place = np.where(all_ >= HOT_CONTEXT, place << 24 | shard, place)
-            node = np.where(found, (shard << int(_NODE)) + at + 1, 0)
-            yield number, shard, block, first, pack(node), pack(np.where(found, place, 0)), pack(value), pack(np.where(found, n[at] if len(n) else 0, 0))
+        start = 0
+        for number, shard, block, first, _, sizes, *_ in asks:
+            end = start + int(unpack(sizes).sum())
+            own = of_ask[start:end]
+            start = end
+            yield number, shard, block, first, *((b"", b"", pack(value[own]), b"") if last else (pack(x[own]) for x in (node, place, value, count)))
 
-    return trie, len(word), int(n.sum()), answers()
+    return trie, int(seen.sum()), int(n.sum()), answers()
 
 
-def _answers(asks: DataFrame, shards: int, last: bool) -> tuple[DataFrame, DataFrame]:
-    """(levels, answers), saved: what the shards make of all questions. A task holds the questions of one shard at a time."""
+def _answers(asks: DataFrame, shards: int, last: bool) -> DataFrame:
+    """What so many shards make of all questions, saved: levels are kind 0, answers kind 1. A task holds the questions of one shard at a time."""
     schema = f"level int, shard int, block bigint, at int, nodes binary, places binary, codes binary, counts binary, {LEVELS[22:]}"
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -401,63 +449,61 @@ def _answers(asks: DataFrame, shards: int, last: bool) -> tuple[DataFrame, DataF
         yield from out()
 
     dealt = asks.repartition(shards, "shard").sortWithinPartitions("shard")
-    done = save(dealt.mapInArrow(of, schema).withColumn("kind", F.when(F.col("trie").isNull(), 1).otherwise(0)), "level", by="kind", compression="zstd")
-    return done.where("kind = 0").select(*_names(LEVELS)), done.where("kind = 1").select(*_names(ANSWERS))
+    made = dealt.mapInArrow(of, schema).withColumns({"kind": F.when(F.col("trie").isNull(), 1).otherwise(0), "part": F.when(F.col("trie").isNull(), _part()).otherwise(0)})
+    return save(made, "level", by=["kind", "part"], compression="zstd")
 
 
 # --- the whole ----------------------------------------------------------------
 
-SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-
-
-def _final(joined: DataFrame, corpus: Corpus, shards: list[int]) -> DataFrame:
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _dicts(batches):
-            lengths = np.array(block["lengths"])
-            best, known, base = None, None, None
-            for _, g, _, _ in _replay(block, corpus, shards):
-                if best is None:
-                    best = g.code[g.of_token]
-                    known = g.count[g.of_token] > 0
-                    base = np.log10((g.count + 1) / max(1, corpus.tokens + corpus.words + 1))[g.of_token]
-                else:
-                    best = np.where(g.of_token >= 0, g.code[g.of_token] if len(g.code) else 0, best)
-            first = np.cumsum(lengths) - lengths
-            sums = [np.add.reduceat(x, first) for x in (known.astype(np.int64), base, best)]
-            columns = [block["doc_ids"], block["held"], lengths, sums[0], [corpus.tokens] * len(lengths), sums[1], -sums[2] / STEP]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, _types(SCORES), strict=True)], names=_names(SCORES))
-
-    return joined.mapInArrow(of, SCORES)
-
 
 def _join(table: DataFrame, answers: list[DataFrame]) -> DataFrame:
-    """Each block with all its answers. They are as many as the block has n-grams, and no more."""
-    every = reduce(DataFrame.union, answers)
-    of_block = every.groupBy("block").agg(F.collect_list(F.struct("level", "shard", "at", "nodes", "places", "codes", "counts")).alias("answers"))
-    return table.select("block", "doc_ids", "held", "trained", "lengths", "words", "n_words").join(of_block.withColumnRenamed("block", "of"), F.col("block") == F.col("of"), "left").drop("of")
+    """Each block with its answers to a level. They are as many as the block has n-grams, and no more."""
+    of_block = reduce(DataFrame.union, answers).groupBy("block").agg(F.collect_list(F.struct("shard", "at", "nodes", "places", "codes", "counts")).alias("answers"))
+    return table.join(of_block.withColumnRenamed("block", "of"), F.col("block") == F.col("of"), "left").drop("of")
 
 
-def score(docs: DataFrame, order: int = ORDER, shard: int = SHARD) -> tuple[DataFrame, list[DataFrame]]:
-    """(scores of all rows, the trie's levels by shard): the model of the training documents, applied to all."""
-    both = save(blocks(docs), "blocks", by="kind", compression="zstd")
-    table, words_of = both.where("kind = 0"), both.where("kind = 1")
+def score(docs: DataFrame, order: int = ORDER, shard: int = SHARD, keep: bool = True) -> tuple[DataFrame, list[DataFrame]]:
+    """(scores of all rows, the trie's levels by shard): the model of the training documents, applied to all. Without keep the
+    levels are deleted when they have answered, and the list is empty."""
+    both = save(blocks(docs).withColumn("part", _part()), "blocks", by=["kind", "part"], compression="zstd")
+    table = both.where("kind = 0").drop("kind")
     of = lambda n: max(1, -(-int(n or 0) // shard))
-    shards = [of(table.agg(F.sum("n_words")).first()[0])]
-    levels, answers = [], []
-    made, answer = _answers(_first_asks(words_of, shards[0]), shards[0], False)
+    n_words, questions = table.agg(F.sum("n_words"), F.sum(F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, n: a + n))).first()
+    shards = of(n_words)
+    made = [_answers(_first_asks(both.where("kind = 1"), shards), shards, False)]
     discard(both, part="kind=1")
-    sizes = {r.shard: (r.grams, r.total) for r in made.select("shard", "grams", "total").collect()}  # two numbers a shard
-    words = np.array([sizes.get(s, (0, 0))[0] for s in range(shards[0])], np.int64)
+    sizes = {r.shard: (r.grams, r.total) for r in made[0].where("kind = 0").select("shard", "grams", "total").collect()}  # two numbers a shard
+    words = np.array([sizes.get(s, (0, 0))[0] for s in range(shards)], np.int64)
     corpus = Corpus(sum(t for _, t in sizes.values()), int(words.sum()), np.append(0, np.cumsum(words))[:-1])
-    levels.append(made), answers.append(answer)
-    questions = table.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, n: a + n))).first()[0]
-    for n in range(2, order + 1):
-        shards.append(of(questions))
-        made, answer = _answers(_asks(_join(table, answers), corpus, shards), shards[-1], n == order)
-        levels.append(made), answers.append(answer)
-    return _final(_join(table, answers), corpus, shards), levels
+    columns = ["block", "doc_ids", "held", "trained", "lengths", "words", "n_words"]
+    states = [(table.where(f"part = {p}").select(columns), both, f"kind=0/part={p}") for p in range(PARTS)]
+    levels = []
+    for n in range(1, order + 1):
+        if n > 1:
+            shards = of(questions)
+            every = reduce(DataFrame.union, (s for s, *_ in states))
+            cuts = [shards * k // SLICES for k in range(SLICES + 1)]
+            made = []
+            for a, z in zip(cuts, cuts[1:]):
+                if a < z:
+                    made.append(_answers(_asks(every, n, shards, a, z), z - a, n == order))
+                    if not keep:
+                        discard(made[-1], part="kind=0")
+        elif not keep:
+            discard(made[0], part="kind=0")
+        if keep:
+            levels.append(reduce(DataFrame.union, (m.where("kind = 0").select(*_names(LEVELS)) for m in made)))
+        next_ = []
+        for p, (state, saved, at) in enumerate(states):
+            answers = [m.where(f"kind = 1 AND part = {p}").select(*_names(ANSWERS)) for m in made]
+            done = save(_after(_join(state, answers), corpus, n, shards, n == order), "scores" if n == order else "state", compression="zstd")
+            next_.append((done, done, ""))
+            discard(saved, part=at)
+            discard(*made, part=f"kind=1/part={p}")
+        states = next_
+    return reduce(DataFrame.union, (s for s, *_ in states)), levels
 
 
 def report(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    return score(docs)[0]
+    return score(docs, keep=False)[0]

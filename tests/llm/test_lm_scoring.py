@@ -68,6 +68,15 @@ def test_scores_match_plain_model(spark):
     check(spark, prose(60))
 
 
+def test_query_scores_with_three_words(spark):
+    """The query's model has word triples, whatever the number of parts its blocks meet their answers in."""
+    rows = prose(60, 4)
+    got = {r.doc_id: r.score for r in lm_scoring.report(spark.createDataFrame([(i, t, 0.5, "x", 1) for i, t in rows], DOCS).repartition(5)).collect()}
+    pairs, triples = ([b[-1] for b in brute(rows, order)] for order in (2, 3))
+    assert len(got) == 60 and all(got[i] == pytest.approx(t, abs=2.5 / lm_scoring.STEP) for (i, _), t in zip(rows, triples, strict=True))
+    assert sum(abs(got[i] - p) > 1 for (i, _), p in zip(rows, pairs, strict=True)) > 30
+
+
 def test_many_shards_and_split_contexts(spark, monkeypatch):
     monkeypatch.setattr(lm_scoring, "HOT_CONTEXT", 50)
     check(spark, prose(80, 1), shard=7)
