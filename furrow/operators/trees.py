@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 FOREST = {"depth": [10, 15, 20, 25, 30], "subset": ["1", "sqrt"], "trees": [50, 100, 250, 500]}
 BOOSTED = {"rate": [0.01, 0.05, 0.1], "depth": [10, 20, 30], "share": [0.1, 0.24, 0.38, 0.52, 0.66, 0.8], "trees": [100, 250, 500]}
 
-#: Fits that run at a time.
-PARALLEL = 4
+#: Fits that run at a time, at most. Each is a row of small jobs, between which its core waits for the driver.
+PARALLEL = 32
 
 
 def settings(grid: dict[str, list]) -> Iterator[dict]:
@@ -61,16 +61,22 @@ def predictions(fitted: PipelineModel, rows: DataFrame, counts: list[int]) -> tu
     return rows, {n: first(n) for n in counts}
 
 
+def at_a_time(spark: SparkSession) -> int:
+    """Fits that run at a time: two for each core, so that none is idle."""
+    return max(1, min(PARALLEL, 2 * spark.sparkContext.defaultParallelism))
+
+
 def side_by_side(jobs: list, parallel: int = PARALLEL) -> list:
     """Results of functions without arguments, at most `parallel` at a time."""
     with ThreadPoolExecutor(parallel) as pool:
         return list(pool.map(lambda job: job(), jobs))
 
 
-def nested(table: DataFrame, features: list[str], kind: str, grid: dict[str, list], parallel: int = PARALLEL) -> DataFrame:
+def nested(table: DataFrame, features: list[str], kind: str, grid: dict[str, list], parallel: int | None = None) -> DataFrame:
     """crop, adm_id, year, setting, y_true, y_pred: each year predicted from the others, with the setting that has the smallest mean
     RMSE over these years when each of them is held out too. table: adm_id, crop, year, yield and features, without nulls.
     Only errors by crop, year and setting go to the driver."""
+    parallel = parallel or at_a_time(table.sparkSession)
     years = sorted(r.year for r in table.select("year").distinct().collect())
     counts = sorted(grid["trees"])
     errors: dict[tuple, float] = {}

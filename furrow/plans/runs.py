@@ -156,7 +156,7 @@ def result_rows(spark, sf):
     errors = results.errors(spark.read.parquet(f"{path}/predictions"))
     hours = (time.time() - began) / 3600
     crops = t.select("crop").distinct()
-    common = {"lead_time": 0, "jobs": trees.PARALLEL, "scoring": "root_mean_squared_error", "time": time.strftime("%m/%d/%Y, %H:%M:%S"), "hours": hours, "one_hot": "none", "yield_trend": "False", "reduction": "none", "selection": "none"}
+    common = {"lead_time": 0, "jobs": trees.at_a_time(spark), "scoring": "root_mean_squared_error", "time": time.strftime("%m/%d/%Y, %H:%M:%S"), "hours": hours, "one_hot": "none", "yield_trend": "False", "reduction": "none", "selection": "none"}
     inputs = {"n_features": len(INPUTS), "features": ",".join(INPUTS), "feature_set": "season_means", "n_selected": len(INPUTS), "prct_selected": 100, "selected": ",".join(INPUTS)}
     names = dict(_runs(spark, sf).select("run_id", "model").distinct().collect())
     infos = [_info(crops, run_id=k, estimator=m, data_scaling="none", n_features=0, **common) for k, m in sorted(names.items())]

@@ -153,6 +153,14 @@ def table(spark, seed=0, change=None):
     return spark.createDataFrame(rows, "adm_id int, crop string, year int, yield double, x double, z double").coalesce(1)
 
 
+def test_nested_trees_keep_all_cores_busy(spark, monkeypatch):
+    """A fit has one small task at a time: there are more of them side by side than cores."""
+    seen = []
+    monkeypatch.setattr(trees, "side_by_side", lambda jobs, parallel: seen.append(parallel) or [job() for job in jobs])
+    trees.nested(table(spark).where("year < 2003"), ["x", "z"], "boosted", {"rate": [0.3], "depth": [2], "share": [0.1], "trees": [2]})
+    assert len(seen) == 2 and min(seen) > spark.sparkContext.defaultParallelism
+
+
 @pytest.mark.parametrize("kind, grid", [("forest", {"depth": [3], "subset": ["all"], "trees": [2, 6]}), ("boosted", {"rate": [0.3], "depth": [2], "share": [0.1], "trees": [2, 4]})])
 def test_nested_trees_predict_every_year_from_the_others(spark, kind, grid):
     a = {(r.crop, r.adm_id, r.year): r for r in trees.nested(table(spark), ["x", "z"], kind, grid).collect()}
