@@ -122,6 +122,15 @@ def test_percent_grid():
     assert selection.percent_grid(3, [5, 25, 50, 75, 100]) == [(25, 1), (75, 2), (100, 3)]  # 1.5 and 2.25 both round to 2; 0.15 is no feature
 
 
+def test_forest_tasks_hold_bounded_rows(spark):
+    d = spark.range(1000, numPartitions=1).selectExpr("CAST(id AS DOUBLE) AS x", "CAST(id % 7 AS DOUBLE) AS z", "CASE WHEN id % 10 > 0 THEN CAST(id * 2 AS DOUBLE) END AS y")
+    t = selection.forest_rows(d, ["x", "z", "y"], 250)
+    assert max(map(len, t.rdd.glom().collect())) <= 250 and sorted(t.collect()) == sorted(d.dropna().collect())
+    assert selection.forest_rows(d, ["x", "z", "y"], 1000).rdd.getNumPartitions() == 1
+    f = {r.feature: r.f for r in selection.forest_importance(d, ["x", "z"], "y").collect()}
+    assert f["x"] > 0.9 and sum(f.values()) == pytest.approx(1)
+
+
 def test_wilcoxon_signed_ranks(spark):
     d = spark.createDataFrame([(1, 2.0, 1.0), (1, 1.0, 2.0), (1, 5.0, 2.0), (1, 3.0, 3.0)], "g int, x double, y double")
     r = paired.signed_ranks(d, ["g"], "x", "y").first()
