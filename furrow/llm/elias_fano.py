@@ -21,6 +21,8 @@ import numpy as np
 #: Place of the k-th set bit of a byte.
 _SELECT = np.array([[*(i for i in range(8) if b >> i & 1), *[8] * 8][:8] for b in range(256)], np.uint8)
 
+_FIVES, _THREES, _FIFTEENS, _ONES, _TOPS = (np.uint64(x * 0x0101010101010101) for x in (0x55, 0x33, 0x0F, 0x01, 0x80))
+
 
 def mapped(raw: bytes) -> memoryview:
     """raw as memory that is backed by a file without a name: it can be paged out, and leaves nothing behind."""
@@ -77,12 +79,15 @@ class EliasFano:
         sums = self.ones if bit else self.zeros
         word = np.searchsorted(sums, k, "right") - 1
         rest = k - sums[word]
-        eight = (self.high[word] if bit else ~self.high[word]).view(np.uint8).reshape(-1, 8)
-        counts = np.cumsum(np.bitwise_count(eight), axis=1, dtype=np.int64)
-        byte = (counts <= rest[:, None]).sum(1)
-        row = np.arange(len(k))
-        rest = rest - np.where(byte > 0, counts[row, byte - 1], 0)
-        return 64 * word + 8 * byte + _SELECT[eight[row, byte], rest]
+        bits = self.high[word] if bit else ~self.high[word]
+        # in byte i of upto the ones of bytes 0 to i; those that are at most rest have their top bit set in the difference
+        upto = bits - (bits >> np.uint64(1) & _FIVES)
+        upto = (upto & _THREES) + (upto >> np.uint64(2) & _THREES)
+        upto = (upto + (upto >> np.uint64(4)) & _FIFTEENS) * _ONES
+        byte = np.bitwise_count((rest.astype(np.uint64) * _ONES | _TOPS) - upto & _TOPS)
+        shift = byte.astype(np.uint64) << np.uint64(3)
+        rest -= (upto << np.uint64(8) >> shift & np.uint64(255)).astype(np.int64)
+        return 64 * word + 8 * byte.astype(np.int64) + _SELECT[(bits >> shift & np.uint64(255)).astype(np.int64), rest]
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         at = i * self.low_bits

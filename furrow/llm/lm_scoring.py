@@ -213,7 +213,14 @@ def _first(block: dict, corpus: Corpus) -> Grams:
 
 def _rank(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, place of each in it)."""
-    order = np.argsort(x, kind="stable")
+    seen = np.flatnonzero(x)
+    if (x[seen[1:]] > x[seen[:-1]]).all():  # as nodes are
+        order = np.concatenate([np.flatnonzero(x == 0), seen])
+    elif int(x.max(initial=0)) < 1 << 32:  # two passes over 16 bits each
+        order = np.argsort(x.astype(np.uint16), kind="stable")
+        order = order[np.argsort((x >> np.asarray(16, x.dtype)).astype(np.uint16)[order], kind="stable")]
+    else:
+        order = np.argsort(x, kind="stable")
     rank = np.empty(len(x), np.int64)
     rank[order] = np.arange(len(x))
     return order, rank
@@ -242,7 +249,7 @@ def _longer(g: Grams, lengths: np.ndarray, n: int, shards: int, begin: int = 0,
     if end is not None:
         asked &= (shard >= begin) & (shard < end)
     shard[~asked] = shards
-    order, rank = _rank(shard.astype(np.uint16) if shards < 1 << 16 else shard)
+    order, rank = _rank(shard)
     context, word = context[order], word[order]
     of_token = np.full(len(g.of_token), -1)
     of_token[at] = rank[of_pair]
@@ -288,7 +295,7 @@ def _after(joined: DataFrame, corpus: Corpus, n: int, shards: int, last: bool) -
     """Of blocks with their answers to level n the states after it; after the last level the scores."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _dicts(batches):
+        for block in _met(batches):
             lengths = np.array(block["lengths"])
             if n == 1:
                 g = _first(block, corpus)
@@ -351,9 +358,21 @@ def _asks(states: DataFrame, level: int, shards: int, begin: int, end: int) -> D
 def _dicts(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for b in batches:
         for i in range(b.num_rows):
-            out = {name: c[i].as_py() for name, c in zip(b.schema.names, b.columns, strict=True)}
-            out["answers"] = [tuple(x.values()) for x in out.get("answers") or []]
-            yield out
+            yield {name: c[i].as_py() for name, c in zip(b.schema.names, b.columns, strict=True)}
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Blocks with their answers, from rows of which a block's own is followed by its answers."""
+    block = None
+    for row in _dicts(batches):
+        if row["shard"] is not None:
+            block["answers"].append(tuple(row[k] for k in _names(ANSWERS) if k not in ("level", "block")))
+            continue
+        if block:
+            yield block
+        block = row | {"answers": []}
+    if block:
+        yield block
 
 
 # --- shards -------------------------------------------------------------------
@@ -457,9 +476,9 @@ def _answers(asks: DataFrame, shards: int, last: bool) -> DataFrame:
 
 
 def _join(table: DataFrame, answers: list[DataFrame]) -> DataFrame:
-    """Each block with its answers to a level. They are as many as the block has n-grams, and no more."""
-    of_block = reduce(DataFrame.union, answers).groupBy("block").agg(F.collect_list(F.struct("shard", "at", "nodes", "places", "codes", "counts")).alias("answers"))
-    return table.join(of_block.withColumnRenamed("block", "of"), F.col("block") == F.col("of"), "left").drop("of")
+    """Each block and behind it its answers to a level. They are as many as the block has n-grams, and no more."""
+    every = reduce(DataFrame.union, answers).drop("level")
+    return table.unionByName(every, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", F.asc_nulls_first("shard"))
 
 
 def score(docs: DataFrame, order: int = ORDER, shard: int = SHARD, keep: bool = True) -> tuple[DataFrame, list[DataFrame]]:
