@@ -39,7 +39,7 @@ def new_path(spark: SparkSession, tag: str) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def save(df: DataFrame, tag: str, by: str | list[str] | None = None, compression: str = "snappy") -> DataFrame:
+def save(df: DataFrame, tag: str, by: str | list[str] | None = None, compression: str = "snappy", **options: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage is cut
     and a lost executor costs nothing that was already computed. The shuffle files of the write go when it is done.
     Filters on the columns `by` then read only the files that they need. `discard` deletes the table."""
@@ -47,7 +47,7 @@ def save(df: DataFrame, tag: str, by: str | list[str] | None = None, compression
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:
-        (df.write.partitionBy(by) if by else df.write).option("compression", compression).parquet(path)
+        (df.write.partitionBy(by) if by else df.write).options(compression=compression, **options).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)

@@ -34,16 +34,23 @@ def mapped(raw: bytes) -> memoryview:
 
 def pack(x: np.ndarray) -> bytes:
     """Numbers from 0 in as few bytes each as the largest needs, by byte places, which compresses well."""
-    x = np.ascontiguousarray(x, "<u8")
+    x = np.asarray(x).astype("<u8", copy=False)
     width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
-    return bytes([width]) + x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    rest = x.astype("<u4") if width <= 4 else x.copy()
+    planes = np.empty((width, len(x)), np.uint8)
+    for plane in planes:
+        np.copyto(plane, rest, casting="unsafe")
+        rest >>= rest.dtype.type(8)
+    return bytes([width]) + planes.tobytes()
 
 
 def unpack(raw: bytes) -> np.ndarray:
     planes = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, : raw[0]] = planes.T
-    return out.view("<u8").ravel().astype(np.uint64)
+    out = planes[-1].astype(np.uint32 if len(planes) <= 4 else np.uint64)
+    for plane in planes[-2::-1]:
+        out <<= out.dtype.type(8)
+        out |= plane
+    return out.astype(np.uint64, copy=False)
 
 
 class EliasFano:
@@ -60,6 +67,7 @@ class EliasFano:
         ones = np.bitwise_count(self.high).astype(np.int64)
         self.ones = np.append(0, np.cumsum(ones))
         self.zeros = 64 * np.arange(high_words + 1) - self.ones
+        self.places: dict[int, np.ndarray] = {}
 
     @staticmethod
     def encode(values: np.ndarray) -> bytes:
@@ -70,13 +78,17 @@ class EliasFano:
         ends = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         high = np.zeros((int(ends[-1]) + 2 if n else 1) // 64 * 64 + 64, np.uint8)
         high[ends] = 1
-        bits = (values[:, None] >> np.arange(low_bits, dtype=np.uint64) & np.uint64(1)).astype(np.uint8)
+        bits = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(n, 8), axis=1, count=low_bits, bitorder="little")
         low = np.packbits(bits.ravel(), bitorder="little").tobytes()
         return struct.pack("<QQQ", n, low_bits, len(high) // 64) + np.packbits(high, bitorder="little").tobytes() + low.ljust(n * low_bits // 8 + 9, b"\0")
 
     def _select(self, k: np.ndarray, bit: int) -> np.ndarray:
-        """Place of the k-th (from 0) one or zero of the high bits."""
+        """Place of the k-th (from 0) one or zero of the high bits. For many k all places are listed once."""
         sums = self.ones if bit else self.zeros
+        if bit not in self.places and 8 * len(k) >= sums[-1]:
+            self.places[bit] = np.flatnonzero(np.unpackbits((self.high if bit else ~self.high).view(np.uint8), bitorder="little").view(bool))
+        if bit in self.places:
+            return self.places[bit][k]
         word = np.searchsorted(sums, k, "right") - 1
         rest = k - sums[word]
         bits = self.high[word] if bit else ~self.high[word]
@@ -108,13 +120,15 @@ class EliasFano:
         ends = self._select(np.append(np.maximum(want - 1, 0), np.minimum(want, buckets - 1)), 0)
         left = np.where(want > 0, ends[: len(x)] + 1 - want, 0)
         end = np.where(want < buckets, ends[len(x) :] - want, self.n)
-        right, open_ = end.copy(), np.flatnonzero(left < end)
+        open_ = np.flatnonzero(left < end)
+        first, behind, sought = left[open_], end[open_], low[open_]
         while len(open_):
-            middle = (left[open_] + right[open_]) >> 1
-            less = self._low(middle) < low[open_]
-            left[open_[less]] = middle[less] + 1
-            right[open_[~less]] = middle[~less]
-            open_ = open_[left[open_] < right[open_]]
+            middle = (first + behind) >> 1
+            less = self._low(middle) < sought
+            first, behind = np.where(less, middle + 1, first), np.where(less, behind, middle)
+            left[open_] = first
+            more = first < behind
+            open_, first, behind, sought = (v[more] for v in (open_, first, behind, sought))
         return left, end, low
 
     def successor(self, x: np.ndarray) -> np.ndarray:

@@ -15,13 +15,15 @@ whose crc32(doc_id as text) mod 7 is not 2.
    n-grams of its contexts from all blocks. It adds the counts, makes its part of the trie's level, saves it, maps it into memory
    and answers the blocks from it. An n-gram is (node of its first n-1 words in the level above, place of its
    last word among the successors of the shorter context), and is found by successor search in the
-   context's range (see `elias_fano`). So the answer to one level is the question to the next. N-grams with a part that was
-   not seen need no question.
-3. Scores. From the answers each block adds up its documents.
+   context's range (see `elias_fano`). So the answer to one level is the question to the next, and one pass over a block does both.
+   N-grams with a part that was not seen need no question.
+3. Scores. Of the longest n-grams shards add up the codes by document; a block adds these sums to its own. Of n-grams that a block has
+   more than OFTEN times the shard answers the code.
 
 No shard holds more than it can: their number follows from the n-grams there are, and the successors of a context
 that occurs more than HOT_CONTEXT times are dealt over several shards, which is exact, since the formula needs
-the context's count only. A block's repeated n-grams are one, so that a word or passage of a third of all rows is a row a block.
+the context's count only. A block's repeated n-grams are one, so that a word or passage of a third of all rows is a row a block
+(with OFTEN documents at most).
 Nothing that grows with the corpus goes to the driver but a number or two a shard.
 
 Defined cases: a null or empty text is one end; a null doc_id is neither held out nor trained on; rows that repeat a doc_id
@@ -31,6 +33,7 @@ are read whole; an empty table gives an empty result; other columns are ignored,
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -57,9 +60,13 @@ SHARD = 1 << 20
 HOT_CONTEXT = 1 << 20
 #: Blocks meet their answers in so many parts, and the shards of a level are asked in so many slices, one after the other: what is shuffled
 #: at a time is a part of the whole.
-PARTS, SLICES = 4, 2
+PARTS, SLICES = 4, 4
 #: Answers of one Arrow batch.
 ANSWER_ROWS = 64
+#: A longest n-gram that a block has more often keeps its occurrences there, so that no shard's load grows with what is frequent.
+OFTEN = 8
+#: Byte strings that don't repeat.
+_FILES = {"compression": "zstd", "parquet.enable.dictionary": "false"}
 _NODE = np.uint64(40)
 _P, _END = np.uint64(0x9E3779B97F4A7C15), mix(np.array([0x0A], np.uint64))[0]
 
@@ -99,6 +106,46 @@ def tokens(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, check, lengths
 
 
+def _sorted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, x in it); equal numbers stay as they stood."""
+    n = len(x)
+    if not n:
+        return np.zeros(0, np.int64), x
+    # the top bits and the place behind them as one number, which sorts several times as fast as places by x
+    places = np.uint64((1 << n.bit_length()) - 1)
+    x = x.astype(np.uint64, copy=False)
+    order = x << np.uint64(min(63, 64 - int(x.max()).bit_length())) & ~places
+    order |= np.arange(n, dtype=np.uint64)
+    order.sort()
+    order = (order & places).astype(np.int64)
+    out = x[order]
+    if (out[1:] < out[:-1]).any():  # numbers that differ in bits that had no room
+        order = np.argsort(x, kind="stable")
+        out = x[order]
+    return order, out
+
+
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal numbers begin."""
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1])[: len(x)])
+
+
+def _inverse(order: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The run of each number before it was put into this order."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(order))))
+    return out
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.uint64]:
+    """One number for each pair, which sorts by a and then b; and by how many bits a is moved."""
+    width = int(b.max(initial=0)).bit_length()
+    if int(a.max(initial=0)).bit_length() + width > 64:
+        b = np.unique(b, return_inverse=True)[1]
+        width = int(b.max(initial=0)).bit_length()
+    return a.astype(np.uint64) << np.uint64(width) | b.astype(np.uint64), np.uint64(width)
+
+
 #: kind 0 is the block's documents and tokens, kind 1 its words, which only level 1 needs.
 BLOCKS = "block bigint, kind int, doc_ids array<bigint>, held array<boolean>, trained array<boolean>, lengths array<int>, words binary, hash binary, check binary, counts binary, n_words bigint"
 
@@ -114,7 +161,9 @@ def blocks(docs: DataFrame) -> DataFrame:
                 h, check, lengths = tokens(offsets, data)
                 rows = slice(first, first + len(lengths))
                 ids, trained = b.column("doc_id")[rows], np.asarray(b.column("trained")[rows].to_pylist(), bool)
-                hashes, at, place = np.unique(h >> np.uint64(1), return_index=True, return_inverse=True)
+                order, sorted_ = _sorted(h >> np.uint64(1))
+                starts = _starts(sorted_)
+                hashes, at, place = sorted_[starts], order[starts], _inverse(order, starts)
                 if (check[at][place] != check).any():  # two words of one hash
                     both, at, place = np.unique(np.stack([h >> np.uint64(1), check]), axis=1, return_index=True, return_inverse=True)
                     hashes = both[0]
@@ -154,9 +203,12 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 # --- questions of a block -----------------------------------------------------
 
 #: Of the block's distinct n-grams that shard is asked about, from place `at`: contexts, how many n-grams each has here, its count;
-#: of each n-gram the word, the code of the shorter one and the training count. The words' second hashes are level 1's codes.
-ASKS = "level int, shard int, block bigint, at int, contexts binary, sizes binary, totals binary, words binary, codes binary, counts binary"
-#: What the shard knows of them: node + 1 (0: not seen), place among the context's successors, code and count.
+#: of each n-gram the word, the code of the shorter one and the training count. The words' second hashes are level 1's codes. Of the
+#: longest n-grams also how often each occurs (0: more than OFTEN times), and the document of each of these occurrences by its place in the block.
+ASKS = "level int, shard int, block bigint, at int, contexts binary, sizes binary, totals binary, words binary, codes binary, counts binary, times binary, docs binary"
+#: What the shard knows of them: node + 1 within the shard (0: not seen), place among the context's successors, code and count. Of the
+#: longest n-grams the documents that hold any (as places), and as codes each one's sum over their occurrences; and as nodes and counts which
+#: of the n-grams are more frequent, and their codes.
 ANSWERS = "level int, shard int, block bigint, at int, nodes binary, places binary, codes binary, counts binary"
 LEVELS = "level int, shard int, grams bigint, total bigint, trie binary"
 
@@ -211,109 +263,165 @@ def _first(block: dict, corpus: Corpus) -> Grams:
     return Grams(unpack(block["words"]).astype(np.int64), node, place, code((count + 1) / max(1, corpus.tokens + corpus.words + 1)), count)
 
 
-def _rank(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, place of each in it)."""
-    seen = np.flatnonzero(x)
-    if (x[seen[1:]] > x[seen[:-1]]).all():  # as nodes are
-        order = np.concatenate([np.flatnonzero(x == 0), seen])
-    elif int(x.max(initial=0)) < 1 << 32:  # two passes over 16 bits each
-        order = np.argsort(x.astype(np.uint16), kind="stable")
-        order = order[np.argsort((x >> np.asarray(16, x.dtype)).astype(np.uint16)[order], kind="stable")]
-    else:
-        order = np.argsort(x, kind="stable")
-    rank = np.empty(len(x), np.int64)
-    rank[order] = np.arange(len(x))
-    return order, rank
-
-
-def _longer(g: Grams, lengths: np.ndarray, n: int, shards: int, begin: int = 0, end: int | None = None) -> tuple[Grams, np.ndarray, np.ndarray, np.ndarray]:
-    """The block's n-grams from its (n-1)-grams, as far as they follow from these: asked ones come first, by shard and context.
-    And of the asked ones the contexts and words (as places in g) and shards. With begin and end, the asked ones of these shards only."""
-    size = max(1, len(g.node))
-    at = np.flatnonzero(np.arange(len(g.of_token)) - np.repeat(np.cumsum(lengths) - lengths, lengths) >= n - 1)
-    shard_of = lambda x: ((mix(x) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
-    of_context, fan = shard_of(g.node), g.count // HOT_CONTEXT + 1
-    if end is not None:
-        here = (g.node > 0) & ((of_context >= begin) & (of_context < end) | (fan > 1))
-        at = at[here[g.of_token[at - 1]] & (g.node > 0)[g.of_token[at]]]
-    # places in the order of node and place, so that the distinct pairs are in the order of context and word
-    by_node, node_rank = _rank(g.node)
-    by_place, place_rank = _rank(g.place)
-    pairs, of_pair = np.unique(node_rank[g.of_token[at - 1]] * size + place_rank[g.of_token[at]], return_inverse=True) if len(at) else (np.zeros(0, np.int64),) * 2
-    context, word = by_node[pairs // size], by_place[pairs % size]
-    asked = (g.node[context] > 0) & (g.node[word] > 0)
-    shard = of_context[context]
-    hot = np.flatnonzero(fan[context] > 1)
-    part = mix(g.place[word[hot]]) % fan[context[hot]].astype(np.uint64)
-    shard[hot] = shard_of(g.node[context[hot]] + part * _P)
-    if end is not None:
-        asked &= (shard >= begin) & (shard < end)
-    shard[~asked] = shards
-    order, rank = _rank(shard)
-    context, word = context[order], word[order]
-    of_token = np.full(len(g.of_token), -1)
-    of_token[at] = rank[of_pair]
-    unseen = g.code[word] + np.where(g.node > 0, backoff(g.count), 0)[context]
-    none = np.zeros(len(order), np.uint64)
-    n_asked = int(asked.sum())
-    return Grams(of_token, none, none.copy(), unseen, np.zeros(len(order), np.int64)), context[:n_asked], word[:n_asked], shard[order][:n_asked]
-
-
-def _learn(g: Grams, to: np.ndarray, answers: list[tuple]) -> None:
-    for shard, _, nodes, places, codes, counts in answers:
-        value, at = unpack(codes), int(np.searchsorted(to, shard))
-        here = slice(at, at + len(value))
-        g.code[here] = value
-        if nodes:  # of the longest n-grams nothing else is asked
-            g.node[here], g.place[here], g.count[here] = unpack(nodes), unpack(places), unpack(counts)
+def _shard_of(x: np.ndarray, shards: int) -> np.ndarray:
+    return ((mix(x) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
+@dataclass
+class Longer:
+    """A block's n-grams from its (n-1)-grams, as far as they follow from these: those to ask for, by shard and context."""
+
+    tokens: np.ndarray  # of the asked n-grams, one behind the other
+    starts: np.ndarray  # where each one's tokens begin
+    context: np.ndarray
+    word: np.ndarray  # both as places in the (n-1)-grams
+    shard: np.ndarray
+    rest: np.ndarray  # tokens whose n-gram has a part that was not seen, and their codes
+    codes: np.ndarray
+
+
+def _longer(g: Grams, lengths: np.ndarray, n: int, shards: int) -> Longer:
+    at = np.flatnonzero(_nth(lengths) >= n - 1)
+    context, word = g.of_token[at - 1], g.of_token[at]
+    seen = g.node > 0
+    both = seen[context] & seen[word]
+    rest, c, w = at[~both], context[~both], word[~both]
+    codes = g.code[w] + np.where(seen[c], backoff(g.count[c]), 0)
+    at, context, word = at[both], context[both], word[both]
+    shard, fan = _shard_of(g.node, shards), g.count // HOT_CONTEXT + 1
+    rank = np.empty(len(shard), np.int64)
+    rank[_sorted(shard)[0]] = np.arange(len(shard))
+    # a context and a place among the successors of the shorter one are one n-gram
+    order, pairs = _sorted(_pairs(rank[context], g.place[word])[0])
+    hot = np.flatnonzero(fan > 1)
+    if len(hot):
+        to, hot = shard[context], np.flatnonzero(fan[context] > 1)
+        part = mix(g.place[word[hot]]) % fan[context[hot]].astype(np.uint64)
+        to[hot] = _shard_of(g.node[context[hot]] + part * _P, shards)
+        again = np.argsort(to[order], kind="stable")
+        order, pairs = order[again], pairs[again]
+    starts = _starts(pairs)
+    example = order[starts]
+    return Longer(at[order], starts, context[example], word[example], to[example] if len(hot) else shard[context[example]], rest, codes)
+
+
+def _learn(g: Grams, answers: list[tuple]) -> None:
+    for shard, at, nodes, places, codes, counts in answers:
+        node = unpack(nodes)
+        here = slice(at, at + len(node))
+        g.node[here] = np.where(node > 0, node + np.uint64(shard << int(_NODE)), np.uint64(0))
+        g.place[here], g.code[here], g.count[here] = unpack(places), unpack(codes), unpack(counts)
 
 
 # --- a block between two levels -----------------------------------------------
 
-#: What a block knows after a level: its documents with their sums over tokens that have their final code, and its n-grams of this length.
-STATES = "block bigint, doc_ids array<bigint>, held array<boolean>, trained array<boolean>, lengths array<int>, known array<bigint>, base array<double>, done array<bigint>, of_token binary, node binary, place binary, code binary, count binary"
+#: What a block knows when it asks a level: its documents with their sums over tokens that have their final code, each token's n-gram
+#: (+ 1, 0: none), how many of these are asked for, and the codes of the rest. Of the longest n-grams, only those of tokens whose n-gram
+#: is frequent, from 0, and as rest these tokens' documents.
+STATES = "block bigint, doc_ids array<bigint>, held array<boolean>, trained array<boolean>, lengths array<int>, known array<bigint>, base array<double>, done array<bigint>, of_token binary, n_asked bigint, rest binary"
+#: States (slice -1) and questions (the slice of their shard).
+STEPS = f"slice int, {STATES}, {ASKS.replace('block bigint, ', '')}"
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
 def _grams(state: dict) -> Grams:
-    of_token, node, place, code_, count = (unpack(state[k]) for k in ("of_token", "node", "place", "code", "count"))
-    return Grams(of_token.astype(np.int64) - 1, node, place, code_.astype(np.int64), count.astype(np.int64))
+    rest = unpack(state["rest"]).astype(np.int64)
+    n, asked = state["n_asked"] + len(rest), state["n_asked"]
+    g = Grams(unpack(state["of_token"]).astype(np.int64) - 1, np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.int64), np.zeros(n, np.int64))
+    g.code[asked:] = rest
+    _learn(g, state["answers"])
+    return g
+
+
+def _nth(lengths: np.ndarray) -> np.ndarray:
+    """Each token's number in its document, from 0."""
+    return np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
 def _sums(x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.add.reduceat(x, np.cumsum(lengths) - lengths)
 
 
-def _settled(g: Grams, lengths: np.ndarray, n: int, last: bool) -> np.ndarray:
-    """By document, the codes of its tokens with n-1 tokens before them; if longer n-grams follow, only of the one with no more before it."""
-    nth = np.arange(len(g.of_token)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    has = nth >= n - 1 if last else nth == n - 1
-    return _sums(np.where(has, g.code[np.maximum(g.of_token, 0)] if len(g.code) else 0, 0), lengths)
+def _cuts(shards: int) -> list[int]:
+    """Where each slice's shards begin, and their number at the end."""
+    return [shards * k // SLICES for k in range(SLICES + 1)]
 
 
-def _after(joined: DataFrame, corpus: Corpus, n: int, shards: int, last: bool) -> DataFrame:
-    """Of blocks with their answers to level n the states after it; after the last level the scores."""
+def _next(joined: DataFrame, corpus: Corpus, n: int, order: int, shards: int) -> DataFrame:
+    """Of blocks with their answers to level n - 1 the states and questions of level n."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _met(batches):
             lengths = np.array(block["lengths"])
-            if n == 1:
+            if n == 2:
                 g = _first(block, corpus)
                 known = _sums((g.count > 0)[g.of_token].astype(np.int64), lengths)
                 base = _sums(np.log10((g.count + 1) / max(1, corpus.tokens + corpus.words + 1))[g.of_token], lengths)
                 done = np.zeros(len(lengths), np.int64)
             else:
-                g, _, _, to = _longer(_grams(block), lengths, n, shards)
-                _learn(g, to, block["answers"])
+                g = _grams(block)
                 known, base, done = (np.array(block[k]) for k in ("known", "base", "done"))
-            done = done + _settled(g, lengths, n, last)
-            if last:
-                columns = [block["doc_ids"], block["held"], lengths, known, [corpus.tokens] * len(lengths), base, -done / STEP]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, _types(SCORES), strict=True)], names=_names(SCORES))
+            # tokens that have no more tokens before them have their final code
+            nth = np.cumsum(lengths) - lengths + n - 2
+            has = np.flatnonzero(lengths > n - 2)
+            done[has] += g.code[g.of_token[nth[has]]]
+            state = (block["block"], block["doc_ids"], block["held"], block["trained"], lengths, known, base)
+            if n > order:  # a model of single words asks nothing more
+                done = _sums(g.code[g.of_token], lengths)
+                yield _batch([(-1, *state, done, None, 0, None, *[None] * 11)], STEPS)
+                continue
+            asks = _longer(g, lengths, n, shards)
+            doc, ends = np.repeat(np.arange(len(lengths)), lengths), np.append(asks.starts, len(asks.tokens))
+            if n == order:
+                done += np.rint(np.bincount(doc[asks.rest], asks.codes, len(lengths))).astype(np.int64)
+                times = np.diff(ends)
+                often = times > OFTEN
+                own = (pack(np.repeat(np.flatnonzero(often), times[often])), len(times), pack(doc[asks.tokens[np.repeat(often, times)]]))
             else:
-                yield _batch([(block["block"], block["doc_ids"], block["held"], block["trained"], lengths, known, base, done, pack(g.of_token + 1), *(pack(x) for x in (g.node, g.place, g.code, g.count)))], STATES)
+                of_token = np.zeros(len(g.of_token), np.int64)
+                of_token[asks.tokens] = np.repeat(np.arange(1, len(ends)), np.diff(ends))
+                of_token[asks.rest] = np.arange(len(ends), len(ends) + len(asks.rest))
+                own = (pack(of_token), len(asks.starts), pack(asks.codes))
+            yield _batch([(-1, *state, done, *own, *[None] * 11)], STEPS)
+            if rows := list(_questions(g, asks, block, doc, ends, n, n == order, _cuts(shards))):
+                yield _batch(rows, STEPS)
+
+    return joined.mapInArrow(of, STEPS)
+
+
+def _questions(g: Grams, asks: Longer, block: dict, doc: np.ndarray, ends: np.ndarray, n: int, last: bool, cuts: list[int]) -> Iterator[tuple]:
+    trained = np.append(0, np.cumsum(np.array(block["trained"], bool)[doc[asks.tokens]]))
+    counts = np.diff(trained[ends])
+    begins = _starts(asks.shard).tolist()
+    for a, z in zip(begins, [*begins[1:], len(asks.shard)]):
+        shard = int(asks.shard[a])
+        runs = a + _starts(asks.context[a:z])
+        of_run, w = asks.context[runs], asks.word[a:z]
+        mine = (None, None)
+        if last:
+            times = np.diff(ends[a : z + 1])
+            few = times <= OFTEN
+            mine = (pack(times * few), pack(doc[asks.tokens[ends[a] : ends[z]][np.repeat(few, times)]]))
+        yield (bisect_right(cuts, shard) - 1, block["block"], *[None] * 10, n, shard, a, pack(g.node[of_run] - np.uint64(1)), pack(np.diff(np.append(runs, z))), pack(g.count[of_run]), pack(g.place[w]), pack(g.code[w]), pack(counts[a:z]), *mine)
+
+
+def _scores(joined: DataFrame, corpus: Corpus) -> DataFrame:
+    """Of blocks with their documents' sums over the longest n-grams the scores."""
 
-    return joined.mapInArrow(of, SCORES if last else STATES)
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _met(batches):
+            done, lengths = np.array(block["done"]), block["lengths"]
+            if block["n_asked"]:
+                codes = np.zeros(block["n_asked"], np.int64)
+                for _, at, often, docs, sums, of_often in block["answers"]:
+                    done[unpack(docs).astype(np.int64)] += unpack(sums).astype(np.int64)
+                    codes[at + unpack(often).astype(np.int64)] = unpack(of_often)
+                grams, docs = (unpack(block[k]).astype(np.int64) for k in ("of_token", "rest"))
+                done += np.rint(np.bincount(docs, codes[grams], len(done))).astype(np.int64)
+            columns = [block["doc_ids"], block["held"], lengths, block["known"], [corpus.tokens] * len(lengths), block["base"], -done / STEP]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, _types(SCORES), strict=True)], names=_names(SCORES))
+
+    return joined.mapInArrow(of, SCORES)
 
 
 def _first_asks(table: DataFrame, shards: int) -> DataFrame:
@@ -322,7 +430,7 @@ def _first_asks(table: DataFrame, shards: int) -> DataFrame:
             h, c, n = unpack(hashes), unpack(check), unpack(counts)
             to = _vocabulary_shard(h, shards)
             cuts = np.flatnonzero(np.append(True, to[1:] != to[:-1])).tolist()
-            yield _batch([(1, int(to[a]), block, a, b"", b"", b"", pack(h[a:z]), pack(c[a:z]), pack(n[a:z])) for a, z in zip(cuts, [*cuts[1:], len(h)], strict=True)], ASKS)
+            yield _batch([(1, int(to[a]), block, a, b"", b"", b"", pack(h[a:z]), pack(c[a:z]), pack(n[a:z]), None, None) for a, z in zip(cuts, [*cuts[1:], len(h)], strict=True)], ASKS)
 
     return table.select("block", "hash", "check", "counts").mapInArrow(of, ASKS)
 
@@ -332,29 +440,6 @@ def _vocabulary_shard(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h >> np.uint64(31)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-def _asks(states: DataFrame, level: int, shards: int, begin: int, end: int) -> DataFrame:
-    """The questions of a level to the shards from begin to before end."""
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for state in _dicts(batches):
-            g, lengths = _grams(state), np.array(state["lengths"])
-            longer, contexts, words, to = _longer(g, lengths, level, shards, begin, end)
-            if not len(to):
-                continue
-            has = (longer.of_token >= 0) & np.repeat(np.array(state["trained"], bool), lengths)
-            counts = np.bincount(longer.of_token[has], minlength=len(longer.node))
-            cuts = np.flatnonzero(np.append(True, to[1:] != to[:-1])).tolist()
-            rows = []
-            for a, z in zip(cuts, [*cuts[1:], len(to)], strict=True):
-                runs = a + np.flatnonzero(np.append(True, contexts[a + 1 : z] != contexts[a : z - 1]))
-                of_run = contexts[runs]
-                w = words[a:z]
-                rows.append((level, int(to[a]), state["block"], 0, pack(g.node[of_run] - np.uint64(1)), pack(np.diff(np.append(runs, z))), pack(g.count[of_run]), pack(g.place[w]), pack(g.code[w]), pack(counts[a:z])))
-            yield _batch(rows, ASKS)
-
-    return states.select("block", "trained", "lengths", "of_token", "node", "place", "code", "count").mapInArrow(of, ASKS)
-
-
 def _dicts(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for b in batches:
         for i in range(b.num_rows):
@@ -392,7 +477,7 @@ def _vocabulary(asks: list[tuple]) -> tuple[bytes, int, int, Iterator[tuple]]:
     level = Level(mapped(trie))
 
     def answers() -> Iterator[tuple]:
-        for _, shard, block, first, *_, words, checks, _ in asks:
+        for _, shard, block, first, _, _, _, words, checks, *_ in asks:
             words, checks = unpack(words), unpack(checks)
             at, _ = level.find(np.zeros(1, np.uint64), np.array([len(words)]), words)
             while (next_ := (at >= 0) & (check[np.minimum(at, len(check) - 1)] != checks) if len(check) else np.zeros(len(at), bool)).any():
@@ -408,20 +493,19 @@ def _level(asks: list[tuple], last: bool) -> tuple[bytes, int, int, Iterator[tup
     """A level of a shard: (trie, n-grams, their sum, answers). What several blocks ask is looked up once."""
     runs, sizes, totals = (np.concatenate([unpack(a[i]) for a in asks]) for i in (4, 5, 6))
     word, lower, n = (np.concatenate([unpack(a[i]) for a in asks]) for i in (7, 8, 9))
-    contexts, of_run = np.unique(runs, return_inverse=True)
+    # nodes by the shard and the place in it, in fewer bits
+    order, _ = _sorted(_pairs(runs >> _NODE, runs & np.uint64((1 << int(_NODE)) - 1))[0])
+    starts = _starts(runs[order])
+    contexts, of_run = runs[order[starts]], _inverse(order, starts)
     total = np.zeros(len(contexts), np.int64)
     total[of_run] = totals
-    ordered, width = word.astype(np.int64), int(word.max()) + 1
-    if len(contexts) * width >= 1 << 63:
-        known, ordered = np.unique(word, return_inverse=True)
-        width = len(known)
-    pairs, of_ask = np.unique(np.repeat(of_run, sizes.astype(np.int64)) * width + ordered, return_inverse=True)
-    example = np.empty(len(pairs), np.int64)
-    example[of_ask] = np.arange(len(of_ask))
-    of_context = pairs // width
-    word, lower, n = word[example], lower[example].astype(np.int64), np.rint(np.bincount(of_ask, n, len(pairs))).astype(np.int64)
+    pairs, width = _pairs(np.repeat(of_run, sizes.astype(np.int64)), word)
+    order, pairs = _sorted(pairs)
+    starts = _starts(pairs)
+    of_ask, example, of_context = _inverse(order, starts), order[starts], (pairs[starts] >> width).astype(np.int64)
+    word, lower, n = word[example], lower[example].astype(np.int64), np.add.reduceat(n[order], starts).astype(np.int64)
     seen = n > 0
-    codes = code((n[seen] + MASS * probability(lower[seen])) / (total[of_context[seen]] + MASS))
+    codes = code((n[seen] + MASS * probability(np.arange(lower.max() + 1))[lower[seen]]) / (total[of_context[seen]] + MASS))
     trie = Level.encode(contexts[of_context[seen]], word[seen], codes, backoff(n[seen])[: 0 if last else None])
     n = n[seen]
     level = Level(mapped(trie))
@@ -431,22 +515,28 @@ def _level(asks: list[tuple], last: bool) -> tuple[bytes, int, int, Iterator[tup
     shard = asks[0][1]
     # a context that is dealt over shards has places in each of them
     place = np.where(found, np.where(total[of_context] >= HOT_CONTEXT, place << 24 | shard, place), 0)
-    node = np.where(found, (shard << int(_NODE)) + at + 1, 0)
+    node = np.where(found, at + 1, 0)
     count = np.where(found, n[at] if len(n) else 0, 0)
 
     def answers() -> Iterator[tuple]:
         start = 0
-        for number, shard, block, first, _, sizes, *_ in asks:
-            end = start + int(unpack(sizes).sum())
+        for number, shard, block, first, _, _, _, words, _, _, times, docs in asks:
+            end = start + (len(words) - 1) // words[0]
             own = of_ask[start:end]
             start = end
-            yield number, shard, block, first, *((b"", b"", pack(value[own]), b"") if last else (pack(x[own]) for x in (node, place, value, count)))
+            if last:
+                times = unpack(times).astype(np.int64)
+                sums = np.rint(np.bincount(unpack(docs).astype(np.int64), np.repeat(value[own], times))).astype(np.int64)
+                holds, often = np.flatnonzero(sums), np.flatnonzero(times == 0)
+                yield number, shard, block, first, pack(often), pack(holds), pack(sums[holds]), pack(value[own[often]])
+            else:
+                yield number, shard, block, first, *(pack(x[own]) for x in (node, place, value, count))
 
     return trie, int(seen.sum()), int(n.sum()), answers()
 
 
-def _answers(asks: DataFrame, shards: int, last: bool) -> DataFrame:
-    """What so many shards make of all questions, saved: levels are kind 0, answers kind 1. A task holds the questions of one shard at a time."""
+def _answers(asks: DataFrame, begin: int, shards: int, last: bool) -> DataFrame:
+    """What so many shards from begin make of all questions, saved: levels are kind 0, answers kind 1. A task gets the questions of one shard."""
     schema = f"level int, shard int, block bigint, at int, nodes binary, places binary, codes binary, counts binary, {LEVELS[22:]}"
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -467,9 +557,9 @@ def _answers(asks: DataFrame, shards: int, last: bool) -> DataFrame:
             held.append(row)
         yield from out()
 
-    dealt = asks.repartition(shards, "shard").sortWithinPartitions("shard")
+    dealt = asks.repartitionById(shards, F.col("shard") - begin)
     made = dealt.mapInArrow(of, schema).withColumns({"kind": F.when(F.col("trie").isNull(), 1).otherwise(0), "part": F.when(F.col("trie").isNull(), _part()).otherwise(0)})
-    return save(made, "level", by=["kind", "part"], compression="zstd")
+    return save(made, "level", by=["kind", "part"], **_FILES)
 
 
 # --- the whole ----------------------------------------------------------------
@@ -477,6 +567,8 @@ def _answers(asks: DataFrame, shards: int, last: bool) -> DataFrame:
 
 def _join(table: DataFrame, answers: list[DataFrame]) -> DataFrame:
     """Each block and behind it its answers to a level. They are as many as the block has n-grams, and no more."""
+    if not answers:
+        return table.withColumn("shard", F.lit(None).cast("int"))
     every = reduce(DataFrame.union, answers).drop("level")
     return table.unionByName(every, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", F.asc_nulls_first("shard"))
 
@@ -484,43 +576,52 @@ def _join(table: DataFrame, answers: list[DataFrame]) -> DataFrame:
 def score(docs: DataFrame, order: int = ORDER, shard: int = SHARD, keep: bool = True) -> tuple[DataFrame, list[DataFrame]]:
     """(scores of all rows, the trie's levels by shard): the model of the training documents, applied to all. Without keep the
     levels are deleted when they have answered, and the list is empty."""
-    both = save(blocks(docs).withColumn("part", _part()), "blocks", by=["kind", "part"], compression="zstd")
+    both = save(blocks(docs).withColumn("part", _part()), "blocks", by=["kind", "part"], **_FILES)
     table = both.where("kind = 0").drop("kind")
     of = lambda n: max(1, -(-int(n or 0) // shard))
     n_words, questions = table.agg(F.sum("n_words"), F.sum(F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, n: a + n))).first()
     shards = of(n_words)
-    made = [_answers(_first_asks(both.where("kind = 1"), shards), shards, False)]
+    made = [_answers(_first_asks(both.where("kind = 1"), shards), 0, shards, False)]
     discard(both, part="kind=1")
     sizes = {r.shard: (r.grams, r.total) for r in made[0].where("kind = 0").select("shard", "grams", "total").collect()}  # two numbers a shard
     words = np.array([sizes.get(s, (0, 0))[0] for s in range(shards)], np.int64)
     corpus = Corpus(sum(t for _, t in sizes.values()), int(words.sum()), np.append(0, np.cumsum(words))[:-1])
     columns = ["block", "doc_ids", "held", "trained", "lengths", "words", "n_words"]
     states = [(table.where(f"part = {p}").select(columns), both, f"kind=0/part={p}") for p in range(PARTS)]
+    answers = lambda p: [m.where(f"kind = 1 AND part = {p}").select(*_names(ANSWERS)) for m in made]
     levels = []
-    for n in range(1, order + 1):
-        if n > 1:
-            shards = of(questions)
-            every = reduce(DataFrame.union, (s for s, *_ in states))
-            cuts = [shards * k // SLICES for k in range(SLICES + 1)]
-            made = []
-            for a, z in zip(cuts, cuts[1:]):
-                if a < z:
-                    made.append(_answers(_asks(every, n, shards, a, z), z - a, n == order))
-                    if not keep:
-                        discard(made[-1], part="kind=0")
-        elif not keep:
-            discard(made[0], part="kind=0")
+
+    def kept() -> None:
         if keep:
             levels.append(reduce(DataFrame.union, (m.where("kind = 0").select(*_names(LEVELS)) for m in made)))
-        next_ = []
+
+    kept()
+    shards = of(questions)
+    for n in range(2, max(order, 2) + 1):
+        asked = []
         for p, (state, saved, at) in enumerate(states):
-            answers = [m.where(f"kind = 1 AND part = {p}").select(*_names(ANSWERS)) for m in made]
-            done = save(_after(_join(state, answers), corpus, n, shards, n == order), "scores" if n == order else "state", compression="zstd")
-            next_.append((done, done, ""))
+            asked.append(save(_next(_join(state, answers(p)), corpus, n, order, shards), "step", by="slice", **_FILES))
             discard(saved, part=at)
             discard(*made, part=f"kind=1/part={p}")
-        states = next_
-    return reduce(DataFrame.union, (s for s, *_ in states)), levels
+        if not keep:
+            discard(*made)
+        states, made = [(t.where("slice = -1").select(*_names(STATES)), t, "") for t in asked], []
+        for k, (a, z) in enumerate(zip(_cuts(shards), _cuts(shards)[1:])) if n <= order else ():
+            if a < z:
+                made.append(_answers(reduce(DataFrame.union, (t.where(f"slice = {k}").select(*_names(ASKS)) for t in asked)), a, z - a, n == order))
+                discard(*asked, part=f"slice={k}")
+                if not keep:
+                    discard(made[-1], part="kind=0")
+        if made:
+            kept()
+    done = [save(_scores(_join(state, answers(p)), corpus), "scores", **_FILES) for p, (state, *_) in enumerate(states)]
+    discard(*(t for _, t, _ in states))
+    if keep:
+        for p in range(PARTS):
+            discard(*made, part=f"kind=1/part={p}")
+    else:
+        discard(*made)
+    return reduce(DataFrame.union, done), levels
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from math import log10
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from furrow.llm import elias_fano, lm_scoring
 
@@ -83,6 +84,59 @@ def test_many_shards_and_split_contexts(spark, monkeypatch):
     check(spark, prose(40, 2), order=4, shard=11)
 
 
+def test_a_task_gets_one_shard(spark):
+    """Shards are dealt by number: by a hash of it several fell into one task, and the longest task grew with the input."""
+    df = spark.createDataFrame([(i, t, 0.5, "x", 1) for i, t in prose(80, 5)], DOCS).repartition(3)
+    for level in lm_scoring.score(df, shard=60)[1][1:]:
+        made = level.select("shard", F.input_file_name().alias("file")).collect()
+        assert len(made) > 5 and len({r.file for r in made}) == len({r.shard for r in made}) == len(made)
+
+
+def test_blocks_make_their_questions_once():
+    """One pass asks all slices, and a block goes on without its n-grams: the shards add up the longest ones by document."""
+    lengths, n_words, seen = np.array([4, 1, 6]), 4, 2
+    node = np.arange(1, n_words + 1, dtype=np.uint64)
+    node[seen:] = 0
+    g = lm_scoring.Grams(np.array([0, 1, 0, 1, 3, 0, 1, 0, 2, 0, 1]), node, np.arange(n_words, dtype=np.uint64), np.full(n_words, 7), np.array([5, 5, 0, 0]))
+    asks = lm_scoring._longer(g, lengths, 2, 5)
+    grams = [(int(c), int(w)) for c, w in zip(asks.context, asks.word, strict=True)]
+    assert sorted(grams) == [(0, 1), (1, 0)] and sorted(asks.rest.tolist()) == [8, 9]
+    assert sorted(asks.tokens.tolist()) == [1, 2, 3, 6, 7, 10] and (np.diff(asks.shard) >= 0).all()
+    block = {"block": 1, "trained": [True, True, False]}
+    doc, ends, cuts = np.repeat(np.arange(3), lengths), np.append(asks.starts, 6), lm_scoring._cuts(5)
+    rows = list(lm_scoring._questions(g, asks, block, doc, ends, 2, True, cuts))
+    asked = [dict(zip(lm_scoring._names(lm_scoring.STEPS), r, strict=True)) for r in rows]
+    assert all(cuts[r["slice"]] <= r["shard"] < cuts[r["slice"] + 1] for r in asked)
+    assert sum(int(elias_fano.unpack(r["counts"]).sum()) for r in asked) == 3  # tokens 1 to 3 of the first document
+    answers = [a for shard in {r["shard"] for r in asked} for a in lm_scoring._level([tuple(r[k] for k in lm_scoring._names(lm_scoring.ASKS)) for r in asked if r["shard"] == shard], True)[3]]
+    assert all(len(elias_fano.unpack(places)) <= 2 and not len(elias_fano.unpack(nodes)) for *_, nodes, places, _, _ in answers)
+
+
+def test_frequent_longest_grams_stay_in_their_block(spark):
+    """What a block has very often is one question, whatever the number of its documents."""
+    lengths = np.full(50, 20)
+    g = lm_scoring.Grams(np.tile(np.arange(2), 500), np.array([1, 2], np.uint64), np.array([0, 1], np.uint64), np.full(2, 7), np.full(2, 500))
+    asks = lm_scoring._longer(g, lengths, 2, 1)
+    rows = list(lm_scoring._questions(g, asks, {"block": 1, "trained": [True] * 50}, np.repeat(np.arange(50), lengths), np.append(asks.starts, len(asks.tokens)), 2, True, [0, 1]))
+    assert len(asks.tokens) == 950 and [len(elias_fano.unpack(r[-1])) for r in rows] == [0]
+    check(spark, [(i, "a b c " * (i % 9) + "d " + "e f g " * (i % 2)) for i in range(60)])
+
+
+def test_model_of_single_words(spark):
+    check(spark, prose(20, 6), order=1)
+
+
+def test_sorted():
+    rng = np.random.default_rng(7)
+    for top in (1, 2, 1000, 2**40, 2**64 - 1):
+        for n in (0, 1, 2, 1000):
+            x = rng.integers(0, top, n, np.uint64)
+            x[: n // 3] = x[n // 3 : 2 * (n // 3)] ^ np.uint64(1)  # numbers that differ in their last bit only
+            order, y = lm_scoring._sorted(x)
+            assert order.tolist() == np.argsort(x, kind="stable").tolist() and (y == x[order]).all()
+            assert lm_scoring._inverse(order, lm_scoring._starts(y)).tolist() == (np.unique(x, return_inverse=True)[1].tolist() if n else [])
+
+
 def test_odd_rows(spark):
     check(spark, [(1, None), (2, ""), (3, " \t\n"), (4, "one"), (5, "x " * 3000), (6, "dup here"), (6, "dup here"), (6, "other"), (None, "dup here"), (None, None), (9, "\x00 \x1c nul \x0b vt 梦 \U0001f600"), (16, "w" * 5000)])
     check(spark, [(None, "a b")])
